@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import exact_dedup, url_rules
 from .packing import op10_packing
 
 QUERIES = {
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_url_rules": url_rules.op8_url_rules,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op8_url_rules": url_rules.SQL,
+}
