@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_rules
+from . import decontamination, exact_dedup, url_rules
 from .packing import op10_packing
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_url_rules": url_rules.op8_url_rules,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
+    "op2_decontamination": decontamination.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_url_rules": url_rules.SQL,
 }
