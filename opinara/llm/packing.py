@@ -119,9 +119,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     """
     tokens = token_table(docs, doc_id, text, path, ranks, end_id)
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    # One row per input partition, not per document.
+    # One row per input partition, not per document: the driver schedules each of them, so they fit a broadcast.
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
-    placed = tokens.join(bases, "part").select("doc_id", (F.col("base") + F.col("place")).alias("at"), "n_tokens", "ids")
+    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("place")).alias("at"), "n_tokens", "ids")
     kind = placed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]

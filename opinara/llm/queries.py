@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, url_rules
+from . import decontamination, exact_dedup, language, quality, url_rules
 from .packing import op10_packing
 
 QUERIES = {
+    "op1_language": language.op1_language,
+    "op9_quality": quality.op9_quality,
     "op2_decontamination": decontamination.op2_decontamination,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_url_rules": url_rules.op8_url_rules,
