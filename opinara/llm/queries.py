@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, quality, url_rules
+from . import decontamination, exact_dedup, language, quality, toxicity, url_rules
 from .packing import op10_packing
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op1_language": language.op1_language,
     "op9_quality": quality.op9_quality,
     "op2_decontamination": decontamination.op2_decontamination,
