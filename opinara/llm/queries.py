@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, lattice, quality, toxicity, url_rules
+from . import decontamination, exact_dedup, language, lattice, near_dedup, quality, toxicity, url_rules
 from .packing import op10_packing
 
 QUERIES = {
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op4_lattice_lm": lattice.op4_lattice_lm,
     "op3_toxicity": toxicity.op3_toxicity,
     "op1_language": language.op1_language,
