@@ -31,22 +31,17 @@ def name_of(chunk: Column) -> Column:
     return F.struct(F.xxhash64(chunk).alias("a"), F.xxhash64(chunk, F.lit(1)).alias("b"))
 
 
-def clashing_names(texts: DataFrame, text: str, chunks=chunks_of, name=name_of) -> list:
-    """Names that chunks of different bytes share; with 128 bits none is expected at any size."""
-    chunk = texts.select(F.explode(chunks(F.col(text))).alias("chunk")).select(name(F.col("chunk")).alias("name"), "chunk")
-    distinct = chunk.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n"))
+def clashing_of(distinct: DataFrame) -> list:
+    """Names that several rows of distinct chunks share; with 128 bits none is expected at any size."""
     return [r["name"] for r in distinct.groupBy("name").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").collect()]
 
 
-def recipe_of(text: Column, clashing: list, chunks=chunks_of, name=name_of) -> Column:
-    def element(c: Column) -> Column:
-        own = name(c)
-        clash = F.lit(False)
-        for x in clashing:
-            clash = clash | ((own["a"] == x["a"]) & (own["b"] == x["b"]))
-        return F.struct(own["a"].alias("a"), own["b"].alias("b"), F.when(clash, c).alias("chunk"))
-
-    return F.transform(chunks(text), element)
+def spelled_name(chunk: Column, clashing: list, name=name_of) -> Column:
+    """The chunk's name, and the chunk itself where its name clashes: equal exactly if the chunks are."""
+    own, clash = name(chunk), F.lit(False)
+    for x in clashing:
+        clash = clash | ((own["a"] == x["a"]) & (own["b"] == x["b"]))
+    return F.struct(own["a"].alias("a"), own["b"].alias("b"), F.when(clash, chunk).alias("chunk"))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunks=chunks_of, name=name_of) -> DataFrame:
@@ -58,8 +53,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     empty table gives no rows.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("points"), normalised(F.col(text)).alias("own"))
-    clashing = clashing_names(slim, "own", chunks, name)
-    recipes = stored(slim.select("doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"), recipe_of(F.col("own"), clashing, chunks, name).alias("recipe")))
+    chunk = slim.select(F.explode(chunks(F.col("own"))).alias("chunk")).select(name(F.col("chunk")).alias("name"), "chunk")
+    clashing = clashing_of(chunk.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n")))
+    recipes = stored(slim.select("doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("own")), lambda c: spelled_name(c, clashing, name)).alias("recipe")))
     groups = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), "doc_id"))["doc_id"].alias("keep_id"))
     found = recipes.join(groups.filter("group_size > 1"), "recipe", "left")
     return found.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "text_sha256")

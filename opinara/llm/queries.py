@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, lattice, near_dedup, quality, toxicity, url_rules
+from . import decontamination, exact_dedup, language, lattice, line_dedup, near_dedup, quality, toxicity, url_rules
 from .packing import op10_packing
 
 QUERIES = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op4_lattice_lm": lattice.op4_lattice_lm,
     "op3_toxicity": toxicity.op3_toxicity,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_line_dedup": line_dedup.SQL,
     "op2_decontamination": decontamination.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_url_rules": url_rules.SQL,
