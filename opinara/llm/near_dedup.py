@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, stored, table, utf8
@@ -28,8 +28,6 @@ WORDS, SIMILARITY = 5, 80
 PERMUTATIONS, ROWS = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 CHUNK = 1 << 20
-#: Counters by which shingles are ordered; any order is right, a better informed one pairs less.
-COUNTERS = 1 << 20
 _RNG = np.random.default_rng(23)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -107,6 +105,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(id, n, digest, bands): set size, a 128-bit digest of the sorted set, and the band keys (none for an empty set)."""
 
@@ -118,23 +120,23 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(band_keys(min_max(s)) if len(s) else np.zeros(0, np.int64))
-            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), keys], ["id", "n", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(bands)], ["id", "n", "digest", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(sign, f"id {kind}, n long, digest binary, bands array<long>")
 
 
 def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the full sets of the documents with these ids, as sorted 64-bit hashes."""
+    """(id, shingles): the full sets of the documents with these ids, as arrays of sorted 64-bit hashes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(data, offsets, words)], pa.binary())], ["id", "shingles"])
+            found = [s.view(np.int64) for s in shingle_sets(data, offsets, words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(found)], ["id", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(gather, f"id {kind}, shingles binary")
+    return docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(gather, f"id {kind}, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -144,7 +146,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -176,50 +178,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def rare_first(sets: DataFrame) -> np.ndarray:
-    """Counters of hashed shingles over all the sets; they set the order, and have a fixed size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            shingles = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-            total += np.bincount((shingles & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
-
-    got = sets.select("shingles").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int32)
-    out[got["counter"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 1 << 30)
-    return out
-
-
 def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of different components that pass the prefix, length and place bounds."""
-    held = sets.sparkSession.sparkContext.broadcast(rare_first(sets))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, size, token, place, index = [], [], [], [], []
-            for i, raw in enumerate(batch.column(2)):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                n = len(s)
-                s = s[np.lexsort((s, held.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))]
-                probe = n + (-similarity * n // 100) + 1
-                keep = n + (-2 * similarity * n // (100 + similarity)) + 1
-                rows.append(np.full(probe, i)), size.append(np.full(probe, n)), token.append(s[:probe].astype(np.int64)), place.append(np.arange(probe)), index.append(np.arange(probe) < keep)
-            if rows:
-                rows, size, token, place, index = map(np.concatenate, (rows, size, token, place, index))
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(size), pa.array(token), pa.array(place), pa.array(index)], ["id", "component", "n", "token", "place", "index"])
-
-    kind = sets.schema["id"].dataType.simpleString()
-    own = sets.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "shingles")
-    tokens = stored(own.mapInArrow(prefixes, f"id {kind}, component {kind}, n long, token long, place long, index boolean"))
-    shared = stored(tokens.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("token"))
-    tokens = tokens.join(shared, "token")
+    """Pairs (a, b) of different components that pass the prefix, length and place bounds; labels: (id, component)."""
+    own = sets.join(labels, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    # Any common order is right; with rare shingles first, few sets meet. A shingle of one component alone keeps its place.
+    found = stored(own.groupBy("token").agg(F.count(F.lit(1)).alias("held"), (F.min("component") != F.max("component")).alias("crosses")).filter("held > 1"))
+    ranked = own.join(found, "token", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(1)), "token")))
+    probe = F.col("n") - F.ceil(F.col("n") * similarity / 100 - 1e-9) + 1
+    index = F.col("n") - F.ceil(2 * F.col("n") * similarity / (100 + similarity) - 1e-9) + 1
+    tokens = stored(ranked.filter(F.col("crosses") & (F.col("place") <= probe)).select("id", "component", "n", "token", "place", (F.col("place") <= index).alias("index")))
     small, large = tokens.filter("index").alias("s"), tokens.alias("l")
     need = F.ceil((F.col("s.n") + F.col("l.n")) * similarity / (100 + similarity) - 1e-9)
-    room = 1 + F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place")) - 1
+    room = F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place")) + 1
     after = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.id") < F.col("l.id")))
     match = (F.col("s.token") == F.col("l.token")) & (F.col("s.component") != F.col("l.component")) & after & (100 * F.col("s.n") >= similarity * F.col("l.n")) & (room >= need)
     return small.join(large, match).select(F.col("s.id").alias("a"), F.col("l.id").alias("b")).distinct()
@@ -238,11 +208,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     classes = stored(signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     banded = signed.join(classes.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "n", F.explode("bands").alias("band"))
     buckets = stored(banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", F.col("least.id").alias("a"), F.col("least.n").alias("m")))
-    members = stored(banded.join(buckets, "band").select("a", "m", F.col("id").alias("b"), "n").distinct())
+    members = stored(banded.join(buckets, "band").select("band", "a", "m", F.col("id").alias("b"), "n"))
     sets = stored(set_table(slim, members.select(F.col("b").alias("id")).distinct(), words))
-    stars = members.filter("a <> b").filter(f"100 * least(m, n) >= {similarity} * greatest(m, n)").select("a", "b")
+    stars = members.filter("a <> b").filter(f"100 * least(m, n) >= {similarity} * greatest(m, n)").select("a", "b").distinct()
     first = components(confirmed(stars, sets, similarity))
-    rest = stored(confirmed(cross_pairs(sets, first, similarity), sets, similarity))
+    # Only members of buckets with more than one component can still link.
+    placed = members.select("band", F.col("b").alias("id")).join(first, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    open_ = placed.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("band")
+    unsettled = stored(placed.join(stored(open_), "band").select("id", "component").distinct())
+    rest = stored(confirmed(cross_pairs(sets, unsettled, similarity), sets, similarity))
     # Links between components: their least ids stand for them.
     at = {k: first.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"}
     between = rest.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
