@@ -57,7 +57,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     clashing = clashing_of(chunk.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n")))
     recipes = stored(slim.select("doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("own")), lambda c: spelled_name(c, clashing, name)).alias("recipe")))
     groups = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), "doc_id"))["doc_id"].alias("keep_id"))
-    found = recipes.join(groups.filter("group_size > 1"), "recipe", "left")
+    # Read from a table, both sides of the join are freshly dealt, so that Spark can split the rows of a hot recipe.
+    found = recipes.join(stored(groups.filter("group_size > 1")), "recipe", "left")
     return found.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "text_sha256")
 
 
