@@ -76,7 +76,7 @@ def confidence(score: Column, n: Column, floor: float | None = None) -> Column:
 
 def split_categories(text: Column, delimiter: str = "|") -> Column:
     """Parts, trimmed, without empty ones; null becomes an empty array."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\\" + delimiter), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\\" + delimiter), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -98,11 +98,9 @@ COUNT_BUCKETS = [(5, "1-5"), (15, "6-15"), (50, "16-50"), (None, "51+")]
 
 
 def bucket(n: Column, ends=COUNT_BUCKETS) -> Column:
-    out = None
+    out = F
     for end, name in ends:
-        if end is None:
-            return (out or F).otherwise(name) if out is not None else F.lit(name)
-        out = F.when(n <= end, name) if out is None else out.when(n <= end, name)
+        out = out.otherwise(name) if end is None else out.when(n <= end, name)
     return out
 
 
