@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..shared import stored
 
@@ -50,7 +51,7 @@ def signed_ranks(pairs: DataFrame, digits: int = 9) -> DataFrame:
     return counts.join(parts, [*GROUP, "part"]).withColumn("rank", F.col("base") + within + (F.col("ties") + 1) / 2).drop("part", "base")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x and x is not None else None)
 
@@ -94,7 +95,7 @@ def t_two_sided(t: float, df: float) -> float:
     return front * _beta_cf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_cf(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_p(t: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(x, k - 1) if x == x and x is not None and k > 1 else None for x, k in zip(t, n, strict=True)], dtype="float64")
 
