@@ -75,7 +75,7 @@ def pair_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     out = np.zeros((n, FEATURES), np.float32)
     lo, hi = int(offsets[0]), int(offsets[-1])
-    for a in range(lo, hi - 1, CHUNK):
+    for a in range(lo, max(hi - 1, lo), CHUNK):
         b = min(hi, a + CHUNK + 1)
         c = CLASS_OF[data[a:b]]
         row = np.repeat(np.arange(n), np.diff(np.clip(offsets, a, b - 1)))
@@ -84,7 +84,8 @@ def pair_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         keys = ((row - first) * PAIRS + c[:-1] * CLASSES + c[1:])[inside]
         found = np.bincount(keys, minlength=(int(row[-1]) - first + 1) * PAIRS).reshape(-1, PAIRS)
         out[first : first + len(found), :PAIRS] += found
-        for k, own in enumerate(repeats(data[a : b - 1], row)):
+        end = min(hi, a + CHUNK)
+        for k, own in enumerate(repeats(data[a:end], np.repeat(np.arange(n), np.diff(np.clip(offsets, a, end))))):
             out[:, PAIRS + k] += np.bincount(own, minlength=n)
     return out
 
