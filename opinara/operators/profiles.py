@@ -75,6 +75,22 @@ def cbf_predict(rows: DataFrame, clusters: DataFrame, preference: DataFrame, mea
     return joined.withColumn("fallback_kind", kind).withColumn("prediction", F.least(F.greatest(raw, F.lit(low)), F.lit(high)))
 
 
+def cbf_predict_loo(train: DataFrame, centroids: DataFrame, preference: DataFrame, means: DataFrame) -> DataFrame:
+    """cbf_predict for train rows: each row's item profile leaves the row out and goes to the nearest centroid.
+
+    centroids: (cluster, stars), the clusters' mean item rating. ``reassigned`` tells whether the cluster differs from the
+    item's own, which train carries as ``cluster``.
+    """
+    own = leave_one_out(train, ["stars"]).select("review_id", F.col("stars_history").alias("stars"))
+    near = nearest_centroid(own, centroids, ["stars"], "review_id").select("review_id", F.col("cluster").alias("near"))
+    rows = train.join(near, "review_id").withColumn("reassigned", F.col("near") != F.col("cluster"))
+    glob = train.agg(F.avg("stars").alias("global_avg"))
+    # Each row brings its own cluster, so the lookup is by review.
+    slim = rows.drop("cluster").withColumnRenamed("business_id", "_item").withColumn("business_id", F.col("review_id")).crossJoin(F.broadcast(glob))
+    out = cbf_predict(slim, near.select(F.col("review_id").alias("business_id"), F.col("near").alias("cluster")), preference, means)
+    return out.withColumn("business_id", F.col("_item")).drop("_item")
+
+
 def fallback_rate(predictions: DataFrame) -> DataFrame:
     found = predictions.groupBy("fallback_kind").agg(F.count(F.lit(1)).alias("rows"))
     return found.select("fallback_kind", "rows", (F.col("rows") / F.sum("rows").over(Window.partitionBy())).alias("share"))  # a row per kind

@@ -40,18 +40,23 @@ def item_similarity(ratings: DataFrame, wanted: DataFrame | None = None, cell: i
     return sums.select("i", "j", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("sim"))
 
 
-def item_knn(train: DataFrame, rows: DataFrame, k: int = 40, min_k: int = 1, key: str = "review_id") -> DataFrame:
-    """rows with prediction and fallback_kind: mean of the user's ratings of the k most similar items, weighted by cosine.
-
-    Rows with fewer than min_k positive neighbours get the train mean. Ties in similarity go by item.
-    """
+def top_neighbours(train: DataFrame, rows: DataFrame, k: int = 40, key: str = "review_id") -> DataFrame:
+    """(key, i, sim, r, rank): the user's k rated items most similar to the row's item, ties by item."""
     ratings = stored(mean_ratings(train))
     wanted = rows.select(F.col("business_id").alias("i")).distinct()
     sims = stored(item_similarity(ratings, wanted))
     own = rows.select(key, F.col("user_id").alias("u"), F.col("business_id").alias("j"))
     near = own.join(ratings, "u").join(sims, ["i", "j"]).filter("sim > 0")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("sim", 9)), "i"))
-    top = near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return near.select(key, "i", "sim", "r", rank.alias("rank")).filter(F.col("rank") <= k)
+
+
+def item_knn(train: DataFrame, rows: DataFrame, k: int = 40, min_k: int = 1, key: str = "review_id") -> DataFrame:
+    """rows with prediction and fallback_kind: mean of the user's ratings of the k most similar items, weighted by cosine.
+
+    Rows with fewer than min_k positive neighbours get the train mean.
+    """
+    top = top_neighbours(train, rows, k, key)
     found = top.groupBy(key).agg(F.sum(F.col("sim") * F.col("r")).alias("sr"), F.sum("sim").alias("s"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_k)
     mean = train.agg(F.avg("stars").alias("_mean"))
     out = rows.join(found.select(key, (F.col("sr") / F.col("s")).alias("_p")), key, "left").crossJoin(F.broadcast(mean))
