@@ -77,11 +77,16 @@ class Toxicity:
             for bucket, inside in orders:
                 at = np.flatnonzero(inside)
                 gram.append(bucket[at])
-                word.append(np.searchsorted(spaces, at, "right") - 1)
+                word.append((np.searchsorted(spaces, at, "right") - 1).astype(np.int32))
+            del text, orders, bucket, inside, at
             word, gram = np.concatenate(word), np.concatenate(gram)
-            order = np.argsort(word, kind="stable")
+            order = np.argsort(word, kind="stable").astype(np.int32)
             word, gram = word[order], gram[order]
-            used, gram = np.unique(gram, return_inverse=True)
+            del order
+            used = np.flatnonzero(np.bincount(gram, minlength=BUCKETS))
+            place = np.zeros(BUCKETS, np.int32)
+            place[used] = np.arange(len(used))
+            gram = place[gram]
             size = np.bincount(word, minlength=len(words)).astype(np.float32)
             firsts = np.searchsorted(word, np.arange(len(words)))
             e, y = self.embedding[used], np.eye(2, dtype=np.float32)[labels.astype(int)]
@@ -95,7 +100,7 @@ class Toxicity:
             steps = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, softmax, bias)]
             for step in range(epochs):
                 sharp = 8 ** min(1.0, 1.5 * step / epochs)
-                v = np.add.reduceat(e[gram], firsts, axis=0) / size[:, None]
+                v = np.stack([np.add.reduceat(e[gram, j], firsts) for j in range(DIMENSIONS)], 1) / size[:, None]
                 logit = (v @ (softmax[:, 1] - softmax[:, 0]))[ids] * sharp
                 top = np.maximum.reduceat(logit, starts)
                 w = np.exp(logit - np.repeat(top, np.diff(np.r_[starts, len(ids)])))
