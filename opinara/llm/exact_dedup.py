@@ -49,17 +49,19 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
 
     Texts are equal when identical without their white space ``[\\x20\\x09-\\x0D]``; null counts as empty, and all empty
     texts are equal. Of equal texts the one with the most code points in the original stays, then the smallest doc_id.
-    Rows that repeat a doc_id and its text share their fate and count each in group_size. Other columns are ignored; an
+    Rows that repeat a doc_id and its text share their fate and count each in group_size; a row without an id stays only
+    where no equal text has one. Other columns are ignored; an
     empty table gives no rows.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("points"), normalised(F.col(text)).alias("own"))
     chunk = slim.select(F.explode(chunks(F.col("own"))).alias("chunk")).select(name(F.col("chunk")).alias("name"), "chunk")
     clashing = clashing_of(chunk.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n")))
     recipes = stored(slim.select("doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("own")), lambda c: spelled_name(c, clashing, name)).alias("recipe")))
-    groups = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), "doc_id"))["doc_id"].alias("keep_id"))
+    groups = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct((-F.col("points")).alias("p"), "doc_id")))["doc_id"].alias("keep_id"))
     # Read from a table, both sides of the join are freshly dealt, so that Spark can split the rows of a hot recipe.
     found = recipes.join(stored(groups.filter("group_size > 1")), "recipe", "left")
-    return found.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "text_sha256")
+    alone = F.col("group_size").isNull()
+    return found.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.when(alone, True).otherwise(F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"), "text_sha256")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,15 @@ def test_chunks_are_the_text_and_shift(spark):
     assert "".join(a) == t and "".join(b) == "zz" + t and len(a) > 4 and len(set(a) & set(b)) >= len(a) - 2
 
 
+def test_missing_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (3, "ab"), (None, "c"), (None, "c"), (5, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()), key=str)
+    assert got == sorted([(None, 3, 2, False), (3, 3, 2, True), (None, None, 2, True), (None, None, 2, True), (5, 5, 1, True)], key=str)
+    near = near_dedup.near_groups(df)
+    assert near.count() == 5 and [r["component_id"] for r in near.filter("doc_id = 3").collect()] == [3]
+    assert line_dedup.deduplicate_lines(df).count() == 5
+
+
 def test_empty_tables(frame):
     none = frame.limit(0)
     assert exact_dedup.exact_groups(none).isEmpty() and near_dedup.near_groups(none).isEmpty() and line_dedup.deduplicate_lines(none).isEmpty()
