@@ -1,0 +1 @@
+"""No streaming operators: the surveyed system reads and writes whole tables only."""
