@@ -1,46 +1,21 @@
-"""Shared folder, table access and byte-level text helpers of the corpus operators."""
+"""Sampling and byte-level text helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters kept by byte-level features after A-Z is lowered: digits, a-z and every byte of a multi-byte character.
-WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; only Spark's readers touch the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..shared import shared_folder, stored, table
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+__all__ = ["WORD_BYTES", "batches_of", "in_part", "lower_table", "ordered_sample", "shared_folder", "stored", "table", "utf8"]
 
-    Only where that setting is absent (a plain local session) a temporary folder is set as checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="opinara-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/opinara-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Letters kept by byte-level features after A-Z is lowered: digits, a-z and every byte of a multi-byte character.
+WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
 def in_part(key: Column, modulus: int, rest: int) -> Column:
@@ -63,13 +38,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def batches_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges [a, b) of about ``most`` bytes each; a longer row is alone."""
+def batches_of(offsets: np.ndarray, most: int, rows: int = 512) -> Iterator[tuple[int, int]]:
+    """Row ranges [a, b) of about ``most`` bytes and at most ``rows`` rows each; a longer row is alone."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(b, n, a + rows)
+        yield a, b
+        a = b
 
 
 def lower_table() -> np.ndarray:

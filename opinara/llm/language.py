@@ -30,7 +30,7 @@ OVERLAP = 3.0
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, count) of the trigrams of lowered letters, by row; runs of other bytes are one space."""
     lo, hi, n = int(offsets[0]), int(offsets[-1]), len(offsets) - 1
-    out = []
+    counted = np.zeros(n * BUCKETS, np.int64)
     for a in range(lo, max(hi - 2, lo), CHUNK):
         b = min(hi, a + CHUNK + 2)
         c = LOWER[data[a:b]].astype(np.int64)
@@ -43,11 +43,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         code = (c[:-2] * 0x9E3779B1 ^ c[1:-1] * 0x85EBCA77 ^ c[2:] * 0xC2B2AE3D) * 0x27D4EB2F
         bucket = (code >> 20) & (BUCKETS - 1)
         inside = row[2:] == row[:-2]
-        out.append((row[:-2][inside], bucket[inside]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    row, bucket = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-    counted = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS)
+        counted += np.bincount(row[:-2][inside] * BUCKETS + bucket[inside], minlength=n * BUCKETS)
     found = np.flatnonzero(counted)
     return found // BUCKETS, found % BUCKETS, counted[found]
 
