@@ -201,7 +201,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     A document's set are the distinct shingles of ``words`` words ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z; of a shorter
     text, all its words as one; a null or empty text has none and links with nothing. Documents link where 100 *
     intersection >= ``similarity`` * union of full sets; component_id is the least id reachable, and that document is kept.
-    Rows that repeat an id are one document. Other columns are ignored; an empty table gives no rows.
+    Rows that repeat an id are one document; a row without an id is kept, or shares the component of an equal set. Other columns are ignored; an empty table gives no rows.
     """
     slim = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = stored(signatures(slim, words))
@@ -221,7 +221,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     at = {k: first.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"}
     between = rest.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     second = components(between).select(F.col("id").alias("component"), F.col("component").alias("last"))
-    labels = first.join(second, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("last", "component").alias("component"))
+    moved = first.join(second, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
+    alone = second.join(first.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("last").alias("component"))
+    labels = moved.unionByName(alone)
     joined = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), "id", "copies")
     grouped = stored(joined.filter("copies > 1 OR component <> id").select("digest", "component"))
     return signed.select("id", "n", "digest").join(grouped, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
