@@ -27,7 +27,8 @@ PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ſ]")
 #: A single space before a character that is not white space always starts a new token.
 RUNS = re.compile(r" [\s]")
 
-CACHED = 500_000
+#: Words kept per Python worker.
+CACHED = 250_000
 #: Ids that one Arrow batch of pieces holds at most, about.
 BATCH_IDS = 4_000_000
 
