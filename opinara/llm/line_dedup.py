@@ -4,6 +4,9 @@ Each line has a hash; a rolling hash over the last WINDOW line hashes ends a chu
 ends depend on nearby lines alone, so lines put in or taken out elsewhere shift no others. Chunks of several lines that
 occur more than once anywhere are compared by their bytes, and all but the first occurrence (least id, then place) go.
 
+Not removed: a passage inside one line; one within which fewer than two cuts fall two lines or more apart, so most shared
+passages of a few lines; and of a longer one the lines before its first and after its last cut.
+
 Chunks are named by two 64-bit hashes. Equal chunks are merged before they are moved, so a chunk that a third of all
 documents hold travels once per task; only names go back to the documents.
 """
