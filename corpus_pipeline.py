@@ -6,16 +6,26 @@ documents are written as Parquet and read again. All stages but the last return
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import decontamination, exact_dedup, near_dedup, packing, quality
-from opinara.llm.common import shared_folder, table
+from opinara.llm.common import shared_folder, stored, table
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose ids are among the verdicts' kept ones; light ids meet whole rows once."""
-    return docs.join(verdicts.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number ``_row`` of their own for all rows, written, so that it is the same wherever it is read."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _place(*rest: str) -> Column:
+    """The order in which rows are kept: by doc_id, those without one last, then by row."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest)
+
+
+def _kept(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose own numbers are among the kept ones; light numbers meet whole rows once."""
+    return rows.join(kept, "_row", "left_semi").select(columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +35,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal normalised texts."""
-    return _kept(docs, exact_dedup.exact_groups(docs))
+    """Keeps one row of each group of equal normalised texts: the longest, then by ``_place``; ids may be null or repeated."""
+    rows = _numbered(docs)
+    verdicts = exact_dedup.exact_groups(rows.withColumn("_place", _place("_row")), doc_id="_place")
+    return _kept(rows, verdicts.filter("kept").select("doc_id._row"), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each component of near duplicates: shingles of five words, similarity 0.8."""
-    return _kept(docs, near_dedup.near_groups(docs))
+    """Keeps one row of each component of near duplicates, the first by ``_place``: shingles of five words, similarity 0.8."""
+    rows = _numbered(docs)
+    members = near_dedup.near_groups(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = members.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(_place("_row")).alias("first"))
+    return _kept(rows, first.select("first._row"), docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,3 +167,16 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in pieces.collect()} == ids and 0 < len(ids) < docs.count()
     found = decontamination.find_windows(left, table(spark, SF, "benchmark"))
     assert found.filter(F.size("found.spans") > 0).isEmpty()
+
+
+@pytest.mark.parametrize("stage", ["exact_stage", "near_stage"])
+def test_dedup_stages_with_missing_and_repeated_ids(spark, stage):
+    """Each row has its own verdict: none is lost for want of an id, or kept for another row of its id."""
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    given = [(None, "a"), (None, "b"), (None, "b"), (1, "c"), (1, "d"), (2, "d"), (2, "e"), (0, "d"), (None, "e"), (3, "f"), (3, "f"), (4, "g")]
+    docs = spark.createDataFrame([(i, text[k], k) for i, k in given], "doc_id long, text string, lang string").repartition(3)
+    out = getattr(corpus_pipeline, stage)(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["lang"]) for r in out.collect()), key=str) == sorted([(None, "a"), (None, "b"), (1, "c"), (0, "d"), (2, "e"), (3, "f"), (4, "g")], key=str)
