@@ -113,6 +113,19 @@ def jn_enrich_left(spark, sf):
     return interactions(spark, sf).join(parts, "business_id", "left").select("review_id", "p_brand")
 
 
+@query("jn_enrich_inner_all", f"WITH {INTER} SELECT review_id, p_brand, c_mktsegment FROM inter JOIN part ON business_id = CAST(p_partkey AS VARCHAR) JOIN customer ON user_id = CAST(c_custkey AS VARCHAR)")
+def jn_enrich_inner_all(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("business_id"), "p_brand")
+    users = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), "c_mktsegment")
+    return readers.enrich_inner(interactions(spark, sf), parts, users).select("review_id", "p_brand", "c_mktsegment")
+
+
+@query("jn_enrich_left_all", f"WITH {INTER} SELECT review_id, p_brand FROM inter LEFT JOIN part ON business_id = CAST(p_partkey AS VARCHAR)")
+def jn_enrich_left_all(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("business_id"), "p_brand")
+    return interactions(spark, sf).join(parts, "business_id", "left").select("review_id", "p_brand")
+
+
 @query("jn_anti", f"WITH {SPLIT} SELECT DISTINCT business_id FROM parts WHERE business_id NOT IN (SELECT business_id FROM parts WHERE split = 'val')")
 def jn_anti(spark, sf):
     rows = split_interactions(spark, sf)
@@ -163,6 +176,21 @@ def agg_item_profile(spark, sf):
     return out.withColumns({"avg_rating": r6("avg_rating"), "sentiment_agg": r6("sentiment_agg")})
 
 
+UNIVERSE = "universe AS (SELECT business_id FROM inter UNION SELECT CAST(p_partkey AS VARCHAR) FROM part)"
+
+
+def universe(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of all parts of the split, and those without a review."""
+    return interactions(spark, sf).select("business_id").unionByName(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("business_id"))).distinct()
+
+
+@query("agg_item_profile_all", f"WITH {SPLIT}, {UNIVERSE}, k AS (SELECT business_id, count(*) AS review_count, avg(stars) AS a, avg(sentiment) AS b FROM train GROUP BY 1), g AS (SELECT avg(stars) AS ga, avg(sentiment) AS gb FROM train) SELECT business_id, coalesce(review_count, 0) AS review_count, round(coalesce(a, ga), 6) AS avg_rating, round(coalesce(b, gb), 6) AS sentiment_agg FROM universe LEFT JOIN k USING (business_id) CROSS JOIN g")
+def agg_item_profile_all(spark, sf):
+    """All training reviews are known; cold items are those that the split leaves without one, and unreviewed parts."""
+    out = P.item_profile(_parts(spark, sf)[0], universe(spark, sf))
+    return out.withColumns({"avg_rating": r6("avg_rating"), "sentiment_agg": r6("sentiment_agg")})
+
+
 @query("set_dedupe_first", f"WITH {INTER} SELECT business_id, arg_min(CAST(date AS VARCHAR), review_id) AS first_date FROM inter GROUP BY 1")
 def set_dedupe_first(spark, sf):
     rows = interactions(spark, sf).withColumn("first_date", F.col("date").cast("string"))

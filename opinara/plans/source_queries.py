@@ -14,7 +14,7 @@ from ..shared import shared_folder, stored, table
 from ..sources import readers, writers
 from ..sources.sample_tables import interactions, predictions, sentiment, split_interactions
 from .evaluation_queries import RANKED, rounded
-from .interaction_queries import CLUSTERED, _clustered, _parts
+from .interaction_queries import CLUSTERED, UNIVERSE, _clustered, _parts, universe
 from .registry import INTER, METRICS, PREDICTED, SPLIT, query, r6
 
 CORE = f"WITH {INTER} SELECT review_id, user_id, business_id, stars FROM inter"
@@ -154,6 +154,16 @@ def set_except_items(spark, sf):
     return interactions(spark, sf).select("business_id").subtract(train.select("business_id"))
 
 
+@query("agg_global_fallback_all", f"WITH {SPLIT}, {UNIVERSE}, g AS (SELECT avg(stars) AS ga FROM train) SELECT business_id, 0::BIGINT AS review_count, round(ga, 6) AS avg_rating FROM universe CROSS JOIN g WHERE business_id NOT IN (SELECT business_id FROM train)")
+def agg_global_fallback_all(spark, sf):
+    return P.item_profile(_parts(spark, sf)[0], universe(spark, sf)).filter("review_count = 0").select("business_id", F.col("review_count").cast("long").alias("review_count"), r6("avg_rating").alias("avg_rating"))
+
+
+@query("set_except_items_all", f"WITH {SPLIT}, {UNIVERSE} SELECT business_id FROM universe EXCEPT SELECT business_id FROM train")
+def set_except_items_all(spark, sf):
+    return universe(spark, sf).subtract(_parts(spark, sf)[0].select("business_id"))
+
+
 @query("set_union_all", f"WITH {SPLIT} SELECT review_id, split FROM parts WHERE split IN ('train', 'val', 'test')")
 def set_union_all(spark, sf):
     rows = split_interactions(spark, sf).select("review_id", "split")
