@@ -176,10 +176,25 @@ def stratified_subset(df: DataFrame, n_rows: int, min_user: int, min_item: int,
 
 
 def fit_dev_split(df: DataFrame, fraction: float = 0.15, seed: int = 42, key: str = "review_id") -> DataFrame:
-    """Adds ``part``: exactly floor(n * fraction) rows, those drawn lowest, are dev, the others fit."""
-    n = int(df.count() * fraction)
-    chosen = df.select(key, drawn(key, seed).alias("_d")).orderBy("_d", key).limit(n).select(key, F.lit(True).alias("_dev"))
-    return df.join(chosen, key, "left").withColumn("part", F.when(F.col("_dev"), "dev").otherwise("fit")).drop("_dev")
+    """Adds ``part``: exactly floor(n * fraction) rows, those drawn lowest, are dev, the others fit; keys are unique.
+
+    The last dev row is found in two steps, over buckets of the drawn number and then within the one bucket where the
+    count is reached; all rows are then compared with it where they are.
+    """
+    rows, bucket = df.withColumn("_d", drawn(key, seed)), F.shiftright("_d", 54)
+    sizes = sorted(tuple(r) for r in rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c")).collect())  # 1024 rows at most
+    left = int(sum(c for _, c in sizes) * fraction)
+    if left == 0:
+        return df.withColumn("part", F.lit("fit"))
+    for part, c in sizes:
+        if left <= c:
+            break
+        left -= c
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_d", key))
+    last = rows.filter(bucket == part).select("_d", key, F.lit(part).alias("_part")).withColumn("_rn", place).filter(F.col("_rn") == left).first()
+    tie = F.col(key).isNull() | F.coalesce(F.col(key) <= F.lit(last[key]), F.lit(False))
+    dev = (F.col("_d") < last["_d"]) | ((F.col("_d") == last["_d"]) & tie)
+    return rows.withColumn("part", F.when(dev, "dev").otherwise("fit")).drop("_d")
 
 
 def fold(key: str, k: int, seed: int = 42) -> Column:

@@ -56,6 +56,22 @@ def test_fit_dev_split(spark):
     assert again.count() == 1000 and set(df.columns) < set(again.columns)
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_fit_dev_split_without_one_heap(spark):
+    """The same rows as by a sort of all, and no task that takes them all."""
+    df = spark.range(3000).select(F.col("id").cast("string").alias("review_id")).repartition(7)
+    for fraction in (0.0, 0.0004, 0.15, 1.0):
+        n = int(3000 * fraction)
+        want = {r[0] for r in df.orderBy(F.xxhash64("review_id", F.lit(42)), "review_id").limit(n).collect()}
+        out = interactions.fit_dev_split(df, fraction)
+        assert {r["review_id"] for r in out.filter("part = 'dev'").collect()} == want and out.count() == 3000
+        assert "TakeOrdered" not in plan(out) and "Limit" not in plan(out)
+    assert interactions.fit_dev_split(df.limit(0)).isEmpty()
+
+
 def test_running_sample_takes_whole_users(spark):
     df = spark.range(1000).select((F.col("id") % 40).cast("string").alias("user_id"), F.col("id").alias("review_id"))
     out = interactions.running_sample(df, 300)
