@@ -72,6 +72,18 @@ def test_fit_dev_split_without_one_heap(spark):
     assert interactions.fit_dev_split(df.limit(0)).isEmpty()
 
 
+def test_bucket_quantiles_without_one_buffer(spark):
+    """The exact percentiles, ties, nulls and negative values among them, without their one buffer."""
+    value = F.when(F.col("id") % 13 > 0, F.round(F.sin("id"), 3))
+    df = spark.range(4000).select(F.when(F.col("id") < 3900, "51+").when(F.col("id") < 3901, "1-5").when(F.col("id") < 3913, "6-15").when(F.col("id") == 3913, "none").alias("bucket"), value.alias("shift")).repartition(7)
+    out = content.bucket_quantiles(df, "shift", "bucket")
+    want = df.groupBy("bucket").agg(F.count("shift"), F.avg("shift"), F.percentile("shift", F.lit(0.5)), F.percentile("shift", F.lit(0.9)))
+    got = {r["bucket"]: list(r)[1:] for r in out.collect()}
+    assert got.keys() == {r["bucket"] for r in want.collect()} and got["51+"][0] == 3600 and "percentile(" not in plan(out)
+    for r in want.collect():
+        assert got[r["bucket"]] == [x if x is None else pytest.approx(x, abs=1e-12) for x in list(r)[1:]]
+
+
 def test_running_sample_takes_whole_users(spark):
     df = spark.range(1000).select((F.col("id") % 40).cast("string").alias("user_id"), F.col("id").alias("review_id"))
     out = interactions.running_sample(df, 300)
