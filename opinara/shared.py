@@ -9,20 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one is set only where that setting is absent, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that setting is absent, a local master gets a folder of its own, as in tests; any other master is an error, as
+    executors would not see the driver's folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="opinara-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/opinara-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a written table: later plans start from there, and lost executors cost no recomputation."""
-    path = shared_folder(df.sparkSession)
+def stored(df: DataFrame, within: str | None = None) -> DataFrame:
+    """df as a written table: later plans start from there, and lost executors cost no recomputation.
+
+    within: a folder of shared_folder() that the caller discards when nothing reads the table any more.
+    """
+    path = f"{within}/{uuid.uuid4().hex}" if within else shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of shared_folder() and all tables within."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Removes all that this library has written below the shared folder; for when no result is read any more."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/opinara-*")
+        files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(pattern) or []:
+            files.delete(found.getPath(), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
