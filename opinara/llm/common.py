@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_folder, stored, table
+from ..shared import discard, shared_folder, stored, table
 
-__all__ = ["WORD_BYTES", "batches_of", "in_part", "lower_table", "ordered_sample", "shared_folder", "stored", "table", "utf8"]
+__all__ = ["WORD_BYTES", "batches_of", "discard", "in_part", "lower_table", "ordered_sample", "shared_folder", "stored", "table", "utf8"]
 
 #: Letters kept by byte-level features after A-Z is lowered: digits, a-z and every byte of a multi-byte character.
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
