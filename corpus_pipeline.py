@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, exact and near duplicates, benchmark passages, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and works on all that the one before has kept; between stages the
-documents are written as Parquet and read again. All stages but the last return the columns of ``documents``.
+documents are written as Parquet and read again. All stages but the last return the columns of ``documents``, under
+whatever names and with whatever values docs has them. An empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -13,50 +14,67 @@ from opinara.llm import decontamination, exact_dedup, near_dedup, packing, quali
 from opinara.llm.common import shared_folder, stored, table
 
 
+#: Columns that the stages add and take away; no table of documents has such names.
+ROW, OWN = "\x01row", "\x01own"
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number ``_row`` of their own for all rows, written, so that it is the same wherever it is read."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """docs with a number ROW of their own for all rows, written, so that it is the same wherever it is read."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def _place(*rest: str) -> Column:
+def _place() -> Column:
     """The order in which rows are kept: by doc_id, those without one last, then by row."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest)
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(ROW).alias("row"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
-def _kept(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+def _kept(rows: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows whose own numbers are among the kept ones; light numbers meet whole rows once."""
-    return rows.join(kept, "_row", "left_semi").select(columns)
+    return rows.join(kept, ROW, "left_semi").select(*_columns(docs))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents scored at the threshold of op9 or more; learns from all labels whose documents are there."""
+    """Keeps documents scored at the threshold of op9 or more; learns from all labels whose documents are there.
+
+    Every row is judged by its own text, so ids may be null or repeated; a null or empty text has the mean label as score.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, into="quality_score").filter(F.col("quality_score") >= quality.THRESHOLD).select(docs.columns)
+    return quality.score(docs, model, into=OWN).filter(F.col(OWN) >= quality.THRESHOLD).select(*_columns(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal normalised texts: the longest, then by ``_place``; ids may be null or repeated."""
+    """Keeps one row of each group of equal normalised texts: the longest, then by ``_place``; ids may be null or repeated.
+
+    Null and empty texts are equal to each other, so one of them stays.
+    """
     rows = _numbered(docs)
-    verdicts = exact_dedup.exact_groups(rows.withColumn("_place", _place("_row")), doc_id="_place")
-    return _kept(rows, verdicts.filter("kept").select("doc_id._row"), docs.columns)
+    verdicts = exact_dedup.exact_groups(rows.withColumn(OWN, _place()), doc_id=OWN)
+    return _kept(rows, verdicts.filter("kept").select(F.col("doc_id.row").alias(ROW)), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of near duplicates, the first by ``_place``: shingles of five words, similarity 0.8."""
+    """Keeps one row of each component of near duplicates, the first by ``_place``: shingles of five words, similarity 0.8.
+
+    Ids may be null or repeated; rows without a word link with nothing and all stay.
+    """
     rows = _numbered(docs)
-    members = near_dedup.near_groups(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    first = members.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(_place("_row")).alias("first"))
-    return _kept(rows, first.select("first._row"), docs.columns)
+    members = near_dedup.near_groups(rows, doc_id=ROW, row=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = members.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(_place()).alias("first"))
+    return _kept(rows, first.select(F.col("first.row").alias(ROW)), docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of ten words of a benchmark item."""
-    found = decontamination.find_windows(docs, table(spark, sf_dir, "benchmark"), into="benchmark_windows")
-    return found.filter(F.size("benchmark_windows.spans") == 0).select(docs.columns)
+    """Drops documents that hold a window of ten words of a benchmark item; every row is judged by its own text, a null one stays."""
+    found = decontamination.find_windows(docs, table(spark, sf_dir, "benchmark"), into=OWN)
+    return found.filter(F.size(F.col(f"`{OWN}`.spans")) == 0).select(*_columns(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 ids; the columns of op10."""
+    """Packs what is left into sequences of 2048 ids; the columns of op10. A null text is the end id alone; an empty table has no pieces."""
     return packing.digest(packing.pack(docs, ranks=packing.tokenizer_path("byte_bpe_50k.tiktoken")))
 
 
