@@ -1,14 +1,17 @@
 """Line deduplication by content-defined line chunks, in DataFrame operations only.
 
-Each line has a hash; a rolling hash over the last WINDOW line hashes ends a chunk where it is divisible by DIVISOR. The
-ends depend on nearby lines alone, so lines put in or taken out elsewhere shift no others. Chunks of several lines that
-occur more than once anywhere are compared by their bytes, and all but the first occurrence (least id, then place) go.
-
-Not removed: a passage inside one line; one within which fewer than two cuts fall two lines or more apart, so most shared
-passages of a few lines; and of a longer one the lines before its first and after its last cut.
+Lines are read as pieces of at most four words that end sooner at a punctuation mark or the line's end, so that passages
+inside long lines are seen too. Each piece has a hash; a rolling hash over the last WINDOW piece hashes ends a chunk where
+it is less than its neighbours' (a local minimum). The ends depend on nearby pieces alone, so text put in or taken out
+elsewhere shifts no others, and a chunk has two pieces or more. Chunks of several pieces and LEAST characters that occur
+more than once anywhere are compared by their bytes, and all but the first occurrence go.
 
 Chunks are named by two 64-bit hashes. Equal chunks are merged before they are moved, so a chunk that a third of all
 documents hold travels once per task; only names go back to the documents.
+
+Not removed: the words of a repeated passage before its first and after its last cut (some ten words at each end), and a
+passage that holds fewer than two cuts: nearly none of 50 words or more in running text, but any within a line that has
+neither spaces nor punctuation.
 """
 
 from __future__ import annotations
@@ -19,67 +22,82 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .exact_dedup import clashing_of, name_of, spelled_name
 
-WINDOW, DIVISOR = 3, 4
-SOMETHING = r"[^ \t\n\r]"
+#: White space of one line and its opposite, as both Java's and DuckDB's regular expressions read them.
+GAP, WORD = r"[ \t\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
+#: The pieces of a text; together they are the text.
+PIECE = rf"{GAP}*(?:{WORD}+{GAP}+){{0,3}}?{WORD}*[.!?,;:|]{GAP}+|{GAP}*(?:{WORD}+{GAP}+){{4}}|[^\n]*\n|[^\n]+"
+WINDOW, MODULUS = 2, 1_000_003
+#: Characters that a removed chunk has at least.
+LEAST = 24
 
 
-def chunks_in(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
-    """array<struct<at, lines, chunk>>: the text's line chunks in order; joined by line ends they are the text."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 7), 16, 10).cast("long"))
+def chunks_in(text: Column) -> Column:
+    """array<struct<at, pieces, chunk>>: the text's chunks in order; joined they are the text, null has none."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    hashes = F.transform(pieces, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 7), 16, 10).cast("long"))
+    roll = lambda h: F.transform(h, lambda x, i: F.when(i >= WINDOW - 1, (F.get(h, i - 1) * 31 + x) % MODULUS))
 
     def whole(x: Column) -> Column:
-        """x: struct of lines and hashes."""
-        n = F.size(x["lines"])
-
-        def ends(i: Column) -> Column:
-            rolled = F.lit(0).cast("long")
-            for k in range(window):
-                rolled = rolled * 31 + F.element_at(x["hashes"], i - (window - 1 - k))
-            return (i == n) | F.when(i >= window, rolled % divisor == 0).otherwise(False)
-
+        """x: struct of pieces and rolled hashes."""
+        n, r = F.size(x["pieces"]), x["rolled"]
+        # Places count from 1; a piece without two neighbours that have rolled hashes compares to null and ends nothing.
+        ends = lambda i: (i == n) | F.coalesce((F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) <= F.get(r, i)), F.lit(False))
         cuts = F.filter(F.sequence(F.lit(1), n), ends)
-        return F.transform(F.arrays_zip(cuts.alias("stop"), F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.size(cuts) - 1)).alias("start")), lambda c: F.struct(c["start"].alias("at"), (c["stop"] - c["start"]).alias("lines"), F.array_join(F.slice(x["lines"], c["start"] + 1, c["stop"] - c["start"]), "\n").alias("chunk")))
+        bounds = F.arrays_zip(cuts.alias("stop"), F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.size(cuts) - 1)).alias("start"))
+        return F.transform(bounds, lambda c: F.struct(c["start"].alias("at"), (c["stop"] - c["start"]).alias("pieces"), F.array_join(F.slice(x["pieces"], c["start"] + 1, c["stop"] - c["start"]), "").alias("chunk")))
 
-    return F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), hashes.alias("hashes"))), whole), 1)
+    # Each step is a lambda's argument, so that it is worked out once.
+    rolled = F.transform(F.array(F.struct(pieces.alias("pieces"), hashes.alias("hashes"))), lambda x: F.struct(x["pieces"].alias("pieces"), roll(x["hashes"]).alias("rolled")))
+    return F.when(F.length(text) > 0, F.element_at(F.transform(rolled, whole), 1))
 
 
-def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """Per row of docs: doc_id, text (without repeated chunks), n_lines, n_removed (lines).
+def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, text (without repeated chunks), n_lines (pieces), n_removed (pieces).
 
-    A chunk is removed if it has two lines or more, something besides white space in it, and an earlier occurrence, by
-    document id and then place. A null text stays null with 0 lines; an empty one is one empty line; a text of which all
-    goes is empty. Rows that repeat an id and text are one occurrence: they keep the same. Other columns are ignored.
+    A chunk is removed if it has two pieces and LEAST characters or more, something besides white space in it, and an
+    earlier occurrence: in a row of a lesser doc_id (rows without one come last; among rows of one id, those with a lesser
+    hash of the text), or earlier in the row. Each row is a document of its own, so of repeated rows the first keeps what
+    the others lose, and rows that share an id but not a text lose nothing to each other. A null text stays null, an empty
+    one empty, both with 0 pieces; a text of which all goes is empty. Other columns are ignored; an empty table gives no
+    rows.
     """
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    cut = slim.select("doc_id", "text", chunks_in(F.col("text"), window, divisor).alias("chunks"))
-    each = cut.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.at", "c.lines", "c.chunk").filter((F.col("lines") > 1) & F.col("chunk").rlike(SOMETHING))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("own"), F.monotonically_increasing_id().alias("row"))
+    # Written, so that rows have the same numbers and texts are cut once.
+    cut = stored(slim.select(order.alias("row"), chunks_in(F.col("text")).alias("chunks"), F.col("text").isNull().alias("none")))
+    each = cut.select("row", F.explode("chunks").alias("c")).select("row", "c.at", "c.pieces", "c.chunk")
+    each = each.filter((F.col("pieces") > 1) & (F.length("chunk") >= LEAST) & F.col("chunk").rlike(WORD))
     # Grouped by the bytes themselves; the name only comes first in the comparison.
-    merged = stored(each.groupBy(name_of(F.col("chunk")).alias("name"), "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).select("name", F.when(F.col("n") > 1, F.col("chunk")).alias("chunk"), "n", "first"))
+    place = F.struct("row", "at")
+    merged = each.groupBy(name_of(F.col("chunk")).alias("name"), "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    merged = stored(merged.select("name", F.when(F.col("n") > 1, F.col("chunk")).alias("chunk"), "n", "first"))
     clashing = clashing_of(merged)
     repeated = stored(merged.filter("n > 1").select(spelled_name(F.col("chunk"), clashing).alias("name"), "first"))
-    later = each.select("doc_id", "at", spelled_name(F.col("chunk"), clashing).alias("name")).join(repeated, "name").filter(F.struct("doc_id", "at") != F.col("first"))
-    gone = stored(later.groupBy("doc_id").agg(F.collect_set("at").alias("gone")))
-    found = cut.join(gone, "doc_id", "left")
+    named = each.select("row", "at", spelled_name(F.col("chunk"), clashing).alias("name"))
+    later = named.join(repeated, "name").filter(place != F.col("first"))
+    gone = stored(later.groupBy(F.col("row.row").alias("number")).agg(F.collect_set("at").alias("gone")))
+    found = cut.withColumn("number", F.col("row.row")).join(gone, "number", "left")
     kept = F.filter("chunks", lambda c: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c["at"]))
-    lines = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda n, c: n + c["lines"]), F.lit(0)).cast("long")
-    return found.select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n")).alias("text"), lines(F.col("chunks")).alias("n_lines"), (lines(F.col("chunks")) - lines(kept)).alias("n_removed"))
+    pieces = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda n, c: n + c["pieces"]), F.lit(0)).cast("long")
+    left = F.when(~F.col("none"), F.coalesce(F.array_join(F.transform(kept, lambda c: c["chunk"]), ""), F.lit("")))
+    return found.select("row.doc_id", left.alias("text"), pieces(F.col("chunks")).alias("n_lines"), (pieces(F.col("chunks")) - pieces(kept)).alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of whole ``documents`` that repeated chunks take; the digest is of the text that stays."""
+    """Pieces of whole ``documents`` that repeated chunks take; the digest is of the text that stays."""
     out = deduplicate_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
-SQL = r"""
-WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM lines),
-rolled AS (SELECT *, CASE WHEN i >= 3 THEN ((lag(h, 2) OVER w * 31 + lag(h, 1) OVER w) * 31 + h) % 4 = 0 ELSE false END AS ends FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM rolled),
-chunks AS (SELECT doc_id, k, count(*) AS n, min(i) AS place, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, k),
-ranked AS (SELECT *, n > 1 AND regexp_matches(chunk, '[^ \t\n\r]') AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, place) > 1 AS gone FROM chunks),
-kept AS (SELECT doc_id, sum(n) AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed, string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone) AS text FROM ranked GROUP BY doc_id)
+SQL = rf"""
+WITH pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PIECE}')) AS piece, generate_subscripts(regexp_extract_all(text, '{PIECE}'), 1) AS i FROM documents WHERE text <> ''),
+hashed AS (SELECT *, CAST('0x' || substr(md5(piece), 1, 7) AS BIGINT) AS h FROM pieces),
+rolled AS (SELECT *, CASE WHEN i >= 2 THEN (lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h) % 1000003 END AS r FROM hashed),
+ended AS (SELECT *, coalesce(r < lag(r) OVER w AND r <= lead(r) OVER w, false) AS ends FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ended),
+chunks AS (SELECT doc_id, k, count(*) AS n, min(i) AS place, string_agg(piece, '' ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, k),
+ranked AS (SELECT *, n > 1 AND length(chunk) >= 24 AND regexp_matches(chunk, '{WORD}') AS long_enough, long_enough AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, place) > 1 AS gone FROM chunks),
+kept AS (SELECT doc_id, sum(n) AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed, string_agg(chunk, '' ORDER BY place) FILTER (WHERE NOT gone) AS text FROM ranked GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS text_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
