@@ -53,7 +53,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     where no equal text has one. Other columns are ignored; an
     empty table gives no rows.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("points"), normalised(F.col(text)).alias("own"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("points"), normalised(F.col(f"`{text}`")).alias("own"))
     chunk = slim.select(F.explode(chunks(F.col("own"))).alias("chunk")).select(name(F.col("chunk")).alias("name"), "chunk")
     clashing = clashing_of(chunk.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n")))
     recipes = stored(slim.select("doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("own")), lambda c: spelled_name(c, clashing, name)).alias("recipe")))

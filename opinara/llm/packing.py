@@ -44,15 +44,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """ids(text) -> bytes of native unsigned 16-bit ids (32-bit for large vocabularies), as the tokenizer file gives them.
 
-    The ids are those of the ``tokenizers`` library without special tokens. Where ``ranks`` names the same vocabulary as
-    ranks, texts of plain characters take the faster equal path word by word; words seen are kept, up to a fixed number.
+    The ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``, so the spelling of a special
+    token inside a text has that token's id. Where ``ranks`` names the same vocabulary as ranks, texts of plain characters
+    without such a spelling take the faster equal path word by word; words seen are kept, up to a fixed number.
     """
 
     def __init__(self, path: str, ranks: str | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.words: dict[str, bytes] = {}
         self.core = None
@@ -74,7 +75,7 @@ class Encoder:
         return out
 
     def ids(self, text: str) -> bytes:
-        if self.core is None or PLAIN.search(text):
+        if self.core is None or PLAIN.search(text) or any(x in text for x in self.special):
             return array.array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if RUNS.search(text):
             return array.array(self.kind, self.core.encode_ordinary(text)).tobytes()
@@ -107,7 +108,7 @@ def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
             place += int(n.sum())
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return stored(slim.mapInArrow(encode, f"doc_id {kind}, part long, place long, n_tokens long, ids binary"))
 
 

@@ -45,7 +45,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: st
     """Adds host, path, rule and verdict to page_id.
 
     rules: host, path, verdict. A rule fits its host and all subdomains where the url's path starts with the rule's; the
-    longest (host and path together, then the longer host, then the smaller verdict) wins. Where none fits, rule is null
+    longest (host and path together, then the longer host, then the greater verdict: block before allow) wins. Where none fits, rule is null
     and verdict is ``default``. A null url, or one without ``://``, has an empty host and path. Rules with a null host or
     path never fit; repeated rules count once; repeated pages are judged each; other columns are ignored.
     """
