@@ -4,34 +4,39 @@ The pieces of an existing vocabulary, with its scores as prior, weigh all segmen
 recursion over the word's places sums them to its marginal probability. Piece probabilities are re-estimated by
 expectation-maximisation over the counts of all training words. A known word has one more arc, itself, whose weight
 against the pieces is chosen by leaving each occurrence out. Words and the end are drawn independently, so a text's
-probability is the product over them, and the sum over all texts is at most 1.
+probability is the product over them, and the sum over all texts is at most 1. So a word that training has not seen pays
+for its spelling, which the count formula of ``base_score`` doesn't ask for: where many words are new, ``score`` lies below
+it. ``lattice_score`` is what the pieces alone give.
 
-Word counts are exact and held nowhere whole. Documents are dealt into chunks of bounded size by a hash of their id; each
-chunk's distinct words travel to the words' totals and back to the chunk, which has the rest at hand. A word, however
-frequent, has one row for each chunk at most.
+Word counts are exact and held nowhere whole. Documents are dealt into chunks of bounded size as they are first read; each
+chunk's distinct words are summed to the words' totals, each word is walked once, and what it weighs goes back to the chunks
+that hold it. A word, however frequent, has one row for each chunk at most.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_part, stored, table, utf8
 
 MARK = 0x2581  # the vocabulary's sign for the start of a word
-#: Characters of text that one chunk holds, about.
-CHUNK_CHARS = 16_000_000
+#: Bytes of text that one chunk holds, about; a longer text is a chunk alone.
+CHUNK_BYTES = 16_000_000
 #: Tokens that the vocabulary's own scores count for beside the training tokens.
 PRIOR_TOKENS = 5000.0
 SHARES = np.array([0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 LENGTHS_TOGETHER = 400_000  # characters of equally long words that are walked at once
+#: Words of more places than this are walked place by place, in blocks of BLOCK; the result is the same.
+PLACES, BLOCK = 300, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-SLOTS, SHIFTS = 1 << 17, (np.uint64(47), np.uint64(24))
 IMPOSSIBLE = -1e300
 
 
@@ -49,19 +54,38 @@ class Lattice:
         self.log_p = np.log(self.prior)
         self.byte_of = byte_of  # byte -> piece
         self.longest = max(len(p) for p in pieces if p)
-        keys = np.array([self.hashed(np.array([list(map(ord, p))], np.uint64))[-1, 0] if p else 0 for p in pieces], np.uint64)
-        # Two tables; each piece is in one of them, moved to its other place when a later one needs its own.
-        self.keys = np.zeros((2, SLOTS), np.uint64)
-        self.pieces = np.full((2, SLOTS), -1, np.int32)
+        self.points = np.zeros((len(pieces), self.longest), np.uint32)
         for i, p in enumerate(pieces):
-            key, piece, side = keys[i], i, 0
-            while p:
-                at = int(key >> SHIFTS[side]) & (SLOTS - 1)
-                old, other = self.keys[side, at], int(self.pieces[side, at])
-                self.keys[side, at], self.pieces[side, at] = key, piece
-                if other < 0:
+            self.points[i, : len(p)] = list(map(ord, p))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.hashes = self.hashed(self.points)[size, np.arange(len(pieces))]
+        self.power = np.ones(self.longest + 1, np.uint64)
+        self.power[1:] = _BASE
+        np.multiply.accumulate(self.power, out=self.power)
+        bits = max(4, (4 * len(pieces)).bit_length())
+        while not self.placed(np.flatnonzero(size), bits):
+            bits += 1
+        # Most substrings are no piece; one byte tells so.
+        self.seen_shift = np.uint64(64 - bits - 3)
+        self.seen = np.zeros(1 << (bits + 3), bool)
+        self.seen[self.hashes[size > 0] >> self.seen_shift] = True
+
+    def placed(self, those: np.ndarray, bits: int) -> bool:
+        """Fills two tables of 1 << bits places: a piece is in one of them, moved to its other place when a later one needs
+        its own. False if that doesn't end."""
+        self.mask, self.shifts = np.uint64((1 << bits) - 1), (np.uint64(64 - bits), np.uint64(24))
+        self.keys, self.pieces = np.zeros((2, 1 << bits), np.uint64), np.full((2, 1 << bits), -1, np.int32)
+        for i in those:
+            key, piece, side = self.hashes[i], int(i), 0
+            for _ in range(500):
+                at = int((key >> self.shifts[side]) & self.mask)
+                (self.keys[side, at], key), (self.pieces[side, at], piece) = (key, self.keys[side, at]), (piece, int(self.pieces[side, at]))
+                if piece < 0:
                     break
-                key, piece, side = old, other, 1 - side
+                side = 1 - side
+            else:
+                return False
+        return True
 
     @staticmethod
     def hashed(points: np.ndarray) -> np.ndarray:
@@ -71,46 +95,64 @@ class Lattice:
             out[j + 1] = (out[j] + points[:, j].astype(np.uint64) + np.uint64(1)) * _BASE
         return out
 
-    def lookup(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows whose hash is a piece's, and the pieces."""
-        rows, found = [], []
+    def lookup(self, key: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of points (one substring each, hashed to key) that are pieces, and the pieces."""
+        maybe = np.flatnonzero(self.seen[key >> self.seen_shift])
+        if not len(maybe):
+            return maybe, maybe
+        key = key[maybe]
+        piece = np.full(len(maybe), -1, np.int64)
         for side in (0, 1):
-            at = ((key >> SHIFTS[side]) & np.uint64(SLOTS - 1)).astype(np.int64)
-            own = np.flatnonzero(self.keys[side][at] == key)
-            own = own[self.pieces[side][at[own]] >= 0]
-            rows.append(own), found.append(self.pieces[side][at[own]])
-        return np.concatenate(rows), np.concatenate(found)
-
-    def found(self, key: np.ndarray, single: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """As lookup; single, the code points of one-place arcs, gives rows without a piece -2 - code point: their bytes."""
-        rows, pieces = self.lookup(key)
-        if single is not None and len(rows) < len(key):
+            at = (key >> self.shifts[side]) & self.mask
+            piece = np.where(self.keys[side][at] == key, self.pieces[side][at], piece)
+        own = np.flatnonzero(piece >= 0)
+        rows, piece = maybe[own], piece[own]
+        own = (self.points[piece, : points.shape[1]] == points[rows]).all(1)  # the characters decide, not the hash
+        return (rows, piece) if own.all() else (rows[own], piece[own])
+
+    def found(self, key: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As lookup; substrings of one place without a piece give -2 - code point: their bytes."""
+        rows, pieces = self.lookup(key, points)
+        if points.shape[1] == 1 and len(rows) < len(key):
             rest = np.ones(len(key), bool)
             rest[rows] = False
             rest = np.flatnonzero(rest)
-            rows, pieces = np.concatenate([rows, rest]), np.concatenate([pieces, -2 - single[rest].astype(np.int64)])
+            rows, pieces = np.concatenate([rows, rest]), np.concatenate([pieces, -2 - points[rest, 0].astype(np.int64)])
         return rows, pieces
 
     def arcs(self, points: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, stop, rows, pieces) of words of one length, ordered by stop."""
         prefix = self.hashed(points)
-        power = [np.uint64(1)]
-        for _ in range(self.longest):
-            power.append(power[-1] * _BASE)
         out = []
         for stop in range(1, points.shape[1] + 1):
             for start in range(max(0, stop - self.longest), stop):
-                rows, pieces = self.found(prefix[stop] - prefix[start] * power[stop - start], points[:, start] if stop - start == 1 else None)
+                rows, pieces = self.found(prefix[stop] - prefix[start] * self.power[stop - start], points[:, start:stop])
                 if len(rows):
                     out.append((start, stop, rows, pieces))
         return out
 
+    def bytes_of(self, piece: int) -> list[int]:
+        """The byte pieces of a code point, for -2 - code point."""
+        return [self.byte_of[b] for b in chr(int(-2 - piece)).encode("utf-8", "surrogatepass")]
+
     def weight(self, piece: np.ndarray) -> np.ndarray:
         out = self.log_p[np.maximum(piece, 0)]
-        for p in np.unique(piece[piece < -1]):
-            out[piece == p] = sum(self.log_p[self.byte_of[b]] for b in chr(int(-2 - p)).encode("utf-8", "surrogatepass"))
+        low = piece < -1
+        if low.any():
+            points, which = np.unique(piece[low], return_inverse=True)
+            out[low] = np.array([sum(self.log_p[k] for k in self.bytes_of(p)) for p in points])[which]
         return out
 
+    def uses(self, pieces: np.ndarray, use: np.ndarray, into: np.ndarray) -> None:
+        """Adds the expected uses of pieces to into."""
+        own = pieces >= 0
+        into += np.bincount(pieces[own], use[own], len(into))
+        if not own.all():
+            points, which = np.unique(pieces[~own], return_inverse=True)
+            for p, n in zip(points, np.bincount(which, use[~own]), strict=True):
+                for k in self.bytes_of(p):
+                    into[k] += n
+
     def walk(self, points: np.ndarray, times: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
         """Log marginal of each row; with times, adds the expected uses of each piece to ``into``."""
         n, size = points.shape
@@ -125,14 +167,64 @@ class Lattice:
             for a, b, rows, _, w in sorted(arcs, key=lambda x: -x[0]):
                 backward[a, rows] = np.logaddexp(backward[a, rows], backward[b, rows] + w)
             for a, b, rows, pieces, w in arcs:
-                use = np.exp(forward[a, rows] + w + backward[b, rows] - forward[size, rows]) * times[rows]
-                own = pieces >= 0
-                into += np.bincount(pieces[own], use[own], len(into))
-                for p in np.unique(pieces[pieces < -1]):
-                    for byte in chr(int(-2 - p)).encode("utf-8", "surrogatepass"):
-                        into[self.byte_of[byte]] += use[pieces == p].sum()
+                self.uses(pieces, np.exp(forward[a, rows] + w + backward[b, rows] - forward[size, rows]) * times[rows], into)
         return forward[size]
 
+    def block_arcs(self, points: np.ndarray, a: int, b: int) -> list[list[tuple[int, int, float]]]:
+        """For each place in (a, b] the arcs (start, piece, weight) that stop there, of one long word."""
+        low = max(0, a - self.longest)
+        own = points[low:b]
+        prefix = np.zeros(len(own) + 1, np.uint64)
+        h = 0
+        for j, x in enumerate(own.tolist()):
+            h = (h + x + 1) * int(_BASE) & 0xFFFFFFFFFFFFFFFF
+            prefix[j + 1] = h
+        out: list[list[tuple[int, int, float]]] = [[] for _ in range(b - a)]
+        for k in range(1, min(self.longest, b) + 1):
+            starts = np.arange(max(a + 1 - k, low), b - k + 1)
+            if len(starts):
+                views = np.lib.stride_tricks.sliding_window_view(own, k)[starts - low]
+                rows, pieces = self.found(prefix[starts - low + k] - prefix[starts - low] * self.power[k], views)
+                for start, piece, w in zip(starts[rows].tolist(), pieces.tolist(), self.weight(pieces).tolist(), strict=True):
+                    out[start + k - a - 1].append((start, piece, w))
+        return out
+
+    def long_walk(self, points: np.ndarray, times: float | None = None, into: np.ndarray | None = None) -> float:
+        """As walk, for one long word: block by block, and for the uses back again, from the values kept at the blocks' ends."""
+        size, keep = len(points), self.longest
+
+        def forward(a: int, b: int, before: dict[int, float], arcs) -> dict[int, float]:
+            value = dict(before)
+            for stop in range(a + 1, b + 1):
+                terms = [value[start] + w for start, _, w in arcs[stop - a - 1]]
+                top = max(terms)
+                value[stop] = top + math.log(sum([math.exp(t - top) for t in terms]))
+            return value
+
+        last = lambda value, b: {k: value[k] for k in range(max(0, b - keep), b + 1)}
+        cuts = [*range(0, size, BLOCK), size]
+        ends = [{0: 0.0}]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ends.append(last(forward(a, b, ends[-1], self.block_arcs(points, a, b)), b))
+        total = ends[-1][size]
+        if times is not None:
+            pieces, use = [], []
+            backward = {size: 0.0}
+            for i in range(len(cuts) - 2, -1, -1):
+                a, b = cuts[i], cuts[i + 1]
+                arcs = self.block_arcs(points, a, b)
+                value = forward(a, b, ends[i], arcs)
+                for stop in range(b, a, -1):
+                    after = backward.pop(stop)
+                    for start, piece, w in arcs[stop - a - 1]:
+                        own, old = after + w, backward.get(start, IMPOSSIBLE)
+                        top = max(own, old)
+                        backward[start] = top + math.log(math.exp(own - top) + math.exp(old - top))
+                        pieces.append(piece), use.append(math.exp(value[start] + own - total) * times)
+                self.uses(np.array(pieces), np.array(use), into)
+                pieces, use = [], []
+        return total
+
     def marginals(self, words: list[bytes], times: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
         """Log marginal of every word, its start mark included; equally long words go together."""
         text = [x.decode("utf-8", "surrogatepass") for x in words]
@@ -142,28 +234,17 @@ class Lattice:
         a = 0
         while a < len(order):
             size = int(length[order[a]])
-            b = min(int(np.searchsorted(length[order], size, "right")), a + max(1, LENGTHS_TOGETHER // (size + 1)))
+            b = a + 1 if size > PLACES else min(int(np.searchsorted(length[order], size, "right")), a + max(1, LENGTHS_TOGETHER // (size + 1)))
             rows = order[a:b]
             flat = np.frombuffer("".join([text[i] for i in rows]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), size)
             points = np.concatenate([np.full((len(rows), 1), MARK, np.uint32), flat], 1)
-            out[rows] = self.walk(points, None if times is None else times[rows], into) if size < 2000 else self.long_walk(points, times, rows, into)
+            if size > PLACES:
+                out[rows] = self.long_walk(points[0], None if times is None else float(times[rows[0]]), into)
+            else:
+                out[rows] = self.walk(points, None if times is None else times[rows], into)
             a = b
         return out
 
-    def long_walk(self, points: np.ndarray, times: np.ndarray | None, rows: np.ndarray, into: np.ndarray | None) -> np.ndarray:
-        """Forward recursion that keeps the last places only, for words of thousands of characters; they teach nothing."""
-        last = [np.zeros(len(points))]
-        prefix, power = self.hashed(points), [np.uint64(1)]
-        for _ in range(self.longest):
-            power.append(power[-1] * _BASE)
-        for stop in range(1, points.shape[1] + 1):
-            total = np.full(len(points), IMPOSSIBLE)
-            for k in range(1, min(self.longest, stop) + 1):
-                at, pieces = self.found(prefix[stop] - prefix[stop - k] * power[k], points[:, stop - 1] if k == 1 else None)
-                total[at] = np.logaddexp(total[at], last[-k][at] + self.weight(pieces))
-            last = [*last[-self.longest :], total]
-        return last[-1]
-
 
 def load(path: str | None = None) -> Lattice:
     """The vocabulary's pieces without control and many-word ones; prior 1 / (10 + rank), rank being the score's negative."""
@@ -192,16 +273,40 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def chunk_words(docs: DataFrame, chunks: int, parts: int) -> DataFrame:
+def dealt(docs: DataFrame, train: F.Column, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, text, train, chunk), written: a chunk is a run of rows of one partition, of CHUNK_BYTES about."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            _, offsets = utf8(batch.column(1))
+            chunk = first + (held + offsets[1:] - offsets[0] - 1) // CHUNK_BYTES
+            held += int(offsets[-1] - offsets[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int64())], ["doc_id", "text", "train", "chunk"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return stored(slim.mapInArrow(deal, f"doc_id {kind}, text string, train boolean, chunk long"))
+
+
+def chunk_words(docs: DataFrame) -> DataFrame:
     """(chunk, word, n): the distinct words of each chunk and how often its training documents have them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, Counter] = {}
+        own: Counter = Counter()
+        now = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), now, np.int64)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["chunk", "word", "n"])
+
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             raw = memoryview(data)
             for chunk, a, b, train in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(2).to_pylist(), strict=True):
-                own = totals.setdefault(chunk, Counter())
+                if chunk != now:
+                    if own:
+                        yield out()
+                    own, now = Counter(), chunk
                 words = words_of(bytes(raw[a:b]))
                 if train:
                     own.update(words)
@@ -209,10 +314,12 @@ def chunk_words(docs: DataFrame, chunks: int, parts: int) -> DataFrame:
                     for w in words:
                         if w not in own:
                             own[w] = 0
-        for chunk, own in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk, np.int64)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["chunk", "word", "n"])
+        if own:
+            yield out()
 
-    return docs.select("chunk", "text", "train").repartition(parts, "chunk").mapInArrow(count, "chunk long, word binary, n long")
+    # A chunk whose file is read by two tasks has rows from both.
+    found = docs.select("chunk", "text", "train").mapInArrow(count, "chunk long, word binary, n long")
+    return stored(found)
 
 
 def learn(words: DataFrame, lattice: Lattice, rounds: int = 3) -> tuple[Lattice, float]:
@@ -248,56 +355,68 @@ def learn(words: DataFrame, lattice: Lattice, rounds: int = 3) -> tuple[Lattice,
     return lattice, share
 
 
+def weigh(words: DataFrame, lattice: Lattice) -> DataFrame:
+    """(word, total, marginal), written: each distinct word is walked once."""
+    held = words.sparkSession.sparkContext.broadcast(lattice)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.marginals(batch.column(0).to_pylist()))], ["word", "total", "marginal"])
+
+    return stored(words.select("word", "total").mapInArrow(walk, "word binary, total long, marginal double"))
+
+
 def score(docs: DataFrame, train: F.Column | None = None, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+    """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z, then one end. ``train`` is a condition on docs' columns
     (all rows if None). base_score: sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))). score: log10 of the text's
-    probability under the lattice model. A null or empty text is the end alone. Repeated rows count and are scored each.
-    Without training rows the vocabulary's scores alone weigh the pieces.
+    probability under the lattice model; lattice_score: the same without the whole-word arcs. A null or empty text is the
+    end alone. Repeated rows, and rows without an id, count and are scored each. Without training rows the vocabulary's
+    scores alone weigh the pieces.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(F.lit(True) if train is None else train, F.lit(False)).alias("train"))
-    size = slim.agg(F.sum(F.length("text")), F.count(F.lit(1)), F.count_if("train")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(parts, -(-(size[0] or 0) // CHUNK_CHARS))
-    ends = int(size[2] or 0)
-    slim = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    by_word = Window.partitionBy("word")
-    totals = stored(chunk_words(slim, chunks, chunks).select("chunk", "word", F.sum("n").over(by_word).alias("total"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")))
-    known = totals.filter("first AND total > 0").select("word", "total")
+    slim = dealt(docs, F.lit(True) if train is None else train, text, doc_id)
+    own = chunk_words(slim)
+    totals = stored(own.groupBy("word").agg(F.sum("n").alias("total")))
+    known = totals.filter("total > 0")
     n_words, distinct = known.agg(F.sum("total"), F.count(F.lit(1))).first()
+    ends = slim.filter("train").count()
     n_words = int(n_words or 0)
     n, v = n_words + ends, distinct + (ends > 0)
     lattice, share = learn(known, load(vocabulary))
-    held = spark.sparkContext.broadcast(lattice)
+    words = weigh(totals, lattice)
     floor = np.log10(n + 0.5 * (v + 1))
     p_end = (ends + 0.5) / (n + 1.0)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]
 
     def judge(own: pa.Table, dictionary: pa.Table) -> pa.Table:
         words = dictionary["word"].to_pylist()
         times = np.asarray(dictionary["total"]).astype(np.float64)
         index = dict(zip(words, range(len(words)), strict=True))
         base = np.log10(times + 0.5) - floor
+        pieces = np.asarray(dictionary["marginal"]) + np.log1p(-p_end)
         whole = share * times / n_words if n_words else np.zeros(len(words))
-        marginal = held.value.marginals(words) + np.log1p(-share) + np.log1p(-p_end)
         with np.errstate(divide="ignore"):
-            full = np.logaddexp(np.log(whole) + np.log1p(-p_end), marginal) / np.log(10)
+            full = np.logaddexp(np.log(whole) + np.log1p(-p_end), pieces + np.log1p(-share)) / np.log(10)
+        pieces /= np.log(10)
         data, offsets = utf8(own["text"])
         raw = memoryview(data)
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             at = np.array([index[w] for w in words_of(bytes(raw[a:b]))], np.int64)
-            out.append((len(at) + 1, int((times[at] > 0).sum()) + (ends > 0), base[at].sum() + np.log10(ends + 0.5) - floor, full[at].sum() + np.log10(p_end)))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table([own["doc_id"], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(np.full(len(out), n, np.int64)), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=names)
+            out.append((len(at) + 1, int((times[at] > 0).sum()) + (ends > 0), base[at].sum() + np.log10(ends + 0.5) - floor, full[at].sum() + np.log10(p_end), pieces[at].sum() + np.log10(p_end)))
+        columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+        whole_numbers = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(np.full(len(out), n, np.int64))]
+        return pa.table([own["doc_id"], *whole_numbers, *(pa.array(c, pa.float64()) for c in columns[2:])], names=names)
 
-    return slim.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(totals.select("chunk", "word", "total").groupBy("chunk")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    dictionary = own.select("chunk", "word").join(words, "word")  # a word may come twice where two tasks read one chunk
+    schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
+    return slim.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(judge, schema)
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all ``documents``; learns from those whose crc32(doc_id) mod 5 is not 1."""
     out = score(table(spark, sf_dir, "documents"), ~in_part(F.col("doc_id"), 5, 1))
-    return out.select("doc_id", in_part(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", in_part(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
