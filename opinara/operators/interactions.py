@@ -30,11 +30,14 @@ def optional_columns(df: DataFrame, optional: dict[str, str] = OPTIONAL) -> Data
 
 
 def schema_report(df: DataFrame, expected: list[str] = REQUIRED) -> DataFrame:
-    """(column, type, status): present, missing or extra."""
-    spark = df.sparkSession
+    """(column, type, status, n_null): present, missing or extra; and how many rows have no value, counted in one pass."""
     own = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = [(c, own.get(c), "missing" if c not in own else "present" if c in expected else "extra") for c in [*expected, *(c for c in own if c not in expected)]]
-    return spark.createDataFrame(rows, "column string, type string, status string")
+    names = [*expected, *(c for c in own if c not in expected)]
+    nulls = {c: F.count_if(F.col(f"`{c}`").isNull()) if c in own else F.lit(None).cast("bigint") for c in names}
+    status = {c: "missing" if c not in own else "present" if c in expected else "extra" for c in names}
+    counted = df.agg(*[nulls[c].alias(f"n{k}") for k, c in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(own.get(c)).cast("string").alias("type"), F.lit(status[c]).alias("status"), F.col(f"n{k}").alias("n_null")) for k, c in enumerate(names)])
+    return counted.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def reject_reason(text: str = "text", rating: str = "stars", user: str = "user_id", item: str = "business_id", low: float = 1, high: float = 5) -> Column:
@@ -103,25 +106,34 @@ def rating_distribution(df: DataFrame) -> DataFrame:
     return df.groupBy("stars").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def user_places(df: DataFrame, user: str = "user_id", date: str = "date", key: str = "review_id", into: str = "place", count_into: str | None = None) -> DataFrame:
+    """Adds each row's place, from 1, in its user's order of (date, key), and the user's number of rows.
+
+    Places are counted per (user, date) and offset by the earlier dates' counts, so that one user's rows need not meet. Nulls
+    come first.
+    """
+    days = df.groupBy(user, date).agg(F.count(F.lit(1)).alias("_day"))
+    by_user = Window.partitionBy(user)
+    days = days.select(F.col(user).alias("_user"), F.col(date).alias("_date"), (F.sum("_day").over(by_user.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_day")).alias("_before"), F.sum("_day").over(by_user).alias("_all"))
+    same = F.col(user).eqNullSafe(F.col("_user")) & F.col(date).eqNullSafe(F.col("_date"))
+    out = df.join(days, same).withColumn(into, F.col("_before") + F.row_number().over(Window.partitionBy(user, date).orderBy(key)))
+    return (out.withColumn(count_into, F.col("_all")) if count_into else out).drop("_user", "_date", "_before", "_all")
+
+
 def temporal_split(df: DataFrame, train: float = 0.8, val: float = 0.1, hold_out_cold: bool = True, user: str = "user_id", date: str = "date", key: str = "review_id") -> DataFrame:
     """Adds ``split``: per user, in the order of (date, key), first train, then val, then test.
 
-    Users with fewer than three rows are cold_start (or train). Rows without a date are dropped before counting. Places
-    are counted per (user, date) and offset by the earlier dates' counts, so that one user's rows need not meet.
+    Users with fewer than three rows are cold_start (or train). Rows without a date are dropped before counting.
     """
     if abs(train + val - round(train + val, 6)) > 1e-6 or not 0 < train + val < 1:
         raise ValueError("ratios must leave a share for the test part")
-    dated = df.filter(F.col(date).isNotNull())
-    days = dated.groupBy(user, date).agg(F.count(F.lit(1)).alias("_day"))
-    by_user = Window.partitionBy(user)
-    days = days.select(user, date, (F.sum("_day").over(by_user.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_day")).alias("_before"), F.sum("_day").over(by_user).alias("_n"))
-    placed = dated.join(days, [user, date]).withColumn("_rn", F.col("_before") + F.row_number().over(Window.partitionBy(user, date).orderBy(key)))
+    placed = user_places(df.filter(F.col(date).isNotNull()), user, date, key, "_rn", "_n")
     n, rn = F.col("_n"), F.col("_rn")
     nt0 = F.greatest(F.lit(1), F.bround(n * F.lit(train)))
     nv = F.when(n - nt0 > 1, F.greatest(F.lit(1), F.bround(n * F.lit(val)))).otherwise(0)
     nt = F.least(nt0, n - 1)
     split = F.when(n < 3, "cold_start" if hold_out_cold else "train").when(rn <= nt, "train").when((nv > 0) & (n - nt > nv) & (rn <= nt + nv), "val").otherwise("test")
-    return placed.withColumn("split", split).drop("_before", "_n", "_rn")
+    return placed.withColumn("split", split).drop("_n", "_rn")
 
 
 SPLITS = ["train", "val", "test", "cold_start"]

@@ -5,34 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 
-def history_profile(train: DataFrame, rows: DataFrame, features: list[str], item: str = "business_id", exclude_own: bool = False) -> DataFrame:
+
+def history_profile(train: DataFrame, rows: DataFrame, features: list[str], item: str = "business_id", exclude_own: bool = False, count_into: str | None = None) -> DataFrame:
     """rows with ``{feature}_history``: the item's mean over train, or the train mean where the item has no other row.
 
     With exclude_own, rows are train rows and each leaves itself out. An unknown item, or one without another row, takes
-    the global mean in every column. Sums are aggregated per item and joined back, so a hot item meets nowhere.
+    the global mean in every column. Sums are aggregated per item and joined back, so a hot item meets nowhere. count_into
+    names a column for the number of the item's other rows.
     """
     sums = train.groupBy(item).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f).alias(f"_s_{f}") for f in features])
     means = train.agg(*[F.avg(f).alias(f"_g_{f}") for f in features])
     joined = rows.join(sums, item, "left").crossJoin(F.broadcast(means))  # means is one row
     n = F.coalesce(F.col("_n"), F.lit(0)) - (1 if exclude_own else 0)
     own = {f"{f}_history": F.when(n > 0, (F.col(f"_s_{f}") - (F.col(f) if exclude_own else F.lit(0.0))) / n).otherwise(F.col(f"_g_{f}")) for f in features}
+    if count_into:
+        own[count_into] = n
     return joined.withColumns(own).drop("_n", *[f"_s_{f}" for f in features], *[f"_g_{f}" for f in features])
 
 
 def leave_one_out(train: DataFrame, features: list[str], item: str = "business_id") -> DataFrame:
     """history_profile of train itself without each row's own values, and ``n_others``."""
-    counts = train.groupBy(item).agg((F.count(F.lit(1)) - 1).alias("n_others"))
-    return history_profile(train, train, features, item, True).join(counts, item)
+    return history_profile(train, train, features, item, True, "n_others")
+
 
+def item_profile(train: DataFrame, universe: DataFrame, sentiment: str | None = "sentiment", item: str = "business_id", terms: DataFrame | None = None) -> DataFrame:
+    """Every item of the universe with review_count, avg_rating and sentiment_agg (if there is a sentiment) of train.
 
-def item_profile(train: DataFrame, universe: DataFrame, sentiment: str = "sentiment", item: str = "business_id") -> DataFrame:
-    """Every item of the universe with review_count, avg_rating and sentiment_agg of train; cold items take the train means
-    and a count of 0."""
-    known = train.groupBy(item).agg(F.count(F.lit(1)).alias("review_count"), F.avg("stars").alias("avg_rating"), F.avg(sentiment).alias("sentiment_agg"))
-    means = train.agg(F.avg("stars").alias("_stars"), F.avg(sentiment).alias("_sentiment"))
+    Cold items take the train means and a count of 0. terms, (review_id, term, tf) of the reviews, adds the item's summed
+    term counts as a map ``terms``, empty for cold items; they stand for the joined text, which is never built.
+    """
+    values = {"avg_rating": "stars"} | ({"sentiment_agg": sentiment} if sentiment else {})
+    known = train.groupBy(item).agg(F.count(F.lit(1)).alias("review_count"), *[F.avg(c).alias(k) for k, c in values.items()])
+    means = train.agg(*[F.avg(c).alias(f"_{k}") for k, c in values.items()])
     found = universe.select(item).distinct().join(known, item, "left").crossJoin(F.broadcast(means))
-    return found.select(item, F.coalesce("review_count", F.lit(0)).alias("review_count"), F.coalesce("avg_rating", "_stars").alias("avg_rating"), F.coalesce("sentiment_agg", "_sentiment").alias("sentiment_agg"))
+    out = found.select(item, F.coalesce("review_count", F.lit(0)).alias("review_count"), *[F.coalesce(k, f"_{k}").alias(k) for k in values])
+    if terms is None:
+        return out
+    summed = item_terms(train, terms, item).groupBy(item).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("terms"))
+    return out.join(summed, item, "left").withColumn("terms", F.coalesce("terms", F.create_map().cast("map<string,bigint>")))
+
+
+def item_terms(train: DataFrame, terms: DataFrame, item: str = "business_id", key: str = "review_id") -> DataFrame:
+    """(item, term, tf): the term counts of an item's reviews, summed."""
+    return terms.join(train.select(key, item), key).groupBy(item, "term").agg(F.sum("tf").alias("tf"))
 
 
 def first_categories(df: DataFrame, item: str = "business_id", column: str = "business_categories", key: str = "review_id") -> DataFrame:
@@ -45,9 +62,10 @@ def cold_items(universe: DataFrame, train: DataFrame, item: str = "business_id")
 
 
 def user_cluster_preference(rated: DataFrame, user: str = "user_id") -> DataFrame:
-    """Share of a user's stars that goes to each cluster."""
-    sums = rated.groupBy(user, "cluster").agg(F.sum("stars").alias("s"))
-    return sums.select(user, "cluster", F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy(user))).alias("preference"))
+    """Share of a user's stars that goes to each cluster; users' totals are joined back, so a hot user meets nowhere."""
+    sums = stored(rated.groupBy(user, "cluster").agg(F.sum("stars").alias("s")))
+    totals = sums.groupBy(user).agg(F.sum("s").alias("total"))
+    return sums.join(totals, user).select(user, "cluster", F.try_divide("s", "total").alias("preference"))
 
 
 def cluster_mean(rated: DataFrame) -> DataFrame:
@@ -55,12 +73,12 @@ def cluster_mean(rated: DataFrame) -> DataFrame:
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, features: list[str], key: str) -> DataFrame:
-    """(key, cluster, distance): the centroid (one row per cluster) at the least Euclidean distance, then the least cluster."""
+    """(key, cluster, distance): the centroid (one row per cluster) at the least Euclidean distance (to nine places), then the least cluster."""
     held = centroids.select("cluster", *[F.col(f).alias(f"_c_{f}") for f in features])
     # As many rows as clusters: their number is an argument of the fit, not of the data.
     squares = sum((F.pow(F.col(f) - F.col(f"_c_{f}"), 2) for f in features), F.lit(0.0))
     near = rows.select(key, *features).crossJoin(F.broadcast(held)).select(key, "cluster", F.sqrt(squares).alias("distance"))
-    return near.groupBy(key).agg(F.min(F.struct("distance", "cluster")).alias("m")).select(key, "m.cluster", "m.distance")
+    return near.groupBy(key).agg(F.min(F.struct(F.round("distance", 9).alias("r"), "cluster", "distance")).alias("m")).select(key, "m.cluster", "m.distance")
 
 
 def cbf_predict(rows: DataFrame, clusters: DataFrame, preference: DataFrame, means: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
@@ -75,22 +93,25 @@ def cbf_predict(rows: DataFrame, clusters: DataFrame, preference: DataFrame, mea
     return joined.withColumn("fallback_kind", kind).withColumn("prediction", F.least(F.greatest(raw, F.lit(low)), F.lit(high)))
 
 
-def cbf_predict_loo(train: DataFrame, centroids: DataFrame, preference: DataFrame, means: DataFrame) -> DataFrame:
-    """cbf_predict for train rows: each row's item profile leaves the row out and goes to the nearest centroid.
+def cbf_predict_loo(train: DataFrame, near: DataFrame, preference: DataFrame, means: DataFrame) -> DataFrame:
+    """cbf_predict for train rows by the cluster that each row's item has without the row.
 
-    centroids: (cluster, stars), the clusters' mean item rating. ``reassigned`` tells whether the cluster differs from the
-    item's own, which train carries as ``cluster``.
+    near: (review_id, cluster), the centroid nearest to the leave-one-out vector. ``reassigned`` tells whether it differs from
+    the item's own, which train carries as ``cluster``.
     """
-    own = leave_one_out(train, ["stars"]).select("review_id", F.col("stars_history").alias("stars"))
-    near = nearest_centroid(own, centroids, ["stars"], "review_id").select("review_id", F.col("cluster").alias("near"))
-    rows = train.join(near, "review_id").withColumn("reassigned", F.col("near") != F.col("cluster"))
+    rows = train.join(near.select("review_id", F.col("cluster").alias("near")), "review_id").withColumn("reassigned", F.col("near") != F.col("cluster"))
     glob = train.agg(F.avg("stars").alias("global_avg"))
     # Each row brings its own cluster, so the lookup is by review.
     slim = rows.drop("cluster").withColumnRenamed("business_id", "_item").withColumn("business_id", F.col("review_id")).crossJoin(F.broadcast(glob))
-    out = cbf_predict(slim, near.select(F.col("review_id").alias("business_id"), F.col("near").alias("cluster")), preference, means)
+    out = cbf_predict(slim, near.select(F.col("review_id").alias("business_id"), "cluster"), preference, means)
     return out.withColumn("business_id", F.col("_item")).drop("_item")
 
 
+def reassigned_share(predictions: DataFrame) -> DataFrame:
+    """One row: rows, and the share of them whose cluster changes without them."""
+    return predictions.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col("reassigned").cast("double")).alias("share"))
+
+
 def fallback_rate(predictions: DataFrame) -> DataFrame:
     found = predictions.groupBy("fallback_kind").agg(F.count(F.lit(1)).alias("rows"))
     return found.select("fallback_kind", "rows", (F.col("rows") / F.sum("rows").over(Window.partitionBy())).alias("share"))  # a row per kind

@@ -106,9 +106,15 @@ def paired_t(pairs: DataFrame) -> DataFrame:
     return out.withColumn("p", _t_p("t", "n"))
 
 
+LEAST_P = 1e-300
+
+
 def fisher(p: DataFrame, by: list[str], column: str = "p") -> DataFrame:
-    """Fisher's combination: X = -2 sum ln p over m tests; the chi-square tail with 2m degrees is a finite sum."""
-    sums = p.filter(F.col(column) > 0).groupBy(*by).agg((-2 * F.sum(F.log(column))).alias("x"), F.count(column).cast("int").alias("m"))
+    """Fisher's combination: X = -2 sum ln p over m tests; the chi-square tail with 2m degrees is a finite sum.
+
+    A p below LEAST_P, or one that is 0 as no double is small enough, counts as LEAST_P; a null p doesn't count.
+    """
+    sums = p.filter(F.col(column) >= 0).groupBy(*by).agg((-2 * F.sum(F.log(F.greatest(F.col(column), F.lit(LEAST_P))))).alias("x"), F.count(column).cast("int").alias("m"))
     half = F.col("x") / 2
     tail = F.aggregate(F.sequence(F.lit(1), F.col("m")), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")), lambda s, i: F.struct((s["term"] * half / i).alias("term"), (s["total"] + s["term"]).alias("total")))["total"]
     return sums.withColumn("p_combined", F.exp(-half) * tail)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import normalise
 from ..operators import evaluation as E
 from ..operators import statistics as S
 from ..operators.fusion import best_candidate
+from ..shared import shared_folder, stored
+from ..sources import readers, writers
 from ..sources.sample_tables import predictions
 from ..sources.writers import prediction_rows
 from .registry import METRICS, PREDICTED, query, r6
@@ -55,7 +58,7 @@ each AS (SELECT s.model, s.domain, s.seed, s.user_id, s.n_rel, k, count(h.rank)
 
 @query("ev_precision_recall_ndcg", f"WITH {RANKED} SELECT model, domain, seed, CAST(k AS INTEGER) AS k, round(avg(n_hit / k), 6) AS precision, round(avg(n_hit / n_rel), 6) AS recall, round(avg(dcg / idcg), 6) AS ndcg, count(*) AS users FROM each GROUP BY ALL")
 def ev_precision_recall_ndcg(spark, sf):
-    p = predictions(spark, sf).withColumn("y_pred", F.round("y_pred", 9))
+    p = stored(predictions(spark, sf).withColumn("y_pred", F.round("y_pred", 9)))
     return rounded(E.ranking_metrics(p, p.filter("y_true >= 4")), "precision", "recall", "ndcg")
 
 
@@ -96,12 +99,12 @@ def ev_hybrid_vs_cf(spark, sf):
     return rounded(E.baseline_versus(_means(spark, sf), "item", "user").drop("std_ratio"), "rmse_reduction", "mae_reduction")
 
 
-PAIRED = PREDICTED + ", e AS (SELECT *, pow(y_true - y_pred, 2) AS e FROM preds), pairs AS (SELECT b.model AS model_b, domain, seed, review_id, a.e AS ea, b.e AS eb, a.e - b.e AS d FROM e b JOIN e a USING (domain, seed, review_id) WHERE a.model = 'global' AND b.model <> 'global')"
-SIGNED = PAIRED + ", nz AS (SELECT *, round(d, 9) AS r FROM pairs WHERE round(d, 9) <> 0), rk AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY model_b, domain, seed, abs(r)) - 1) / 2.0 AS rank FROM nz WINDOW w AS (PARTITION BY model_b, domain, seed ORDER BY abs(r)))"
+PAIRED = PREDICTED + ", e AS MATERIALIZED (SELECT *, pow(y_true - y_pred, 2) AS e FROM preds), pairs AS MATERIALIZED (SELECT b.model AS model_b, domain, seed, review_id, a.e AS ea, b.e AS eb, a.e - b.e AS d FROM e b JOIN e a USING (domain, seed, review_id) WHERE a.model = 'global' AND b.model <> 'global')"
+SIGNED = PAIRED + ", nz AS (SELECT *, round(d, 9) AS r FROM pairs WHERE round(d, 9) <> 0), rk AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY model_b, domain, seed, abs(r)) AS t, rank() OVER w + (count(*) OVER (PARTITION BY model_b, domain, seed, abs(r)) - 1) / 2.0 AS rank FROM nz WINDOW w AS (PARTITION BY model_b, domain, seed ORDER BY abs(r)))"
 
 
 def _pairs(spark, sf):
-    return S.paired(predictions(spark, sf), "global")
+    return S.paired(stored(predictions(spark, sf).select("model", "domain", "seed", "review_id", "y_true", "y_pred")), "global")
 
 
 @query("jn_paired_predictions", f"WITH {PAIRED} SELECT model_b, domain, seed, review_id, round(d, 6) AS d FROM pairs")
@@ -136,19 +139,49 @@ def ev_fisher_all(spark, sf):
     return rounded(S.fisher(p, ["model", "domain"]).drop("m"), "x", "p_combined")
 
 
-@query("ev_significance_table")
+# Two-sided normal p: erfc(x) by the series of erf for small x, by its continued fraction for larger x, as a logarithm.
+TESTED = SIGNED + """,
+sums AS (SELECT model_b, domain, seed, CAST(count(*) AS DOUBLE) AS n, coalesce(CAST(sum(rank) FILTER (WHERE r > 0) AS DOUBLE), 0) AS wp, coalesce(CAST(sum(rank) FILTER (WHERE r < 0) AS DOUBLE), 0) AS wm, CAST(sum(t * t - 1) AS DOUBLE) AS tied FROM rk GROUP BY 1, 2, 3),
+zed AS (SELECT *, least(wp, wm) AS statistic, abs(least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) / sqrt(2::DOUBLE) AS x FROM sums),
+tails AS (SELECT *, CASE WHEN x < 2 THEN ln(1 - 2 / sqrt(pi()) * exp(-x * x) * x * list_reduce(list_prepend(1::DOUBLE, list_transform(range(400, 0, -1), lambda k: 2::DOUBLE * k + 1)), lambda a, k: 1 + 2 * x * x / k * a))
+  ELSE -x * x - ln(sqrt(pi()) * list_reduce(list_prepend(x, list_transform(range(400, 0, -1), lambda k: k / 2::DOUBLE)), lambda a, k: x + k / a)) END AS ln_p FROM zed),
+errors AS (SELECT model_b, domain, seed, sqrt(avg(ea)) AS rmse_a, sqrt(avg(eb)) AS rmse_b, count(*) AS n_pairs FROM pairs GROUP BY 1, 2, 3),
+tests AS (SELECT model_b, domain, seed, rmse_a, rmse_b, n_pairs, statistic, exp(ln_p) AS p, ln_p, coalesce(exp(ln_p) < 0.05, false) AS significant FROM errors LEFT JOIN tails USING (model_b, domain, seed))"""
+
+
+@query("ev_significance_table", f"WITH {TESTED} SELECT model_b, domain, seed, round(rmse_a, 6) AS rmse_a, round(rmse_b, 6) AS rmse_b, n_pairs, statistic, round(p, 6) AS p, significant FROM tests")
 def ev_significance_table(spark, sf):
-    return S.significance_table(predictions(spark, sf), "global")
+    out = S.significance_table(stored(predictions(spark, sf)), "global")
+    return rounded(out, "rmse_a", "rmse_b", "p").withColumn("statistic", F.col("statistic").cast("double"))
 
 
-@query("agg_significance_summary")
+@query("agg_significance_summary", f"WITH {TESTED} SELECT model_b, count(*) FILTER (WHERE significant) AS n_significant, count(*) AS n_tests, round(avg(rmse_a), 6) AS mean_rmse_a, round(avg(rmse_b), 6) AS mean_rmse_b FROM tests GROUP BY 1")
 def agg_significance_summary(spark, sf):
-    return S.significance_summary(S.significance_table(predictions(spark, sf), "global"))
+    return rounded(S.significance_summary(S.significance_table(stored(predictions(spark, sf)), "global")), "mean_rmse_a", "mean_rmse_b")
 
 
-@query("ev_summary_table")
+@query("ev_summary_table", f"WITH {TESTED}, metrics AS (SELECT model, domain, seed, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse, avg(abs(y_true - y_pred)) AS mae FROM preds GROUP BY ALL), means AS (SELECT model, domain, avg(rmse) AS rmse_mean, stddev_samp(rmse) AS rmse_std, avg(mae) AS mae_mean, stddev_samp(mae) AS mae_std, count(*) AS n_seeds FROM metrics GROUP BY 1, 2), joint AS (SELECT model_b AS model, domain, count(*) FILTER (WHERE significant) AS n_significant, -sum(greatest(ln_p, ln(1e-300))) AS h, count(ln_p) AS m FROM tests GROUP BY 1, 2) SELECT model, domain, round(rmse_mean, 6) AS rmse_mean, round(rmse_std, 6) AS rmse_std, round(mae_mean, 6) AS mae_mean, round(mae_std, 6) AS mae_std, n_seeds, n_significant, round(exp(-h) * (1 + h + pow(h, 2) / 2 + pow(h, 3) / 6 + pow(h, 4) / 24), 6) AS p_combined, model = 'global' AS is_reference FROM means LEFT JOIN joint USING (model, domain)")
 def ev_summary_table(spark, sf):
-    return S.summary_table(_means(spark, sf), S.significance_table(predictions(spark, sf), "global"), "global")
+    p = stored(predictions(spark, sf))
+    means = E.multi_seed(E.rmse_mae(p), ["rmse", "mae"])
+    return rounded(S.summary_table(means, S.significance_table(p, "global"), "global"), "rmse_mean", "rmse_std", "mae_mean", "mae_std", "p_combined")
+
+
+@query("op_mf_eval", f"WITH {PREDICTED} SELECT model, domain, seed, round(sqrt(avg(pow((y_true - 1) / 4 - (y_pred - 1) / 4, 2))), 6) AS rmse, round(avg(abs((y_true - 1) / 4 - (y_pred - 1) / 4)), 6) AS mae, count(*) AS n FROM preds GROUP BY 1, 2, 3")
+def op_mf_eval(spark, sf):
+    """Errors on the normalised scale, as a factor model is validated."""
+    p = predictions(spark, sf)
+    return rounded(E.rmse_mae(p.withColumns({c: normalise(F.col(c)) for c in ("y_true", "y_pred")})), "rmse", "mae")
+
+
+@query("src_results_scan", f"WITH {METRICS} SELECT model, domain, seed, round(rmse, 6) AS rmse, round(mae, 6) AS mae, '7' AS k FROM metrics")
+def src_results_scan(spark, sf):
+    """Scans what the results sink has written; a run without metrics is skipped."""
+    path = shared_folder(spark)
+    runs = E.rmse_mae(predictions(spark, sf))
+    broken = runs.limit(1).withColumns({"seed": F.lit(99), "rmse": F.lit(None).cast("double")})
+    writers.write_results(runs.unionByName(broken), path, '{"a": {"k": 7}}')
+    return rounded(readers.scan_results(spark, path), "rmse", "mae").select("model", "domain", "seed", "rmse", "mae", F.get_json_object("config", "$.a.k").alias("k"))
 
 
 @query("topk_best_candidate", f"WITH {METRICS} SELECT domain AS stage, arg_min(model, (round(rmse, 9), model)) AS candidate, round(min(rmse), 6) AS rmse, min(rmse) < 1.5 AS accepted FROM metrics WHERE seed = 1 GROUP BY 1")

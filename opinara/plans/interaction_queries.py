@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import interactions as I
 from ..operators import profiles as P
-from ..shared import table
+from ..shared import stored, table
 from ..sources import readers
-from ..sources.sample_tables import interactions, sentiment, split_interactions
+from ..sources.sample_tables import interactions, review_terms, sentiment, split_interactions
 from .registry import INTER, SPLIT, query, r6
 
 
@@ -49,6 +49,17 @@ def prj_optional_columns(spark, sf):
     return I.optional_columns(interactions(spark, sf)).select("review_id", "business_stars", "business_city")
 
 
+@query("prj_require_columns", f"WITH {INTER} SELECT review_id, user_id, business_id, stars FROM inter")
+def prj_require_columns(spark, sf):
+    rows = I.require_columns(interactions(spark, sf), ["review_id", "user_id", "business_id", "stars", "date"])
+    return rows.select("review_id", "user_id", "business_id", "stars")
+
+
+@query("prj_schema_report", "SELECT * FROM (SELECT unnest(['doc_id', 'text', 'stars', 'lang', 'source', 'n_chars']) AS column, unnest(['bigint', 'string', NULL, 'string', 'string', 'bigint']) AS type, unnest(['present', 'present', 'missing', 'extra', 'extra', 'extra']) AS status, unnest([count(*) - count(doc_id), count(*) - count(text), NULL, count(*) - count(lang), count(*) - count(source), count(*) - count(n_chars)]) AS n_null FROM documents)")
+def prj_schema_report(spark, sf):
+    return I.schema_report(table(spark, sf, "documents"), ["doc_id", "text", "stars"])
+
+
 @query("agg_kcore", f"WITH {INTER}, c0 AS MATERIALIZED (SELECT review_id, user_id, business_id FROM inter), " + ", ".join(f"c{i} AS MATERIALIZED (SELECT * FROM c{i - 1} WHERE user_id IN (SELECT user_id FROM c{i - 1} GROUP BY 1 HAVING count(*) >= 25) AND business_id IN (SELECT business_id FROM c{i - 1} GROUP BY 1 HAVING count(*) >= 20))" for i in range(1, 15)) + " SELECT review_id, user_id, business_id FROM c14")
 def agg_kcore(spark, sf):
     return I.kcore(interactions(spark, sf), 25, 20).select("review_id", "user_id", "business_id")
@@ -133,7 +144,7 @@ def jn_anti(spark, sf):
 
 
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = sentiment(split_interactions(spark, sf))
+    rows = stored(sentiment(split_interactions(spark, sf)))
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
@@ -191,6 +202,26 @@ def agg_item_profile_all(spark, sf):
     return out.withColumns({"avg_rating": r6("avg_rating"), "sentiment_agg": r6("sentiment_agg")})
 
 
+@query("jn_item_profile_left", f"WITH {SPLIT}, items AS (SELECT CAST(p_partkey AS VARCHAR) AS business_id, p_brand FROM part), k AS (SELECT business_id, count(*) AS review_count, avg(stars) AS a FROM train GROUP BY 1), g AS (SELECT avg(stars) AS ga FROM train) SELECT business_id, p_brand, coalesce(review_count, 0) AS review_count, round(coalesce(a, ga), 6) AS avg_rating FROM items LEFT JOIN k USING (business_id) CROSS JOIN g")
+def jn_item_profile_left(spark, sf):
+    items = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("business_id"), "p_brand")
+    profile = P.item_profile(_parts(spark, sf)[0], items, sentiment=None)
+    return items.join(profile, "business_id", "left").select("business_id", "p_brand", "review_count", r6("avg_rating").alias("avg_rating"))
+
+
+TERMS = "terms AS (SELECT review_id, t.business_id, unnest(list_filter(string_split(concat_ws(' ', lower(p_name), 'month' || month(date), 'order' || (l_orderkey % 40), 'order' || (l_orderkey % 7)), ' '), lambda w: length(w) >= 2)) AS term FROM train t LEFT JOIN part ON t.business_id = CAST(p_partkey AS VARCHAR))"
+
+
+@query("agg_item_profile_terms", f"WITH {SPLIT}, {TERMS}, n AS (SELECT business_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), k AS (SELECT business_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_words, string_agg(term || ':' || tf, ' ' ORDER BY term) AS profile FROM n GROUP BY 1) SELECT business_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_words, 0) AS n_words, coalesce(profile, '') AS profile FROM (SELECT DISTINCT business_id FROM inter) LEFT JOIN k USING (business_id)")
+def agg_item_profile_terms(spark, sf):
+    """Items with the summed term counts of their training reviews, in place of the joined text."""
+    train, _ = _parts(spark, sf)
+    out = P.item_profile(train, interactions(spark, sf), terms=review_terms(spark, sf, train))
+    spelled = F.array_join(F.transform(F.map_entries("terms"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), " ")
+    words = F.aggregate(F.map_values("terms"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select("business_id", F.size("terms").cast("long").alias("n_terms"), words.alias("n_words"), spelled.alias("profile"))
+
+
 @query("set_dedupe_first", f"WITH {INTER} SELECT business_id, arg_min(CAST(date AS VARCHAR), review_id) AS first_date FROM inter GROUP BY 1")
 def set_dedupe_first(spark, sf):
     rows = interactions(spark, sf).withColumn("first_date", F.col("date").cast("string"))

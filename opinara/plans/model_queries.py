@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import content as T
@@ -11,7 +12,7 @@ from ..operators import interactions as I
 from ..operators import profiles as P
 from ..operators import ratings as R
 from ..shared import stored, table
-from ..sources.sample_tables import sentiment, split_interactions
+from ..sources.sample_tables import item_categories, review_terms, sentiment, split_interactions
 from .registry import SPLIT, query, r6
 
 
@@ -24,10 +25,47 @@ def _ids(train):
     return stored(I.dense_ids(train, "user_id")), stored(I.dense_ids(train, "business_id"))
 
 
-@query("op_item_knn", f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train GROUP BY 1, 2), t AS (SELECT DISTINCT business_id AS j FROM evald), sims AS (SELECT a.i, b.i AS j, sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r))) AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i WHERE b.i IN (SELECT j FROM t) GROUP BY 1, 2), near AS (SELECT e.review_id, s.sim, r.r, row_number() OVER (PARTITION BY e.review_id ORDER BY round(s.sim, 9) DESC, s.i) AS k FROM evald e JOIN r ON r.u = e.user_id JOIN sims s ON s.i = r.i AND s.j = e.business_id WHERE s.sim > 0), p AS (SELECT review_id, sum(sim * r) / sum(sim) AS p FROM near WHERE k <= 40 GROUP BY 1) SELECT e.review_id, CASE WHEN p IS NULL THEN 'global_mean' ELSE 'none' END AS fallback_kind, round(coalesce(p, (SELECT avg(stars) FROM train)), 6) AS prediction FROM evald e LEFT JOIN p USING (review_id)")
-def op_item_knn(spark, sf):
+#: Similarities over the raters both have, from the rating table r (u, i, r); pairs both ways.
+SIMS = {
+    "cosine": "sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r)))",
+    "pearson": "coalesce((count(*) * sum(a.r * b.r) - sum(a.r) * sum(b.r)) / nullif(sqrt(greatest(count(*) * sum(a.r * a.r) - sum(a.r) * sum(a.r), 0)) * sqrt(greatest(count(*) * sum(b.r * b.r) - sum(b.r) * sum(b.r), 0)), 0), 0)",
+    "msd": "1 / (sum((a.r - b.r) * (a.r - b.r)) / count(*) + 1)",
+}
+
+
+def knn_sql(kind: str, user_based: bool = False) -> str:
+    u, i = ("business_id", "user_id") if user_based else ("user_id", "business_id")
+    return f"""WITH {SPLIT}, r AS MATERIALIZED (SELECT {u} AS u, {i} AS i, avg(stars) AS r FROM train GROUP BY 1, 2),
+sims AS MATERIALIZED (SELECT a.i, b.i AS j, {SIMS[kind]} AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i WHERE b.i IN (SELECT {i} FROM evald) GROUP BY 1, 2),
+near AS (SELECT e.review_id, s.sim, r.r, row_number() OVER (PARTITION BY e.review_id ORDER BY round(s.sim, 9) DESC, s.i) AS k FROM evald e JOIN r ON r.u = e.{u} JOIN sims s ON s.i = r.i AND s.j = e.{i} WHERE s.sim > 0),
+p AS (SELECT review_id, sum(sim * r) / sum(sim) AS p FROM near WHERE k <= 40 GROUP BY 1)
+SELECT e.review_id, CASE WHEN p IS NULL THEN 'global_mean' ELSE 'none' END AS fallback_kind, round(coalesce(p, (SELECT avg(stars) FROM train)), 6) AS prediction FROM evald e LEFT JOIN p USING (review_id)"""
+
+
+def _knn(spark, sf, kind, user_based=False):
     train, _, test = _parts(spark, sf)
-    return R.item_knn(train, test).select("review_id", "fallback_kind", r6("prediction").alias("prediction"))
+    return R.item_knn(train, test, kind=kind, user_based=user_based).select("review_id", "fallback_kind", r6("prediction").alias("prediction"))
+
+
+@query("op_item_knn", knn_sql("cosine"))
+def op_item_knn(spark, sf):
+    return _knn(spark, sf, "cosine")
+
+
+@query("op_item_knn_msd", knn_sql("msd"))
+def op_item_knn_msd(spark, sf):
+    return _knn(spark, sf, "msd")
+
+
+@query("op_user_knn", knn_sql("cosine", True))
+def op_user_knn(spark, sf):
+    return _knn(spark, sf, "cosine", True)
+
+
+@query("op_corated_pearson", f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train GROUP BY 1, 2) SELECT a.i, b.i AS j, round({SIMS['pearson']}, 5) AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2 HAVING count(*) >= 3")
+def op_corated_pearson(spark, sf):
+    """Pearson correlation of items that three users or more rated both."""
+    return R.item_similarity(stored(R.mean_ratings(_parts(spark, sf)[0])), kind="pearson", least=3).withColumn("sim", F.round("sim", 5))
 
 
 @query("jn_corated_self", f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train GROUP BY 1, 2) SELECT a.i, b.i AS j, round(sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r))), 6) AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2")
@@ -35,17 +73,26 @@ def jn_corated_self(spark, sf):
     return R.item_similarity(stored(R.mean_ratings(_parts(spark, sf)[0]))).withColumn("sim", r6("sim"))
 
 
-@query("op_bias_mf", f"WITH {SPLIT}, g AS (SELECT avg(stars) AS m FROM train), bi AS (SELECT business_id, sum(stars - m) / (count(*) + 10) AS bi FROM train CROSS JOIN g GROUP BY 1), bu AS (SELECT user_id, sum(stars - m - bi) / (count(*) + 15) AS bu FROM train JOIN bi USING (business_id) CROSS JOIN g GROUP BY 1) SELECT review_id, round(m + coalesce(bi, 0) + coalesce(bu, 0), 6) AS baseline FROM evald LEFT JOIN bi USING (business_id) LEFT JOIN bu USING (user_id) CROSS JOIN g")
+@query("op_bias_mf", f"WITH {SPLIT}, g AS MATERIALIZED (SELECT avg(stars) AS m FROM train), bi AS MATERIALIZED (SELECT business_id, sum(stars - m) / (count(*) + 10) AS bi FROM train CROSS JOIN g GROUP BY 1), bu AS MATERIALIZED (SELECT user_id, sum(stars - m - bi) / (count(*) + 15) AS bu FROM train JOIN bi USING (business_id) CROSS JOIN g GROUP BY 1) SELECT review_id, round(m + coalesce(bi, 0) + coalesce(bu, 0), 6) AS baseline FROM evald LEFT JOIN bi USING (business_id) LEFT JOIN bu USING (user_id) CROSS JOIN g")
 def op_bias_mf(spark, sf):
+    """The bias part, which SQL can say; op_bias_mf_factors adds the factors."""
     train, _, test = _parts(spark, sf)
     return R.bias_means(train, test).select("review_id", r6("baseline").alias("baseline"))
 
 
+@query("op_bias_mf_factors")
+def op_bias_mf_factors(spark, sf):
+    train, _, test = _parts(spark, sf)
+    return R.bias_factors(train, test, *_ids(train), rank=8).select("review_id", "fallback_kind", "baseline", "prediction")
+
+
 @query("op_mf_stream")
 def op_mf_stream(spark, sf):
-    train, _, test = _parts(spark, sf)
-    users, items = _ids(train)
-    return R.als_stream(train, test, users, items).select("review_id", "fallback_kind", "prediction")
+    """The settings with the least validation error, then the test part."""
+    train, val, test = _parts(spark, sf)
+    settings = [{"rank": 8, "reg": g} for g in (0.1, 0.3)]
+    out, _, _ = R.als_selected(train, val, test, *_ids(train), settings, iterations=5)
+    return out.select("review_id", "fallback_kind", "prediction")
 
 
 @query("op_oof_predict")
@@ -70,45 +117,112 @@ def ev_candidate_sampling(spark, sf):
     return E.ranking_metrics(scored, scored.filter("label = 1"), by=["model"])
 
 
+def _sentiment(spark, sf):
+    """Documents and their labels, quality standing for sentiment; and a model of those whose crc32(id) mod 5 is not 0."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"), F.col("quality").alias("sentiment_label"), held.alias("held_out")).dropna()
+    labelled = stored(docs.join(labels, "review_id").filter("text IS NOT NULL"))
+    return docs, labelled, R.sentiment_model().fit(labelled.filter("NOT held_out"))
+
+
+@query("op_sentiment_train")
+def op_sentiment_train(spark, sf):
+    """The fitted model's probabilities for the rows that it was fitted to."""
+    _, labelled, model = _sentiment(spark, sf)
+    return R.sentiment_score(model, labelled.filter("NOT held_out")).select("review_id", "sentiment_label", "sentiment_score")
+
+
 @query("op_sentiment_score")
 def op_sentiment_score(spark, sf):
-    """Trained on labelled documents, quality standing for sentiment; scores all documents."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"), F.col("quality").alias("sentiment_label"))
-    model = R.sentiment_model().fit(docs.join(labels.dropna(), "review_id").filter("text IS NOT NULL"))
+    docs, _, model = _sentiment(spark, sf)
     return R.sentiment_score(model, docs).select("review_id", "sentiment_score")
 
 
 @query("op_sentiment_eval")
 def op_sentiment_eval(spark, sf):
-    scored = op_sentiment_score(spark, sf)
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"), F.col("quality").alias("sentiment_label")).dropna()
-    return R.accuracy(scored.join(labels, "review_id"))
+    """Accuracy on labelled rows that were held out of the training, and on those that were not."""
+    _, labelled, model = _sentiment(spark, sf)
+    return R.accuracy(R.sentiment_score(model, labelled), ["held_out"])
+
+
+def content_parts(spark, sf, train):
+    """What the content stream reads of train: profile, category and term tables, and the reviews' own terms."""
+    own = stored(review_terms(spark, sf, train).join(train.select("review_id", "business_id"), "review_id"))
+    profile = stored(P.item_profile(train, train))
+    counts = stored(own.groupBy("business_id", "term").agg(F.sum("tf").alias("tf")))
+    categories = stored(item_categories(spark, sf).join(profile.select("business_id"), "business_id", "left_semi"))
+    return {"profile": profile, "counts": counts, "categories": categories, "own": own}
+
+
+NUMBERS = ["avg_rating", "review_count", "sentiment_agg"]
+
+
+def content_clusters(parts, dimensions=8, ks=range(2, 6)):
+    """Fitted features, items' reduced vectors with their cluster, and the centroids."""
+    features = T.ItemFeatures(top=100, dimensions=dimensions).fit(parts["counts"], parts["categories"], parts["profile"], NUMBERS)
+    items = features.transform(parts["counts"], parts["categories"], parts["profile"])
+    columns = [f"r{j}" for j in range(features.k)]
+    vectors = stored(items.withColumn("features", array_to_vector(F.array(*columns))))
+    model, _, _ = T.best_clusters(vectors, ks)
+    assigned = stored(model.transform(vectors).select("business_id", "cluster", *columns))
+    return features, assigned, T.cluster_centroids(assigned, columns)
+
+
+def content_predictions(train, rows, parts, **settings):
+    _, assigned, _ = content_clusters(parts, **settings)
+    clusters = assigned.select("business_id", "cluster")
+    rated = stored(train.join(clusters, "business_id"))
+    glob = train.agg(F.avg("stars").alias("global_avg"))
+    return P.cbf_predict(rows.crossJoin(F.broadcast(glob)), clusters, P.user_cluster_preference(rated), P.cluster_mean(rated).select("cluster", "cluster_avg"))
+
+
+def leave_one_out_clusters(train, parts, **settings):
+    """The items' clusters, and per review the centroid nearest to its item's vector without the review."""
+    features, assigned, centroids = content_clusters(parts, **settings)
+    loo = P.leave_one_out(train, ["stars", "sentiment"])
+    reviews = stored(loo.select("review_id", "business_id", F.col("stars_history").alias("avg_rating"), F.col("sentiment_history").alias("sentiment_agg"), F.col("n_others").alias("review_count")))
+    vectors = features.transform_without_own(parts["counts"], parts["categories"], reviews, parts["own"])
+    return assigned.select("business_id", "cluster"), P.nearest_centroid(vectors, centroids, [f"r{j}" for j in range(features.k)], "review_id")
+
+
+@query("op_cbf_predict_loo")
+def op_cbf_predict_loo(spark, sf):
+    """Content predictions of train rows, each by its item's features without the row's own text, stars and sentiment."""
+    train, _, _ = _parts(spark, sf)
+    clusters, near = leave_one_out_clusters(train, content_parts(spark, sf, train))
+    rated = stored(train.join(clusters, "business_id"))
+    out = P.cbf_predict_loo(rated, near, P.user_cluster_preference(rated), P.cluster_mean(rated).select("cluster", "cluster_avg"))
+    return out.select("review_id", "reassigned", "fallback_kind", "prediction")
 
 
 def _item_vectors(spark, sf):
+    """Dense vectors of categories, term weights and numbers of all items of the training part."""
     train, _, _ = _parts(spark, sf)
-    profile = P.item_profile(train, train)
-    names = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("business_id"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("bag"))
-    counts = stored(T.term_counts(names, "business_id", "bag"))
-    vocab = stored(T.vocabulary(counts, "business_id", 50))
-    terms = [r["term"] for r in vocab.orderBy("term").collect()]  # 50 at most
-    return T.item_vectors(T.weigh(counts, vocab, "business_id"), profile, terms), train
+    parts = content_parts(spark, sf, train)
+    given = parts["counts"], parts["categories"], parts["profile"]
+    return stored(T.ItemFeatures(top=100).prepare(*given, NUMBERS).vectors(*given))
 
 
 @query("op_item_features")
 def op_item_features(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+    """Categories, text and numbers, sentiment among them, fitted and reduced."""
+    train, _, _ = _parts(spark, sf)
+    parts = content_parts(spark, sf, train)
+    features = T.ItemFeatures(top=100, dimensions=8).fit(parts["counts"], parts["categories"], parts["profile"], NUMBERS)
+    return features.transform(parts["counts"], parts["categories"], parts["profile"])
+
 
-    vectors, _ = _item_vectors(spark, sf)
+@query("op_pca")
+def op_pca(spark, sf):
+    vectors = _item_vectors(spark, sf)
     reduced = T.pca(vectors, 8).transform(vectors)
     return reduced.select("business_id", vector_to_array("reduced").alias("reduced"))
 
 
 @query("op_cluster_kmeans")
 def op_cluster_kmeans(spark, sf):
-    vectors, _ = _item_vectors(spark, sf)
-    vectors = stored(vectors)
+    vectors = _item_vectors(spark, sf)
     model, _, _ = T.best_clusters(vectors, range(2, 6))
     return model.transform(vectors).select("business_id", "cluster")
 

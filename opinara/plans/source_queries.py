@@ -15,6 +15,8 @@ from ..sources import readers, writers
 from ..sources.sample_tables import interactions, predictions, sentiment, split_interactions
 from .evaluation_queries import RANKED, rounded
 from .interaction_queries import CLUSTERED, UNIVERSE, _clustered, _parts, universe
+from .model_queries import _item_vectors, content_parts, content_predictions
+from .model_queries import _parts as _parts3
 from .registry import INTER, METRICS, PREDICTED, SPLIT, query, r6
 
 CORE = f"WITH {INTER} SELECT review_id, user_id, business_id, stars FROM inter"
@@ -28,7 +30,7 @@ def _core(spark, sf):
 def src_csv(spark, sf):
     path = shared_folder(spark)
     _core(spark, sf).write.csv(path, header=True, escape='"')
-    return readers.read_csv(spark, path).select("review_id", "user_id", "business_id", "stars")
+    return readers.read_csv(spark, path, multi_line=True).select("review_id", "user_id", "business_id", "stars")
 
 
 @query("src_jsonl", CORE)
@@ -69,6 +71,19 @@ def snk_flat(spark, sf):
     return spark.read.parquet(path).select("review_id", "user_id", "business_id", "stars")
 
 
+@query("src_split_load", f"WITH {SPLIT} SELECT review_id, user_id, stars, split FROM parts")
+def src_split_load(spark, sf):
+    path = shared_folder(spark)
+    writers.write_splits(split_interactions(spark, sf), path, 42, 0.8, 0.1)
+    return readers.load_splits(spark, path).select("review_id", "user_id", "stars", "split")
+
+
+@query("src_preview", f"WITH {INTER} SELECT review_id, stars FROM inter ORDER BY review_id LIMIT 200000")
+def src_preview(spark, sf):
+    """The first rows in the order of their ids, as far as the preview reaches."""
+    return readers.preview(interactions(spark, sf).orderBy("review_id")).select("review_id", "stars")
+
+
 @query("snk_splits", f"WITH {SPLIT} SELECT review_id, split FROM parts")
 def snk_splits(spark, sf):
     """Written and loaded again: src_split_load."""
@@ -110,6 +125,14 @@ def snk_feature_cache(spark, sf):
     return writers.cached_features(rows, compute, path).select("review_id", r6("sentiment").alias("sentiment"))
 
 
+@query("jn_score_cache", f"WITH {INTER} SELECT review_id, CASE WHEN stars >= 3 THEN round((l_orderkey % 97) / 97.0::DOUBLE, 6) END AS sentiment FROM inter")
+def jn_score_cache(spark, sf):
+    """Scores kept for the reviews of three stars or more, joined to all; the others have none."""
+    rows, path = interactions(spark, sf), shared_folder(spark)
+    writers.write_flat(sentiment(rows.filter("stars >= 3")).select("review_id", "sentiment"), path)
+    return writers.attach_scores(rows, spark.read.parquet(path)).select("review_id", r6("sentiment").alias("sentiment"))
+
+
 @query("snk_checkpoint_append", f"WITH {METRICS} SELECT DISTINCT domain AS stage, model AS candidate FROM metrics WHERE model <> 'item'")
 def snk_checkpoint_append(spark, sf):
     path = shared_folder(spark)
@@ -172,9 +195,7 @@ def set_union_all(spark, sf):
 
 @query("srt_user_date", f"WITH {INTER} SELECT review_id, row_number() OVER (PARTITION BY user_id ORDER BY date, review_id) AS rn FROM inter")
 def srt_user_date(spark, sf):
-    from pyspark.sql import Window
-
-    return interactions(spark, sf).select("review_id", F.row_number().over(Window.partitionBy("user_id").orderBy("date", "review_id")).cast("long").alias("rn"))
+    return I.user_places(interactions(spark, sf)).select("review_id", F.col("place").cast("long").alias("rn"))
 
 
 @query("srt_report_order", f"WITH {METRICS}, o(model, place) AS (VALUES ('user', 1), ('item', 2), ('global', 3)) SELECT place, model, domain, seed FROM metrics JOIN o USING (model) ORDER BY place, domain, seed")
@@ -205,15 +226,6 @@ def agg_cluster_centroid(spark, sf):
     return rounded(T.cluster_centroids(x, ["p_size", "p_retailprice"]), "p_size", "p_retailprice")
 
 
-@query("op_cbf_predict_loo")
-def op_cbf_predict_loo(spark, sf):
-    train = stored(_clustered(_parts(spark, sf)[0]))
-    items = P.item_profile(train, train).select("business_id", "avg_rating").withColumn("cluster", F.col("business_id").cast("long") % 7)
-    centroids = items.groupBy("cluster").agg(F.avg("avg_rating").alias("stars"))
-    out = P.cbf_predict_loo(train, centroids, P.user_cluster_preference(train), P.cluster_mean(train).select("cluster", "cluster_avg"))
-    return out.select("review_id", "reassigned", "fallback_kind", "prediction")
-
-
 def _searched(spark, sf, stages):
     rows = stored(split_interactions(spark, sf))
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
@@ -233,12 +245,19 @@ def op_staged_search(spark, sf):
 
 @query("op_grid_search")
 def op_grid_search(spark, sf):
-    return _searched(spark, sf, {"grid": {f"rank{k}_reg{g}": {"rank": k, "reg": g} for k in (4, 8) for g in (0.1, 0.3)}})
+    """Settings of the factor model, and dimensions of the content stream, each by the error on the validation part."""
+    factors = _searched(spark, sf, {"grid": {f"rank{k}_reg{g}": {"rank": k, "reg": g} for k in (4, 8) for g in (0.1, 0.3)}})
+    train, val, _ = _parts3(spark, sf)
+    parts = content_parts(spark, sf, train)
+
+    def evaluate(settings):
+        out = content_predictions(train, val, parts, **settings)
+        return out.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("stars"), 2)))).first()[0]
+
+    return factors.unionByName(U.staged_search(spark, {"dimensions": {f"pca{k}": {"dimensions": k} for k in (2, 8)}}, evaluate))
 
 
 @query("op_cluster_hier")
 def op_cluster_hier(spark, sf):
-    from .model_queries import _item_vectors
-
-    vectors = stored(_item_vectors(spark, sf)[0])
+    vectors = _item_vectors(spark, sf)
     return T.best_clusters(vectors, range(2, 5), method="hierarchical")[0].transform(vectors).select("business_id", "cluster")

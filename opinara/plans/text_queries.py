@@ -186,6 +186,16 @@ def fn_confidence(spark, sf):
     return x.select("event_id", r6(C.margin_confidence(s)).alias("margin"), r6(C.evidence_confidence(n)).alias("evidence"), r6(C.confidence(s, n, 0.05)).alias("confidence"))
 
 
+@query("fn_margin_confidence", "SELECT event_id, round(abs((event_id % 101) / 100.0::DOUBLE - 0.5) * 2, 6) AS margin FROM events")
+def fn_margin_confidence(spark, sf):
+    return table(spark, sf, "events").select("event_id", r6(C.margin_confidence((F.col("event_id") % 101).cast("double") / 100)).alias("margin"))
+
+
+@query("fn_evidence_confidence", "SELECT event_id, round(least((event_id % 6) / 3.0::DOUBLE, 1), 6) AS evidence FROM events")
+def fn_evidence_confidence(spark, sf):
+    return table(spark, sf, "events").select("event_id", r6(C.evidence_confidence(F.col("event_id") % 6)).alias("evidence"))
+
+
 @query("fn_epoch_to_date", "SELECT l_orderkey, l_linenumber, CAST(to_timestamp(l_orderkey * 86399) AT TIME ZONE 'UTC' AS DATE) AS date FROM lineitem")
 def fn_epoch_to_date(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.epoch_to_date(F.col("l_orderkey") * 86399).alias("date"))

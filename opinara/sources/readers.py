@@ -13,9 +13,12 @@ HOTEL_REVIEW = "id string, offering_id string, text string, date string, ratings
 OFFERING = "id string, hotel_class double, address string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str = CORE) -> DataFrame:
-    """Flat review CSV with a header; quoted texts may hold line ends and doubled quotes. A field that doesn't fit is null."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+def read_csv(spark: SparkSession, path: str, schema: str = CORE, multi_line: bool = False) -> DataFrame:
+    """Flat review CSV with a header and doubled quotes. A field that doesn't fit is null.
+
+    With multi_line, quoted texts may hold line ends; each file is then one task's, however large, so write many of them.
+    """
+    return spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"', enforceSchema=False)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = CORE) -> DataFrame:
@@ -39,12 +42,19 @@ def struct_literal(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_replace(plain, r"(?<=[\[{,:\s])u(?=['\"])", ""), schema, {"allowSingleQuotes": "true"})
 
 
-def read_hotel_reviews(spark: SparkSession, reviews: str, offerings: str) -> DataFrame:
-    """Hotel reviews with their offering's class and locality; a review without an offering keeps nulls."""
-    r = read_csv(spark, reviews, HOTEL_REVIEW)
-    o = read_csv(spark, offerings, OFFERING).select(F.col("id").alias("business_id"), F.col("hotel_class").alias("business_stars"), struct_literal(F.col("address"), "locality string")["locality"].alias("business_city"))
+def last_of(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: of repeated keys the greatest row by all other columns."""
+    others = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct(*others)).alias("_m")).select(key, *[F.col(f"_m.{c}").alias(c) for c in others])
+
+
+def read_hotel_reviews(spark: SparkSession, reviews: str, offerings: str, multi_line: bool = False) -> DataFrame:
+    """Hotel reviews with their offering's class and locality; a review without an offering keeps nulls. Of repeated offerings
+    the greatest row counts."""
+    r = read_csv(spark, reviews, HOTEL_REVIEW, multi_line)
+    o = read_csv(spark, offerings, OFFERING, multi_line).select(F.col("id").alias("business_id"), F.col("hotel_class").alias("business_stars"), struct_literal(F.col("address"), "locality string")["locality"].alias("business_city"))
     flat = r.select(F.col("id").alias("review_id"), struct_literal(F.col("author"), "id string")["id"].alias("user_id"), F.col("offering_id").alias("business_id"), "text", struct_literal(F.col("ratings"), "overall double")["overall"].alias("stars"), F.col("date"))
-    return flat.join(o.dropDuplicates(["business_id"]), "business_id", "left")
+    return flat.join(last_of(o, "business_id"), "business_id", "left")
 
 
 def preview(df: DataFrame, n: int = 200_000) -> DataFrame:
@@ -54,11 +64,7 @@ def preview(df: DataFrame, n: int = 200_000) -> DataFrame:
 def enrich_inner(reviews: DataFrame, businesses: DataFrame, users: DataFrame) -> DataFrame:
     """Reviews with their business and user attributes; unmatched ones are dropped. Of repeated dimension keys the greatest
     row (by all columns) counts."""
-    def one(df: DataFrame, key: str) -> DataFrame:
-        others = [c for c in df.columns if c != key]
-        return df.groupBy(key).agg(F.max(F.struct(*others)).alias("_m")).select(key, *[F.col(f"_m.{c}").alias(c) for c in others])
-
-    return reviews.join(one(businesses, "business_id"), "business_id").join(one(users, "user_id"), "user_id")
+    return reviews.join(last_of(businesses, "business_id"), "business_id").join(last_of(users, "user_id"), "user_id")
 
 
 def load_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -70,10 +76,17 @@ def load_splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
-def scan_results(spark: SparkSession, path: str) -> DataFrame:
-    """Run results (JSON lines: model, domain, seed, rmse, mae, config); rows without a required field are skipped."""
+def scan_results(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Run results (model, domain, seed, rmse, mae, config) as write_results leaves them, or as JSON lines (kind="json").
+
+    Rows without a required field, and lines that are no JSON, are skipped.
+    """
     schema = "model string, domain string, seed int, rmse double, mae double, config string"
-    return spark.read.schema(schema).json(path, mode="PERMISSIVE", recursiveFileLookup=True).dropna(subset=["model", "domain", "seed", "rmse", "mae"])
+    if kind == "json":
+        found = spark.read.schema(schema).json(path, mode="PERMISSIVE", recursiveFileLookup=True)
+    else:
+        found = spark.read.schema(schema).parquet(path)
+    return found.dropna(subset=["model", "domain", "seed", "rmse", "mae"])
 
 
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:

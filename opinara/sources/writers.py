@@ -50,7 +50,12 @@ def cached_features(rows: DataFrame, compute: Callable[[DataFrame], DataFrame],
         missing = rows
     if not missing.isEmpty():
         compute(missing).write.mode("append").parquet(path)
-    return rows.join(spark.read.parquet(path), key, "left")
+    return attach_scores(rows, spark.read.parquet(path), key)
+
+
+def attach_scores(rows: DataFrame, scores: DataFrame, key: str = "review_id") -> DataFrame:
+    """rows with the scores kept for their keys, null where there are none."""
+    return rows.join(scores, key, "left")
 
 
 def append_checkpoint(rows: DataFrame, path: str) -> None:

@@ -246,3 +246,135 @@ def test_whole_queries_read_all_rows(spark, sf):
     assert run("agg_item_profile_all").agg(F.sum("review_count")).first()[0] == _parts(spark, sf)[0].count()
     assert run("fn_p_display_all").count() == spark.read.parquet(f"{sf}/events.parquet").count()
     assert run("jn_enrich_left_all").filter("p_brand IS NULL").isEmpty()
+
+
+def small_reviews(spark):
+    """Reviews of four items, one of them with a single review, with texts, categories and scores."""
+    rows = [("r1", "x", "battery battery screen", 5.0, 0.9), ("r2", "x", "spicy delicious", 1.0, 0.1), ("r3", "x", "screen fine", 4.0, 0.6), ("r4", "y", "spicy spicy soup", 2.0, 0.3), ("r5", "y", "soup fine", 3.0, 0.4), ("r6", "z", "lonely words only", 4.0, 0.8), ("r7", "w", "battery fine", 5.0, 0.7), ("r8", "w", "battery charger", 4.0, 0.5)]
+    df = spark.createDataFrame(rows, "review_id string, business_id string, bag string, stars double, sentiment double").repartition(3)
+    cats = spark.createDataFrame([("x", "phone"), ("w", "phone"), ("y", "food"), ("z", "food"), ("z", "odd")], "business_id string, category string")
+    return df, cats
+
+
+def test_leave_one_out_features_against_rebuilt_texts(spark):
+    """The vector of an item without a review is what the fitted features make of the other reviews' joined texts."""
+    df, cats = small_reviews(spark)
+    own = content.term_counts(df, "review_id", "bag").join(df.select("review_id", "business_id"), "review_id")
+    counts = own.groupBy("business_id", "term").agg(F.sum("tf").alias("tf"))
+    profile = profiles.item_profile(df, df)
+    numbers = ["avg_rating", "review_count", "sentiment_agg"]
+    features = content.ItemFeatures(top=8, dimensions=3).fit(counts, cats, profile, numbers)
+    loo = profiles.leave_one_out(df, ["stars", "sentiment"]).select("review_id", "business_id", F.col("stars_history").alias("avg_rating"), F.col("sentiment_history").alias("sentiment_agg"), F.col("n_others").alias("review_count"))
+    got = {r["review_id"]: list(r)[1:] for r in features.transform_without_own(counts, cats, loo, own).collect()}
+    means = df.agg(F.avg("stars"), F.avg("sentiment")).first()
+    for r in df.collect():
+        others = df.filter((F.col("business_id") == r["business_id"]) & (F.col("review_id") != r["review_id"]))
+        rest = content.term_counts(others, "business_id", "bag")
+        n = others.count()
+        s = others.agg(F.avg("stars"), F.avg("sentiment")).first() if n else means
+        one = spark.createDataFrame([(r["business_id"], n, s[0], s[1])], "business_id string, review_count bigint, avg_rating double, sentiment_agg double")
+        want = list(features.transform(rest, cats.filter(F.col("business_id") == r["business_id"]), one).first())[1:]
+        assert got[r["review_id"]] == pytest.approx(want, abs=1e-9), r["review_id"]
+
+
+def test_features_are_the_dense_vectors_reduced(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    df, cats = small_reviews(spark)
+    counts = content.term_counts(df, "business_id", "bag")
+    profile = profiles.item_profile(df, df)
+    for own in (cats, None):
+        features = content.ItemFeatures(top=8, dimensions=3).fit(counts, own, profile, ["avg_rating", "review_count"])
+        dense = features.vectors(counts, own, profile)
+        want = {r[0]: list(r[1]) for r in content.pca(dense, 3).transform(dense).select("business_id", vector_to_array("reduced")).collect()}
+        got = {r[0]: list(r)[1:] for r in features.transform(counts, own, profile).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_leave_one_out_moves_by_the_others_alone(spark):
+    df, cats = small_reviews(spark)
+    rated = df.withColumn("user_id", F.lit("u")).withColumn("cluster", F.lit(0))
+    near = df.select("review_id", F.when(F.col("review_id") == "r1", 1).otherwise(0).alias("cluster"))
+    pref = spark.createDataFrame([("u", 0, 1.0)], "user_id string, cluster int, preference double")
+    means = spark.createDataFrame([(0, 3.0), (1, 2.0)], "cluster int, cluster_avg double")
+    out = {r["review_id"]: (r["reassigned"], r["fallback_kind"], r["prediction"]) for r in profiles.cbf_predict_loo(rated, near, pref, means).collect()}
+    assert out["r1"] == (True, "no_preference", 2.0) and out["r2"] == (False, "none", 4.5) and len(out) == 8
+    assert profiles.reassigned_share(profiles.cbf_predict_loo(rated, near, pref, means)).first()["share"] == pytest.approx(1 / 8)
+
+
+@pytest.mark.parametrize("kind", ["cosine", "pearson", "msd"])
+@pytest.mark.parametrize("heavy", [512, 2])
+def test_similarities_against_brute_force(spark, kind, heavy, monkeypatch):
+    """All three, however the heavy users' items are dealt; wanted restricts one side."""
+    import numpy as np
+
+    monkeypatch.setattr(ratings, "HEAVY", heavy)
+    rng = np.random.default_rng(4)
+    rows = [(f"u{u}", f"i{i}", float(rng.integers(1, 6))) for u in range(8) for i in range(7) if rng.random() < 0.7]
+    r = spark.createDataFrame(rows, "u string, i string, r double")
+    by = {}
+    for u, i, x in rows:
+        by.setdefault(i, {})[u] = x
+    want = {}
+    for i in by:
+        for j in by:
+            both = sorted(by[i].keys() & by[j].keys())
+            if i != j and both:
+                x, y = np.array([by[i][u] for u in both]), np.array([by[j][u] for u in both])
+                a, b = x - x.mean(), y - y.mean()
+                bottom = np.sqrt((a * a).sum() * (b * b).sum())
+                want[i, j] = {"cosine": (x @ y) / np.sqrt((x @ x) * (y @ y)), "pearson": (a @ b) / bottom if bottom > 1e-9 else 0.0, "msd": 1 / (((x - y) ** 2).mean() + 1)}[kind]
+    got = {(s["i"], s["j"]): s["sim"] for s in ratings.item_similarity(r, kind=kind).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    some = spark.createDataFrame([("i1",), ("i2",)], "i string")
+    assert {(s["i"], s["j"]) for s in ratings.item_similarity(r, some, kind).collect()} == {k for k in want if k[1] in ("i1", "i2")}
+
+
+def planted(spark):
+    return spark.range(600).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("review_id"), (F.col("id") % 30).cast("string").alias("user_id"), F.pmod(F.xxhash64("id"), F.lit(20)).cast("string").alias("business_id")).withColumn("stars", F.when((F.col("user_id").cast("int") % 2) == (F.col("business_id").cast("int") % 2), 5.0).otherwise(1.0))
+
+
+def test_factors_see_what_biases_do_not(spark):
+    rows = planted(spark).cache()
+    train, test = rows.filter("crc32(review_id) % 6 <> 0"), rows.filter("crc32(review_id) % 6 = 0")
+    users, items = interactions.dense_ids(train, "user_id"), interactions.dense_ids(train, "business_id")
+    out = ratings.bias_factors(train, test.unionByName(test.limit(1).withColumn("user_id", F.lit("new"))), users, items, rank=2, reg=0.01)
+    error = lambda c: out.filter("user_id <> 'new'").agg(F.sqrt(F.avg(F.pow(F.col(c) - F.col("stars"), 2)))).first()[0]
+    assert error("prediction") < 0.6 < error("baseline")
+    new = out.filter("user_id = 'new'").first()
+    assert new["fallback_kind"] == "baseline" and new["prediction"] == pytest.approx(new["baseline"])
+
+
+def test_settings_by_validation(spark):
+    rows = planted(spark).cache()
+    train, val = rows.filter("crc32(review_id) % 6 <> 0"), rows.filter("crc32(review_id) % 6 = 0")
+    users, items = interactions.dense_ids(train, "user_id"), interactions.dense_ids(train, "business_id")
+    _, best, error = ratings.als_selected(train, val, val, users, items, [{"reg": 5.0}, {"reg": 0.01}], rank=2)
+    assert best == {"reg": 0.01} and error < 1
+
+
+def test_profile_terms(spark):
+    df, _ = small_reviews(spark)
+    terms = content.term_counts(df, "review_id", "bag")
+    out = {r["business_id"]: r["terms"] for r in profiles.item_profile(df, df.select("business_id").union(spark.createDataFrame([("cold",)], "business_id string")), None, terms=terms).collect()}
+    assert out["x"] == {"battery": 2, "screen": 2, "spicy": 1, "delicious": 1, "fine": 1} and out["cold"] == {} and len(out) == 5
+
+
+def test_places_without_dates(spark):
+    df = spark.createDataFrame([("u", None, "b"), ("u", None, "a"), ("u", "2020-01-01", "c"), (None, None, "d")], "user_id string, date string, review_id string")
+    out = interactions.user_places(df, count_into="n").collect()
+    assert {r["review_id"]: (r["place"], r["n"]) for r in out} == {"a": (1, 3), "b": (2, 3), "c": (3, 3), "d": (1, 1)}
+
+
+def test_fisher_counts_vanishing_p(spark):
+    p = spark.createDataFrame([("x", 0.0), ("x", 0.5), ("y", None)], "g string, p double")
+    out = {r["g"]: (r["m"], r["p_combined"]) for r in statistics.fisher(p, ["g"]).collect()}
+    assert out["x"][0] == 2 and 0 <= out["x"][1] < 1e-200
+
+
+def test_negatives_do_not_depend_on_the_partitions(spark):
+    seen = spark.createDataFrame([("u1", "0")], "user_id string, business_id string")
+    items = spark.range(6).select(F.col("id").cast("string").alias("business_id"), "id")
+    pos = spark.createDataFrame([(f"r{i}", "u1") for i in range(40)], "review_id string, user_id string")
+    one, two = (sorted(map(tuple, ratings.negative_samples(pos.repartition(n), seen, items, 3).collect())) for n in (1, 7))
+    assert one == two

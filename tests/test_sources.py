@@ -12,7 +12,7 @@ from opinara.sources import readers, writers
 def test_csv(spark, tmp_path):
     p = tmp_path / "r.csv"
     p.write_text('review_id,user_id,business_id,text,stars,date\n1,07,b,"two\nlines, ""quoted""",4.0,2020-01-01\n2,u,b,x,bad,2020-01-02\n')
-    out = readers.read_csv(spark, f"file://{p}").orderBy("review_id").collect()
+    out = readers.read_csv(spark, f"file://{p}", multi_line=True).orderBy("review_id").collect()
     assert out[0]["text"] == 'two\nlines, "quoted"' and out[0]["user_id"] == "07" and out[1]["stars"] is None
 
 
@@ -60,7 +60,7 @@ def test_predictions_and_results(spark, tmp_path):
     writers.write_results(m.withColumn("rmse", F.lit(2.0)), f"file://{tmp_path}/r", "{}", overwrite=True)
     assert [r["rmse"] for r in spark.read.parquet(f"file://{tmp_path}/r").collect()] == [2.0]
     (tmp_path / "x.json").write_text('{"model": "m", "domain": "d", "seed": 1, "rmse": 1.5, "mae": 1}\nbroken\n{"model": "m"}\n')
-    assert readers.scan_results(spark, f"file://{tmp_path}/x.json").count() == 1
+    assert readers.scan_results(spark, f"file://{tmp_path}/x.json", "json").count() == 1
 
 
 def test_feature_cache_computes_once(spark, tmp_path):
@@ -79,3 +79,32 @@ def test_feature_cache_computes_once(spark, tmp_path):
 
 def test_preview(spark):
     assert readers.preview(spark.range(100), 7).count() == 7
+
+
+def test_folder_is_shared_or_refused(spark, monkeypatch):
+    from opinara import shared
+
+    df = spark.range(3)
+    work = shared.shared_folder(spark)
+    assert shared.stored(df, work).count() == 3
+    shared.discard(spark, work)
+    with pytest.raises(Exception, match="(?i)path_not_found|not exist"):
+        spark.read.parquet(work)
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Conf:
+        @staticmethod
+        def get(*_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_folder(Session())
