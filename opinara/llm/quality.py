@@ -62,7 +62,7 @@ def word_values(data: np.ndarray, row: np.ndarray, place: int = 0) -> tuple[np.n
     if not len(starts):
         return starts, starts, starts
     at = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-    if place:
+    if place and starts[0] == 0:
         at[: np.r_[starts, len(data)][1]] += place
     value = np.add.reduceat(np.where(gap, 0, _HASHED[0][_LOWER[data]] * (_HASHED[1][at & 255] | 1)), starts)
     return starts, value, np.cumsum(data == 0x0A)[starts]
@@ -94,7 +94,7 @@ def long_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, value, line = word_values(part, np.zeros(len(part), np.int64), held)
         line = line + seen
         if held and len(starts) and starts[0] == 0:
-            values[-1][-1] += value[0]
+            values[-1][-1:] += value[:1]
             value, line = value[1:], line[1:]
         if len(value):
             values.append(value), lines.append(line)
