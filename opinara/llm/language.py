@@ -28,16 +28,22 @@ OVERLAP = 3.0
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, count) of the trigrams of lowered letters, by row; runs of other bytes are one space."""
+    """(row, bucket, count) of the trigrams of lowered letters, by row; runs of other bytes are one space.
+
+    One text longer than CHUNK is read in pieces; the last two bytes kept of a piece stand before the next one's.
+    """
     lo, hi, n = int(offsets[0]), int(offsets[-1]), len(offsets) - 1
     counted = np.zeros(n * BUCKETS, np.int64)
-    for a in range(lo, max(hi - 2, lo), CHUNK):
-        b = min(hi, a + CHUNK + 2)
-        c = LOWER[data[a:b]].astype(np.int64)
-        row = np.repeat(np.arange(n), np.diff(np.clip(offsets, a, b)))
+    step = CHUNK if n == 1 else max(1, hi - lo)
+    before = np.zeros(0, np.int64)
+    for a in range(lo, hi, step):
+        b = min(hi, a + step)
+        c = np.concatenate([before, LOWER[data[a:b]].astype(np.int64)])
+        row = np.zeros(len(c), np.int64) if n == 1 else np.repeat(np.arange(n), np.diff(offsets))
         keep = np.ones(len(c), bool)
         keep[1:] = (c[1:] != 0x20) | (c[:-1] != 0x20) | (row[1:] != row[:-1])
         c, row = c[keep], row[keep]
+        before = c[-2:] if n == 1 else before
         if len(c) < 3:
             continue
         code = (c[:-2] * 0x9E3779B1 ^ c[1:-1] * 0x85EBCA77 ^ c[2:] * 0xC2B2AE3D) * 0x27D4EB2F
