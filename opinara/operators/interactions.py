@@ -109,25 +109,24 @@ def rating_distribution(df: DataFrame) -> DataFrame:
 def user_places(df: DataFrame, user: str = "user_id", date: str = "date", key: str = "review_id", into: str = "place", count_into: str | None = None) -> DataFrame:
     """Adds each row's place, from 1, in its user's order of (date, key), and the user's number of rows.
 
-    Places are counted per (user, date) and offset by the earlier dates' counts, so that one user's rows need not meet. Nulls
-    come first.
+    Places are counted per (user, date) and offset by the earlier dates' counts, so that one user's rows need not meet. Rows
+    without a user or a date have no place and are left out.
     """
     days = df.groupBy(user, date).agg(F.count(F.lit(1)).alias("_day"))
     by_user = Window.partitionBy(user)
-    days = days.select(F.col(user).alias("_user"), F.col(date).alias("_date"), (F.sum("_day").over(by_user.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_day")).alias("_before"), F.sum("_day").over(by_user).alias("_all"))
-    same = F.col(user).eqNullSafe(F.col("_user")) & F.col(date).eqNullSafe(F.col("_date"))
-    out = df.join(days, same).withColumn(into, F.col("_before") + F.row_number().over(Window.partitionBy(user, date).orderBy(key)))
-    return (out.withColumn(count_into, F.col("_all")) if count_into else out).drop("_user", "_date", "_before", "_all")
+    days = days.select(user, date, (F.sum("_day").over(by_user.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_day")).alias("_before"), F.sum("_day").over(by_user).alias("_all"))
+    out = df.join(days, [user, date]).withColumn(into, F.col("_before") + F.row_number().over(Window.partitionBy(user, date).orderBy(key)))
+    return (out.withColumn(count_into, F.col("_all")) if count_into else out).drop("_before", "_all")
 
 
 def temporal_split(df: DataFrame, train: float = 0.8, val: float = 0.1, hold_out_cold: bool = True, user: str = "user_id", date: str = "date", key: str = "review_id") -> DataFrame:
     """Adds ``split``: per user, in the order of (date, key), first train, then val, then test.
 
-    Users with fewer than three rows are cold_start (or train). Rows without a date are dropped before counting.
+    Users with fewer than three rows are cold_start (or train). Rows without a user or a date are dropped before counting.
     """
     if abs(train + val - round(train + val, 6)) > 1e-6 or not 0 < train + val < 1:
         raise ValueError("ratios must leave a share for the test part")
-    placed = user_places(df.filter(F.col(date).isNotNull()), user, date, key, "_rn", "_n")
+    placed = user_places(df, user, date, key, "_rn", "_n")
     n, rn = F.col("_n"), F.col("_rn")
     nt0 = F.greatest(F.lit(1), F.bround(n * F.lit(train)))
     nv = F.when(n - nt0 > 1, F.greatest(F.lit(1), F.bround(n * F.lit(val)))).otherwise(0)

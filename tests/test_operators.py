@@ -360,10 +360,10 @@ def test_profile_terms(spark):
     assert out["x"] == {"battery": 2, "screen": 2, "spicy": 1, "delicious": 1, "fine": 1} and out["cold"] == {} and len(out) == 5
 
 
-def test_places_without_dates(spark):
-    df = spark.createDataFrame([("u", None, "b"), ("u", None, "a"), ("u", "2020-01-01", "c"), (None, None, "d")], "user_id string, date string, review_id string")
+def test_places(spark):
+    df = spark.createDataFrame([("u", "2020-01-02", "b"), ("u", "2020-01-02", "a"), ("u", "2020-01-01", "c"), (None, "2020-01-01", "d"), ("u", None, "e")], "user_id string, date string, review_id string")
     out = interactions.user_places(df, count_into="n").collect()
-    assert {r["review_id"]: (r["place"], r["n"]) for r in out} == {"a": (1, 3), "b": (2, 3), "c": (3, 3), "d": (1, 1)}
+    assert {r["review_id"]: (r["place"], r["n"]) for r in out} == {"c": (1, 3), "a": (2, 3), "b": (3, 3)}
 
 
 def test_fisher_counts_vanishing_p(spark):
