@@ -4,8 +4,8 @@ An item's windows are its runs of ``size`` consecutive words. A window's words a
 that hold the word, counted over all of them); as all of a window must be in the document, its rarest word is the
 necessary prefix. Documents are searched for those words; a find at place p of a word that stands at place k of a
 window must begin at p - k >= 0 and end within the document (length and position bounds), and is then compared word by
-word. Windows are broadcast in blocks of a fixed number, so what a task holds doesn't grow with the benchmark; documents
-are never shuffled, and a document's finds are merged where it is read.
+word. Windows are broadcast in blocks of a fixed number, so what a task holds doesn't grow with the benchmark. With one
+block documents are never shuffled; with several, the blocks' finds are merged by row number and meet the rows once.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import lower_table, stored, table, utf8
 
@@ -54,19 +56,36 @@ def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFram
     return items.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, f"item_id {kind}, window binary").distinct()
 
 
-def rarity(docs: DataFrame, text: str, wanted: set[bytes]) -> dict[bytes, int]:
-    """In how many documents each wanted word stands, counted over all documents and summed in Spark."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+def words_of_windows(windows: DataFrame) -> DataFrame:
+    """(word): the distinct words of the windows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in texts_of(batch.column(0)):
-                total.update(held.value.intersection(words_in(own)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({x for w in texts_of(batch.column(0)) for x in w.split(b" ")}), pa.binary())], ["word"])
+
+    return windows.select("window").mapInArrow(cut, "word binary").distinct()
+
 
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word binary, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
-    return {bytes(r["word"]): r["docs"] for r in counted.collect()}  # the wanted words at most
+def rarity(docs: DataFrame, text: str, words: DataFrame, block: int) -> DataFrame:
+    """(word, docs), written: in how many documents each word of the table stands, counted over all documents and summed in
+    Spark; words that stand nowhere are left out. ``block`` words are broadcast at a time, about."""
+    spark = docs.sparkSession
+    words = stored(words)
+    parts = max(1, -(-words.count() // block))
+    out = None
+    for k in range(parts):
+        held = spark.sparkContext.broadcast({bytes(r["word"]) for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == k).toLocalIterator()})
+
+        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for batch in batches:
+                for own in texts_of(batch.column(0)):
+                    total.update(held.value.intersection(words_in(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "docs"])
+
+        counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(count, "word binary, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+        out = counted if out is None else out.unionByName(counted)
+    return stored(out)
 
 
 class WindowIndex:
@@ -114,60 +133,65 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     windows = stored(windows_of(benchmark, item_id, item_text, size))
     blocks = max(1, -(-windows.count() // block))
-    kind = windows.schema["item_id"].dataType.simpleString()
+    item_type = windows.schema["item_id"].dataType
+    kind = item_type.simpleString()
+    # As many words as windows at a time: a window's words repeat in the next one.
+    counted = rarity(docs, text, words_of_windows(windows), block)
     indexes = []
     for k in range(blocks):
+        mine = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
         own: dict[bytes, list] = {}
-        for r in windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).toLocalIterator():
+        for r in mine.toLocalIterator():
             own.setdefault(bytes(r["window"]), []).append(r["item_id"])
-        docs_with = rarity(docs, text, {x for window in own for x in window.split(b" ")}) if own else {}
+        docs_with = {bytes(r["word"]): r["docs"] for r in counted.join(words_of_windows(mine), "word", "left_semi").toLocalIterator()}
         indexes.append(spark.sparkContext.broadcast(WindowIndex(own, docs_with)))
 
-    found_type = f"struct<n_words: bigint, spans: array<struct<start: bigint, stop: bigint>>, items: array<{kind}>>"
-    before = f"struct<spans: array<struct<start: bigint, stop: bigint>>, items: array<{kind}>>"
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("\x01text"), F.lit(None).cast(before).alias("\x01before"))
-    names = [*keep, "\x01text", into]
+    spans_type = "array<struct<start: bigint, stop: bigint>>"
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(TEXT))
+    if blocks == 1:
+        return slim.mapInArrow(searched(indexes[0], keep, into, item_type), ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{into}` struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>"]))
+    # Several blocks: rows are numbered and written once, each block's search gives numbers and finds alone, and these are
+    # merged before they meet the rows.
+    slim = stored(slim.withColumn(ROW, F.monotonically_increasing_id()))
+    found = None
+    for index in indexes:
+        own = slim.select(ROW, TEXT).mapInArrow(searched(index, [ROW], "f", item_type), f"`{ROW}` bigint, f struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>")
+        own = stored(own if found is None else own.filter(F.size("f.items") > 0))  # the first one gives all rows' numbers of words
+        found = own if found is None else found.unionByName(own)
+    merged = found.groupBy(ROW).agg(F.max("f.n_words").alias("n_words"), F.flatten(F.collect_list("f.spans")).alias("spans"), F.flatten(F.collect_list("f.items")).alias("items"))  # a row per block at most
+    # Spans in order; one that starts within or at the end of the last is joined to it.
+    last = lambda a: F.get(a, F.size(a) - 1)
+
+    def grown(a: Column, x: Column) -> Column:
+        joined = F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["stop"], x["stop"]).alias("stop"))
+        apart = F.coalesce(x["start"] > last(a)["stop"], F.lit(True))
+        return F.when(apart, F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined)))
+
+    spans = F.aggregate(F.array_sort("spans"), F.array().cast(spans_type), grown)
+    items = F.transform(F.array_sort(F.transform(F.array_distinct("items"), lambda x: F.struct(x.cast("string").alias("s"), x.alias("x")))), lambda p: p["x"])
+    light = stored(merged.select(ROW, F.struct("n_words", spans.alias("spans"), items.alias("items")).alias(FOUND)))
+    return slim.join(light, ROW).select(*[F.col(f"`{c}`") for c in keep], F.col(FOUND).alias(into))
+
+
+#: Columns that no table of documents has.
+TEXT, ROW, FOUND = "\x01text", "\x01row", "\x01found"
+
+
+def searched(index, keep: list[str], into: str, kind: DataType):
+    """Batches of ``keep`` and the text -> ``keep`` and the finds of one block's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items_type = pa.list_(to_arrow_type(kind))
+        finds = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", items_type)])
+        for batch in batches:
+            out = []
+            for own in texts_of(batch.column(len(keep))):
+                w = words_in(own)
+                spans, items = index.value.find(w)
+                out.append({"n_words": len(w), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(items, key=str)})
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(len(keep))), pa.array(out, finds)], [*keep, into])
 
-    def search(index, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            for batch in batches:
-                earlier = batch.column(batch.num_columns - 1)
-                out = []
-                for i, own in enumerate(texts_of(batch.column(len(keep)))):
-                    w = words_in(own)
-                    spans, items = index.value.find(w)
-                    if earlier[i].is_valid and (old := earlier[i].as_py())["items"]:
-                        spans, items = union_of(spans, [(x["start"], x["stop"]) for x in old["spans"]]), items | set(old["items"])
-                    out.append({"n_words": len(w), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(items, key=str)})
-                items_type = pa.list_(earlier.type.field("items").type.value_type)
-                fields = [("n_words", pa.int64()), ("spans", spans_type), ("items", items_type)]
-                found = pa.array(out, pa.struct(fields if last else fields[1:]))
-                columns = [batch.column(j) for j in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, found] if last else [*columns, batch.column(len(keep)), found], [*keep, into] if last else names)
-
-        return run
-
-    def schema_of(last: bool) -> str:
-        own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-        return ", ".join(x for x in (own, "" if last else "`\x01text` string", f"`{into}` {found_type if last else before}") if x)
-
-    for k, index in enumerate(indexes):
-        slim = slim.mapInArrow(search(index, k == blocks - 1), schema_of(k == blocks - 1))
-        if k < blocks - 1:
-            slim = stored(slim)  # each block's search ends before the next one's begins
-    return slim
-
-
-def union_of(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans covered by either list, merged."""
-    out: list[tuple[int, int]] = []
-    for x, y in sorted([*a, *b]):
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
+    return run
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
