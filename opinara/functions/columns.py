@@ -14,7 +14,9 @@ def clean_minimal(text: Column) -> Column:
 
 def clean_bag(text: Column, stop: list[str], lemmas: dict[str, str] | None = None) -> Column:
     """Lower case, letters a-z only, stop words dropped, lemmas looked up, joined by spaces; null becomes ''."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", " "), " "), lambda w: w != "")
+    words = F.filter(
+        F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", " "), " "), lambda w: w != ""
+    )
     if stop:
         words = F.filter(words, lambda w: ~w.isin(stop))
     if lemmas:
@@ -26,7 +28,9 @@ def clean_bag(text: Column, stop: list[str], lemmas: dict[str, str] | None = Non
 def sentences(text: Column, shortest: int = 3) -> Column:
     """Cut after . ! or ? and white space; sentences of fewer than ``shortest`` characters are dropped; null has none."""
     cut = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) >= shortest)
+    return F.filter(
+        F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) >= shortest
+    )
 
 
 def holds_any(sentence: Column, keywords: list[str]) -> Column:

@@ -32,13 +32,22 @@ def matches(reviews: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFra
 
     found = F.array(*[own(a, k) for a, k in lexicon.items()])
     each = cut.select("review_id", F.explode(F.filter(found, lambda x: F.size(x["own"]) > 0)).alias("m"))
-    return each.select("review_id", "m.aspect", F.array_join("m.own", " ").alias("text"), F.size("m.own").alias("n_sentences"))
+    return each.select(
+        "review_id", "m.aspect", F.array_join("m.own", " ").alias("text"), F.size("m.own").alias("n_sentences")
+    )
 
 
-def long_scores(reviews: DataFrame, lexicon: Lexicon, scorer: Callable[[Column], Column], text: str = "text") -> DataFrame:
+def long_scores(
+    reviews: DataFrame, lexicon: Lexicon, scorer: Callable[[Column], Column], text: str = "text"
+) -> DataFrame:
     """(review_id, aspect, score, n_sentences): the matched aspects, and the whole text as aspect null."""
-    whole = reviews.select("review_id", F.lit(None).cast("string").alias("aspect"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(0).alias("n_sentences"))
-    return matches(reviews, lexicon, text).unionByName(whole).select("review_id", "aspect", scorer(F.col("text")).alias("score"), "n_sentences")
+    whole = reviews.select(
+        "review_id", F.lit(None).cast("string").alias("aspect"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.lit(0).alias("n_sentences")
+    )
+    return matches(reviews, lexicon, text).unionByName(whole).select(
+        "review_id", "aspect", scorer(F.col("text")).alias("score"), "n_sentences"
+    )
 
 
 def _fallback() -> Column:
@@ -47,13 +56,17 @@ def _fallback() -> Column:
 
 def mean_score(scores: DataFrame) -> DataFrame:
     """Mean over matched aspects; the whole text's score if none matched."""
-    return scores.groupBy("review_id").agg(F.coalesce(F.avg(F.when(F.col("aspect").isNotNull(), F.col("score"))), _fallback()).alias("sentiment_score"))
+    return scores.groupBy("review_id").agg(
+        F.coalesce(F.avg(F.when(F.col("aspect").isNotNull(), F.col("score"))), _fallback()).alias("sentiment_score")
+    )
 
 
 def confidence_mean(scores: DataFrame, floor: float = 0.05) -> DataFrame:
     """Mean weighted by confidence, not below floor; without a match the whole text's score."""
     c = F.when(F.col("aspect").isNotNull(), confidence(F.col("score"), F.col("n_sentences"), floor))
-    return scores.groupBy("review_id").agg(F.coalesce(F.try_divide(F.sum(c * F.col("score")), F.sum(c)), _fallback()).alias("sentiment_score"))
+    return scores.groupBy("review_id").agg(
+        F.coalesce(F.try_divide(F.sum(c * F.col("score")), F.sum(c)), _fallback()).alias("sentiment_score")
+    )
 
 
 def per_aspect(scores: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -64,13 +77,24 @@ def per_aspect(scores: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def per_aspect_confidence(scores: DataFrame, lexicon: Lexicon, floor: float | None = None) -> DataFrame:
     """Scores as above and ``{aspect}_confidence``; an unmatched aspect has the whole text's margin and no evidence."""
-    wide = scores.groupBy("review_id").agg(*[F.coalesce(F.max(F.when(F.col("aspect") == a, F.col("score"))), _fallback()).alias(a) for a in lexicon], *[F.coalesce(F.max(F.when(F.col("aspect") == a, F.col("n_sentences"))), F.lit(0)).alias(f"_n_{a}") for a in lexicon])
-    return wide.withColumns({f"{a}_confidence": confidence(F.col(a), F.col(f"_n_{a}"), floor) for a in lexicon}).drop(*[f"_n_{a}" for a in lexicon])
+    wide = scores.groupBy("review_id").agg(
+        *[F.coalesce(F.max(F.when(F.col("aspect") == a, F.col("score"))), _fallback()).alias(a) for a in lexicon],
+        *[
+            F.coalesce(
+                F.max(F.when(F.col("aspect") == a, F.col("n_sentences"))), F.lit(0)
+            ).alias(f"_n_{a}") for a in lexicon
+        ]
+    )
+    return wide.withColumns(
+        {f"{a}_confidence": confidence(F.col(a), F.col(f"_n_{a}"), floor) for a in lexicon}
+    ).drop(*[f"_n_{a}" for a in lexicon])
 
 
 def evidence_counts(reviews: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """Matched sentences of every review per aspect, 0 where none."""
-    found = matches(reviews, lexicon, text).groupBy("review_id").agg(*[F.coalesce(F.max(F.when(F.col("aspect") == a, F.col("n_sentences"))), F.lit(0)).alias(a) for a in lexicon])
+    found = matches(reviews, lexicon, text).groupBy("review_id").agg(
+        *[F.coalesce(F.max(F.when(F.col("aspect") == a, F.col("n_sentences"))), F.lit(0)).alias(a) for a in lexicon]
+    )
     return reviews.select("review_id").join(found, "review_id", "left").fillna(0, list(lexicon))
 
 
@@ -78,8 +102,12 @@ def coverage(reviews: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFr
     """(aspect, reviews, percent): reviews that match each aspect, and any of them."""
     m = matches(reviews, lexicon, text)
     total = reviews.agg(F.count(F.lit(1)).alias("total"))
-    each = m.groupBy("aspect").agg(F.countDistinct("review_id").alias("reviews")).unionByName(m.agg(F.lit("any").alias("aspect"), F.countDistinct("review_id").alias("reviews")))
-    return each.crossJoin(F.broadcast(total)).select("aspect", "reviews", (F.try_divide(F.col("reviews"), F.col("total")) * 100).alias("percent"))
+    each = m.groupBy("aspect").agg(F.countDistinct("review_id").alias("reviews")).unionByName(
+        m.agg(F.lit("any").alias("aspect"), F.countDistinct("review_id").alias("reviews"))
+    )
+    return each.crossJoin(F.broadcast(total)).select(
+        "aspect", "reviews", (F.try_divide(F.col("reviews"), F.col("total")) * 100).alias("percent")
+    )
 
 
 def derived_sentiment(wide: DataFrame, aspects: list[str], into: str = "sentiment_score") -> DataFrame:
@@ -88,7 +116,10 @@ def derived_sentiment(wide: DataFrame, aspects: list[str], into: str = "sentimen
 
 def fusion_columns(mode: str, aspects: list[str]) -> list[str]:
     """Which columns a fusion takes: one score, the aspects, or the aspects and their confidences."""
-    kinds = {"mean": ["sentiment_score"], "confidence_mean": ["sentiment_score"], "concat": list(aspects), "concat_confidence": [*aspects, *(f"{a}_confidence" for a in aspects)]}
+    kinds = {
+        "mean": ["sentiment_score"], "confidence_mean": ["sentiment_score"], "concat": list(aspects),
+        "concat_confidence": [*aspects, *(f"{a}_confidence" for a in aspects)]
+    }
     if mode not in kinds:
         raise ValueError(f"unknown mode {mode}")
     return kinds[mode]

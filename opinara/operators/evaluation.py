@@ -18,29 +18,40 @@ def squared_errors(predictions: DataFrame) -> DataFrame:
 
 def rmse_mae(predictions: DataFrame, by: list[str] = RUN) -> DataFrame:
     d = F.col("y_true") - F.col("y_pred")
-    return predictions.groupBy(*by).agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.count(F.lit(1)).alias("n"))
+    return predictions.groupBy(*by).agg(
+        F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def rmse_sanity(metrics: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
     """verdict: suspicious_low below 5 % of the scale, suspicious_high above 50 %, else ok."""
     share = F.col("rmse") / (high - low)
-    return metrics.withColumn("verdict", F.when(share < 0.05, "suspicious_low").when(share > 0.5, "suspicious_high").otherwise("ok"))
+    return metrics.withColumn(
+        "verdict", F.when(share < 0.05, "suspicious_low").when(share > 0.5, "suspicious_high").otherwise("ok")
+    )
 
 
 def stream_diagnostics(long: DataFrame, flat: float = 1e-6) -> DataFrame:
     """Per stream: min, max, mean, population std, distinct values, rows, and whether it is flat. long: (stream, value)."""
-    out = long.groupBy("stream").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.countDistinct("value").alias("n_unique"), F.count("value").alias("n"))
+    out = long.groupBy("stream").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("std"), F.countDistinct("value").alias("n_unique"), F.count("value").alias("n")
+    )
     return out.withColumn("is_flat", F.col("std") < flat)
 
 
 def collapse_flags(predictions: DataFrame, limit: float = 1e-3) -> DataFrame:
     """Per run: std, mean, distinct predictions, and collapsed if the std is below the limit."""
-    out = predictions.groupBy(*RUN).agg(F.stddev_pop("y_pred").alias("std"), F.avg("y_pred").alias("mean"), F.countDistinct("y_pred").alias("n_unique"))
+    out = predictions.groupBy(*RUN).agg(
+        F.stddev_pop("y_pred").alias("std"), F.avg("y_pred").alias("mean"), F.countDistinct("y_pred").alias("n_unique")
+    )
     return out.withColumn("collapsed", F.col("std") < limit)
 
 
 def collapse_summary(flags: DataFrame) -> DataFrame:
-    return flags.groupBy("model", "domain").agg(F.count_if("collapsed").alias("n_collapsed"), F.count(F.lit(1)).alias("n_seeds"))
+    return flags.groupBy("model", "domain").agg(
+        F.count_if("collapsed").alias("n_collapsed"), F.count(F.lit(1)).alias("n_seeds")
+    )
 
 
 def ranked(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -50,7 +61,9 @@ def ranked(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def ranking_metrics(scored: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 10, 20), by: list[str] = RUN) -> DataFrame:
+def ranking_metrics(
+    scored: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 10, 20), by: list[str] = RUN
+) -> DataFrame:
     """Per group and K: mean precision, recall and NDCG over users with relevant items.
 
     Precision divides by K, recall by all relevant items; the ideal DCG has min(relevant, K) terms.
@@ -58,18 +71,31 @@ def ranking_metrics(scored: DataFrame, relevant: DataFrame, ks: tuple[int, ...]
     top = ranked(scored, max(ks), by)
     wanted = relevant.select(*by, "user_id", "business_id").distinct()
     sizes = wanted.groupBy(*by, "user_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    hits = top.join(wanted, [*by, "user_id", "business_id"], "left_semi").groupBy(*by, "user_id").agg(F.collect_list("rank").alias("ranks"))  # max(ks) at most
+    hits = top.join(  # max(ks) at most
+        wanted, [*by, "user_id", "business_id"], "left_semi"
+    ).groupBy(*by, "user_id").agg(F.collect_list("rank").alias("ranks"))
     per_user = sizes.join(hits, [*by, "user_id"], "left").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     own = F.filter(F.coalesce("ranks", F.array().cast("array<int>")), lambda r: r <= F.col("k"))
     dcg = F.aggregate(own, F.lit(0.0), lambda s, r: s + 1 / F.log2(r + F.lit(1)))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", "k").cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + F.lit(1)))
-    user = per_user.select(*by, "k", (F.size(own) / F.col("k")).alias("p"), (F.size(own) / F.col("n_rel")).alias("r"), (dcg / ideal).alias("g"))
-    return user.groupBy(*by, "k").agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("g").alias("ndcg"), F.count(F.lit(1)).alias("users"))
+    ideal = F.aggregate(
+        F.sequence(F.lit(1), F.least("n_rel", "k").cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + F.lit(1))
+    )
+    user = per_user.select(
+        *by, "k", (F.size(own) / F.col("k")).alias("p"), (F.size(own) / F.col("n_rel")).alias("r"),
+        (dcg / ideal).alias("g")
+    )
+    return user.groupBy(*by, "k").agg(
+        F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("g").alias("ndcg"),
+        F.count(F.lit(1)).alias("users")
+    )
 
 
 def multi_seed(metrics: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and sample standard deviation over seeds of each metric; one seed has no deviation."""
-    return metrics.groupBy("model", "domain").agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))], F.count(F.lit(1)).alias("n_seeds"))
+    return metrics.groupBy("model", "domain").agg(
+        *[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))],
+        F.count(F.lit(1)).alias("n_seeds")
+    )
 
 
 def results_pivot(metrics: DataFrame, domains: list[str], value: str = "rmse") -> DataFrame:
@@ -79,15 +105,28 @@ def results_pivot(metrics: DataFrame, domains: list[str], value: str = "rmse") -
 def stability(metrics: DataFrame, value: str = "rmse", seeds: int = 5) -> DataFrame:
     """For groups of exactly ``seeds`` runs: std, the seed farthest from the mean (the least such), std without it, factor."""
     g = Window.partitionBy("model", "domain")
-    z = metrics.select("model", "domain", "seed", F.col(value).alias("x"), F.count(F.lit(1)).over(g).alias("n"), F.avg(value).over(g).alias("m"), F.stddev_samp(value).over(g).alias("sd")).filter(F.col("n") == seeds)
+    z = metrics.select(
+        "model", "domain", "seed", F.col(value).alias("x"), F.count(F.lit(1)).over(g).alias("n"),
+        F.avg(value).over(g).alias("m"), F.stddev_samp(value).over(g).alias("sd")
+    ).filter(F.col("n") == seeds)
     z = z.withColumn("far", F.row_number().over(g.orderBy(F.desc(F.round(F.abs(F.col("x") - F.col("m")), 9)), "seed")))
-    out = z.groupBy("model", "domain").agg(F.first("sd").alias("std"), F.max(F.when(F.col("far") == 1, F.col("seed"))).alias("extreme_seed"), F.stddev_samp(F.when(F.col("far") > 1, F.col("x"))).alias("std_without"))
+    out = z.groupBy("model", "domain").agg(
+        F.first("sd").alias("std"), F.max(F.when(F.col("far") == 1, F.col("seed"))).alias("extreme_seed"),
+        F.stddev_samp(F.when(F.col("far") > 1, F.col("x"))).alias("std_without")
+    )
     return out.withColumn("reduction", F.try_divide(F.col("std"), F.col("std_without")))
 
 
 def baseline_versus(metrics_mean: DataFrame, baseline: str, model: str) -> DataFrame:
     """Per domain: RMSE and MAE change of model against baseline in per cent, and the ratio of their deviations."""
-    a = metrics_mean.filter(F.col("model") == baseline).select("domain", F.col("rmse_mean").alias("ar"), F.col("mae_mean").alias("am"), F.col("rmse_std").alias("asd"))
-    b = metrics_mean.filter(F.col("model") == model).select("domain", F.col("rmse_mean").alias("br"), F.col("mae_mean").alias("bm"), F.col("rmse_std").alias("bsd"))
+    a = metrics_mean.filter(F.col("model") == baseline).select(
+        "domain", F.col("rmse_mean").alias("ar"), F.col("mae_mean").alias("am"), F.col("rmse_std").alias("asd")
+    )
+    b = metrics_mean.filter(F.col("model") == model).select(
+        "domain", F.col("rmse_mean").alias("br"), F.col("mae_mean").alias("bm"), F.col("rmse_std").alias("bsd")
+    )
     pct = lambda x, y: (F.col(x) - F.col(y)) / F.col(x) * 100
-    return a.join(b, "domain").select("domain", pct("ar", "br").alias("rmse_reduction"), pct("am", "bm").alias("mae_reduction"), F.try_divide(F.col("asd"), F.col("bsd")).alias("std_ratio"))
+    return a.join(b, "domain").select(
+        "domain", pct("ar", "br").alias("rmse_reduction"), pct("am", "bm").alias("mae_reduction"),
+        F.try_divide(F.col("asd"), F.col("bsd")).alias("std_ratio")
+    )

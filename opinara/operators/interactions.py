@@ -13,7 +13,10 @@ from ..shared import stored
 
 REQUIRED = ["review_id", "user_id", "business_id", "text", "stars", "date"]
 #: Optional business columns and their types.
-OPTIONAL = {"business_categories": "array<string>", "business_stars": "double", "business_city": "string", "business_review_count": "bigint", "reviewer_review_count": "bigint", "reviewer_average_stars": "double"}
+OPTIONAL = {
+    "business_categories": "array<string>", "business_stars": "double", "business_city": "string",
+    "business_review_count": "bigint", "reviewer_review_count": "bigint", "reviewer_average_stars": "double"
+}
 
 
 def require_columns(df: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
@@ -36,24 +39,45 @@ def schema_report(df: DataFrame, expected: list[str] = REQUIRED) -> DataFrame:
     nulls = {c: F.count_if(F.col(f"`{c}`").isNull()) if c in own else F.lit(None).cast("bigint") for c in names}
     status = {c: "missing" if c not in own else "present" if c in expected else "extra" for c in names}
     counted = df.agg(*[nulls[c].alias(f"n{k}") for k, c in enumerate(names)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(own.get(c)).cast("string").alias("type"), F.lit(status[c]).alias("status"), F.col(f"n{k}").alias("n_null")) for k, c in enumerate(names)])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"), F.lit(own.get(c)).cast("string").alias("type"),
+                F.lit(status[c]).alias("status"), F.col(f"n{k}").alias("n_null")
+            ) for k,
+            c in enumerate(names)
+        ]
+    )
     return counted.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def reject_reason(text: str = "text", rating: str = "stars", user: str = "user_id", item: str = "business_id", low: float = 1, high: float = 5) -> Column:
+def reject_reason(
+    text: str = "text", rating: str = "stars", user: str = "user_id", item: str = "business_id", low: float = 1,
+    high: float = 5
+) -> Column:
     """Why a row is dropped, null if it stays: the first of no_text, no_user, no_item, bad_rating."""
     stars = F.expr(f"try_cast(`{rating}` AS DOUBLE)")
-    return F.when(F.col(text).isNull() | ~F.col(text).rlike(r"\S"), "no_text").when(F.col(user).isNull(), "no_user").when(F.col(item).isNull(), "no_item").when(stars.isNull() | ~stars.between(low, high), "bad_rating")
+    return F.when(
+        F.col(text).isNull() | ~F.col(text).rlike(r"\S"), "no_text"
+    ).when(F.col(user).isNull(), "no_user").when(F.col(item).isNull(), "no_item").when(
+        stars.isNull() | ~stars.between(low, high), "bad_rating"
+    )
 
 
-def basic_clean(df: DataFrame, text: str = "text", rating: str = "stars", user: str = "user_id", item: str = "business_id") -> DataFrame:
+def basic_clean(
+    df: DataFrame, text: str = "text", rating: str = "stars", user: str = "user_id", item: str = "business_id"
+) -> DataFrame:
     """Drops rows with a null or blank text, null user, item or rating, or a rating that is no number in [1, 5]."""
-    return df.filter(reject_reason(text, rating, user, item).isNull()).withColumn(rating, F.expr(f"try_cast(`{rating}` AS DOUBLE)"))
+    return df.filter(reject_reason(text, rating, user, item).isNull()).withColumn(
+        rating, F.expr(f"try_cast(`{rating}` AS DOUBLE)")
+    )
 
 
 def count_rejects(df: DataFrame, reason: Column) -> DataFrame:
     """(reason, rows) of the dropped rows."""
-    return df.select(reason.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    return df.select(reason.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
 
 
 def domain_filter(df: DataFrame, keywords: list[str], column: str = "business_categories") -> DataFrame:
@@ -76,7 +100,11 @@ def kcore(df: DataFrame, min_user: int, min_item: int, user: str = "user_id", it
     Each pass counts both sides of the same input, and only the (user, item, rows) triples go round; the rows themselves
     are filtered once at the end. Null users or items are dropped.
     """
-    pairs = stored(df.groupBy(F.col(user).alias("u"), F.col(item).alias("i")).agg(F.count(F.lit(1)).alias("n")).dropna(subset=["u", "i"]))
+    pairs = stored(
+        df.groupBy(
+            F.col(user).alias("u"), F.col(item).alias("i")
+        ).agg(F.count(F.lit(1)).alias("n")).dropna(subset=["u", "i"])
+    )
     left = pairs.agg(F.sum("n")).first()[0] or 0
     while True:
         users = pairs.groupBy("u").agg(F.sum("n").alias("c")).filter(F.col("c") >= min_user).select("u")
@@ -86,10 +114,14 @@ def kcore(df: DataFrame, min_user: int, min_item: int, user: str = "user_id", it
         if now == left:
             break
         left = now
-    return df.join(pairs.select(F.col("u").alias(user), F.col("i").alias(item)), [user, item], "left_semi").select(df.columns)
+    return df.join(
+        pairs.select(F.col("u").alias(user), F.col("i").alias(item)), [user, item], "left_semi"
+    ).select(df.columns)
 
 
-def minimum_both(df: DataFrame, min_user: int, min_item: int, user: str = "user_id", item: str = "business_id") -> DataFrame:
+def minimum_both(
+    df: DataFrame, min_user: int, min_item: int, user: str = "user_id", item: str = "business_id"
+) -> DataFrame:
     """One pass of the above: rows whose user and item both have enough rows."""
     users = df.groupBy(user).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_user)
     items = df.groupBy(item).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_item)
@@ -99,14 +131,21 @@ def minimum_both(df: DataFrame, min_user: int, min_item: int, user: str = "user_
 def dataset_stats(df: DataFrame) -> DataFrame:
     """One row: n_reviews, n_users, n_items, sparsity (null if there are no users or items), rating_min, _max and _mean."""
     n, u, i = F.count(F.lit(1)), F.countDistinct("user_id"), F.countDistinct("business_id")
-    return df.agg(n.alias("n_reviews"), u.alias("n_users"), i.alias("n_items"), (1 - F.try_divide(n.cast("double"), (u * i).cast("double"))).alias("sparsity"), F.min("stars").alias("rating_min"), F.max("stars").alias("rating_max"), F.avg("stars").alias("rating_mean"))
+    return df.agg(
+        n.alias("n_reviews"), u.alias("n_users"), i.alias("n_items"),
+        (1 - F.try_divide(n.cast("double"), (u * i).cast("double"))).alias("sparsity"),
+        F.min("stars").alias("rating_min"), F.max("stars").alias("rating_max"), F.avg("stars").alias("rating_mean")
+    )
 
 
 def rating_distribution(df: DataFrame) -> DataFrame:
     return df.groupBy("stars").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def user_places(df: DataFrame, user: str = "user_id", date: str = "date", key: str = "review_id", into: str = "place", count_into: str | None = None) -> DataFrame:
+def user_places(
+    df: DataFrame, user: str = "user_id", date: str = "date", key: str = "review_id", into: str = "place",
+    count_into: str | None = None
+) -> DataFrame:
     """Adds each row's place, from 1, in its user's order of (date, key), and the user's number of rows.
 
     Places are counted per (user, date) and offset by the earlier dates' counts, so that one user's rows need not meet. Rows
@@ -114,12 +153,23 @@ def user_places(df: DataFrame, user: str = "user_id", date: str = "date", key: s
     """
     days = df.groupBy(user, date).agg(F.count(F.lit(1)).alias("_day"))
     by_user = Window.partitionBy(user)
-    days = days.select(user, date, (F.sum("_day").over(by_user.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_day")).alias("_before"), F.sum("_day").over(by_user).alias("_all"))
-    out = df.join(days, [user, date]).withColumn(into, F.col("_before") + F.row_number().over(Window.partitionBy(user, date).orderBy(key)))
+    days = days.select(
+        user, date,
+        (
+            F.sum("_day").over(by_user.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_day")
+        ).alias("_before"),
+        F.sum("_day").over(by_user).alias("_all")
+    )
+    out = df.join(days, [user, date]).withColumn(
+        into, F.col("_before") + F.row_number().over(Window.partitionBy(user, date).orderBy(key))
+    )
     return (out.withColumn(count_into, F.col("_all")) if count_into else out).drop("_before", "_all")
 
 
-def temporal_split(df: DataFrame, train: float = 0.8, val: float = 0.1, hold_out_cold: bool = True, user: str = "user_id", date: str = "date", key: str = "review_id") -> DataFrame:
+def temporal_split(
+    df: DataFrame, train: float = 0.8, val: float = 0.1, hold_out_cold: bool = True, user: str = "user_id",
+    date: str = "date", key: str = "review_id"
+) -> DataFrame:
     """Adds ``split``: per user, in the order of (date, key), first train, then val, then test.
 
     Users with fewer than three rows are cold_start (or train). Rows without a user or a date are dropped before counting.
@@ -131,7 +181,9 @@ def temporal_split(df: DataFrame, train: float = 0.8, val: float = 0.1, hold_out
     nt0 = F.greatest(F.lit(1), F.bround(n * F.lit(train)))
     nv = F.when(n - nt0 > 1, F.greatest(F.lit(1), F.bround(n * F.lit(val)))).otherwise(0)
     nt = F.least(nt0, n - 1)
-    split = F.when(n < 3, "cold_start" if hold_out_cold else "train").when(rn <= nt, "train").when((nv > 0) & (n - nt > nv) & (rn <= nt + nv), "val").otherwise("test")
+    split = F.when(
+        n < 3, "cold_start" if hold_out_cold else "train"
+    ).when(rn <= nt, "train").when((nv > 0) & (n - nt > nv) & (rn <= nt + nv), "val").otherwise("test")
     return placed.withColumn("split", split).drop("_n", "_rn")
 
 
@@ -141,7 +193,10 @@ SPLITS = ["train", "val", "test", "cold_start"]
 def split_summary(df: DataFrame) -> DataFrame:
     """rows, users, items and mean stars of each of the four parts, 0 and null for empty ones."""
     names = df.sparkSession.sql("SELECT explode(array('train', 'val', 'test', 'cold_start')) AS split")
-    found = df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users"), F.countDistinct("business_id").alias("items"), F.avg("stars").alias("mean_stars"))
+    found = df.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users"),
+        F.countDistinct("business_id").alias("items"), F.avg("stars").alias("mean_stars")
+    )
     return names.join(found, "split", "left").fillna(0, ["rows", "users", "items"])
 
 
@@ -160,7 +215,9 @@ def disambiguate(df: DataFrame, base: list[str], order: list[str], into: str = "
     """Key of the base columns joined by '::'; the n-th row of the same base, by order, gets '::n'."""
     key = F.concat_ws("::", *[F.col(c).cast("string") for c in base])
     k = F.row_number().over(Window.partitionBy(*base).orderBy(*order))
-    return df.withColumn("_k", k).withColumn(into, F.when(F.col("_k") == 1, key).otherwise(F.concat_ws("::", key, F.col("_k").cast("string")))).drop("_k")
+    return df.withColumn("_k", k).withColumn(
+        into, F.when(F.col("_k") == 1, key).otherwise(F.concat_ws("::", key, F.col("_k").cast("string")))
+    ).drop("_k")
 
 
 def drawn(key: str, seed: int) -> Column:
@@ -173,11 +230,19 @@ def running_sample(df: DataFrame, n_rows: int, seed: int = 42, user: str = "user
     A running total needs an order over all users; it is taken in two steps, over buckets of the drawn number and then
     within the one bucket where the total crosses.
     """
-    users = stored(df.groupBy(user).agg(F.count(F.lit(1)).alias("c")).withColumn("draw", drawn(user, seed)).withColumn("part", F.shiftrightunsigned("draw", 54)))
+    users = stored(
+        df.groupBy(user).agg(F.count(F.lit(1)).alias("c")).withColumn("draw", drawn(user, seed)).withColumn(
+            "part", F.shiftrightunsigned("draw", 54)
+        )
+    )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = users.groupBy("part").agg(F.sum("c").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))  # 1024 rows at most
+    parts = users.groupBy("part").agg(F.sum("c").alias("total")).withColumn(  # 1024 rows at most
+        "base", F.coalesce(F.sum("total").over(before), F.lit(0))
+    )
     within = Window.partitionBy("part").orderBy("draw", user).rowsBetween(Window.unboundedPreceding, -1)
-    reached = users.join(F.broadcast(parts.filter(F.col("base") < n_rows)), "part").withColumn("earlier", F.col("base") + F.coalesce(F.sum("c").over(within), F.lit(0)))
+    reached = users.join(F.broadcast(parts.filter(F.col("base") < n_rows)), "part").withColumn(
+        "earlier", F.col("base") + F.coalesce(F.sum("c").over(within), F.lit(0))
+    )
     return df.join(reached.filter(F.col("earlier") < n_rows).select(user), user, "left_semi")
 
 
@@ -202,7 +267,9 @@ def fit_dev_split(df: DataFrame, fraction: float = 0.15, seed: int = 42, key: st
             break
         left -= c
     place = F.row_number().over(Window.partitionBy("_part").orderBy("_d", key))
-    last = rows.filter(bucket == part).select("_d", key, F.lit(part).alias("_part")).withColumn("_rn", place).filter(F.col("_rn") == left).first()
+    last = rows.filter(bucket == part).select(
+        "_d", key, F.lit(part).alias("_part")
+    ).withColumn("_rn", place).filter(F.col("_rn") == left).first()
     tie = F.col(key).isNull() | F.coalesce(F.col(key) <= F.lit(last[key]), F.lit(False))
     dev = (F.col("_d") < last["_d"]) | ((F.col("_d") == last["_d"]) & tie)
     return rows.withColumn("part", F.when(dev, "dev").otherwise("fit")).drop("_d")
@@ -214,7 +281,15 @@ def fold(key: str, k: int, seed: int = 42) -> Column:
 
 def dense_ids(df: DataFrame, column: str) -> DataFrame:
     """(column, id): the distinct values numbered from 0 in their order, by range partitions and their sizes."""
-    values = stored(df.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id()))
-    sizes = values.groupBy("part").agg(F.count(F.lit(1)).alias("c")).withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    values = stored(
+        df.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn(
+            "part", F.spark_partition_id()
+        )
+    )
+    sizes = values.groupBy("part").agg(F.count(F.lit(1)).alias("c")).withColumn(
+        "base", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
     within = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
-    return values.join(F.broadcast(sizes.select("part", "base")), "part").select(column, (F.col("base") + within).alias("id"))
+    return values.join(
+        F.broadcast(sizes.select("part", "base")), "part"
+    ).select(column, (F.col("base") + within).alias("id"))

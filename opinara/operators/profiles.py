@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..shared import stored
 
 
-def history_profile(train: DataFrame, rows: DataFrame, features: list[str], item: str = "business_id", exclude_own: bool = False, count_into: str | None = None) -> DataFrame:
+def history_profile(
+    train: DataFrame, rows: DataFrame, features: list[str], item: str = "business_id", exclude_own: bool = False,
+    count_into: str | None = None
+) -> DataFrame:
     """rows with ``{feature}_history``: the item's mean over train, or the train mean where the item has no other row.
 
     With exclude_own, rows are train rows and each leaves itself out. An unknown item, or one without another row, takes
@@ -19,7 +22,11 @@ def history_profile(train: DataFrame, rows: DataFrame, features: list[str], item
     means = train.agg(*[F.avg(f).alias(f"_g_{f}") for f in features])
     joined = rows.join(sums, item, "left").crossJoin(F.broadcast(means))  # means is one row
     n = F.coalesce(F.col("_n"), F.lit(0)) - (1 if exclude_own else 0)
-    own = {f"{f}_history": F.when(n > 0, (F.col(f"_s_{f}") - (F.col(f) if exclude_own else F.lit(0.0))) / n).otherwise(F.col(f"_g_{f}")) for f in features}
+    own = {
+        f"{f}_history": F.when(
+            n > 0, (F.col(f"_s_{f}") - (F.col(f) if exclude_own else F.lit(0.0))) / n
+        ).otherwise(F.col(f"_g_{f}")) for f in features
+    }
     if count_into:
         own[count_into] = n
     return joined.withColumns(own).drop("_n", *[f"_s_{f}" for f in features], *[f"_g_{f}" for f in features])
@@ -30,21 +37,33 @@ def leave_one_out(train: DataFrame, features: list[str], item: str = "business_i
     return history_profile(train, train, features, item, True, "n_others")
 
 
-def item_profile(train: DataFrame, universe: DataFrame, sentiment: str | None = "sentiment", item: str = "business_id", terms: DataFrame | None = None) -> DataFrame:
+def item_profile(
+    train: DataFrame, universe: DataFrame, sentiment: str | None = "sentiment", item: str = "business_id",
+    terms: DataFrame | None = None
+) -> DataFrame:
     """Every item of the universe with review_count, avg_rating and sentiment_agg (if there is a sentiment) of train.
 
     Cold items take the train means and a count of 0. terms, (review_id, term, tf) of the reviews, adds the item's summed
     term counts as a map ``terms``, empty for cold items; they stand for the joined text, which is never built.
     """
     values = {"avg_rating": "stars"} | ({"sentiment_agg": sentiment} if sentiment else {})
-    known = train.groupBy(item).agg(F.count(F.lit(1)).alias("review_count"), *[F.avg(c).alias(k) for k, c in values.items()])
+    known = train.groupBy(item).agg(
+        F.count(F.lit(1)).alias("review_count"), *[F.avg(c).alias(k) for k, c in values.items()]
+    )
     means = train.agg(*[F.avg(c).alias(f"_{k}") for k, c in values.items()])
     found = universe.select(item).distinct().join(known, item, "left").crossJoin(F.broadcast(means))
-    out = found.select(item, F.coalesce("review_count", F.lit(0)).alias("review_count"), *[F.coalesce(k, f"_{k}").alias(k) for k in values])
+    out = found.select(
+        item, F.coalesce("review_count", F.lit(0)).alias("review_count"),
+        *[F.coalesce(k, f"_{k}").alias(k) for k in values]
+    )
     if terms is None:
         return out
-    summed = item_terms(train, terms, item).groupBy(item).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("terms"))
-    return out.join(summed, item, "left").withColumn("terms", F.coalesce("terms", F.create_map().cast("map<string,bigint>")))
+    summed = item_terms(train, terms, item).groupBy(item).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("terms")
+    )
+    return out.join(summed, item, "left").withColumn(
+        "terms", F.coalesce("terms", F.create_map().cast("map<string,bigint>"))
+    )
 
 
 def item_terms(train: DataFrame, terms: DataFrame, item: str = "business_id", key: str = "review_id") -> DataFrame:
@@ -52,7 +71,9 @@ def item_terms(train: DataFrame, terms: DataFrame, item: str = "business_id", ke
     return terms.join(train.select(key, item), key).groupBy(item, "term").agg(F.sum("tf").alias("tf"))
 
 
-def first_categories(df: DataFrame, item: str = "business_id", column: str = "business_categories", key: str = "review_id") -> DataFrame:
+def first_categories(
+    df: DataFrame, item: str = "business_id", column: str = "business_categories", key: str = "review_id"
+) -> DataFrame:
     """The item's categories in its row of least key."""
     return df.groupBy(item).agg(F.min_by(column, key).alias(column))
 
@@ -77,20 +98,34 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, features: list[str],
     held = centroids.select("cluster", *[F.col(f).alias(f"_c_{f}") for f in features])
     # As many rows as clusters: their number is an argument of the fit, not of the data.
     squares = sum((F.pow(F.col(f) - F.col(f"_c_{f}"), 2) for f in features), F.lit(0.0))
-    near = rows.select(key, *features).crossJoin(F.broadcast(held)).select(key, "cluster", F.sqrt(squares).alias("distance"))
-    return near.groupBy(key).agg(F.min(F.struct(F.round("distance", 9).alias("r"), "cluster", "distance")).alias("m")).select(key, "m.cluster", "m.distance")
+    near = rows.select(key, *features).crossJoin(F.broadcast(held)).select(
+        key, "cluster", F.sqrt(squares).alias("distance")
+    )
+    return near.groupBy(key).agg(
+        F.min(F.struct(F.round("distance", 9).alias("r"), "cluster", "distance")).alias("m")
+    ).select(key, "m.cluster", "m.distance")
 
 
-def cbf_predict(rows: DataFrame, clusters: DataFrame, preference: DataFrame, means: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
+def cbf_predict(
+    rows: DataFrame, clusters: DataFrame, preference: DataFrame, means: DataFrame, low: float = 1.0, high: float = 5.0
+) -> DataFrame:
     """Content prediction and which fallback it took.
 
     Item without cluster: global mean of ``rows``' joined means table (global_avg); no preference: the cluster's mean; else
     low + preference * (high - low) * 0.5 + cluster mean * 0.5; clipped to the scale.
     """
-    joined = rows.join(clusters, "business_id", "left").join(preference, ["user_id", "cluster"], "left").join(means, "cluster", "left")
-    kind = F.when(F.col("cluster").isNull() | F.col("cluster_avg").isNull(), "unknown_item").when(F.col("preference").isNull(), "no_preference").otherwise("none")
-    raw = F.when(kind == "unknown_item", F.col("global_avg")).when(kind == "no_preference", F.col("cluster_avg")).otherwise(low + F.col("preference") * (high - low) * 0.5 + F.col("cluster_avg") * 0.5)
-    return joined.withColumn("fallback_kind", kind).withColumn("prediction", F.least(F.greatest(raw, F.lit(low)), F.lit(high)))
+    joined = rows.join(clusters, "business_id", "left").join(
+        preference, ["user_id", "cluster"], "left"
+    ).join(means, "cluster", "left")
+    kind = F.when(
+        F.col("cluster").isNull() | F.col("cluster_avg").isNull(), "unknown_item"
+    ).when(F.col("preference").isNull(), "no_preference").otherwise("none")
+    raw = F.when(kind == "unknown_item", F.col("global_avg")).when(
+        kind == "no_preference", F.col("cluster_avg")
+    ).otherwise(low + F.col("preference") * (high - low) * 0.5 + F.col("cluster_avg") * 0.5)
+    return joined.withColumn("fallback_kind", kind).withColumn(
+        "prediction", F.least(F.greatest(raw, F.lit(low)), F.lit(high))
+    )
 
 
 def cbf_predict_loo(train: DataFrame, near: DataFrame, preference: DataFrame, means: DataFrame) -> DataFrame:
@@ -99,10 +134,14 @@ def cbf_predict_loo(train: DataFrame, near: DataFrame, preference: DataFrame, me
     near: (review_id, cluster), the centroid nearest to the leave-one-out vector. ``reassigned`` tells whether it differs from
     the item's own, which train carries as ``cluster``.
     """
-    rows = train.join(near.select("review_id", F.col("cluster").alias("near")), "review_id").withColumn("reassigned", F.col("near") != F.col("cluster"))
+    rows = train.join(
+        near.select("review_id", F.col("cluster").alias("near")), "review_id"
+    ).withColumn("reassigned", F.col("near") != F.col("cluster"))
     glob = train.agg(F.avg("stars").alias("global_avg"))
     # Each row brings its own cluster, so the lookup is by review.
-    slim = rows.drop("cluster").withColumnRenamed("business_id", "_item").withColumn("business_id", F.col("review_id")).crossJoin(F.broadcast(glob))
+    slim = rows.drop("cluster").withColumnRenamed("business_id", "_item").withColumn(
+        "business_id", F.col("review_id")
+    ).crossJoin(F.broadcast(glob))
     out = cbf_predict(slim, near.select(F.col("review_id").alias("business_id"), "cluster"), preference, means)
     return out.withColumn("business_id", F.col("_item")).drop("_item")
 
@@ -114,7 +153,9 @@ def reassigned_share(predictions: DataFrame) -> DataFrame:
 
 def fallback_rate(predictions: DataFrame) -> DataFrame:
     found = predictions.groupBy("fallback_kind").agg(F.count(F.lit(1)).alias("rows"))
-    return found.select("fallback_kind", "rows", (F.col("rows") / F.sum("rows").over(Window.partitionBy())).alias("share"))  # a row per kind
+    return found.select(  # a row per kind
+        "fallback_kind", "rows", (F.col("rows") / F.sum("rows").over(Window.partitionBy())).alias("share")
+    )
 
 
 def apply_protocol(rows: DataFrame, train: DataFrame, features: list[str], protocol: str, is_train: bool) -> DataFrame:

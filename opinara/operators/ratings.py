@@ -24,33 +24,63 @@ def mean_ratings(train: DataFrame, user: str = "user_id", item: str = "business_
 #: Similarities of two rating vectors over the raters both have, from n, sums, products and squares.
 SIMILARITIES: dict[str, Callable[[], Column]] = {
     "cosine": lambda: F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")),
-    "pearson": lambda: F.coalesce(F.try_divide(F.col("n") * F.col("xy") - F.col("sx") * F.col("sy"), F.sqrt(F.greatest(F.col("n") * F.col("xx") - F.col("sx") * F.col("sx"), F.lit(0.0))) * F.sqrt(F.greatest(F.col("n") * F.col("yy") - F.col("sy") * F.col("sy"), F.lit(0.0)))), F.lit(0.0)),
+    "pearson": lambda: F.coalesce(
+        F.try_divide(
+            F.col("n") * F.col("xy") - F.col("sx") * F.col("sy"),
+            F.sqrt(
+                F.greatest(F.col("n") * F.col("xx") - F.col("sx") * F.col("sx"), F.lit(0.0))
+            ) * F.sqrt(F.greatest(F.col("n") * F.col("yy") - F.col("sy") * F.col("sy"), F.lit(0.0)))
+        ),
+        F.lit(0.0)
+    ),
     "msd": lambda: 1 / ((F.col("xx") - 2 * F.col("xy") + F.col("yy")) / F.col("n") + 1),
 }
 #: A rater of more items than this has them dealt into cells; only how the work is dealt depends on it.
 HEAVY = 512
 
 
-def item_similarity(ratings: DataFrame, wanted: DataFrame | None = None, kind: str = "cosine", least: int = 1, cell: int = 64) -> DataFrame:
+def item_similarity(
+    ratings: DataFrame, wanted: DataFrame | None = None, kind: str = "cosine", least: int = 1, cell: int = 64
+) -> DataFrame:
     """(i, j, sim): cosine, pearson or msd over the users that rated both, ``least`` at least; wanted restricts j.
 
     Each unordered pair is summed once and then given both ways. A user's items are dealt into cells by hash; pairs of cells
     meet, so a user with very many items is spread over tasks and none is left out. ratings: (u, i, r).
     """
-    heavy = ratings.groupBy("u").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("u", F.lit(True).alias("h"))
-    flagged = ratings.withColumn("w", F.lit(True)) if wanted is None else ratings.join(wanted.select("i", F.lit(True).alias("w")).distinct(), "i", "left").withColumn("w", F.coalesce("w", F.lit(False)))
-    placed = flagged.join(heavy, "u", "left").withColumn("h", F.coalesce("h", F.lit(False))).withColumn("c", F.when(F.col("h"), F.pmod(F.xxhash64("i"), F.lit(cell)).cast("int")).otherwise(0))
+    heavy = ratings.groupBy("u").agg(
+        F.count(F.lit(1)).alias("k")
+    ).filter(F.col("k") > HEAVY).select("u", F.lit(True).alias("h"))
+    flagged = ratings.withColumn("w", F.lit(True)) if wanted is None else ratings.join(
+        wanted.select("i", F.lit(True).alias("w")).distinct(), "i", "left"
+    ).withColumn("w", F.coalesce("w", F.lit(False)))
+    placed = flagged.join(heavy, "u", "left").withColumn("h", F.coalesce("h", F.lit(False))).withColumn(
+        "c", F.when(F.col("h"), F.pmod(F.xxhash64("i"), F.lit(cell)).cast("int")).otherwise(0)
+    )
     # The left side of a pair goes to every cell of its user, the right side stays in its own.
-    a = placed.withColumn("c", F.explode(F.when(F.col("h"), F.sequence(F.lit(0), F.lit(cell - 1))).otherwise(F.array(F.lit(0))))).select("u", "c", "i", F.col("r").alias("x"), F.col("w").alias("wi"))
+    a = placed.withColumn(
+        "c", F.explode(F.when(F.col("h"), F.sequence(F.lit(0), F.lit(cell - 1))).otherwise(F.array(F.lit(0))))
+    ).select("u", "c", "i", F.col("r").alias("x"), F.col("w").alias("wi"))
     b = placed.select("u", "c", F.col("i").alias("j"), F.col("r").alias("y"), F.col("w").alias("wj"))
     both = a.join(b, ["u", "c"]).filter("i < j AND (wi OR wj)")
     products = {"xy": ("x", "y"), "xx": ("x", "x"), "yy": ("y", "y")}
-    sums = both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), *[F.sum(F.col(p) * F.col(q)).alias(k) for k, (p, q) in products.items()], F.first("wi").alias("wi"), F.first("wj").alias("wj"))
-    ways = F.array(F.struct(F.col("i"), F.col("j"), F.col("wj").alias("w")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("wi").alias("w")))
-    return sums.filter(F.col("n") >= least).select(SIMILARITIES[kind]().alias("sim"), F.explode(ways).alias("p")).filter("p.w").select("p.i", "p.j", "sim")
-
-
-def top_neighbours(train: DataFrame, rows: DataFrame, k: int = 40, key: str = "review_id", kind: str = "cosine", user_based: bool = False) -> DataFrame:
+    sums = both.groupBy("i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+        *[F.sum(F.col(p) * F.col(q)).alias(k) for k, (p, q) in products.items()], F.first("wi").alias("wi"),
+        F.first("wj").alias("wj")
+    )
+    ways = F.array(
+        F.struct(F.col("i"), F.col("j"), F.col("wj").alias("w")),
+        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("wi").alias("w"))
+    )
+    return sums.filter(F.col("n") >= least).select(
+        SIMILARITIES[kind]().alias("sim"), F.explode(ways).alias("p")
+    ).filter("p.w").select("p.i", "p.j", "sim")
+
+
+def top_neighbours(
+    train: DataFrame, rows: DataFrame, k: int = 40, key: str = "review_id", kind: str = "cosine",
+    user_based: bool = False
+) -> DataFrame:
     """(key, i, sim, r, rank): the user's k rated items most similar to the row's item, ties by item.
 
     user_based swaps the roles: the k users most similar to the row's user among those who rated its item.
@@ -65,70 +95,107 @@ def top_neighbours(train: DataFrame, rows: DataFrame, k: int = 40, key: str = "r
     return near.select(key, "i", "sim", "r", rank.alias("rank")).filter(F.col("rank") <= k)
 
 
-def item_knn(train: DataFrame, rows: DataFrame, k: int = 40, min_k: int = 1, key: str = "review_id", kind: str = "cosine", user_based: bool = False) -> DataFrame:
+def item_knn(
+    train: DataFrame, rows: DataFrame, k: int = 40, min_k: int = 1, key: str = "review_id", kind: str = "cosine",
+    user_based: bool = False
+) -> DataFrame:
     """rows with prediction and fallback_kind: mean of the ratings of the k most similar items (or users), weighted by
     similarity. Rows with fewer than min_k positive neighbours get the train mean.
     """
     top = top_neighbours(train, rows, k, key, kind, user_based)
-    found = top.groupBy(key).agg(F.sum(F.col("sim") * F.col("r")).alias("sr"), F.sum("sim").alias("s"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_k)
+    found = top.groupBy(key).agg(
+        F.sum(F.col("sim") * F.col("r")).alias("sr"), F.sum("sim").alias("s"), F.count(F.lit(1)).alias("n")
+    ).filter(F.col("n") >= min_k)
     mean = train.agg(F.avg("stars").alias("_mean"))
     out = rows.join(found.select(key, (F.col("sr") / F.col("s")).alias("_p")), key, "left").crossJoin(F.broadcast(mean))
-    return out.withColumn("fallback_kind", F.when(F.col("_p").isNull(), "global_mean").otherwise("none")).withColumn("prediction", F.coalesce("_p", "_mean")).drop("_p", "_mean")
+    return out.withColumn(
+        "fallback_kind", F.when(F.col("_p").isNull(), "global_mean").otherwise("none")
+    ).withColumn("prediction", F.coalesce("_p", "_mean")).drop("_p", "_mean")
 
 
 def bias_means(train: DataFrame, rows: DataFrame, damp_item: float = 10.0, damp_user: float = 15.0) -> DataFrame:
     """rows with baseline = mean + item bias + user bias, each damped towards 0; unknown ones have none."""
     mean = train.agg(F.avg("stars").alias("_m"))
     t = train.select("user_id", "business_id", "stars").crossJoin(F.broadcast(mean))
-    bi = t.groupBy("business_id").agg((F.sum(F.col("stars") - F.col("_m")) / (F.count(F.lit(1)) + damp_item)).alias("_bi"))
-    bu = t.join(bi, "business_id").groupBy("user_id").agg((F.sum(F.col("stars") - F.col("_m") - F.col("_bi")) / (F.count(F.lit(1)) + damp_user)).alias("_bu"))
+    bi = t.groupBy("business_id").agg(
+        (F.sum(F.col("stars") - F.col("_m")) / (F.count(F.lit(1)) + damp_item)).alias("_bi")
+    )
+    bu = t.join(bi, "business_id").groupBy("user_id").agg(
+        (F.sum(F.col("stars") - F.col("_m") - F.col("_bi")) / (F.count(F.lit(1)) + damp_user)).alias("_bu")
+    )
     out = rows.join(bi, "business_id", "left").join(bu, "user_id", "left").crossJoin(F.broadcast(mean))
-    return out.withColumn("baseline", F.col("_m") + F.coalesce("_bi", F.lit(0.0)) + F.coalesce("_bu", F.lit(0.0))).drop("_m", "_bi", "_bu")
+    return out.withColumn(
+        "baseline", F.col("_m") + F.coalesce("_bi", F.lit(0.0)) + F.coalesce("_bu", F.lit(0.0))
+    ).drop("_m", "_bi", "_bu")
 
 
-def als_stream(train: DataFrame, rows: DataFrame, users: DataFrame, items: DataFrame, rank: int = 16, reg: float = 0.1, iterations: int = 8, seed: int = 42, fallback: str = "train_mean", target: str = "stars") -> DataFrame:
+def als_stream(
+    train: DataFrame, rows: DataFrame, users: DataFrame, items: DataFrame, rank: int = 16, reg: float = 0.1,
+    iterations: int = 8, seed: int = 42, fallback: str = "train_mean", target: str = "stars"
+) -> DataFrame:
     """rows with prediction of an ALS model of train; users and items are dense id tables (column, id) of train alone.
 
     Rows of unknown users or items get the train mean, or the scale's midpoint if fallback is midpoint, or 0 if the target
     is what a baseline leaves.
     """
     def ids(df: DataFrame, how: str) -> DataFrame:
-        return df.join(users.withColumnRenamed("id", "_u"), "user_id", how).join(items.withColumnRenamed("id", "_i"), "business_id", how).withColumn("_u", F.col("_u").cast("int")).withColumn("_i", F.col("_i").cast("int"))
-
-    model = ALS(rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="_u", itemCol="_i", ratingCol=target, coldStartStrategy="nan").fit(ids(train, "inner"))
-    mean = F.lit(3.0) if fallback == "midpoint" else F.lit(0.0) if fallback == "baseline" else F.lit(train.agg(F.avg(target)).first()[0])
+        return df.join(users.withColumnRenamed("id", "_u"), "user_id", how).join(
+            items.withColumnRenamed("id", "_i"), "business_id", how
+        ).withColumn("_u", F.col("_u").cast("int")).withColumn("_i", F.col("_i").cast("int"))
+
+    model = ALS(
+        rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="_u", itemCol="_i", ratingCol=target,
+        coldStartStrategy="nan"
+    ).fit(ids(train, "inner"))
+    mean = F.lit(3.0) if fallback == "midpoint" else F.lit(0.0) if fallback == "baseline" else F.lit(
+        train.agg(F.avg(target)).first()[0]
+    )
     raw = ids(rows, "left").fillna(-1, ["_u", "_i"])
     out = model.transform(raw)
     cold = F.isnan("prediction") | F.col("prediction").isNull()
-    return out.withColumn("fallback_kind", F.when(cold, fallback).otherwise("none")).withColumn("prediction", F.when(cold, mean).otherwise(F.col("prediction").cast("double"))).drop("_u", "_i")
+    return out.withColumn("fallback_kind", F.when(cold, fallback).otherwise("none")).withColumn(
+        "prediction", F.when(cold, mean).otherwise(F.col("prediction").cast("double"))
+    ).drop("_u", "_i")
 
 
-def bias_factors(train: DataFrame, rows: DataFrame, users: DataFrame, items: DataFrame, rank: int = 16, reg: float = 0.1, iterations: int = 8, seed: int = 42, low: float = 1.0, high: float = 5.0) -> DataFrame:
+def bias_factors(
+    train: DataFrame, rows: DataFrame, users: DataFrame, items: DataFrame, rank: int = 16, reg: float = 0.1,
+    iterations: int = 8, seed: int = 42, low: float = 1.0, high: float = 5.0
+) -> DataFrame:
     """rows with prediction: bias means, and ALS factors of what they leave of the train ratings; clipped to the scale.
 
     Rows of unknown users or items get the baseline alone; fallback_kind tells.
     """
     left = bias_means(train, train).withColumn("residual", F.col("stars") - F.col("baseline"))
-    out = als_stream(stored(left), bias_means(train, rows), users, items, rank, reg, iterations, seed, "baseline", "residual")
+    out = als_stream(
+        stored(left), bias_means(train, rows), users, items, rank, reg, iterations, seed, "baseline", "residual"
+    )
     raw = F.col("baseline") + F.when(F.col("fallback_kind") == "none", F.col("prediction")).otherwise(0.0)
     return out.withColumn("prediction", F.least(F.greatest(raw, F.lit(low)), F.lit(high)))
 
 
-def als_selected(train: DataFrame, val: DataFrame, rows: DataFrame, users: DataFrame, items: DataFrame, settings: list[dict], **fixed) -> tuple[DataFrame, dict, float]:
+def als_selected(
+    train: DataFrame, val: DataFrame, rows: DataFrame, users: DataFrame, items: DataFrame, settings: list[dict], **fixed
+) -> tuple[DataFrame, dict, float]:
     """als_stream of the settings with the least RMSE on val (the first on ties); with them, and that RMSE.
 
     Every candidate is fitted on train alone; an empty val leaves the first.
     """
     best = None
     for own in settings:
-        error = als_stream(train, val, users, items, **fixed, **own).agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("stars"), 2)))).first()[0]
+        error = als_stream(train, val, users, items, **fixed, **own).agg(
+            F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("stars"), 2)))
+        ).first()[0]
         error = float("inf") if error is None else float(error)
         if best is None or error < best[1]:
             best = own, error
     return als_stream(train, rows, users, items, **fixed, **best[0]), best[0], best[1]
 
 
-def negative_samples(positives: DataFrame, seen: DataFrame, items: DataFrame, ratio: int = 4, tries: int = 10, seed: int = 42, key: str = "review_id") -> DataFrame:
+def negative_samples(
+    positives: DataFrame, seen: DataFrame, items: DataFrame, ratio: int = 4, tries: int = 10, seed: int = 42,
+    key: str = "review_id"
+) -> DataFrame:
     """(key, user_id, business_id, label 0): ratio drawn items per positive that the user hasn't rated; items: (business_id, id).
 
     An item drawn twice counts by its first draw. ratio + tries are drawn, so a user who has rated nearly all items may get
@@ -137,18 +204,27 @@ def negative_samples(positives: DataFrame, seen: DataFrame, items: DataFrame, ra
     n = items.count()
     draws = positives.select(key, "user_id", F.explode(F.sequence(F.lit(1), F.lit(ratio + tries))).alias("k"))
     drawn = draws.withColumn("id", F.pmod(F.xxhash64(key, "k", F.lit(seed)), F.lit(n))).join(items, "id")
-    unseen = drawn.join(seen.select("user_id", "business_id").distinct(), ["user_id", "business_id"], "left_anti").groupBy(key, "user_id", "business_id").agg(F.min("k").alias("k"))
+    unseen = drawn.join(
+        seen.select("user_id", "business_id").distinct(), ["user_id", "business_id"], "left_anti"
+    ).groupBy(key, "user_id", "business_id").agg(F.min("k").alias("k"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("k"))
-    return unseen.withColumn("rank", rank).filter(F.col("rank") <= ratio).select(key, "user_id", "business_id", F.lit(0).alias("label"))
+    return unseen.withColumn("rank", rank).filter(F.col("rank") <= ratio).select(
+        key, "user_id", "business_id", F.lit(0).alias("label")
+    )
 
 
-def candidate_pool(test: DataFrame, seen: DataFrame, items: DataFrame, per_positive: int = 20, seed: int = 42) -> DataFrame:
+def candidate_pool(
+    test: DataFrame, seen: DataFrame, items: DataFrame, per_positive: int = 20, seed: int = 42
+) -> DataFrame:
     """Test positives (label 1) and sampled unseen items (label 0): ranking candidates that make metrics mean something."""
     pos = test.select("review_id", "user_id", "business_id", F.lit(1).alias("label"))
     return pos.unionByName(negative_samples(test, seen, items, per_positive, 10, seed))
 
 
-def out_of_fold(rows: DataFrame, fit_predict: Callable[[DataFrame, DataFrame], DataFrame], k: int = 5, seed: int = 42, key: str = "review_id") -> DataFrame:
+def out_of_fold(
+    rows: DataFrame, fit_predict: Callable[[DataFrame, DataFrame], DataFrame], k: int = 5, seed: int = 42,
+    key: str = "review_id"
+) -> DataFrame:
     """Each fold predicted by a model of the others: fit_predict(train, rows) -> rows with prediction."""
     folded = stored(rows.withColumn("fold", fold(key, k, seed)))
     out = None
@@ -160,14 +236,28 @@ def out_of_fold(rows: DataFrame, fit_predict: Callable[[DataFrame, DataFrame], D
 
 def sentiment_model(features: int = 1 << 14, reg: float = 0.01) -> Pipeline:
     """Words hashed, weighted by idf, logistic regression; columns text and sentiment_label in."""
-    return Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\s+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol="sentiment_label", regParam=reg)])
+    return Pipeline(
+        stages=[
+            RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\s+"),
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+            IDF(inputCol="_tf", outputCol="_features"),
+            LogisticRegression(featuresCol="_features", labelCol="sentiment_label", regParam=reg)
+        ]
+    )
 
 
 def sentiment_score(model, rows: DataFrame) -> DataFrame:
     """rows with sentiment_score, the probability of label 1; a null text counts as empty."""
     out = model.transform(rows.withColumn("text", F.coalesce("text", F.lit(""))))
-    return out.withColumn("sentiment_score", vector_to_array("probability")[1]).drop("_words", "_tf", "_features", "rawPrediction", "probability", "prediction")
+    return out.withColumn("sentiment_score", vector_to_array("probability")[1]).drop(
+        "_words", "_tf", "_features", "rawPrediction", "probability", "prediction"
+    )
 
 
 def accuracy(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return scored.groupBy(*(by or [])).agg(F.avg(((F.col("sentiment_score") >= 0.5).cast("int") == F.col("sentiment_label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return scored.groupBy(*(by or [])).agg(
+        F.avg(
+            ((F.col("sentiment_score") >= 0.5).cast("int") == F.col("sentiment_label")).cast("double")
+        ).alias("accuracy"),
+        F.count(F.lit(1)).alias("n")
+    )

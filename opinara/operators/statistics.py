@@ -17,14 +17,18 @@ def paired(predictions: DataFrame, model_a: str, models_b: list[str] | None = No
     e = predictions.withColumn("e", F.pow(F.col("y_true") - F.col("y_pred"), 2))
     a = e.filter(F.col("model") == model_a).select("domain", "seed", "review_id", F.col("e").alias("ea"))
     b = e.filter(F.col("model") != model_a) if models_b is None else e.filter(F.col("model").isin(models_b))
-    return b.select(F.col("model").alias("model_b"), "domain", "seed", "review_id", F.col("e").alias("eb")).join(a, ["domain", "seed", "review_id"]).withColumn("d", F.col("ea") - F.col("eb"))
+    return b.select(
+        F.col("model").alias("model_b"), "domain", "seed", "review_id", F.col("e").alias("eb")
+    ).join(a, ["domain", "seed", "review_id"]).withColumn("d", F.col("ea") - F.col("eb"))
 
 
 def pair_counts(predictions: DataFrame, model_a: str) -> DataFrame:
     """Rows of a, of b and of both; unequal where they differ."""
     n = predictions.groupBy("model", "domain", "seed").agg(F.count(F.lit(1)).alias("n"))
     a = n.filter(F.col("model") == model_a).select("domain", "seed", F.col("n").alias("n_a"))
-    b = n.filter(F.col("model") != model_a).select(F.col("model").alias("model_b"), "domain", "seed", F.col("n").alias("n_b"))
+    b = n.filter(F.col("model") != model_a).select(
+        F.col("model").alias("model_b"), "domain", "seed", F.col("n").alias("n_b")
+    )
     both = paired(predictions, model_a).groupBy("model_b", "domain", "seed").agg(F.count(F.lit(1)).alias("n_both"))
     out = b.join(a, ["domain", "seed"]).join(both, ["model_b", "domain", "seed"], "left").fillna(0, ["n_both"])
     return out.withColumn("unequal", (F.col("n_a") != F.col("n_both")) | (F.col("n_b") != F.col("n_both")))
@@ -40,14 +44,31 @@ def signed_ranks(pairs: DataFrame, digits: int = 9) -> DataFrame:
     prefix sum over at most BUCKETS value ranges, and one within each range.
     """
     d = F.round("d", digits)
-    counts = stored(pairs.filter(d != 0).groupBy(*GROUP, F.abs(d).alias("size")).agg(F.count(F.lit(1)).alias("ties"), F.count_if(d > 0).alias("positive")))
+    counts = stored(
+        pairs.filter(d != 0).groupBy(*GROUP, F.abs(d).alias("size")).agg(
+            F.count(F.lit(1)).alias("ties"), F.count_if(d > 0).alias("positive")
+        )
+    )
     # Ranges by magnitude: the float's leading bits grow with it.
     part = F.floor(F.log2("size") * 16)
     counts = counts.withColumn("part", part)
     parts = counts.groupBy(*GROUP, "part").agg(F.sum("ties").alias("total"))
-    parts = parts.withColumn("base", F.coalesce(F.sum("total").over(Window.partitionBy(*GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
-    within = F.coalesce(F.sum("ties").over(Window.partitionBy(*GROUP, "part").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.join(parts, [*GROUP, "part"]).withColumn("rank", F.col("base") + within + (F.col("ties") + 1) / 2).drop("part", "base")
+    parts = parts.withColumn(
+        "base",
+        F.coalesce(
+            F.sum("total").over(Window.partitionBy(*GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)
+        )
+    ).drop("total")
+    within = F.coalesce(
+        F.sum("ties").over(
+            Window.partitionBy(*GROUP, "part").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+        ),
+        F.lit(0)
+    )
+    return counts.join(parts, [*GROUP, "part"]).withColumn(
+        "rank", F.col("base") + within + (F.col("ties") + 1) / 2
+    ).drop("part", "base")
 
 
 @F.pandas_udf(DoubleType())
@@ -60,7 +81,11 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     approximation with ties corrected. p is null without a non-zero difference; it is computed on the result rows."""
     r = signed_ranks(pairs)
     t, n = F.col("ties"), F.col("n")
-    sums = r.groupBy(*GROUP).agg(F.sum("ties").alias("n"), F.sum(F.col("positive") * F.col("rank")).alias("w_plus"), F.sum((t - F.col("positive")) * F.col("rank")).alias("w_minus"), F.sum(t.cast("double") * t * t - t).alias("tied"))
+    sums = r.groupBy(*GROUP).agg(
+        F.sum("ties").alias("n"), F.sum(F.col("positive") * F.col("rank")).alias("w_plus"),
+        F.sum((t - F.col("positive")) * F.col("rank")).alias("w_minus"),
+        F.sum(t.cast("double") * t * t - t).alias("tied")
+    )
     sums = sums.withColumn("statistic", F.least("w_plus", "w_minus"))
     nd = n.cast("double")
     se = F.sqrt(nd * (nd + 1) * (2 * nd + 1) / 24 - F.col("tied") / 48)
@@ -74,7 +99,10 @@ def _beta_cf(a: float, b: float, x: float) -> float:
     d = 1 / (d if abs(d) > tiny else tiny)
     h = d
     for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+        for num in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        ):
             d = 1 + num * d
             d = 1 / (d if abs(d) > tiny else tiny)
             c = 1 + num / c
@@ -88,7 +116,11 @@ def _beta_cf(a: float, b: float, x: float) -> float:
 def t_two_sided(t: float, df: float) -> float:
     x = df / (df + t * t)
     a, b = df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a * math.log(x) if x > 0 else -math.inf) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
+    front = math.exp(
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (
+            a * math.log(x) if x > 0 else -math.inf
+        ) + b * math.log1p(-x)
+    ) if 0 < x < 1 else 0.0
     if x >= 1:
         return 1.0
     return front * _beta_cf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_cf(b, a, 1 - x) / b
@@ -96,12 +128,17 @@ def t_two_sided(t: float, df: float) -> float:
 
 @F.pandas_udf(DoubleType())
 def _t_p(t: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(x, k - 1) if x == x and x is not None and k > 1 else None for x, k in zip(t, n, strict=True)], dtype="float64")
+    return pd.Series(
+        [t_two_sided(x, k - 1) if x == x and x is not None and k > 1 else None for x, k in zip(t, n, strict=True)],
+        dtype="float64"
+    )
 
 
 def paired_t(pairs: DataFrame) -> DataFrame:
     """t = mean / (sample std / sqrt(n)) per group; p on the result rows; null where the std is 0 or missing."""
-    out = pairs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    out = pairs.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd")
+    )
     out = out.withColumn("t", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt(F.col("n").cast("double"))))
     return out.withColumn("p", _t_p("t", "n"))
 
@@ -114,25 +151,42 @@ def fisher(p: DataFrame, by: list[str], column: str = "p") -> DataFrame:
 
     A p below LEAST_P, or one that is 0 as no double is small enough, counts as LEAST_P; a null p doesn't count.
     """
-    sums = p.filter(F.col(column) >= 0).groupBy(*by).agg((-2 * F.sum(F.log(F.greatest(F.col(column), F.lit(LEAST_P))))).alias("x"), F.count(column).cast("int").alias("m"))
+    sums = p.filter(F.col(column) >= 0).groupBy(*by).agg(
+        (-2 * F.sum(F.log(F.greatest(F.col(column), F.lit(LEAST_P))))).alias("x"),
+        F.count(column).cast("int").alias("m")
+    )
     half = F.col("x") / 2
-    tail = F.aggregate(F.sequence(F.lit(1), F.col("m")), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")), lambda s, i: F.struct((s["term"] * half / i).alias("term"), (s["total"] + s["term"]).alias("total")))["total"]
+    tail = F.aggregate(
+        F.sequence(F.lit(1), F.col("m")), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")), lambda s,
+        i: F.struct((s["term"] * half / i).alias("term"), (s["total"] + s["term"]).alias("total"))
+    )["total"]
     return sums.withColumn("p_combined", F.exp(-half) * tail)
 
 
 def significance_table(predictions: DataFrame, model_a: str) -> DataFrame:
     """model_a against every other model per domain and seed: n, both RMSEs, statistic and p, in one job."""
     pairs = paired(predictions, model_a)
-    errors = pairs.groupBy(*GROUP).agg(F.sqrt(F.avg("ea")).alias("rmse_a"), F.sqrt(F.avg("eb")).alias("rmse_b"), F.count(F.lit(1)).alias("n_pairs"))
-    return errors.join(wilcoxon(pairs).select(*GROUP, "statistic", "p"), GROUP, "left").withColumn("significant", F.coalesce(F.col("p") < 0.05, F.lit(False)))
+    errors = pairs.groupBy(*GROUP).agg(
+        F.sqrt(F.avg("ea")).alias("rmse_a"), F.sqrt(F.avg("eb")).alias("rmse_b"), F.count(F.lit(1)).alias("n_pairs")
+    )
+    return errors.join(
+        wilcoxon(pairs).select(*GROUP, "statistic", "p"), GROUP, "left"
+    ).withColumn("significant", F.coalesce(F.col("p") < 0.05, F.lit(False)))
 
 
 def significance_summary(table: DataFrame) -> DataFrame:
-    return table.groupBy("model_b").agg(F.count_if("significant").alias("n_significant"), F.count(F.lit(1)).alias("n_tests"), F.avg("rmse_a").alias("mean_rmse_a"), F.avg("rmse_b").alias("mean_rmse_b"))
+    return table.groupBy("model_b").agg(
+        F.count_if("significant").alias("n_significant"), F.count(F.lit(1)).alias("n_tests"),
+        F.avg("rmse_a").alias("mean_rmse_a"), F.avg("rmse_b").alias("mean_rmse_b")
+    )
 
 
 def summary_table(metrics_mean: DataFrame, tests: DataFrame, reference: str) -> DataFrame:
     """Per model and domain: RMSE mean and std, significant seeds and combined p; blank for the reference itself."""
-    counts = tests.groupBy(F.col("model_b").alias("model"), "domain").agg(F.count_if("significant").alias("n_significant"))
+    counts = tests.groupBy(F.col("model_b").alias("model"), "domain").agg(
+        F.count_if("significant").alias("n_significant")
+    )
     combined = fisher(tests, ["model_b", "domain"]).select(F.col("model_b").alias("model"), "domain", "p_combined")
-    return metrics_mean.join(counts, ["model", "domain"], "left").join(combined, ["model", "domain"], "left").withColumn("is_reference", F.col("model") == reference)
+    return metrics_mean.join(counts, ["model", "domain"], "left").join(
+        combined, ["model", "domain"], "left"
+    ).withColumn("is_reference", F.col("model") == reference)

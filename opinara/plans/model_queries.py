@@ -44,7 +44,9 @@ SELECT e.review_id, CASE WHEN p IS NULL THEN 'global_mean' ELSE 'none' END AS fa
 
 def _knn(spark, sf, kind, user_based=False):
     train, _, test = _parts(spark, sf)
-    return R.item_knn(train, test, kind=kind, user_based=user_based).select("review_id", "fallback_kind", r6("prediction").alias("prediction"))
+    return R.item_knn(train, test, kind=kind, user_based=user_based).select(
+        "review_id", "fallback_kind", r6("prediction").alias("prediction")
+    )
 
 
 @query("op_item_knn", knn_sql("cosine"))
@@ -62,18 +64,38 @@ def op_user_knn(spark, sf):
     return _knn(spark, sf, "cosine", True)
 
 
-@query("op_corated_pearson", f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train GROUP BY 1, 2) SELECT a.i, b.i AS j, round({SIMS['pearson']}, 5) AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2 HAVING count(*) >= 3")
+@query(
+    "op_corated_pearson",
+    f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train "
+    f"GROUP BY 1, 2) SELECT a.i, b.i AS j, round({SIMS['pearson']}, 5) AS sim FROM r a JOIN r b ON a.u = b.u "
+    f"AND a.i <> b.i GROUP BY 1, 2 HAVING count(*) >= 3"
+)
 def op_corated_pearson(spark, sf):
     """Pearson correlation of items that three users or more rated both."""
-    return R.item_similarity(stored(R.mean_ratings(_parts(spark, sf)[0])), kind="pearson", least=3).withColumn("sim", F.round("sim", 5))
+    return R.item_similarity(
+        stored(R.mean_ratings(_parts(spark, sf)[0])), kind="pearson", least=3
+    ).withColumn("sim", F.round("sim", 5))
 
 
-@query("jn_corated_self", f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train GROUP BY 1, 2) SELECT a.i, b.i AS j, round(sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r))), 6) AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2")
+@query(
+    "jn_corated_self",
+    f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train "
+    f"GROUP BY 1, 2) SELECT a.i, b.i AS j, round(sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r))), "
+    f"6) AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2"
+)
 def jn_corated_self(spark, sf):
     return R.item_similarity(stored(R.mean_ratings(_parts(spark, sf)[0]))).withColumn("sim", r6("sim"))
 
 
-@query("op_bias_mf", f"WITH {SPLIT}, g AS MATERIALIZED (SELECT avg(stars) AS m FROM train), bi AS MATERIALIZED (SELECT business_id, sum(stars - m) / (count(*) + 10) AS bi FROM train CROSS JOIN g GROUP BY 1), bu AS MATERIALIZED (SELECT user_id, sum(stars - m - bi) / (count(*) + 15) AS bu FROM train JOIN bi USING (business_id) CROSS JOIN g GROUP BY 1) SELECT review_id, round(m + coalesce(bi, 0) + coalesce(bu, 0), 6) AS baseline FROM evald LEFT JOIN bi USING (business_id) LEFT JOIN bu USING (user_id) CROSS JOIN g")
+@query(
+    "op_bias_mf",
+    f"WITH {SPLIT}, g AS MATERIALIZED (SELECT avg(stars) AS m FROM train), bi AS MATERIALIZED (SELECT business_id, "
+    f"sum(stars - m) / (count(*) + 10) AS bi FROM train CROSS JOIN g GROUP BY 1), bu AS MATERIALIZED (SELECT "
+    f"user_id, sum(stars - m - bi) / (count(*) + 15) AS bu FROM train JOIN bi USING (business_id) "
+    f"CROSS JOIN g GROUP BY 1) SELECT review_id, round(m + coalesce(bi, 0) + coalesce(bu, "
+    f"0), 6) AS baseline FROM evald LEFT JOIN bi USING (business_id) LEFT JOIN bu USING (user_id) "
+    f"CROSS JOIN g"
+)
 def op_bias_mf(spark, sf):
     """The bias part, which SQL can say; op_bias_mf_factors adds the factors."""
     train, _, test = _parts(spark, sf)
@@ -83,7 +105,9 @@ def op_bias_mf(spark, sf):
 @query("op_bias_mf_factors")
 def op_bias_mf_factors(spark, sf):
     train, _, test = _parts(spark, sf)
-    return R.bias_factors(train, test, *_ids(train), rank=8).select("review_id", "fallback_kind", "baseline", "prediction")
+    return R.bias_factors(train, test, *_ids(train), rank=8).select(
+        "review_id", "fallback_kind", "baseline", "prediction"
+    )
 
 
 @query("op_mf_stream")
@@ -121,7 +145,9 @@ def _sentiment(spark, sf):
     """Documents and their labels, quality standing for sentiment; and a model of those whose crc32(id) mod 5 is not 0."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"), F.col("quality").alias("sentiment_label"), held.alias("held_out")).dropna()
+    labels = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("review_id"), F.col("quality").alias("sentiment_label"), held.alias("held_out")
+    ).dropna()
     labelled = stored(docs.join(labels, "review_id").filter("text IS NOT NULL"))
     return docs, labelled, R.sentiment_model().fit(labelled.filter("NOT held_out"))
 
@@ -130,7 +156,9 @@ def _sentiment(spark, sf):
 def op_sentiment_train(spark, sf):
     """The fitted model's probabilities for the rows that it was fitted to."""
     _, labelled, model = _sentiment(spark, sf)
-    return R.sentiment_score(model, labelled.filter("NOT held_out")).select("review_id", "sentiment_label", "sentiment_score")
+    return R.sentiment_score(model, labelled.filter("NOT held_out")).select(
+        "review_id", "sentiment_label", "sentiment_score"
+    )
 
 
 @query("op_sentiment_score")
@@ -160,7 +188,9 @@ NUMBERS = ["avg_rating", "review_count", "sentiment_agg"]
 
 def content_clusters(parts, dimensions=8, ks=range(2, 6)):
     """Fitted features, items' reduced vectors with their cluster, and the centroids."""
-    features = T.ItemFeatures(top=100, dimensions=dimensions).fit(parts["counts"], parts["categories"], parts["profile"], NUMBERS)
+    features = T.ItemFeatures(top=100, dimensions=dimensions).fit(
+        parts["counts"], parts["categories"], parts["profile"], NUMBERS
+    )
     items = features.transform(parts["counts"], parts["categories"], parts["profile"])
     columns = [f"r{j}" for j in range(features.k)]
     vectors = stored(items.withColumn("features", array_to_vector(F.array(*columns))))
@@ -174,16 +204,26 @@ def content_predictions(train, rows, parts, **settings):
     clusters = assigned.select("business_id", "cluster")
     rated = stored(train.join(clusters, "business_id"))
     glob = train.agg(F.avg("stars").alias("global_avg"))
-    return P.cbf_predict(rows.crossJoin(F.broadcast(glob)), clusters, P.user_cluster_preference(rated), P.cluster_mean(rated).select("cluster", "cluster_avg"))
+    return P.cbf_predict(
+        rows.crossJoin(F.broadcast(glob)), clusters, P.user_cluster_preference(rated),
+        P.cluster_mean(rated).select("cluster", "cluster_avg")
+    )
 
 
 def leave_one_out_clusters(train, parts, **settings):
     """The items' clusters, and per review the centroid nearest to its item's vector without the review."""
     features, assigned, centroids = content_clusters(parts, **settings)
     loo = P.leave_one_out(train, ["stars", "sentiment"])
-    reviews = stored(loo.select("review_id", "business_id", F.col("stars_history").alias("avg_rating"), F.col("sentiment_history").alias("sentiment_agg"), F.col("n_others").alias("review_count")))
+    reviews = stored(
+        loo.select(
+            "review_id", "business_id", F.col("stars_history").alias("avg_rating"),
+            F.col("sentiment_history").alias("sentiment_agg"), F.col("n_others").alias("review_count")
+        )
+    )
     vectors = features.transform_without_own(parts["counts"], parts["categories"], reviews, parts["own"])
-    return assigned.select("business_id", "cluster"), P.nearest_centroid(vectors, centroids, [f"r{j}" for j in range(features.k)], "review_id")
+    return assigned.select("business_id", "cluster"), P.nearest_centroid(
+        vectors, centroids, [f"r{j}" for j in range(features.k)], "review_id"
+    )
 
 
 @query("op_cbf_predict_loo")
@@ -192,7 +232,9 @@ def op_cbf_predict_loo(spark, sf):
     train, _, _ = _parts(spark, sf)
     clusters, near = leave_one_out_clusters(train, content_parts(spark, sf, train))
     rated = stored(train.join(clusters, "business_id"))
-    out = P.cbf_predict_loo(rated, near, P.user_cluster_preference(rated), P.cluster_mean(rated).select("cluster", "cluster_avg"))
+    out = P.cbf_predict_loo(
+        rated, near, P.user_cluster_preference(rated), P.cluster_mean(rated).select("cluster", "cluster_avg")
+    )
     return out.select("review_id", "reassigned", "fallback_kind", "prediction")
 
 
@@ -209,7 +251,9 @@ def op_item_features(spark, sf):
     """Categories, text and numbers, sentiment among them, fitted and reduced."""
     train, _, _ = _parts(spark, sf)
     parts = content_parts(spark, sf, train)
-    features = T.ItemFeatures(top=100, dimensions=8).fit(parts["counts"], parts["categories"], parts["profile"], NUMBERS)
+    features = T.ItemFeatures(top=100, dimensions=8).fit(
+        parts["counts"], parts["categories"], parts["profile"], NUMBERS
+    )
     return features.transform(parts["counts"], parts["categories"], parts["profile"])
 
 
@@ -232,14 +276,26 @@ def op_tree_fusion(spark, sf):
     """Bias stream, item history and sentiment history fused; fitted on train, predicted for test."""
     train, _, test = _parts(spark, sf)
     features = ["stars_history", "sentiment_history", "baseline"]
-    fit = stored(R.out_of_fold(P.leave_one_out(train, ["stars", "sentiment"]), lambda a, b: R.bias_means(a, b), k=3).select("review_id", "stars", *features))
-    rows = stored(R.bias_means(train, P.history_profile(train, test, ["stars", "sentiment"])).select("review_id", "stars", *features))
+    fit = stored(
+        R.out_of_fold(
+            P.leave_one_out(train, ["stars", "sentiment"]), lambda a, b: R.bias_means(a, b), k=3
+        ).select("review_id", "stars", *features)
+    )
+    rows = stored(
+        R.bias_means(
+            train, P.history_profile(train, test, ["stars", "sentiment"])
+        ).select("review_id", "stars", *features)
+    )
     return U.tree_fusion(fit, rows, features).select("review_id", "stars", "prediction")
 
 
 @query("op_nmf")
 def op_nmf(spark, sf):
     train, _, _ = _parts(spark, sf)
-    rows = P.leave_one_out(train, ["stars", "sentiment"]).select("review_id", "stars", "stars_history", "sentiment_history")
+    rows = P.leave_one_out(train, ["stars", "sentiment"]).select(
+        "review_id", "stars", "stars_history", "sentiment_history"
+    )
     rows = stored(rows)
-    return U.NonNegativeFactors(2).fit(rows, ["stars_history", "sentiment_history"]).transform(rows).select("review_id", "latent_0", "latent_1")
+    return U.NonNegativeFactors(2).fit(
+        rows, ["stars_history", "sentiment_history"]
+    ).transform(rows).select("review_id", "latent_0", "latent_1")

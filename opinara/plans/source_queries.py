@@ -23,7 +23,10 @@ CORE = f"WITH {INTER} SELECT review_id, user_id, business_id, stars FROM inter"
 
 
 def _core(spark, sf):
-    return interactions(spark, sf).select("review_id", "user_id", "business_id", F.lit("a \"quoted\"\ntext").alias("text"), "stars", F.date_format("date", "yyyy-MM-dd").alias("date"))
+    return interactions(spark, sf).select(
+        "review_id", "user_id", "business_id", F.lit("a \"quoted\"\ntext").alias("text"), "stars",
+        F.date_format("date", "yyyy-MM-dd").alias("date")
+    )
 
 
 @query("src_csv", CORE)
@@ -40,28 +43,55 @@ def src_jsonl(spark, sf):
     return readers.read_jsonl(spark, path).select("review_id", "user_id", "business_id", "stars")
 
 
-@query("src_jsonl_gz", f"WITH {INTER} SELECT user_id, business_id, stars, CAST(to_timestamp(l_orderkey * 86400) AT TIME ZONE 'UTC' AS DATE) AS date FROM inter")
+@query(
+    "src_jsonl_gz",
+    f"WITH {INTER} SELECT user_id, business_id, stars, CAST(to_timestamp(l_orderkey * 86400) AT TIME ZONE "
+    f"'UTC' AS DATE) AS date FROM inter"
+)
 def src_jsonl_gz(spark, sf):
     path = shared_folder(spark)
-    rows = interactions(spark, sf).select(F.lit("t").alias("reviewText"), F.col("stars").alias("overall"), F.col("user_id").alias("reviewerID"), F.col("business_id").alias("asin"), (F.col("l_orderkey") * 86400).alias("unixReviewTime"))
+    rows = interactions(spark, sf).select(
+        F.lit("t").alias("reviewText"), F.col("stars").alias("overall"), F.col("user_id").alias("reviewerID"),
+        F.col("business_id").alias("asin"), (F.col("l_orderkey") * 86400).alias("unixReviewTime")
+    )
     rows.write.json(path, compression="gzip")
     return readers.read_five_core(spark, path).select("user_id", "business_id", "stars", "date")
 
 
-@query("src_struct_literal", f"WITH {INTER} SELECT review_id, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE stars END AS overall FROM inter")
+@query(
+    "src_struct_literal",
+    f"WITH {INTER} SELECT review_id, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE stars END AS overall FROM inter"
+)
 def src_struct_literal(spark, sf):
-    text = F.when(F.col("l_orderkey") % 5 == 0, "{'overall': ").otherwise(F.concat(F.lit("{u'overall': "), F.col("stars").cast("string"), F.lit(", 'good': True, 'note': None}")))
-    return interactions(spark, sf).select("review_id", readers.struct_literal(text, "overall double")["overall"].alias("overall"))
-
-
-@query("src_two_table_csv", f"WITH {INTER} SELECT review_id, user_id, business_id, stars, CASE WHEN CAST(business_id AS BIGINT) % 3 <> 0 THEN p_brand END AS business_city FROM inter JOIN part ON business_id = CAST(p_partkey AS VARCHAR)")
+    text = F.when(F.col("l_orderkey") % 5 == 0, "{'overall': ").otherwise(
+        F.concat(F.lit("{u'overall': "), F.col("stars").cast("string"), F.lit(", 'good': True, 'note': None}"))
+    )
+    return interactions(spark, sf).select(
+        "review_id", readers.struct_literal(text, "overall double")["overall"].alias("overall")
+    )
+
+
+@query(
+    "src_two_table_csv",
+    f"WITH {INTER} SELECT review_id, user_id, business_id, stars, CASE WHEN CAST(business_id AS BIGINT) % "
+    f"3 <> 0 THEN p_brand END AS business_city FROM inter JOIN part ON business_id = CAST(p_partkey AS VARCHAR)"
+)
 def src_two_table_csv(spark, sf):
     a, b = shared_folder(spark), shared_folder(spark)
     literal = lambda name, c: F.concat(F.lit(f"{{'{name}': "), c, F.lit("}"))
     quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
-    interactions(spark, sf).select(F.col("review_id").alias("id"), F.col("business_id").alias("offering_id"), F.lit("t").alias("text"), F.lit("d").alias("date"), literal("overall", F.col("stars").cast("string")).alias("ratings"), literal("id", quoted(F.col("user_id"))).alias("author")).write.csv(a, header=True, escape='"')
-    table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.lit(3.0).alias("hotel_class"), literal("locality", quoted(F.col("p_brand"))).alias("address")).write.csv(b, header=True, escape='"')
-    return readers.read_hotel_reviews(spark, a, b).select("review_id", "user_id", "business_id", "stars", "business_city")
+    interactions(spark, sf).select(
+        F.col("review_id").alias("id"), F.col("business_id").alias("offering_id"), F.lit("t").alias("text"),
+        F.lit("d").alias("date"), literal("overall", F.col("stars").cast("string")).alias("ratings"),
+        literal("id", quoted(F.col("user_id"))).alias("author")
+    ).write.csv(a, header=True, escape='"')
+    table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(
+        F.col("p_partkey").alias("id"), F.lit(3.0).alias("hotel_class"),
+        literal("locality", quoted(F.col("p_brand"))).alias("address")
+    ).write.csv(b, header=True, escape='"')
+    return readers.read_hotel_reviews(spark, a, b).select(
+        "review_id", "user_id", "business_id", "stars", "business_city"
+    )
 
 
 @query("snk_flat", CORE)
@@ -92,14 +122,25 @@ def snk_splits(spark, sf):
     return readers.load_splits(spark, path).select("review_id", "split")
 
 
-@query("src_predictions_scan", f"WITH {PREDICTED} SELECT model, domain, seed, review_id, round(pow(y_true - y_pred, 2), 6) AS squared_error FROM preds WHERE seed = 3 AND model = 'item'")
+@query(
+    "src_predictions_scan",
+    f"WITH {PREDICTED} SELECT model, domain, seed, review_id, round(pow(y_true - y_pred, "
+    f"2), 6) AS squared_error FROM preds WHERE seed = 3 AND model = 'item'"
+)
 def src_predictions_scan(spark, sf):
     path = shared_folder(spark)
     writers.write_predictions(predictions(spark, sf), path)
-    return readers.scan_predictions(spark, path).filter("seed = 3 AND model = 'item'").select("model", "domain", "seed", "review_id", r6("squared_error").alias("squared_error"))
+    return readers.scan_predictions(spark, path).filter("seed = 3 AND model = 'item'").select(
+        "model", "domain", "seed", "review_id", r6("squared_error").alias("squared_error")
+    )
 
 
-@query("ev_recompute_ranking", f"WITH {RANKED} SELECT model, domain, seed, CAST(k AS INTEGER) AS k, round(avg(n_hit / k), 6) AS precision, round(avg(n_hit / n_rel), 6) AS recall, round(avg(dcg / idcg), 6) AS ndcg, count(*) AS users FROM each GROUP BY ALL")
+@query(
+    "ev_recompute_ranking",
+    f"WITH {RANKED} SELECT model, domain, seed, CAST(k AS INTEGER) AS k, round(avg(n_hit / k), "
+    f"6) AS precision, round(avg(n_hit / n_rel), 6) AS recall, round(avg(dcg / idcg), 6) AS ndcg, "
+    f"count(*) AS users FROM each GROUP BY ALL"
+)
 def ev_recompute_ranking(spark, sf):
     path = shared_folder(spark)
     writers.write_predictions(predictions(spark, sf).withColumn("y_pred", F.round("y_pred", 9)), path)
@@ -113,10 +154,15 @@ def snk_results(spark, sf):
     path = shared_folder(spark)
     writers.write_results(E.rmse_mae(predictions(spark, sf)), path, '{"a": {"k": 7}}')
     back = spark.read.parquet(path).dropna(subset=["rmse", "mae"])
-    return back.select("model", "domain", "seed", r6("rmse").alias("rmse"), F.get_json_object("config", "$.a.k").alias("k"))
+    return back.select(
+        "model", "domain", "seed", r6("rmse").alias("rmse"), F.get_json_object("config", "$.a.k").alias("k")
+    )
 
 
-@query("snk_feature_cache", f"WITH {INTER} SELECT review_id, round((l_orderkey % 97) / 97.0::DOUBLE, 6) AS sentiment FROM inter")
+@query(
+    "snk_feature_cache",
+    f"WITH {INTER} SELECT review_id, round((l_orderkey % 97) / 97.0::DOUBLE, 6) AS sentiment FROM inter"
+)
 def snk_feature_cache(spark, sf):
     """Scores of some rows are there, the rest is computed and appended, all are joined: jn_score_cache."""
     rows, path = interactions(spark, sf), shared_folder(spark)
@@ -125,7 +171,11 @@ def snk_feature_cache(spark, sf):
     return writers.cached_features(rows, compute, path).select("review_id", r6("sentiment").alias("sentiment"))
 
 
-@query("jn_score_cache", f"WITH {INTER} SELECT review_id, CASE WHEN stars >= 3 THEN round((l_orderkey % 97) / 97.0::DOUBLE, 6) END AS sentiment FROM inter")
+@query(
+    "jn_score_cache",
+    f"WITH {INTER} SELECT review_id, CASE WHEN stars >= 3 THEN round((l_orderkey % 97) / 97.0::DOUBLE, "
+    f"6) END AS sentiment FROM inter"
+)
 def jn_score_cache(spark, sf):
     """Scores kept for the reviews of three stars or more, joined to all; the others have none."""
     rows, path = interactions(spark, sf), shared_folder(spark)
@@ -133,10 +183,15 @@ def jn_score_cache(spark, sf):
     return writers.attach_scores(rows, spark.read.parquet(path)).select("review_id", r6("sentiment").alias("sentiment"))
 
 
-@query("snk_checkpoint_append", f"WITH {METRICS} SELECT DISTINCT domain AS stage, model AS candidate FROM metrics WHERE model <> 'item'")
+@query(
+    "snk_checkpoint_append",
+    f"WITH {METRICS} SELECT DISTINCT domain AS stage, model AS candidate FROM metrics WHERE model <> 'item'"
+)
 def snk_checkpoint_append(spark, sf):
     path = shared_folder(spark)
-    c = stored(predictions(spark, sf).select(F.col("domain").alias("stage"), F.col("model").alias("candidate")).distinct())
+    c = stored(
+        predictions(spark, sf).select(F.col("domain").alias("stage"), F.col("model").alias("candidate")).distinct()
+    )
     writers.append_checkpoint(c.filter("candidate = 'item'"), path)
     return U.pending(c, spark.read.parquet(path))
 
@@ -146,43 +201,82 @@ def flt_relevant(spark, sf):
     return predictions(spark, sf).filter("y_true >= 4").select("review_id").distinct()
 
 
-@query("jn_map_lookup", f"WITH {CLUSTERED} SELECT review_id, c.cluster FROM evald LEFT JOIN (SELECT DISTINCT business_id, cluster FROM clustered) c USING (business_id)")
+@query(
+    "jn_map_lookup",
+    f"WITH {CLUSTERED} SELECT review_id, c.cluster FROM evald LEFT JOIN (SELECT DISTINCT business_id, "
+    f"cluster FROM clustered) c USING (business_id)"
+)
 def jn_map_lookup(spark, sf):
     train, test = _parts(spark, sf)
-    return test.join(_clustered(train).select("business_id", "cluster").distinct(), "business_id", "left").select("review_id", "cluster")
+    return test.join(
+        _clustered(train).select("business_id", "cluster").distinct(), "business_id", "left"
+    ).select("review_id", "cluster")
 
 
-@query("jn_composite_lookup", f"WITH {CLUSTERED} SELECT e.review_id, round(p.preference, 6) AS preference FROM evald e LEFT JOIN pref p ON p.user_id = e.user_id AND p.cluster = CAST(e.business_id AS BIGINT) % 7")
+@query(
+    "jn_composite_lookup",
+    f"WITH {CLUSTERED} SELECT e.review_id, round(p.preference, 6) AS preference FROM evald e "
+    f"LEFT JOIN pref p ON p.user_id = e.user_id AND p.cluster = CAST(e.business_id AS BIGINT) % 7"
+)
 def jn_composite_lookup(spark, sf):
     train, test = _parts(spark, sf)
-    return _clustered(test).join(P.user_cluster_preference(_clustered(train)), ["user_id", "cluster"], "left").select("review_id", r6("preference").alias("preference"))
+    return _clustered(test).join(
+        P.user_cluster_preference(_clustered(train)), ["user_id", "cluster"], "left"
+    ).select("review_id", r6("preference").alias("preference"))
 
 
-@query("jn_total", f"WITH {CLUSTERED} SELECT user_id, cluster, sum(stars) AS s, sum(sum(stars)) OVER (PARTITION BY user_id) AS total FROM clustered GROUP BY 1, 2")
+@query(
+    "jn_total",
+    f"WITH {CLUSTERED} SELECT user_id, cluster, sum(stars) AS s, sum(sum(stars)) OVER (PARTITION BY user_id) "
+    f"AS total FROM clustered GROUP BY 1, 2"
+)
 def jn_total(spark, sf):
     rated = _clustered(_parts(spark, sf)[0])
     own = rated.groupBy("user_id", "cluster").agg(F.sum("stars").alias("s"))
-    return own.join(rated.groupBy("user_id").agg(F.sum("stars").alias("total")), "user_id").select("user_id", "cluster", "s", "total")
-
-
-@query("agg_global_fallback", f"WITH {SPLIT}, g AS (SELECT avg(stars) AS ga FROM train WHERE l_orderkey % 11 = 0) SELECT business_id, 0::BIGINT AS review_count, round(ga, 6) AS avg_rating FROM (SELECT DISTINCT business_id FROM inter) CROSS JOIN g WHERE business_id NOT IN (SELECT business_id FROM train WHERE l_orderkey % 11 = 0)")
+    return own.join(
+        rated.groupBy("user_id").agg(F.sum("stars").alias("total")), "user_id"
+    ).select("user_id", "cluster", "s", "total")
+
+
+@query(
+    "agg_global_fallback",
+    f"WITH {SPLIT}, g AS (SELECT avg(stars) AS ga FROM train WHERE l_orderkey % 11 = 0) "
+    f"SELECT business_id, 0::BIGINT AS review_count, round(ga, 6) AS avg_rating FROM (SELECT DISTINCT business_id "
+    f"FROM inter) CROSS JOIN g WHERE business_id NOT IN (SELECT business_id FROM train WHERE l_orderkey % "
+    f"11 = 0)"
+)
 def agg_global_fallback(spark, sf):
     train = _parts(spark, sf)[0].filter("l_orderkey % 11 = 0")
-    return P.item_profile(train, interactions(spark, sf)).filter("review_count = 0").select("business_id", F.col("review_count").cast("long").alias("review_count"), r6("avg_rating").alias("avg_rating"))
+    return P.item_profile(train, interactions(spark, sf)).filter("review_count = 0").select(
+        "business_id", F.col("review_count").cast("long").alias("review_count"), r6("avg_rating").alias("avg_rating")
+    )
 
 
-@query("set_except_items", f"WITH {SPLIT} SELECT business_id FROM inter EXCEPT SELECT business_id FROM train WHERE l_orderkey % 11 = 0")
+@query(
+    "set_except_items",
+    f"WITH {SPLIT} SELECT business_id FROM inter EXCEPT SELECT business_id FROM train WHERE l_orderkey % 11 = 0"
+)
 def set_except_items(spark, sf):
     train = _parts(spark, sf)[0].filter("l_orderkey % 11 = 0")
     return interactions(spark, sf).select("business_id").subtract(train.select("business_id"))
 
 
-@query("agg_global_fallback_all", f"WITH {SPLIT}, {UNIVERSE}, g AS (SELECT avg(stars) AS ga FROM train) SELECT business_id, 0::BIGINT AS review_count, round(ga, 6) AS avg_rating FROM universe CROSS JOIN g WHERE business_id NOT IN (SELECT business_id FROM train)")
+@query(
+    "agg_global_fallback_all",
+    f"WITH {SPLIT}, {UNIVERSE}, g AS (SELECT avg(stars) AS ga FROM train) SELECT business_id, "
+    f"0::BIGINT AS review_count, round(ga, 6) AS avg_rating FROM universe CROSS JOIN g WHERE business_id NOT "
+    f"IN (SELECT business_id FROM train)"
+)
 def agg_global_fallback_all(spark, sf):
-    return P.item_profile(_parts(spark, sf)[0], universe(spark, sf)).filter("review_count = 0").select("business_id", F.col("review_count").cast("long").alias("review_count"), r6("avg_rating").alias("avg_rating"))
+    return P.item_profile(_parts(spark, sf)[0], universe(spark, sf)).filter("review_count = 0").select(
+        "business_id", F.col("review_count").cast("long").alias("review_count"), r6("avg_rating").alias("avg_rating")
+    )
 
 
-@query("set_except_items_all", f"WITH {SPLIT}, {UNIVERSE} SELECT business_id FROM universe EXCEPT SELECT business_id FROM train")
+@query(
+    "set_except_items_all",
+    f"WITH {SPLIT}, {UNIVERSE} SELECT business_id FROM universe EXCEPT SELECT business_id FROM train"
+)
 def set_except_items_all(spark, sf):
     return universe(spark, sf).subtract(_parts(spark, sf)[0].select("business_id"))
 
@@ -190,18 +284,30 @@ def set_except_items_all(spark, sf):
 @query("set_union_all", f"WITH {SPLIT} SELECT review_id, split FROM parts WHERE split IN ('train', 'val', 'test')")
 def set_union_all(spark, sf):
     rows = split_interactions(spark, sf).select("review_id", "split")
-    return rows.filter("split = 'train'").unionByName(rows.filter("split = 'val'")).unionByName(rows.filter("split = 'test'"))
+    return rows.filter("split = 'train'").unionByName(rows.filter("split = 'val'")).unionByName(
+        rows.filter("split = 'test'")
+    )
 
 
-@query("srt_user_date", f"WITH {INTER} SELECT review_id, row_number() OVER (PARTITION BY user_id ORDER BY date, review_id) AS rn FROM inter")
+@query(
+    "srt_user_date",
+    f"WITH {INTER} SELECT review_id, row_number() OVER (PARTITION BY user_id ORDER BY date, review_id) AS rn FROM inter"
+)
 def srt_user_date(spark, sf):
     return I.user_places(interactions(spark, sf)).select("review_id", F.col("place").cast("long").alias("rn"))
 
 
-@query("srt_report_order", f"WITH {METRICS}, o(model, place) AS (VALUES ('user', 1), ('item', 2), ('global', 3)) SELECT place, model, domain, seed FROM metrics JOIN o USING (model) ORDER BY place, domain, seed")
+@query(
+    "srt_report_order",
+    f"WITH {METRICS}, o(model, place) AS (VALUES ('user', 1), ('item', 2), ('global', 3)) "
+    f"SELECT place, model, domain, seed FROM metrics JOIN o USING (model) ORDER BY place, "
+    f"domain, seed"
+)
 def srt_report_order(spark, sf):
     order = spark.sql("SELECT * FROM VALUES ('user', 1), ('item', 2), ('global', 3) AS t(model, place)")
-    return E.rmse_mae(predictions(spark, sf)).join(F.broadcast(order), "model").select("place", "model", "domain", "seed").orderBy("place", "domain", "seed")
+    return E.rmse_mae(predictions(spark, sf)).join(F.broadcast(order), "model").select(
+        "place", "model", "domain", "seed"
+    ).orderBy("place", "domain", "seed")
 
 
 @query("lim_head", "SELECT DISTINCT p_name FROM part ORDER BY p_name LIMIT 10")
@@ -209,18 +315,35 @@ def lim_head(spark, sf):
     return table(spark, sf, "part").select("p_name").distinct().orderBy("p_name").limit(10)
 
 
-@query("win_extreme_seed", f"WITH {METRICS}, z AS (SELECT *, avg(rmse) OVER (PARTITION BY model, domain) AS m FROM metrics) SELECT model, domain, arg_max(seed, (round(abs(rmse - m), 9), -seed)) AS extreme_seed FROM z GROUP BY 1, 2")
+@query(
+    "win_extreme_seed",
+    f"WITH {METRICS}, z AS (SELECT *, avg(rmse) OVER (PARTITION BY model, domain) AS m FROM metrics) "
+    f"SELECT model, domain, arg_max(seed, (round(abs(rmse - m), 9), -seed)) AS extreme_seed "
+    f"FROM z GROUP BY 1, 2"
+)
 def win_extreme_seed(spark, sf):
     return E.stability(E.rmse_mae(predictions(spark, sf))).select("model", "domain", "extreme_seed")
 
 
-@query("win_topk_neighbours", f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train GROUP BY 1, 2), sims AS (SELECT a.i, b.i AS j, sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r))) AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2), near AS (SELECT e.review_id, s.i, row_number() OVER (PARTITION BY e.review_id ORDER BY round(s.sim, 9) DESC, s.i) AS rank FROM evald e JOIN r ON r.u = e.user_id JOIN sims s ON s.i = r.i AND s.j = e.business_id WHERE s.sim > 0) SELECT review_id, i, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 5")
+@query(
+    "win_topk_neighbours",
+    f"WITH {SPLIT}, r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM train "
+    f"GROUP BY 1, 2), sims AS (SELECT a.i, b.i AS j, sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r "
+    f"* b.r))) AS sim FROM r a JOIN r b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2), near AS (SELECT e.review_id, "
+    f"s.i, row_number() OVER (PARTITION BY e.review_id ORDER BY round(s.sim, 9) DESC, s.i) AS rank "
+    f"FROM evald e JOIN r ON r.u = e.user_id JOIN sims s ON s.i = r.i AND s.j = e.business_id "
+    f"WHERE s.sim > 0) SELECT review_id, i, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 5"
+)
 def win_topk_neighbours(spark, sf):
     train, test = _parts(spark, sf)
     return R.top_neighbours(train, test, 5).select("review_id", "i", "rank")
 
 
-@query("agg_cluster_centroid", "SELECT p_partkey % 5 AS cluster, round(avg(p_size), 6) AS p_size, round(avg(p_retailprice), 6) AS p_retailprice FROM part GROUP BY 1")
+@query(
+    "agg_cluster_centroid",
+    "SELECT p_partkey % 5 AS cluster, round(avg(p_size), 6) AS p_size, round(avg(p_retailprice), "
+    "6) AS p_retailprice FROM part GROUP BY 1"
+)
 def agg_cluster_centroid(spark, sf):
     x = table(spark, sf, "part").withColumn("cluster", F.col("p_partkey") % 5)
     return rounded(T.cluster_centroids(x, ["p_size", "p_retailprice"]), "p_size", "p_retailprice")
@@ -240,13 +363,17 @@ def _searched(spark, sf, stages):
 
 @query("op_staged_search")
 def op_staged_search(spark, sf):
-    return _searched(spark, sf, {"reg": {"low": {"reg": 0.05}, "high": {"reg": 0.3}}, "rank": {"r4": {"rank": 4}, "r8": {"rank": 8}}})
+    return _searched(
+        spark, sf, {"reg": {"low": {"reg": 0.05}, "high": {"reg": 0.3}}, "rank": {"r4": {"rank": 4}, "r8": {"rank": 8}}}
+    )
 
 
 @query("op_grid_search")
 def op_grid_search(spark, sf):
     """Settings of the factor model, and dimensions of the content stream, each by the error on the validation part."""
-    factors = _searched(spark, sf, {"grid": {f"rank{k}_reg{g}": {"rank": k, "reg": g} for k in (4, 8) for g in (0.1, 0.3)}})
+    factors = _searched(
+        spark, sf, {"grid": {f"rank{k}_reg{g}": {"rank": k, "reg": g} for k in (4, 8) for g in (0.1, 0.3)}}
+    )
     train, val, _ = _parts3(spark, sf)
     parts = content_parts(spark, sf, train)
 
@@ -254,10 +381,14 @@ def op_grid_search(spark, sf):
         out = content_predictions(train, val, parts, **settings)
         return out.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("stars"), 2)))).first()[0]
 
-    return factors.unionByName(U.staged_search(spark, {"dimensions": {f"pca{k}": {"dimensions": k} for k in (2, 8)}}, evaluate))
+    return factors.unionByName(
+        U.staged_search(spark, {"dimensions": {f"pca{k}": {"dimensions": k} for k in (2, 8)}}, evaluate)
+    )
 
 
 @query("op_cluster_hier")
 def op_cluster_hier(spark, sf):
     vectors = _item_vectors(spark, sf)
-    return T.best_clusters(vectors, range(2, 5), method="hierarchical")[0].transform(vectors).select("business_id", "cluster")
+    return T.best_clusters(
+        vectors, range(2, 5), method="hierarchical"
+    )[0].transform(vectors).select("business_id", "cluster")

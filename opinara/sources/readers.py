@@ -24,36 +24,55 @@ def read_csv(spark: SparkSession, path: str, schema: str = CORE, multi_line: boo
 def read_jsonl(spark: SparkSession, path: str, schema: str = CORE) -> DataFrame:
     """JSON lines; blank lines are skipped, broken ones dropped."""
     names = [c.strip().split()[0] for c in schema.split(",")]
-    lines = spark.read.schema(f"{schema}, _corrupt string").json(path, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE")
-    return lines.filter(F.coalesce("_corrupt", *[F.col(c).cast("string") for c in names]).isNotNull() & F.col("_corrupt").isNull()).drop("_corrupt")
+    lines = spark.read.schema(f"{schema}, _corrupt string").json(
+        path, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE"
+    )
+    return lines.filter(
+        F.coalesce("_corrupt", *[F.col(c).cast("string") for c in names]).isNotNull() & F.col("_corrupt").isNull()
+    ).drop("_corrupt")
 
 
 def read_five_core(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
     """Gzipped five-core JSON lines under our names; rows lacking a field stay, for count_rejects. A gzip file is one task to
     read, so what follows is dealt out again."""
     raw = read_jsonl(spark, path, FIVE_CORE)
-    out = raw.select(F.col("reviewerID").alias("user_id"), F.col("asin").alias("business_id"), F.col("reviewText").alias("text"), F.col("overall").alias("stars"), F.col("unixReviewTime").alias("ts"), F.to_date(F.timestamp_seconds("unixReviewTime")).alias("date"))
+    out = raw.select(
+        F.col("reviewerID").alias("user_id"), F.col("asin").alias("business_id"), F.col("reviewText").alias("text"),
+        F.col("overall").alias("stars"), F.col("unixReviewTime").alias("ts"),
+        F.to_date(F.timestamp_seconds("unixReviewTime")).alias("date")
+    )
     return out.repartition(parts) if parts else out.repartition("user_id", "business_id")
 
 
 def struct_literal(text: Column, schema: str) -> Column:
     """A Python dict literal as a struct; what can't be read is null in each field."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    plain = F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(text, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false"
+    )
     return F.from_json(F.regexp_replace(plain, r"(?<=[\[{,:\s])u(?=['\"])", ""), schema, {"allowSingleQuotes": "true"})
 
 
 def last_of(df: DataFrame, key: str) -> DataFrame:
     """One row per key: of repeated keys the greatest row by all other columns."""
     others = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max(F.struct(*others)).alias("_m")).select(key, *[F.col(f"_m.{c}").alias(c) for c in others])
+    return df.groupBy(key).agg(F.max(F.struct(*others)).alias("_m")).select(
+        key, *[F.col(f"_m.{c}").alias(c) for c in others]
+    )
 
 
 def read_hotel_reviews(spark: SparkSession, reviews: str, offerings: str, multi_line: bool = False) -> DataFrame:
     """Hotel reviews with their offering's class and locality; a review without an offering keeps nulls. Of repeated offerings
     the greatest row counts."""
     r = read_csv(spark, reviews, HOTEL_REVIEW, multi_line)
-    o = read_csv(spark, offerings, OFFERING, multi_line).select(F.col("id").alias("business_id"), F.col("hotel_class").alias("business_stars"), struct_literal(F.col("address"), "locality string")["locality"].alias("business_city"))
-    flat = r.select(F.col("id").alias("review_id"), struct_literal(F.col("author"), "id string")["id"].alias("user_id"), F.col("offering_id").alias("business_id"), "text", struct_literal(F.col("ratings"), "overall double")["overall"].alias("stars"), F.col("date"))
+    o = read_csv(spark, offerings, OFFERING, multi_line).select(
+        F.col("id").alias("business_id"), F.col("hotel_class").alias("business_stars"),
+        struct_literal(F.col("address"), "locality string")["locality"].alias("business_city")
+    )
+    flat = r.select(
+        F.col("id").alias("review_id"), struct_literal(F.col("author"), "id string")["id"].alias("user_id"),
+        F.col("offering_id").alias("business_id"), "text",
+        struct_literal(F.col("ratings"), "overall double")["overall"].alias("stars"), F.col("date")
+    )
     return flat.join(last_of(o, "business_id"), "business_id", "left")
 
 
@@ -91,4 +110,9 @@ def scan_results(spark: SparkSession, path: str, kind: str = "parquet") -> DataF
 
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions partitioned by model, domain and seed; conditions on these prune folders."""
-    return spark.read.parquet(path).withColumns({"model": F.col("model").cast("string"), "domain": F.col("domain").cast("string"), "seed": F.col("seed").cast("int")})
+    return spark.read.parquet(path).withColumns(
+        {
+            "model": F.col("model").cast("string"), "domain": F.col("domain").cast("string"),
+            "seed": F.col("seed").cast("int")
+        }
+    )

@@ -16,12 +16,19 @@ def write_flat(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_splits(df: DataFrame, path: str, seed: int, train: float, val: float) -> None:
     """Rows by split, and one row of metadata that names all four, so that an empty split is known and keeps its schema."""
     df.write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
-    meta = df.sparkSession.range(1).select(F.lit(seed).alias("seed"), F.lit(train).alias("train"), F.lit(val).alias("val"), F.lit(1 - train - val).alias("test"), F.array(*map(F.lit, ["train", "val", "test", "cold_start"])).alias("splits"))
+    meta = df.sparkSession.range(1).select(
+        F.lit(seed).alias("seed"), F.lit(train).alias("train"), F.lit(val).alias("val"),
+        F.lit(1 - train - val).alias("test"),
+        F.array(*map(F.lit, ["train", "val", "test", "cold_start"])).alias("splits")
+    )
     meta.write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def prediction_rows(df: DataFrame) -> DataFrame:
-    return df.select("model", "domain", "seed", "review_id", "user_id", "business_id", "y_true", "y_pred", F.pow(F.col("y_true") - F.col("y_pred"), 2).alias("squared_error"))
+    return df.select(
+        "model", "domain", "seed", "review_id", "user_id", "business_id", "y_true", "y_pred",
+        F.pow(F.col("y_true") - F.col("y_pred"), 2).alias("squared_error")
+    )
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -38,7 +45,9 @@ def write_results(df: DataFrame, path: str, config: str, overwrite: bool = False
         writer.mode("errorifexists").parquet(path)
 
 
-def cached_features(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, key: str = "review_id") -> DataFrame:
+def cached_features(
+    rows: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, key: str = "review_id"
+) -> DataFrame:
     """rows joined with the features stored for their keys; keys without any are computed and appended first."""
     spark = rows.sparkSession
     try:
