@@ -23,13 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/opinara-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, within: str | None = None) -> DataFrame:
+def stored(df: DataFrame, within: str | None = None, compression: str | None = None) -> DataFrame:
     """df as a written table: later plans start from there, and lost executors cost no recomputation.
 
     within: a folder of shared_folder() that the caller discards when nothing reads the table any more.
     """
     path = f"{within}/{uuid.uuid4().hex}" if within else shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
