@@ -1,17 +1,18 @@
 """Line deduplication by content-defined line chunks, in DataFrame operations only.
 
-Lines are read as pieces of at most four words that end sooner at a punctuation mark or the line's end, so that passages
-inside long lines are seen too. Each piece has a hash; a rolling hash over the last WINDOW piece hashes ends a chunk where
-it is less than its neighbours' (a local minimum). The ends depend on nearby pieces alone, so text put in or taken out
-elsewhere shifts no others, and a chunk has two pieces or more. Chunks of several pieces and LEAST characters that occur
-more than once anywhere are compared by their bytes, and all but the first occurrence go.
-
-Chunks are named by two 64-bit hashes. Equal chunks are merged before they are moved, so a chunk that a third of all
-documents hold travels once per task; only names go back to the documents.
-
-Not removed: the words of a repeated passage before its first and after its last cut (some ten words at each end), and a
-passage that holds fewer than two cuts: nearly none of 50 words or more in running text, but any within a line that has
-neither spaces nor punctuation.
+Lines are read as pieces of some eight words that end sooner at a punctuation mark or the line's end, so that passages
+inside long lines are seen too. Each piece has a hash; a rolling hash over the last two piece hashes ends a chunk where it
+is less than its neighbours' (a local minimum). The ends depend on nearby pieces alone, so text put in or taken out
+elsewhere shifts no others, and a chunk has two pieces or more. Chunks of LEAST characters that occur more than once
+anywhere are removed, but for the first occurrence.
+
+Texts are cut once, into a written table. Chunks are counted by names (two 64-bit hashes), so a chunk that a third of all
+documents hold travels once per task, and of all others only names and places move. The repeated ones are then compared by
+their bytes; should two different ones share a name, such names are spelled out in full and the count is taken again.
+
+Not removed: the words of a repeated passage before its first and after its last cut (some fifteen words at each end), and
+a passage that holds fewer than two cuts: few of 50 words or more in running text, but any within a line that has neither
+spaces nor punctuation.
 """
 
 from __future__ import annotations
@@ -19,85 +20,143 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, shared_folder, stored, table
 from .exact_dedup import clashing_of, name_of, spelled_name
 
 #: White space of one line and its opposite, as both Java's and DuckDB's regular expressions read them.
 GAP, WORD = r"[ \t\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
 #: The pieces of a text; together they are the text.
-PIECE = rf"{GAP}*(?:{WORD}+{GAP}+){{0,3}}?{WORD}*[.!?,;:|]{GAP}+|{GAP}*(?:{WORD}+{GAP}+){{4}}|[^\n]*\n|[^\n]+"
-WINDOW, MODULUS = 2, 1_000_003
+PIECE = rf"[^\n]{{0,47}}?[.!?,;:|]{GAP}+|[^\n]{{40}}{WORD}*{GAP}+|[^\n]*\n|[^\n]+"
+MODULUS = 1_000_003
 #: Characters that a removed chunk has at least.
-LEAST = 24
+LEAST = 32
+#: Stands between chunks while they are made; texts that hold it are escaped by ESCAPE.
+END, ESCAPE = "\x01", "\x02"
+
+
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "\x04")), F.lit(END), F.lit(ESCAPE + "\x03"))
+
+
+def restored(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(ESCAPE + "\x03"), F.lit(END)), F.lit(ESCAPE + "\x04"), F.lit(ESCAPE))
 
 
 def chunks_in(text: Column) -> Column:
-    """array<struct<at, pieces, chunk>>: the text's chunks in order; joined they are the text, null has none."""
-    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    hashes = F.transform(pieces, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 7), 16, 10).cast("long"))
-    roll = lambda h: F.transform(h, lambda x, i: F.when(i >= WINDOW - 1, (F.get(h, i - 1) * 31 + x) % MODULUS))
-
-    def whole(x: Column) -> Column:
-        """x: struct of pieces and rolled hashes."""
-        n, r = F.size(x["pieces"]), x["rolled"]
-        # Places count from 1; a piece without two neighbours that have rolled hashes compares to null and ends nothing.
-        ends = lambda i: (i == n) | F.coalesce((F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) <= F.get(r, i)), F.lit(False))
-        cuts = F.filter(F.sequence(F.lit(1), n), ends)
-        bounds = F.arrays_zip(cuts.alias("stop"), F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.size(cuts) - 1)).alias("start"))
-        return F.transform(bounds, lambda c: F.struct(c["start"].alias("at"), (c["stop"] - c["start"]).alias("pieces"), F.array_join(F.slice(x["pieces"], c["start"] + 1, c["stop"] - c["start"]), "").alias("chunk")))
+    """struct<several, chunks>: whether an escaped text has several pieces, and its chunks in order; joined they are the text.
+
+    Null for null; '' has one chunk, which is empty.
+    """
 
+    def rolled(x: Column) -> Column:
+        """x: struct of pieces p and their hashes h."""
+        roll = lambda h, i: F.when(i > 0, (F.get(x["h"], i - 1) * 31 + h) % MODULUS)
+        return F.struct(x["p"].alias("p"), F.transform(x["h"], roll).alias("r"))
+
+    def joined(x: Column) -> Column:
+        """x: struct of pieces p and rolled hashes r. Nothing ends where a neighbour has no hash, or one piece would be left."""
+
+        def ended(p: Column, i: Column) -> Column:
+            least = (F.get(x["r"], i) < F.get(x["r"], i - 1)) & (F.get(x["r"], i) <= F.get(x["r"], i + 1))
+            return F.when(least & (i < F.size(x["p"]) - 2), F.concat(p, F.lit(END))).otherwise(p)
+
+        chunks = F.split(F.array_join(F.transform(x["p"], ended), ""), END)
+        return F.struct((F.size(x["p"]) > 1).alias("several"), chunks.alias("chunks"))
+
+    hashed = lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 7), 16, 10).cast("long")
     # Each step is a lambda's argument, so that it is worked out once.
-    rolled = F.transform(F.array(F.struct(pieces.alias("pieces"), hashes.alias("hashes"))), lambda x: F.struct(x["pieces"].alias("pieces"), roll(x["hashes"]).alias("rolled")))
-    return F.when(F.length(text) > 0, F.element_at(F.transform(rolled, whole), 1))
+    pieces = F.array(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)))
+    steps = F.transform(pieces, lambda p: F.struct(p.alias("p"), F.transform(p, hashed).alias("h")))
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.transform(steps, rolled), joined), 1))
+
+
+def without(chunks: Column, gone: Column) -> Column:
+    """chunks without those at the places in gone (sorted, from 0); gone is spelled as a byte for each place up to its last."""
+    last = lambda i: F.coalesce(F.get(gone, i - 1), F.lit(-1))
+    spelled = F.transform(gone, lambda k, i: F.concat(F.repeat(F.lit("0"), k - last(i) - 1), F.lit("1")))
+    flags = F.array_join(spelled, "").cast("binary")
+    held = F.transform(
+        F.array(F.struct(chunks.alias("c"), flags.alias("f"))),
+        lambda x: F.filter(x["c"], lambda c, k: F.substring(x["f"], k + 1, F.lit(1)) != F.lit(b"1")),
+    )
+    return F.element_at(held, 1)
 
 
-def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, text (without repeated chunks), n_lines (pieces), n_removed (pieces).
+def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name=name_of) -> DataFrame:
+    """Per row of docs: doc_id, text (without repeated chunks), n_chars, n_removed (characters).
 
     A chunk is removed if it has two pieces and LEAST characters or more, something besides white space in it, and an
-    earlier occurrence: in a row of a lesser doc_id (rows without one come last; among rows of one id, those with a lesser
-    hash of the text), or earlier in the row. Each row is a document of its own, so of repeated rows the first keeps what
-    the others lose, and rows that share an id but not a text lose nothing to each other. A null text stays null, an empty
-    one empty, both with 0 pieces; a text of which all goes is empty. Other columns are ignored; an empty table gives no
-    rows.
+    earlier occurrence: in a row of a lesser doc_id (rows without one come last; rows of one id in the order they are read),
+    or earlier in the row. Each row is a document of its own, so of repeated rows the first keeps what the others lose, and
+    rows that share an id but not a text lose nothing to each other. A null text stays null, an empty one empty, both of 0
+    characters; a text of which all goes is empty. Other columns are ignored; an empty table gives no rows.
     """
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("own"), F.monotonically_increasing_id().alias("row"))
-    # Written, so that rows have the same numbers and texts are cut once.
-    cut = stored(slim.select(order.alias("row"), chunks_in(F.col("text")).alias("chunks"), F.col("text").isNull().alias("none")))
-    each = cut.select("row", F.explode("chunks").alias("c")).select("row", "c.at", "c.pieces", "c.chunk")
-    each = each.filter((F.col("pieces") > 1) & (F.length("chunk") >= LEAST) & F.col("chunk").rlike(WORD))
-    # Grouped by the bytes themselves; the name only comes first in the comparison.
-    place = F.struct("row", "at")
-    merged = each.groupBy(name_of(F.col("chunk")).alias("name"), "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    merged = stored(merged.select("name", F.when(F.col("n") > 1, F.col("chunk")).alias("chunk"), "n", "first"))
-    clashing = clashing_of(merged)
-    repeated = stored(merged.filter("n > 1").select(spelled_name(F.col("chunk"), clashing).alias("name"), "first"))
-    named = each.select("row", "at", spelled_name(F.col("chunk"), clashing).alias("name"))
-    later = named.join(repeated, "name").filter(place != F.col("first"))
-    gone = stored(later.groupBy(F.col("row.row").alias("number")).agg(F.collect_set("at").alias("gone")))
-    found = cut.withColumn("number", F.col("row.row")).join(gone, "number", "left")
-    kept = F.filter("chunks", lambda c: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c["at"]))
-    pieces = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda n, c: n + c["pieces"]), F.lit(0)).cast("long")
-    left = F.when(~F.col("none"), F.coalesce(F.array_join(F.transform(kept, lambda c: c["chunk"]), ""), F.lit("")))
-    return found.select("row.doc_id", left.alias("text"), pieces(F.col("chunks")).alias("n_lines"), (pieces(F.col("chunks")) - pieces(kept)).alias("n_removed"))
+    spark = docs.sparkSession
+    work = shared_folder(spark)
+    own = escaped(F.col(f"`{text}`").cast("string"))
+    slim = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), own.alias("text")
+    )
+    cut = slim.select(
+        "row", "doc_id", chunks_in(F.col("text")).alias("c")
+    ).select("row", "doc_id", "c.several", "c.chunks")
+    cut = stored(cut, work, compression="zstd")
+    counted = lambda chunk: (F.length(chunk) >= LEAST) & chunk.rlike(WORD)
+    each = cut.filter("several").select("row", "doc_id", F.posexplode("chunks").alias("at", "chunk"))
+    each = each.filter(counted(F.col("chunk")))
+    clashing: list = []
+    while True:
+        named = each.select(spelled_name(F.col("chunk"), clashing, name).alias("name"), "row", "at", "doc_id")
+        counts = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+        repeated = stored(counts.filter("n > 1").drop("n"), work)
+        first = F.col("doc_id").eqNullSafe(F.col("first_id")).alias("first")
+        again = stored(named.join(repeated, "name").select("name", "row", "at", first), work)
+        # In the first document the least place stays; it may repeat itself, or share its id with other rows.
+        kept = again.filter("first").groupBy("name").agg(F.min(F.struct("row", "at")).alias("kept"))
+        inside = again.filter("first").join(stored(kept, work), "name")
+        stays = inside.select("row", "at", (F.struct("row", "at") == F.col("kept")).alias("stays"))
+        places = stays.unionByName(again.filter("NOT first").select("row", "at", F.lit(False).alias("stays")))
+        by_row = places.groupBy("row").agg(F.collect_list(F.struct("at", "stays")).alias("places"))
+        marked = stored(cut.join(stored(by_row, work), "row", "left").drop("several"), compression="zstd")
+        chunk = F.get("chunks", F.col("place.at"))
+        held = marked.filter("places IS NOT NULL").select(
+            "chunks", F.explode("places").alias("place")
+        ).select(chunk.alias("chunk"))
+        held = held.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+        found = clashing_of(held.select(spelled_name(F.col("chunk"), clashing, name).alias("name")))
+        if not found:
+            break
+        clashing += found
+    discard(spark, work)
+    gone = F.array_sort(F.transform(F.filter("places", lambda p: ~p["stays"]), lambda p: p["at"]))
+    left = F.when(F.col("places").isNull(), F.col("chunks")).otherwise(without(F.col("chunks"), gone))
+    join = lambda chunks: restored(F.array_join(chunks, ""))
+    out = marked.select(
+        "doc_id", join(left).alias("text"),
+        F.coalesce(F.length(join(F.col("chunks"))), F.lit(0)).cast("long").alias("n_chars")
+    )
+    return out.withColumn("n_removed", F.col("n_chars") - F.coalesce(F.length("text"), F.lit(0)))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of whole ``documents`` that repeated chunks take; the digest is of the text that stays."""
+    """Characters of whole ``documents`` that repeated chunks take; the digest is of the text that stays."""
     out = deduplicate_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_chars", "n_removed", digest.alias("text_sha256"))
 
 
 SQL = rf"""
-WITH pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PIECE}')) AS piece, generate_subscripts(regexp_extract_all(text, '{PIECE}'), 1) AS i FROM documents WHERE text <> ''),
-hashed AS (SELECT *, CAST('0x' || substr(md5(piece), 1, 7) AS BIGINT) AS h FROM pieces),
+WITH texts AS (SELECT doc_id, replace(replace(text, chr(2), chr(2) || chr(4)), chr(1), chr(2) || chr(3)) AS text FROM documents WHERE text <> ''),
+pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PIECE}')) AS piece, generate_subscripts(regexp_extract_all(text, '{PIECE}'), 1) AS i FROM texts),
+hashed AS (SELECT *, CAST('0x' || substr(md5(piece), 1, 7) AS BIGINT) AS h, count(*) OVER (PARTITION BY doc_id) AS n FROM pieces),
 rolled AS (SELECT *, CASE WHEN i >= 2 THEN (lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h) % 1000003 END AS r FROM hashed),
-ended AS (SELECT *, coalesce(r < lag(r) OVER w AND r <= lead(r) OVER w, false) AS ends FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ended AS (SELECT *, coalesce(r < lag(r) OVER w AND r <= lead(r) OVER w AND i < n - 1, false) AS ends FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ended),
-chunks AS (SELECT doc_id, k, count(*) AS n, min(i) AS place, string_agg(piece, '' ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, k),
-ranked AS (SELECT *, n > 1 AND length(chunk) >= 24 AND regexp_matches(chunk, '{WORD}') AS long_enough, long_enough AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, place) > 1 AS gone FROM chunks),
-kept AS (SELECT doc_id, sum(n) AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed, string_agg(chunk, '' ORDER BY place) FILTER (WHERE NOT gone) AS text FROM ranked GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS text_sha256
-FROM documents d LEFT JOIN kept k USING (doc_id)
+chunks AS (SELECT doc_id, k, min(n) > 1 AS several, string_agg(piece, '' ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, k),
+counted AS (SELECT *, several AND length(chunk) >= 32 AND regexp_matches(chunk, '{WORD}') AS counts FROM chunks),
+ranked AS (SELECT *, counts AND row_number() OVER (PARTITION BY chunk, counts ORDER BY doc_id, k) > 1 AS gone FROM counted),
+kept AS (SELECT doc_id, string_agg(chunk, '' ORDER BY k) FILTER (WHERE NOT gone) AS text FROM ranked GROUP BY doc_id),
+restored AS (SELECT doc_id, replace(replace(text, chr(2) || chr(3), chr(1)), chr(2) || chr(4), chr(2)) AS text FROM kept)
+SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS BIGINT) AS n_chars, CAST(coalesce(length(d.text), 0) - coalesce(length(k.text), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS text_sha256
+FROM documents d LEFT JOIN restored k USING (doc_id)
 """

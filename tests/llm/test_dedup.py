@@ -135,27 +135,23 @@ def test_pairs_cross_components_only(spark):
 
 
 def pieces_of(t):
-    """The pieces of a text by their rule: four words at most, sooner after a mark with a gap behind it, or at a line's end."""
+    """The pieces of a text by their rule: up to a mark with a gap behind it among the next 48 characters; else 40 characters
+    and the rest of their word, if a gap follows; else the rest of the line."""
     out, gap = [], " \t\x0b\f\r"
     while t:
-        i = n = 0
-        while True:
-            while i < len(t) and t[i] in gap:
-                i += 1
-            j = i
-            while j < len(t) and t[j] not in gap + "\n":
-                j += 1
-            k = j
-            while k < len(t) and t[k] in gap:
-                k += 1
-            if j == i or k == j:  # the line or the text ends: what is left of the line is one piece
-                end = t.find("\n") + 1 or len(t)
-                break
-            n += 1
-            if n == 4 or t[j - 1] in ".!?,;:|":
-                end = k
-                break
-            i = k
+        line = t[: (t.find("\n") + 1 or len(t) + 1) - 1]
+        ends = [j + 1 for j in range(min(48, len(line))) if line[j] in ".!?,;:|" and line[j + 1 : j + 2] in tuple(gap)]
+        k = 40
+        while len(line) > k and line[k] not in gap:
+            k += 1
+        if ends:
+            end = ends[0]
+        elif len(line) > k:
+            end = k
+        else:
+            end = len(line) + 1
+        while end < len(line) and line[end] in gap:
+            end += 1
         out.append(t[:end])
         t = t[end:]
     return out
@@ -166,41 +162,58 @@ def chunks_by_hand(t):
     h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in pieces]
     r = [None] + [(h[i - 1] * 31 + h[i]) % 1_000_003 for i in range(1, len(h))]
     for i in range(len(pieces)):
-        low = 1 < i < len(pieces) - 1 and r[i] < r[i - 1] and r[i] <= r[i + 1]
+        low = 1 < i < len(pieces) - 2 and r[i] < r[i - 1] and r[i] <= r[i + 1]
         if i == len(pieces) - 1 or low:
-            out.append((start, i + 1 - start, "".join(pieces[start : i + 1])))
+            out.append((i + 1 - start, "".join(pieces[start : i + 1])))
             start = i + 1
     return out
 
 
 def lines_by_hand(rows):
-    """rows in their order of precedence -> (text, pieces, removed) of each."""
+    """rows in their order of precedence -> (text, characters, removed ones) of each."""
     seen, out = set(), []
     for t in rows:
-        own = chunks_by_hand(t or "")
         kept = []
-        for at, n, c in own:
-            whole = n > 1 and len(c) >= 24 and re.search(r"[^ \t\n\r\f\v]", c)
-            if not (whole and c in seen):
-                kept.append((n, c))
-            if whole:
+        for n, c in chunks_by_hand(t or ""):
+            counts = n > 1 and len(c) >= 32 and re.search(r"[^ \t\n\r\f\v]", c)
+            if not (counts and c in seen):
+                kept.append(c)
+            if counts:
                 seen.add(c)
-        total = sum(n for _, n, _ in own)
-        out.append((None if t is None else "".join(c for _, c in kept), total, total - sum(n for n, _ in kept)))
+        left = "".join(kept)
+        out.append((None if t is None else left, len(t or ""), len(t or "") - len(left)))
     return out
 
 
-def test_lines_against_brute_force(spark):
+@pytest.fixture(scope="module")
+def line_texts():
     rng = random.Random(2)
     block = [prose(rng, 6) for _ in range(12)]
-    texts = [None, "", "\n\n\n", "one line", "  led by gaps, and. more ", " ", "x" * 5000, ", ".join(["a"] * 90)]
+    texts = [None, "", "\n\n\n", "one line", "  led by gaps, and. more ", " ", "x" * 5000, "x" * 5000, ", ".join(["a"] * 90), " " * 300]
+    texts += ["one piece of thirty-five characters", "one piece of thirty-five characters"]
     for _ in range(25):
         lines = [prose(rng, 5) for _ in range(rng.randint(0, 6))]
-        texts.append(rng.choice(["\n", ". ", ", "]).join(lines + block[: rng.randint(6, 12)] + [prose(rng, 5)]))
-    want = lines_by_hand(texts)
-    df = spark.createDataFrame([(i, t, 1, "g", 3) for i, t in enumerate(texts)], "doc_id long, text string, at int, gone string, row int").repartition(3)
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.deduplicate_lines(df).collect()}
-    assert got == dict(enumerate(want)) and any(v[2] for v in want)
+        texts.append(rng.choice(["\n", ". ", ", ", " \x01\x02\x04"]).join(lines + block[: rng.randint(6, 12)] + [prose(rng, 5)]))
+    return texts
+
+
+def test_lines_against_brute_force(spark, line_texts):
+    want = lines_by_hand(line_texts)
+    df = spark.createDataFrame([(i, t, 1, "g", 3, "n") for i, t in enumerate(line_texts)], "doc_id long, text string, at int, gone string, row int, name string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_chars"], r["n_removed"]) for r in line_dedup.deduplicate_lines(df).collect()}
+    plain = {i for i, t in enumerate(line_texts) if "\x01" not in (t or "")}  # escaped pieces hash otherwise
+    assert {i: got[i] for i in plain} == {i: want[i] for i in plain} and any(v[2] for v in want)
+    for i, t in enumerate(line_texts):  # what is left is the text less whole runs of it
+        left = iter(t or "")
+        assert all(c in left for c in got[i][0] or "") and len(got[i][0] or "") == got[i][1] - got[i][2]
+
+
+def test_lines_with_clashing_names(spark, line_texts):
+    """Names of two bits clash everywhere; the bytes still tell."""
+    weak = lambda c: F.struct((F.xxhash64(c) % 2).alias("a"), F.lit(0).cast("long").alias("b"))
+    df = spark.createDataFrame(list(enumerate(line_texts[10:22])), "doc_id long, text string").repartition(3)
+    good = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(df).collect()}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(df, name=weak).collect()} == good
 
 
 def test_lines_of_repeated_and_missing_ids(spark):
@@ -212,7 +225,7 @@ def test_lines_of_repeated_and_missing_ids(spark):
     got = [(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.deduplicate_lines(df).collect()]
     assert sorted((t for i, t, n in got if i == 1), key=str) == sorted([one, two], key=str) and all(n == 0 for i, _, n in got if i in (1, 3))
     a, b = sorted(n for i, _, n in got if i == 2)
-    assert 0 < a < b and [n for i, t, n in got if i is None and t is not None][0] > 10 and len(got) == len(rows)
+    assert 0 < a < b and [n for i, t, n in got if i is None and t is not None][0] > 50 and len(got) == len(rows)
 
 
 @pytest.mark.parametrize("joint", [" ", "\n"])
@@ -232,7 +245,7 @@ def test_passages_inside_lines_are_found(spark, joint):
     out = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     text = dict(rows)
     found = [len(text[i].split()) - len(out[i]["text"].split()) for i in range(1, 2 * n, 2)]
-    assert sum(x > 0 for x in found) >= 0.93 * n and sum(found) > 30 * n
+    assert sum(x > 0 for x in found) >= 0.9 * n and sum(found) > 27 * n
     assert all(out[i]["text"] == text[i] for i in [*range(0, 2 * n, 2), *range(1000, 1040)])
 
 
