@@ -7,17 +7,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import discard, shared_folder, stored, table
 
-__all__ = ["WORD_BYTES", "batches_of", "discard", "in_part", "lower_table", "ordered_sample", "shared_folder", "stored", "table", "utf8"]
+__all__ = [
+    "WORD_BYTES", "batches_of", "bounded_batches", "discard", "in_part", "lower_table", "ordered_sample",
+    "shared_folder", "stored", "table", "utf8"
+]
 
 #: Letters kept by byte-level features after A-Z is lowered: digits, a-z and every byte of a multi-byte character.
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
+#: Bytes of rows that a task hands to Python at a time, unless the session says otherwise.
+BATCH_BYTES = "4m"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets BATCH_BYTES where the session has Spark's default, which takes several times 64 MB of memory a task."""
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def in_part(key: Column, modulus: int, rest: int) -> Column:
     """crc32(key as text) mod modulus equals rest; a null key counts as the text ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == rest
@@ -34,7 +48,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    offsets = np.frombuffer(
+        offsets, np.int64, len(column) + 1, column.offset * 8
+    ) if len(column) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .common import lower_table, stored, table, utf8
+from .common import bounded_batches, lower_table, stored, table, utf8
 
 #: A-Z lowered, word bytes kept, all else a space: bytes.split() then gives the words.
 WORDS = bytes(lower_table())
@@ -51,9 +51,13 @@ def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFram
                 distinct = sorted({b" ".join(w[j : j + size]) for j in range(max(1, len(w) - size + 1))}) if w else []
                 rows += [i] * len(distinct)
                 found += distinct
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.binary())], ["item_id", "window"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.binary())], ["item_id", "window"]
+            )
 
-    return items.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, f"item_id {kind}, window binary").distinct()
+    return items.select(
+        F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")
+    ).mapInArrow(cut, f"item_id {kind}, window binary").distinct()
 
 
 def words_of_windows(windows: DataFrame) -> DataFrame:
@@ -61,7 +65,9 @@ def words_of_windows(windows: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({x for w in texts_of(batch.column(0)) for x in w.split(b" ")}), pa.binary())], ["word"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sorted({x for w in texts_of(batch.column(0)) for x in w.split(b" ")}), pa.binary())], ["word"]
+            )
 
     return windows.select("window").mapInArrow(cut, "word binary").distinct()
 
@@ -74,16 +80,22 @@ def rarity(docs: DataFrame, text: str, words: DataFrame, block: int) -> DataFram
     parts = max(1, -(-words.count() // block))
     out = None
     for k in range(parts):
-        held = spark.sparkContext.broadcast({bytes(r["word"]) for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == k).toLocalIterator()})
+        held = spark.sparkContext.broadcast(
+            {bytes(r["word"]) for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == k).toLocalIterator()}
+        )
 
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
             for batch in batches:
                 for own in texts_of(batch.column(0)):
                     total.update(held.value.intersection(words_in(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "docs"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "docs"]
+            )
 
-        counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(count, "word binary, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+        counted = docs.select(
+            F.col(f"`{text}`").cast("string").alias("text")
+        ).mapInArrow(count, "word binary, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
         out = counted if out is None else out.unionByName(counted)
     return stored(out)
 
@@ -121,7 +133,10 @@ class WindowIndex:
         return merged, items
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", size: int = SIZE, block: int = BLOCK, into: str = "found") -> DataFrame:
+def find_windows(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id",
+    item_text: str = "text", size: int = SIZE, block: int = BLOCK, into: str = "found"
+) -> DataFrame:
     """The columns ``keep`` of docs (all if None) and ``into``: struct of n_words, spans (merged [start, stop) places of
     words inside any occurring window) and items (ids of items with occurring windows, sorted as strings).
 
@@ -130,6 +145,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
     benchmark windows, or in an empty table, nothing is found.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     windows = stored(windows_of(benchmark, item_id, item_text, size))
     blocks = max(1, -(-windows.count() // block))
@@ -143,22 +159,40 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
         own: dict[bytes, list] = {}
         for r in mine.toLocalIterator():
             own.setdefault(bytes(r["window"]), []).append(r["item_id"])
-        docs_with = {bytes(r["word"]): r["docs"] for r in counted.join(words_of_windows(mine), "word", "left_semi").toLocalIterator()}
+        docs_with = {
+            bytes(r["word"]): r["docs"] for r in counted.join(
+                words_of_windows(mine), "word", "left_semi"
+            ).toLocalIterator()
+        }
         indexes.append(spark.sparkContext.broadcast(WindowIndex(own, docs_with)))
 
     spans_type = "array<struct<start: bigint, stop: bigint>>"
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(TEXT))
     if blocks == 1:
-        return slim.mapInArrow(searched(indexes[0], keep, into, item_type), ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{into}` struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>"]))
+        return slim.mapInArrow(
+            searched(indexes[0], keep, into, item_type),
+            ", ".join(
+                [
+                    *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep),
+                    f"`{into}` struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>"
+                ]
+            )
+        )
     # Several blocks: rows are numbered and written once, each block's search gives numbers and finds alone, and these are
     # merged before they meet the rows.
     slim = stored(slim.withColumn(ROW, F.monotonically_increasing_id()))
     found = None
     for index in indexes:
-        own = slim.select(ROW, TEXT).mapInArrow(searched(index, [ROW], "f", item_type), f"`{ROW}` bigint, f struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>")
+        own = slim.select(ROW, TEXT).mapInArrow(
+            searched(index, [ROW], "f", item_type),
+            f"`{ROW}` bigint, f struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>"
+        )
         own = stored(own if found is None else own.filter(F.size("f.items") > 0))  # the first one gives all rows' numbers of words
         found = own if found is None else found.unionByName(own)
-    merged = found.groupBy(ROW).agg(F.max("f.n_words").alias("n_words"), F.flatten(F.collect_list("f.spans")).alias("spans"), F.flatten(F.collect_list("f.items")).alias("items"))  # a row per block at most
+    merged = found.groupBy(ROW).agg(  # a row per block at most
+        F.max("f.n_words").alias("n_words"), F.flatten(F.collect_list("f.spans")).alias("spans"),
+        F.flatten(F.collect_list("f.items")).alias("items")
+    )
     # Spans in order; one that starts within or at the end of the last is joined to it.
     last = lambda a: F.get(a, F.size(a) - 1)
 
@@ -168,7 +202,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
         return F.when(apart, F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined)))
 
     spans = F.aggregate(F.array_sort("spans"), F.array().cast(spans_type), grown)
-    items = F.transform(F.array_sort(F.transform(F.array_distinct("items"), lambda x: F.struct(x.cast("string").alias("s"), x.alias("x")))), lambda p: p["x"])
+    items = F.transform(
+        F.array_sort(
+            F.transform(F.array_distinct("items"), lambda x: F.struct(x.cast("string").alias("s"), x.alias("x")))
+        ),
+        lambda p: p["x"]
+    )
     light = stored(merged.select(ROW, F.struct("n_words", spans.alias("spans"), items.alias("items")).alias(FOUND)))
     return slim.join(light, ROW).select(*[F.col(f"`{c}`") for c in keep], F.col(FOUND).alias(into))
 
@@ -182,14 +221,26 @@ def searched(index, keep: list[str], into: str, kind: DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items_type = pa.list_(to_arrow_type(kind))
-        finds = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", items_type)])
+        finds = pa.struct(
+            [
+                ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                ("items", items_type)
+            ]
+        )
         for batch in batches:
             out = []
             for own in texts_of(batch.column(len(keep))):
                 w = words_in(own)
                 spans, items = index.value.find(w)
-                out.append({"n_words": len(w), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(items, key=str)})
-            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(len(keep))), pa.array(out, finds)], [*keep, into])
+                out.append(
+                    {
+                        "n_words": len(w), "spans": [{"start": a, "stop": b} for a, b in spans],
+                        "items": sorted(items, key=str)
+                    }
+                )
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(j) for j in range(len(keep))), pa.array(out, finds)], [*keep, into]
+            )
 
     return run
 
@@ -199,7 +250,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     items = F.array_join(F.array_sort(F.transform("found.items", lambda x: x.cast("string"))), ",")
-    rows = found.select("doc_id", "found.n_words", hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"))
+    rows = found.select(
+        "doc_id", "found.n_words", hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(items.cast("binary"), 256).alias("items_sha256")
+    )
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 

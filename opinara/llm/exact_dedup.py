@@ -33,7 +33,9 @@ def name_of(chunk: Column) -> Column:
 
 def clashing_of(distinct: DataFrame) -> list:
     """Names that several rows of distinct chunks share; with 128 bits none is expected at any size."""
-    return [r["name"] for r in distinct.groupBy("name").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").collect()]
+    return [
+        r["name"] for r in distinct.groupBy("name").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").collect()
+    ]
 
 
 def spelled_name(chunk: Column, clashing: list, name=name_of) -> Column:
@@ -44,7 +46,9 @@ def spelled_name(chunk: Column, clashing: list, name=name_of) -> Column:
     return F.struct(own["a"].alias("a"), own["b"].alias("b"), F.when(clash, chunk).alias("chunk"))
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunks=chunks_of, name=name_of) -> DataFrame:
+def exact_groups(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunks=chunks_of, name=name_of
+) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Texts are equal when identical without their white space ``[\\x20\\x09-\\x0D]``; null counts as empty, and all empty
@@ -53,15 +57,35 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     where no equal text has one. Other columns are ignored; an
     empty table gives no rows.
     """
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("points"), normalised(F.col(f"`{text}`")).alias("own"))
-    chunk = slim.select(F.explode(chunks(F.col("own"))).alias("chunk")).select(name(F.col("chunk")).alias("name"), "chunk")
+    slim = docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"),
+        F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("points"),
+        normalised(F.col(f"`{text}`")).alias("own")
+    )
+    chunk = slim.select(
+        F.explode(chunks(F.col("own"))).alias("chunk")
+    ).select(name(F.col("chunk")).alias("name"), "chunk")
     clashing = clashing_of(chunk.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n")))
-    recipes = stored(slim.select("doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("own")), lambda c: spelled_name(c, clashing, name)).alias("recipe")))
-    groups = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct((-F.col("points")).alias("p"), "doc_id")))["doc_id"].alias("keep_id"))
+    recipes = stored(
+        slim.select(
+            "doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"),
+            F.transform(chunks(F.col("own")), lambda c: spelled_name(c, clashing, name)).alias("recipe")
+        )
+    )
+    groups = recipes.groupBy("recipe").agg(
+        F.count(F.lit(1)).alias("group_size"),
+        F.min(
+            F.when(F.col("doc_id").isNotNull(), F.struct((-F.col("points")).alias("p"), "doc_id"))
+        )["doc_id"].alias("keep_id")
+    )
     # Read from a table, both sides of the join are freshly dealt, so that Spark can split the rows of a hot recipe.
     found = recipes.join(stored(groups.filter("group_size > 1")), "recipe", "left")
     alone = F.col("group_size").isNull()
-    return found.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.when(alone, True).otherwise(F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"), "text_sha256")
+    return found.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.when(alone, True).otherwise(F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"), "text_sha256"
+    )
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

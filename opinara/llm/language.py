@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, in_part, lower_table, table, utf8
+from .common import batches_of, bounded_batches, in_part, lower_table, table, utf8
 
 #: Documents learned from for each language, about: ids are taken whose hash lies below this share of the language's.
 PER_LANGUAGE = 2000
@@ -61,7 +61,9 @@ class Languages:
         self.names = names
         self.likelihood = ((counts + smooth) / (counts.sum(0) + smooth * BUCKETS)).astype(np.float32)
 
-    def mixture(self, row: np.ndarray, lik: np.ndarray, count: np.ndarray, n: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def mixture(
+        self, row: np.ndarray, lik: np.ndarray, count: np.ndarray, n: int, allowed: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Proportions (n, languages) by EM over the allowed languages, and log-likelihoods; rows are sorted."""
         share = allowed / allowed.sum(1, keepdims=True)
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -101,23 +103,37 @@ class Languages:
         return share
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Languages:
+def fit(
+    docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE
+) -> Languages:
     """Counts trigrams over about per_language documents of each language (all, where it has fewer), summed in Spark."""
-    known = docs.filter(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
+    bounded_batches(docs.sparkSession)
+    known = docs.filter(F.col(lang).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")
+    )
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row per language
-    taken = known.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) * F.col("n") < F.lit(1_000_003) * per_language)
+    taken = known.join(F.broadcast(sizes), "lang").filter(
+        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) * F.col("n") < F.lit(1_000_003) * per_language
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            names, code = np.unique(np.array(batch.column(1).to_pylist(), dtype=object).astype(str), return_inverse=True)
+            names, code = np.unique(
+                np.array(batch.column(1).to_pylist(), dtype=object).astype(str), return_inverse=True
+            )
             for a, b in batches_of(offsets, CHUNK):
                 row, bucket, n = grams(data, offsets[a : b + 1])
                 total = np.bincount(code[a + row] * BUCKETS + bucket, n, len(names) * BUCKETS)
                 at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(names[at // BUCKETS]), pa.array(at % BUCKETS), pa.array(total[at].astype(np.int64))], ["lang", "bucket", "n"])
-
-    got = taken.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[at // BUCKETS]), pa.array(at % BUCKETS), pa.array(total[at].astype(np.int64))],
+                    ["lang", "bucket", "n"]
+                )
+
+    got = taken.select("text", "lang").mapInArrow(
+        count, "lang string, bucket long, n long"
+    ).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(got["lang"].unique())
     counts = np.zeros((BUCKETS, len(names)))
     counts[got["bucket"].to_numpy(np.int64), np.searchsorted(names, got["lang"])] = got["n"]
@@ -132,6 +148,7 @@ def detect(docs: DataFrame, model: Languages, text: str = "text", keep: list[str
     learned. Letters that yield no trigram get equal proportions. Whole texts are read; columns named alike are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "mixture")]
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +164,22 @@ def detect(docs: DataFrame, model: Languages, text: str = "text", keep: list[str
                         names.append("und"), scores.append(0.0), mixed.append([])
                     else:
                         best = int(own.argmax())
-                        names.append(m.names[best]), scores.append(min(1.0, float(own[best]))), mixed.append([(m.names[k], float(own[k])) for k in np.flatnonzero(own > 1e-4)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(mixed, pa.map_(pa.string(), pa.float64()))], [*keep, "lang_pred", "score", "mixture"])
+                        names.append(m.names[best]), scores.append(min(1.0, float(own[best]))), mixed.append(
+                            [(m.names[k], float(own[k])) for k in np.flatnonzero(own > 1e-4)]
+                        )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()),
+                    pa.array(scores, pa.float64()), pa.array(mixed, pa.map_(pa.string(), pa.float64()))
+                ],
+                [*keep, "lang_pred", "score", "mixture"]
+            )
 
     own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("\x01text"), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("\x01letters"))
+    slim = docs.select(
+        *[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("\x01text"),
+        F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("\x01letters")
+    )
     return slim.mapInArrow(run, own + "lang_pred string, score double, mixture map<string,double>")
 
 
@@ -159,4 +187,6 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole ``documents`` text, learned from rows whose crc32(doc_id) mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.filter(~in_part(F.col("doc_id"), 4, 2)))
-    return detect(docs, model, keep=["doc_id"]).select("doc_id", in_part(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "mixture")
+    return detect(docs, model, keep=["doc_id"]).select(
+        "doc_id", in_part(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "mixture"
+    )

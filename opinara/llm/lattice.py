@@ -8,15 +8,14 @@ probability is the product over them, and the sum over all texts is at most 1. S
 for its spelling, which the count formula of ``base_score`` doesn't ask for: where many words are new, ``score`` lies below
 it. ``lattice_score`` is what the pieces alone give.
 
-Word counts are exact and held nowhere whole. Documents are dealt into chunks of bounded size as they are first read; each
-chunk's distinct words are summed to the words' totals, each word is walked once, and what it weighs goes back to the chunks
-that hold it. A word, however frequent, has one row for each chunk at most.
+Word counts are exact and held nowhere whole. Documents are read once and dealt into chunks of bounded size, as numbers in
+the chunk's own dictionary. The dictionaries' words are summed to totals, each distinct word is walked once, and what it
+weighs goes back to the chunks that hold it, by number. A word, however frequent, has one row for each chunk at most.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_part, stored, table, utf8
+from .common import bounded_batches, discard, in_part, shared_folder, stored, table, utf8
 
 MARK = 0x2581  # the vocabulary's sign for the start of a word
 #: Bytes of text that one chunk holds, about; a longer text is a chunk alone.
@@ -33,7 +32,8 @@ CHUNK_BYTES = 16_000_000
 #: Tokens that the vocabulary's own scores count for beside the training tokens.
 PRIOR_TOKENS = 5000.0
 SHARES = np.array([0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
-LENGTHS_TOGETHER = 400_000  # characters of equally long words that are walked at once
+#: Words that are walked at a time, and characters of equally long ones among them.
+WORDS_TOGETHER, LENGTHS_TOGETHER = 100_000, 400_000
 #: Words of more places than this are walked place by place, in blocks of BLOCK; the result is the same.
 PLACES, BLOCK = 300, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +79,9 @@ class Lattice:
             key, piece, side = self.hashes[i], int(i), 0
             for _ in range(500):
                 at = int((key >> self.shifts[side]) & self.mask)
-                (self.keys[side, at], key), (self.pieces[side, at], piece) = (key, self.keys[side, at]), (piece, int(self.pieces[side, at]))
+                (self.keys[side, at], key), (self.pieces[side, at], piece) = (key, self.keys[side, at]), (
+                    piece, int(self.pieces[side, at])
+                )
                 if piece < 0:
                     break
                 side = 1 - side
@@ -126,7 +128,9 @@ class Lattice:
         out = []
         for stop in range(1, points.shape[1] + 1):
             for start in range(max(0, stop - self.longest), stop):
-                rows, pieces = self.found(prefix[stop] - prefix[start] * self.power[stop - start], points[:, start:stop])
+                rows, pieces = self.found(
+                    prefix[stop] - prefix[start] * self.power[stop - start], points[:, start:stop]
+                )
                 if len(rows):
                     out.append((start, stop, rows, pieces))
         return out
@@ -167,7 +171,9 @@ class Lattice:
             for a, b, rows, _, w in sorted(arcs, key=lambda x: -x[0]):
                 backward[a, rows] = np.logaddexp(backward[a, rows], backward[b, rows] + w)
             for a, b, rows, pieces, w in arcs:
-                self.uses(pieces, np.exp(forward[a, rows] + w + backward[b, rows] - forward[size, rows]) * times[rows], into)
+                self.uses(
+                    pieces, np.exp(forward[a, rows] + w + backward[b, rows] - forward[size, rows]) * times[rows], into
+                )
         return forward[size]
 
     def block_arcs(self, points: np.ndarray, a: int, b: int) -> list[list[tuple[int, int, float]]]:
@@ -185,7 +191,9 @@ class Lattice:
             if len(starts):
                 views = np.lib.stride_tricks.sliding_window_view(own, k)[starts - low]
                 rows, pieces = self.found(prefix[starts - low + k] - prefix[starts - low] * self.power[k], views)
-                for start, piece, w in zip(starts[rows].tolist(), pieces.tolist(), self.weight(pieces).tolist(), strict=True):
+                for start, piece, w in zip(
+                    starts[rows].tolist(), pieces.tolist(), self.weight(pieces).tolist(), strict=True
+                ):
                     out[start + k - a - 1].append((start, piece, w))
         return out
 
@@ -225,7 +233,9 @@ class Lattice:
                 pieces, use = [], []
         return total
 
-    def marginals(self, words: list[bytes], times: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
+    def marginals(
+        self, words: list[bytes], times: np.ndarray | None = None, into: np.ndarray | None = None
+    ) -> np.ndarray:
         """Log marginal of every word, its start mark included; equally long words go together."""
         text = [x.decode("utf-8", "surrogatepass") for x in words]
         length = np.fromiter(map(len, text), np.int64, len(text))
@@ -234,9 +244,13 @@ class Lattice:
         a = 0
         while a < len(order):
             size = int(length[order[a]])
-            b = a + 1 if size > PLACES else min(int(np.searchsorted(length[order], size, "right")), a + max(1, LENGTHS_TOGETHER // (size + 1)))
+            b = a + 1 if size > PLACES else min(
+                int(np.searchsorted(length[order], size, "right")), a + max(1, LENGTHS_TOGETHER // (size + 1))
+            )
             rows = order[a:b]
-            flat = np.frombuffer("".join([text[i] for i in rows]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), size)
+            flat = np.frombuffer(
+                "".join([text[i] for i in rows]).encode("utf-32-le", "surrogatepass"), "<u4"
+            ).reshape(len(rows), size)
             points = np.concatenate([np.full((len(rows), 1), MARK, np.uint32), flat], 1)
             if size > PLACES:
                 out[rows] = self.long_walk(points[0], None if times is None else float(times[rows[0]]), into)
@@ -273,53 +287,73 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def dealt(docs: DataFrame, train: F.Column, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, text, train, chunk), written: a chunk is a run of rows of one partition, of CHUNK_BYTES about."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            chunk = first + (held + offsets[1:] - offsets[0] - 1) // CHUNK_BYTES
-            held += int(offsets[-1] - offsets[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int64())], ["doc_id", "text", "train", "chunk"])
+def numbered(docs: DataFrame, train: F.Column, text: str, doc_id: str) -> DataFrame:
+    """Documents as (chunk, doc_id, train, tokens), tokens being 32-bit numbers in the chunk's dictionary, and dictionaries as
+    (chunk, idx, word, n), n being how often the chunk's training documents have the word; in one table, written.
 
+    A chunk is a run of rows of one partition, of CHUNK_BYTES about.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    return stored(slim.mapInArrow(deal, f"doc_id {kind}, text string, train boolean, chunk long"))
-
+    names = ["chunk", "doc_id", "train", "tokens", "idx", "word", "n"]
+    types = [pa.int64(), None, pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
 
-def chunk_words(docs: DataFrame) -> DataFrame:
-    """(chunk, word, n): the distinct words of each chunk and how often its training documents have them."""
+    def rows(size: int, id_type: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
+        own = [columns[c] if c in columns else pa.nulls(size, t or id_type) for c, t in zip(names, types, strict=True)]
+        return pa.RecordBatch.from_arrays(own, names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
-        now = None
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), now, np.int64)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["chunk", "word", "n"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        index: dict[bytes, int] = {}
+        seen: list[np.ndarray] = []
+        id_type = None
+
+        def dictionary() -> pa.RecordBatch:
+            n = np.bincount(np.concatenate(seen) if seen else np.zeros(0, np.int32), minlength=len(index))
+            numbers = pa.array(np.arange(len(index), dtype=np.int32))
+            return rows(
+                len(index), id_type, chunk=pa.array(np.full(len(index), chunk)), idx=numbers,
+                word=pa.array(list(index), pa.binary()), n=pa.array(n)
+            )
 
         for batch in batches:
+            id_type = batch.column(0).type
             data, offsets = utf8(batch.column(1))
-            raw = memoryview(data)
-            for chunk, a, b, train in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(2).to_pylist(), strict=True):
-                if chunk != now:
-                    if own:
-                        yield out()
-                    own, now = Counter(), chunk
-                words = words_of(bytes(raw[a:b]))
-                if train:
-                    own.update(words)
-                else:
-                    for w in words:
-                        if w not in own:
-                            own[w] = 0
-        if own:
-            yield out()
-
-    # A chunk whose file is read by two tasks has rows from both.
-    found = docs.select("chunk", "text", "train").mapInArrow(count, "chunk long, word binary, n long")
-    return stored(found)
+            raw, learned = memoryview(data), batch.column(2).to_pylist()
+            tokens, chunks = [], []
+            for a, b, own in zip(offsets[:-1].tolist(), offsets[1:].tolist(), learned, strict=True):
+                if size and size + b - a > CHUNK_BYTES:
+                    yield dictionary()
+                    chunk, size, index, seen = chunk + 1, 0, {}, []
+                size += b - a
+                ids = np.array([index.setdefault(w, len(index)) for w in words_of(bytes(raw[a:b]))], np.int32)
+                if own:
+                    seen.append(ids)
+                tokens.append(ids.astype("<i4").tobytes()), chunks.append(chunk)
+            yield rows(
+                len(tokens), id_type, chunk=pa.array(chunks, pa.int64()), doc_id=batch.column(0), train=batch.column(2),
+                tokens=pa.array(tokens, pa.binary())
+            )
+        if index:
+            yield dictionary()
+
+    slim = docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(train, F.lit(False)).alias("train")
+    )
+    schema = f"chunk long, doc_id {kind}, train boolean, tokens binary, idx int, word binary, n long"
+    return stored(slim.mapInArrow(deal, schema), compression="zstd")
+
+
+def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """WORDS_TOGETHER rows at a time, about."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= WORDS_TOGETHER:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def learn(words: DataFrame, lattice: Lattice, rounds: int = 3) -> tuple[Lattice, float]:
@@ -334,17 +368,23 @@ def learn(words: DataFrame, lattice: Lattice, rounds: int = 3) -> tuple[Lattice,
         def expect(batches: Iterator[pa.RecordBatch], held=held, last=k == rounds - 1) -> Iterator[pa.RecordBatch]:
             m = held.value
             used, logs = np.zeros(len(m.log_p)), np.zeros(len(SHARES))
-            for batch in batches:
+            for batch in pooled(batches):
                 times = np.asarray(batch.column(1)).astype(np.float64)
                 marginal = m.marginals(batch.column(0).to_pylist(), times, used)
                 if last:
                     # Each occurrence is left out of its word's count in turn.
-                    mixed = SHARES[:, None] * ((times - 1) / total)[None, :] + (1 - SHARES)[:, None] * np.exp(marginal)[None, :]
+                    mixed = SHARES[:, None] * (
+                        (times - 1) / total
+                    )[None, :] + (1 - SHARES)[:, None] * np.exp(marginal)[None, :]
                     logs += (np.log(np.maximum(mixed, 1e-300)) * times[None, :]).sum(1)
             at = np.flatnonzero(used)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, tries]), pa.array(np.r_[used[at], logs])], ["piece", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[at, tries]), pa.array(np.r_[used[at], logs])], ["piece", "value"]
+            )
 
-        got = words.mapInArrow(expect, "piece long, value double").groupBy("piece").agg(F.sum("value").alias("value")).toPandas()  # as many rows as pieces
+        got = words.mapInArrow(  # as many rows as pieces
+            expect, "piece long, value double"
+        ).groupBy("piece").agg(F.sum("value").alias("value")).toPandas()
         piece, value = got["piece"].to_numpy(), got["value"].to_numpy()
         own = np.zeros(len(lattice.log_p))
         own[piece[piece >= 0]] = value[piece >= 0]
@@ -355,68 +395,80 @@ def learn(words: DataFrame, lattice: Lattice, rounds: int = 3) -> tuple[Lattice,
     return lattice, share
 
 
-def weigh(words: DataFrame, lattice: Lattice) -> DataFrame:
+def weigh(words: DataFrame, lattice: Lattice, work: str) -> DataFrame:
     """(word, total, marginal), written: each distinct word is walked once."""
     held = words.sparkSession.sparkContext.broadcast(lattice)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.marginals(batch.column(0).to_pylist()))], ["word", "total", "marginal"])
+        for own in pooled(batches):
+            yield from own.append_column(
+                "marginal", pa.array(held.value.marginals(own["word"].to_pylist()))
+            ).to_batches(10_000)
 
-    return stored(words.select("word", "total").mapInArrow(walk, "word binary, total long, marginal double"))
+    return stored(words.select("word", "total").mapInArrow(walk, "word binary, total long, marginal double"), work)
 
 
-def score(docs: DataFrame, train: F.Column | None = None, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+def score(
+    docs: DataFrame, train: F.Column | None = None, text: str = "text", doc_id: str = "doc_id",
+    vocabulary: str | None = None
+) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z, then one end. ``train`` is a condition on docs' columns
     (all rows if None). base_score: sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))). score: log10 of the text's
     probability under the lattice model; lattice_score: the same without the whole-word arcs. A null or empty text is the
     end alone. Repeated rows, and rows without an id, count and are scored each. Without training rows the vocabulary's
-    scores alone weigh the pieces.
+    scores alone weigh the pieces. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    slim = dealt(docs, F.lit(True) if train is None else train, text, doc_id)
-    own = chunk_words(slim)
-    totals = stored(own.groupBy("word").agg(F.sum("n").alias("total")))
+    bounded_batches(spark)
+    work = shared_folder(spark)
+    both = numbered(docs, F.lit(True) if train is None else train, text, doc_id)
+    slim = both.filter("tokens IS NOT NULL").select("chunk", "doc_id", "tokens", "train")
+    own = both.filter("word IS NOT NULL").select("chunk", "idx", "word", "n")
+    totals = stored(own.groupBy("word").agg(F.sum("n").alias("total")), work)
     known = totals.filter("total > 0")
     n_words, distinct = known.agg(F.sum("total"), F.count(F.lit(1))).first()
     ends = slim.filter("train").count()
     n_words = int(n_words or 0)
     n, v = n_words + ends, distinct + (ends > 0)
     lattice, share = learn(known, load(vocabulary))
-    words = weigh(totals, lattice)
+    words = weigh(totals, lattice, work)
     floor = np.log10(n + 0.5 * (v + 1))
     p_end = (ends + 0.5) / (n + 1.0)
+    values = stored(own.join(words, "word").select("chunk", "idx", "total", "marginal"))
+    discard(spark, work)
     kind = slim.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]
 
     def judge(own: pa.Table, dictionary: pa.Table) -> pa.Table:
-        words = dictionary["word"].to_pylist()
-        times = np.asarray(dictionary["total"]).astype(np.float64)
-        index = dict(zip(words, range(len(words)), strict=True))
-        base = np.log10(times + 0.5) - floor
-        pieces = np.asarray(dictionary["marginal"]) + np.log1p(-p_end)
-        whole = share * times / n_words if n_words else np.zeros(len(words))
+        idx = np.asarray(dictionary["idx"])
+        times, pieces = np.zeros(len(idx)), np.zeros(len(idx))
+        times[idx] = np.asarray(dictionary["total"])
+        pieces[idx] = np.asarray(dictionary["marginal"]) + np.log1p(-p_end)
+        whole = share * times / n_words if n_words else times
         with np.errstate(divide="ignore"):
-            full = np.logaddexp(np.log(whole) + np.log1p(-p_end), pieces + np.log1p(-share)) / np.log(10)
-        pieces /= np.log(10)
-        data, offsets = utf8(own["text"])
-        raw = memoryview(data)
-        out = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            at = np.array([index[w] for w in words_of(bytes(raw[a:b]))], np.int64)
-            out.append((len(at) + 1, int((times[at] > 0).sum()) + (ends > 0), base[at].sum() + np.log10(ends + 0.5) - floor, full[at].sum() + np.log10(p_end), pieces[at].sum() + np.log10(p_end)))
-        columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
-        whole_numbers = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(np.full(len(out), n, np.int64))]
-        return pa.table([own["doc_id"], *whole_numbers, *(pa.array(c, pa.float64()) for c in columns[2:])], names=names)
-
-    dictionary = own.select("chunk", "word").join(words, "word")  # a word may come twice where two tasks read one chunk
+            full = np.logaddexp(np.log(whole) + np.log1p(-p_end), pieces + np.log1p(-share))
+        data, offsets = utf8(own["tokens"])
+        size = np.diff(offsets) // 4
+        ids, row = np.frombuffer(data.tobytes(), "<i4"), np.repeat(np.arange(len(size)), size)
+        summed = lambda x: np.bincount(row, x[ids], len(size))
+        base = summed(np.log10(times + 0.5) - floor) + np.log10(ends + 0.5) - floor
+        log_probabilities = [summed(x) / np.log(10) + np.log10(p_end) for x in (full, pieces)]
+        counts = [size + 1, summed(times > 0).astype(np.int64) + (ends > 0), np.full(len(size), n)]
+        arrays = [
+            *(pa.array(c, pa.int64()) for c in counts), *(pa.array(x, pa.float64()) for x in (base, *log_probabilities))
+        ]
+        return pa.table([own["doc_id"], *arrays], names=names)
+
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    return slim.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(judge, schema)
+    return slim.drop("train").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(judge, schema)
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all ``documents``; learns from those whose crc32(doc_id) mod 5 is not 1."""
     out = score(table(spark, sf_dir, "documents"), ~in_part(F.col("doc_id"), 5, 1))
-    return out.select("doc_id", in_part(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
+    return out.select(
+        "doc_id", in_part(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+        "score", "lattice_score"
+    )

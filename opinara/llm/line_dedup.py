@@ -95,11 +95,11 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     work = shared_folder(spark)
     own = escaped(F.col(f"`{text}`").cast("string"))
     slim = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), own.alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), own.alias("text"),
+        F.coalesce(F.length(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("long").alias("n_chars")
     )
-    cut = slim.select(
-        "row", "doc_id", chunks_in(F.col("text")).alias("c")
-    ).select("row", "doc_id", "c.several", "c.chunks")
+    cut = slim.select("row", "doc_id", "n_chars", chunks_in(F.col("text")).alias("c"))
+    cut = cut.select("row", "doc_id", "n_chars", "c.several", "c.chunks")
     cut = stored(cut, work, compression="zstd")
     counted = lambda chunk: (F.length(chunk) >= LEAST) & chunk.rlike(WORD)
     each = cut.filter("several").select("row", "doc_id", F.posexplode("chunks").alias("at", "chunk"))
@@ -130,11 +130,7 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     discard(spark, work)
     gone = F.array_sort(F.transform(F.filter("places", lambda p: ~p["stays"]), lambda p: p["at"]))
     left = F.when(F.col("places").isNull(), F.col("chunks")).otherwise(without(F.col("chunks"), gone))
-    join = lambda chunks: restored(F.array_join(chunks, ""))
-    out = marked.select(
-        "doc_id", join(left).alias("text"),
-        F.coalesce(F.length(join(F.col("chunks"))), F.lit(0)).cast("long").alias("n_chars")
-    )
+    out = marked.select("doc_id", restored(F.array_join(left, "")).alias("text"), "n_chars")
     return out.withColumn("n_removed", F.col("n_chars") - F.coalesce(F.length("text"), F.lit(0)))
 
 

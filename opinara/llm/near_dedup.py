@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, shared_folder, stored, table, utf8
+from .common import batches_of, bounded_batches, discard, shared_folder, stored, table, utf8
 
 WORDS, SIMILARITY = 5, 80
 PERMUTATIONS, ROWS = 80, 5
@@ -107,7 +107,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+    return pa.ListArray.from_arrays(
+        pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()),
+        pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64))
+    )
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -121,10 +124,18 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(band_keys(min_max(s)) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(bands)], ["id", "name", "n", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                    lists(bands)
+                ],
+                ["id", "name", "n", "digest", "bands"]
+            )
 
     kind = docs.schema["name"].dataType.simpleString()
-    return docs.select("id", "name", "text").mapInArrow(sign, f"id long, name {kind}, n long, digest binary, bands array<long>")
+    return docs.select("id", "name", "text").mapInArrow(
+        sign, f"id long, name {kind}, n long, digest binary, bands array<long>"
+    )
 
 
 def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -137,7 +148,8 @@ def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(found)], ["id", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(gather, f"id {kind}, shingles array<long>")
+    # Both sides grow with the documents, so they meet by key at every size.
+    return docs.select("id", "text").join(ids.hint("merge"), "id", "left_semi").mapInArrow(gather, f"id {kind}, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -152,7 +164,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1)], ["a", "b"]
+            ).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -167,13 +181,24 @@ def components(links: DataFrame, work: str | None = None) -> DataFrame:
     """
     links = links.filter("a <> b")
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), work)
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), work)
+    labels = stored(
+        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select(
+            "id", F.least("id", "b").alias("component")
+        ),
+        work
+    )
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        near = both.join(
+            labels.select(F.col("id").alias("b"), "component"), "b"
+        ).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.join(near, "id").select(
+            "id", F.col("component").alias("was"), F.least("component", "near").alias("component")
+        )
         step = stored(step, work)
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = stored(step.join(jump, "component").select("id", "was", F.least("component", "further").alias("component")), work)
+        new = stored(
+            step.join(jump, "component").select("id", "was", F.least("component", "further").alias("component")), work
+        )
         labels = new.select("id", "component")
         if new.filter("was <> component").isEmpty():
             return labels
@@ -181,22 +206,41 @@ def components(links: DataFrame, work: str | None = None) -> DataFrame:
 
 def cross_pairs(sets: DataFrame, labels: DataFrame, similarity: int, work: str | None = None) -> DataFrame:
     """Pairs (a, b) of different components that pass the prefix, length and place bounds; labels: (id, component)."""
-    own = sets.join(labels, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    own = sets.join(labels, "id").select(
+        "id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token")
+    )
     # Any common order is right; with rare shingles first, few sets meet. A shingle of one component alone keeps its place.
-    found = stored(own.groupBy("token").agg(F.count(F.lit(1)).alias("held"), (F.min("component") != F.max("component")).alias("crosses")).filter("held > 1"), work)
-    ranked = own.join(found, "token", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(1)), "token")))
+    found = stored(
+        own.groupBy("token").agg(
+            F.count(F.lit(1)).alias("held"), (F.min("component") != F.max("component")).alias("crosses")
+        ).filter("held > 1"),
+        work
+    )
+    ranked = own.join(found, "token", "left").withColumn(
+        "place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(1)), "token"))
+    )
     probe = F.col("n") - F.ceil(F.col("n") * similarity / 100 - 1e-9) + 1
     index = F.col("n") - F.ceil(2 * F.col("n") * similarity / (100 + similarity) - 1e-9) + 1
-    tokens = stored(ranked.filter(F.col("crosses") & (F.col("place") <= probe)).select("id", "component", "n", "token", "place", (F.col("place") <= index).alias("index")), work)
+    tokens = stored(
+        ranked.filter(F.col("crosses") & (F.col("place") <= probe)).select(
+            "id", "component", "n", "token", "place", (F.col("place") <= index).alias("index")
+        ),
+        work
+    )
     small, large = tokens.filter("index").alias("s"), tokens.alias("l")
     need = F.ceil((F.col("s.n") + F.col("l.n")) * similarity / (100 + similarity) - 1e-9)
     room = F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place")) + 1
     after = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.id") < F.col("l.id")))
-    match = (F.col("s.token") == F.col("l.token")) & (F.col("s.component") != F.col("l.component")) & after & (100 * F.col("s.n") >= similarity * F.col("l.n")) & (room >= need)
+    match = (F.col("s.token") == F.col("l.token")) & (F.col("s.component") != F.col("l.component")) & after & (
+        100 * F.col("s.n") >= similarity * F.col("l.n")
+    ) & (room >= need)
     return small.join(large, match).select(F.col("s.id").alias("a"), F.col("l.id").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: int = SIMILARITY, row: str | None = None) -> DataFrame:
+def near_groups(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: int = SIMILARITY,
+    row: str | None = None
+) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     A document's set are the distinct shingles of ``words`` words ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z; of a shorter
@@ -209,43 +253,74 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     ignored; an empty table gives no rows. ``row`` names a column of unique numbers in a written table; without it the rows
     are numbered and written first.
     """
-    given = docs.select((F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")).alias("id"), F.col(f"`{doc_id}`").alias("name"), F.col(f"`{text}`").cast("string").alias("text"))
+    given = docs.select(
+        (F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")).alias("id"),
+        F.col(f"`{doc_id}`").alias("name"), F.col(f"`{text}`").cast("string").alias("text")
+    )
     spark = docs.sparkSession
+    bounded_batches(spark)
     work = shared_folder(spark)
     slim = stored(given, work) if row is None else given
     signed = stored(signatures(slim, words))
     # A class of equal sets is known by the least of its rows.
-    classes = stored(signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min("name").alias("name"), F.count(F.lit(1)).alias("copies")), work)
+    classes = stored(
+        signed.filter("n > 0").groupBy("digest").agg(
+            F.min("id").alias("id"), F.min("name").alias("name"), F.count(F.lit(1)).alias("copies")
+        ),
+        work
+    )
     banded = signed.join(classes.select("id"), "id", "left_semi").select("id", "n", F.explode("bands").alias("band"))
     sizes = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), work)
     shared = stored(banded.join(sizes, "band").select("band", "id", "n", "members"), work)
     degree = shared.groupBy("id").agg(F.sum("members").alias("degree"))
     central = F.max(F.struct("degree", (-F.col("id")).alias("id"), "n"))
-    centres = shared.join(degree, "id").groupBy("band").agg(central.alias("c")).select("band", (-F.col("c.id")).alias("a"), F.col("c.n").alias("m"))
-    members = stored(shared.join(stored(centres, work), "band").select("band", "a", "m", F.col("id").alias("b"), "n"), work)
+    centres = shared.join(degree, "id").groupBy("band").agg(central.alias("c")).select(
+        "band", (-F.col("c.id")).alias("a"), F.col("c.n").alias("m")
+    )
+    members = stored(
+        shared.join(stored(centres, work), "band").select("band", "a", "m", F.col("id").alias("b"), "n"), work
+    )
     sets = stored(set_table(slim.select("id", "text"), members.select(F.col("b").alias("id")).distinct(), words), work)
-    stars = members.filter("a <> b").filter(f"100 * least(m, n) >= {similarity} * greatest(m, n)").select("a", "b").distinct()
+    stars = members.filter("a <> b").filter(
+        f"100 * least(m, n) >= {similarity} * greatest(m, n)"
+    ).select("a", "b").distinct()
     first = components(confirmed(stars, sets, similarity), work)
     # Only members of buckets with more than one component can still link.
-    placed = members.select("band", F.col("b").alias("id")).join(first, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("band")
+    placed = members.select("band", F.col("b").alias("id")).join(first, "id", "left").select(
+        "band", "id", F.coalesce("component", "id").alias("component")
+    )
+    open_ = placed.groupBy("band").agg(
+        F.min("component").alias("one"), F.max("component").alias("other")
+    ).filter("one <> other").select("band")
     unsettled = stored(placed.join(stored(open_, work), "band").select("id", "component").distinct(), work)
     rest = stored(confirmed(cross_pairs(sets, unsettled, similarity, work), sets, similarity), work)
     # Links between components: their least ids stand for them.
     at = {k: first.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"}
-    between = rest.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    between = rest.join(at["a"], "a", "left").join(at["b"], "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")
+    )
     second = components(between, work).select(F.col("id").alias("component"), F.col("component").alias("last"))
     moved = first.join(second, "component", "left").select("id", F.coalesce("last", "component").alias("component"))
-    alone = second.join(first.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("last").alias("component"))
+    alone = second.join(first.select("component").distinct(), "component", "left_anti").select(
+        F.col("component").alias("id"), F.col("last").alias("component")
+    )
     labels = moved.unionByName(alone)
     # Classes of more than one row, or in a component of several: the others stand for themselves.
-    joined = stored(classes.join(labels, "id", "left").filter("copies > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "id").alias("component"), "name"), work)
+    joined = stored(
+        classes.join(labels, "id", "left").filter("copies > 1 OR component IS NOT NULL").select(
+            "digest", F.coalesce("component", "id").alias("component"), "name"
+        ),
+        work
+    )
     names = stored(joined.groupBy("component").agg(F.min("name").alias("least")), work)
     grouped = stored(joined.join(names, "component").select("digest", "least", F.lit(True).alias("found")))
     discard(spark, work)  # what is left to read are the signatures and the groups
     out = signed.select("name", "n", "digest").join(grouped, "digest", "left")
     component = F.when(F.col("found"), F.col("least")).otherwise(F.col("name"))
-    return out.select(F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("name")).alias("kept"))
+    return out.select(
+        F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        component.eqNullSafe(F.col("name")).alias("kept")
+    )
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bounded_batches, stored, table
 
 #: Texts of these characters are split alike by both libraries, whatever their Unicode version.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ſ]")
@@ -63,12 +63,16 @@ class Encoder:
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe
+            self.core = tiktoken.Encoding(
+                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
+            )._core_bpe
 
     def word(self, w: str) -> bytes:
         out = self.words.get(w)
         if out is None:
-            ids = self.core.encode_single_piece((" " + w).encode()) if w.isalpha() else self.core.encode_ordinary(" " + w)
+            ids = self.core.encode_single_piece(
+                (" " + w).encode()
+            ) if w.isalpha() else self.core.encode_ordinary(" " + w)
             out = array.array(self.kind, ids).tobytes()
             if len(self.words) < CACHED and len(w) < 64:
                 self.words[w] = out
@@ -83,7 +87,9 @@ class Encoder:
         start = array.array(self.kind, self.core.encode_ordinary(first)).tobytes() if first else b""
         if text.endswith(" "):  # a last space has no word to go to
             rest.pop()
-            return start + b"".join(map(self.word, rest)) + array.array(self.kind, self.core.encode_ordinary(" ")).tobytes()
+            return start + b"".join(map(self.word, rest)) + array.array(
+                self.kind, self.core.encode_ordinary(" ")
+            ).tobytes()
         return start + b"".join(map(self.word, rest))
 
 
@@ -94,7 +100,10 @@ def encoder(path: str, ranks: str | None) -> Encoder:
     return _encoders[path, ranks]
 
 
-def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, ranks: str | None = None, end_id: int = 1) -> DataFrame:
+def token_table(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, ranks: str | None = None,
+    end_id: int = 1
+) -> DataFrame:
     """A row per document: doc_id, part, place (its ids before it in part), n_tokens (with end_id), ids (binary), written to the shared folder."""
     path = path or tokenizer_path()
 
@@ -104,7 +113,13 @@ def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
         for batch in batches:
             ids = [enc.ids(x.as_py() or "") + end for x in batch.column(1)]
             n = np.fromiter((len(x) // len(end) for x in ids), np.int64, len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int64)), pa.array(place + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "place", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(np.full(len(ids), part, np.int64)), pa.array(place + np.cumsum(n) - n),
+                    pa.array(n), pa.array(ids, pa.binary())
+                ],
+                ["doc_id", "part", "place", "n_tokens", "ids"]
+            )
             place += int(n.sum())
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -112,7 +127,10 @@ def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
     return stored(slim.mapInArrow(encode, f"doc_id {kind}, part long, place long, n_tokens long, ids binary"))
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 2048, path: str | None = None, ranks: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 2048, path: str | None = None,
+    ranks: str | None = None, end_id: int = 1
+) -> DataFrame:
     """Boundary records of the packed sequences, a row per piece.
 
     doc_id, start (ids of its document before it), length, doc_tokens, sequence_id, offset (gapless from 0 in its
@@ -120,11 +138,19 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     A null or empty text is the end id alone. Repeated rows and repeated ids are packed as often as they come; other
     columns of docs don't matter; an empty table has no pieces.
     """
+    bounded_batches(docs.sparkSession)
     tokens = token_table(docs, doc_id, text, path, ranks, end_id)
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     # One row per input partition, not per document: the driver schedules each of them, so they fit a broadcast.
-    bases = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
-    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("place")).alias("at"), "n_tokens", "ids")
+    bases = totals.select(
+        "part",
+        (
+            F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")
+        ).alias("base")
+    )
+    placed = tokens.join(F.broadcast(bases), "part").select(
+        "doc_id", (F.col("base") + F.col("place")).alias("at"), "n_tokens", "ids"
+    )
     kind = placed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -137,7 +163,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
             def out(batch=batch, at=at, n=n):
                 r, s = np.array(row), np.array(start, np.int64)
                 g = at[r] + s
-                return pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(r)), pa.array(s), pa.array(np.array(length, np.int64)), pa.array(n[r]), pa.array(g // window), pa.array(g % window), pa.array(ids, pa.binary())], names)
+                return pa.RecordBatch.from_arrays(
+                    [
+                        pc.take(batch.column(0), pa.array(r)), pa.array(s), pa.array(np.array(length, np.int64)),
+                        pa.array(n[r]), pa.array(g // window), pa.array(g % window), pa.array(ids, pa.binary())
+                    ],
+                    names
+                )
 
             for i, raw in enumerate(batch.column(3)):
                 raw = raw.as_py()
@@ -162,4 +194,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )

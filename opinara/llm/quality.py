@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, in_part, ordered_sample, table, utf8
+from .common import batches_of, bounded_batches, in_part, ordered_sample, table, utf8
 
 #: Labelled rows that are learned from, half of each label at most; the bound of what is broadcast.
 SAMPLE = 3000
@@ -82,7 +82,9 @@ def word_terms(own: np.ndarray, value: np.ndarray, line: np.ndarray) -> tuple[np
     whole = np.add.reduceat(value * (_HASHED[1][step & 255] | 1), at)
     same = (whole[1:] == whole[:-1]) & (own[at][1:] == own[at][:-1])
     rows = [own, own[1:][again], own[at][1:][same]]
-    return np.concatenate(rows), np.concatenate([PAIRS + bucket_of(value), np.full(len(rows[1]), FEATURES - 2), np.full(len(rows[2]), FEATURES - 1)])
+    return np.concatenate(rows), np.concatenate(
+        [PAIRS + bucket_of(value), np.full(len(rows[1]), FEATURES - 2), np.full(len(rows[2]), FEATURES - 1)]
+    )
 
 
 def long_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +131,10 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Neighbours:
     """The fitted projection, the labelled vectors and their labels."""
 
-    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float = 0.5, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS):
+    def __init__(
+        self, sample: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float = 0.5,
+        dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS
+    ):
         """sample: terms and counts of each labelled row."""
         n = len(sample)
         rows = np.repeat(np.arange(n), [len(t) for t, _ in sample])
@@ -175,7 +180,9 @@ class Neighbours:
             x = self.damped(rows, terms, counts, n)
             for a in range(0, len(starts), 64):  # so that the products stay small
                 lo, hi = starts[a], starts[a + 64] if a + 64 < len(starts) else len(rows)
-                v[rows[starts[a : a + 64]]] = np.add.reduceat(self.projection[terms[lo:hi]] * x[lo:hi, None], starts[a : a + 64] - lo)
+                v[rows[starts[a : a + 64]]] = np.add.reduceat(
+                    self.projection[terms[lo:hi]] * x[lo:hi, None], starts[a : a + 64] - lo
+                )
         return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
 
     def scores(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -193,21 +200,30 @@ class Neighbours:
         return (weight @ self.labels + PRIOR_WEIGHT * self.prior) / (weight.sum(1) + PRIOR_WEIGHT)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
     """(id, text, label) of documents with at most rows/2 ids of each label 0 and 1, those whose ids hash lowest.
 
     Labels of ids that carry both values, and null labels, are left out. The ids, bounded by rows, are broadcast; a repeated
     id gives all its rows.
     """
-    clean = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other")
+    clean = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(
+        F.min(label).alias("label"), F.max(label).alias("other")
+    ).filter("label = other")
     ids = None
     for value in (0, 1):
         own = ordered_sample(clean.filter(F.col("label") == value).select("id", "label"), "id", rows // 2)
         ids = own if ids is None else ids.unionByName(own)
-    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "text", F.col("label").cast("int").alias("label"))
+    return docs.select(
+        F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")
+    ).join(F.broadcast(ids), "id").select("id", "text", F.col("label").cast("int").alias("label"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> Neighbours:
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, text: str = "text",
+    doc_id: str = "doc_id"
+) -> Neighbours:
     """Learns from ``sample`` labelled documents at most, half of each label; of rows that repeat an id, one counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,36 +232,54 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             for a, b in batches_of(offsets, CHUNK, 128):
                 rows, terms, n = term_counts(data, offsets[a : b + 1])
                 at = np.searchsorted(rows, np.arange(b - a + 1))
-                packed = [np.stack([terms[i:j], n[i:j]]).astype("<i8").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(packed, pa.binary())], ["id", "label", "terms"])
-
+                packed = [
+                    np.stack([terms[i:j], n[i:j]]).astype("<i8").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(packed, pa.binary())],
+                    ["id", "label", "terms"]
+                )
+
+    bounded_batches(docs.sparkSession)
     found = labelled_sample(docs, labels, label, sample, text, doc_id)
     kind = found.schema["id"].dataType.simpleString()
-    found = found.mapInArrow(count, f"id {kind}, label int, terms binary").groupBy("id", "label").agg(F.min("terms").alias("terms"))
+    found = found.mapInArrow(
+        count, f"id {kind}, label int, terms binary"
+    ).groupBy("id", "label").agg(F.min("terms").alias("terms"))
     got = found.select("label", "terms").toPandas().sort_values(["label", "terms"])  # the same order in every run
     rows = [tuple(np.frombuffer(x, "<i8").reshape(2, -1)) for x in got["terms"]]
     prior = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     return Neighbours(rows, got["label"].to_numpy(np.float64), 0.5 if prior is None else float(prior))
 
 
-def score(docs: DataFrame, model: Neighbours, text: str = "text", keep: list[str] | None = None, into: str = "score") -> DataFrame:
+def score(
+    docs: DataFrame, model: Neighbours, text: str = "text", keep: list[str] | None = None, into: str = "score"
+) -> DataFrame:
     """The columns ``keep`` of docs (all if None) and the score of each row's whole text, between 0 and 1.
 
     A null or empty text has the mean label as score; without labels every text has 0.5. Rows are scored one by one, repeated
     ones alike; a column named as ``into`` is replaced; an empty table gives no rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(len(keep)))
-            parts = [held.value.scores(*term_counts(data, offsets[a : b + 1]), b - a) for a, b in batches_of(offsets, CHUNK, 128)]
+            parts = [
+                held.value.scores(*term_counts(data, offsets[a : b + 1]), b - a) for a,
+                b in batches_of(offsets, CHUNK, 128)
+            ]
             found = np.clip(np.concatenate(parts) if parts else np.zeros(0), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found)], [*keep, into])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(len(keep))), pa.array(found)], [*keep, into]
+            )
 
     own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("\x01text")).mapInArrow(run, f"{own}`{into}` double")
+    return docs.select(
+        *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("\x01text")
+    ).mapInArrow(run, f"{own}`{into}` double")
 
 
 THRESHOLD = 0.3
@@ -256,4 +290,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.filter(~in_part(F.col("doc_id"), 5, 0)))
     out = score(docs, model, keep=["doc_id"])
-    return out.select("doc_id", in_part(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select(
+        "doc_id", in_part(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, in_part, lower_table, table, utf8
+from .common import batches_of, bounded_batches, in_part, lower_table, table, utf8
 from .quality import labelled_sample
 
 #: Labelled rows that are learned from, half of each label at most, and the bytes of a text among them at most; longer
@@ -75,7 +75,10 @@ def window_bests(value: np.ndarray, starts: np.ndarray, window: int = WINDOW) ->
 class Toxicity:
     """The fitted n-gram vectors and softmax; without labels of both values every text has ``prior`` as score."""
 
-    def __init__(self, words: list[bytes], rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, prior: float = 0.5, epochs: int = 60, rate: float = 0.05, window: int = WINDOW):
+    def __init__(
+        self, words: list[bytes], rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, prior: float = 0.5,
+        epochs: int = 60, rate: float = 0.05, window: int = WINDOW
+    ):
         """words: distinct; rows, ids: the words' indexes in each document, in their order; labels: 0 or 1 of each document."""
         self.window = window
         self.embedding = np.zeros((BUCKETS, DIMENSIONS), np.float32)
@@ -87,7 +90,9 @@ class Toxicity:
         self.toward = (self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float32)
         self.offset = float(self.bias[1] - self.bias[0]) if self.learned else float(np.log(prior / (1 - prior)))
 
-    def train(self, words: list[bytes], rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, epochs: int, rate: float) -> None:
+    def train(
+        self, words: list[bytes], rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, epochs: int, rate: float
+    ) -> None:
         word, gram = [], []
         text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
         of = np.cumsum(text == 0x20) - 1  # the space before a word belongs to it
@@ -113,7 +118,11 @@ class Toxicity:
         bias = np.array([1, -1], np.float32)
         # Start from the n-grams' log-odds between the labels; training then moves all dimensions and the softmax.
         pairs = np.unique(rows * len(words) + ids)  # each word of a document once
-        held = [np.bincount(gram, np.bincount(pairs % len(words), labels[pairs // len(words)] == k, len(words))[word], len(used)) + 1 for k in (0, 1)]
+        held = [
+            np.bincount(
+                gram, np.bincount(pairs % len(words), labels[pairs // len(words)] == k, len(words))[word], len(used)
+            ) + 1 for k in (0, 1)
+        ]
         e[:, 0] = np.log(held[1] / held[0]) - np.log(held[1].sum() / held[0].sum())
         softmax[0] = -1, 1
         steps = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, softmax, bias)]
@@ -128,12 +137,16 @@ class Toxicity:
             grams = gram[np.repeat(firsts[own], n) + np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)]
             weight = np.repeat(1 / (n * np.repeat(wide, wide)), n).astype(np.float32)
             of_gram = np.repeat(of_doc, n)
-            pooled = np.add.reduceat(e[grams] * weight[:, None], np.flatnonzero(np.r_[True, of_gram[1:] != of_gram[:-1]]))
+            pooled = np.add.reduceat(
+                e[grams] * weight[:, None], np.flatnonzero(np.r_[True, of_gram[1:] != of_gram[:-1]])
+            )
             z = pooled @ softmax + bias
             p = np.exp(z - z.max(1, keepdims=True))
             d = p / p.sum(1, keepdims=True) - y
             dv = d @ softmax.T
-            de = np.stack([np.bincount(grams, dv[of_gram, j] * weight, len(used)) for j in range(DIMENSIONS)], 1).astype(np.float32)
+            de = np.stack(
+                [np.bincount(grams, dv[of_gram, j] * weight, len(used)) for j in range(DIMENSIONS)], 1
+            ).astype(np.float32)
             for x, g, own in zip((e, softmax, bias), (de, pooled.T @ d, d.sum(0)), steps, strict=True):  # Adam
                 own[0] = 0.9 * own[0] + 0.1 * g
                 own[1] = 0.99 * own[1] + 0.01 * g * g
@@ -203,15 +216,22 @@ def learned_from(texts: list[bytes], labels: np.ndarray, prior: float = 0.5, **s
     return Toxicity(list(index), rows, np.concatenate(ids) if ids else np.zeros(0, np.int64), labels, prior, **settings)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST, text: str = "text", doc_id: str = "doc_id") -> Toxicity:
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST,
+    text: str = "text", doc_id: str = "doc_id"
+) -> Toxicity:
     """Learns from ``sample`` labelled documents at most, half of each label, of ``longest`` bytes at most; one text an id."""
     found = labelled_sample(docs, labels, label, sample, text, doc_id).filter(F.octet_length("text") <= longest)
-    got = found.groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label").toPandas().sort_values(["label", "text"])
+    got = found.groupBy("id", "label").agg(
+        F.min("text").alias("text")
+    ).select("text", "label").toPandas().sort_values(["label", "text"])
     lower = bytes(LOWER)
     return learned_from([t.encode().translate(lower) for t in got["text"]], got["label"].to_numpy(np.int64))
 
 
-def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: list[str] | None = None, into: str = "score") -> DataFrame:
+def score(
+    docs: DataFrame, model: Toxicity, text: str = "text", keep: list[str] | None = None, into: str = "score"
+) -> DataFrame:
     """The columns ``keep`` of docs (all if None) and each row's toxicity between 0 and 1, of its most toxic window.
 
     A null or empty text, or one without a word, has a score of about 0; if the model has seen no two labels, every text has
@@ -219,16 +239,25 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: list[str]
     rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(len(keep)))
             parts = [held.value.scores(data, offsets[a : b + 1]) for a, b in batches_of(offsets, CHUNK)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*keep, into])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i) for i in range(len(keep))),
+                    pa.array(np.concatenate(parts) if parts else np.zeros(0))
+                ],
+                [*keep, into]
+            )
 
     own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("\x01text")).mapInArrow(run, f"{own}`{into}` double")
+    return docs.select(
+        *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("\x01text")
+    ).mapInArrow(run, f"{own}`{into}` double")
 
 
 THRESHOLD = 0.7
@@ -239,4 +268,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.filter(~in_part(F.col("doc_id"), 3, 1)))
     out = score(docs, model, keep=["doc_id"])
-    return out.select("doc_id", in_part(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select(
+        "doc_id", in_part(F.col("doc_id"), 3, 1).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
