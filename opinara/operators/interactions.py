@@ -151,6 +151,7 @@ def user_places(
     Places are counted per (user, date) and offset by the earlier dates' counts, so that one user's rows need not meet. Rows
     without a user or a date have no place and are left out.
     """
+    df = df.filter(F.col(user).isNotNull() & F.col(date).isNotNull())
     days = df.groupBy(user, date).agg(F.count(F.lit(1)).alias("_day"))
     by_user = Window.partitionBy(user)
     days = days.select(
