@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, lattice, line_dedup, near_dedup, quality, toxicity, url_rules
+from . import (
+    decontamination, exact_dedup, hard_negatives, language, lattice, line_dedup, merkle, near_dedup, quality, simhash,
+    toxicity, url_rules
+)
 from .packing import op10_packing
 
 QUERIES = {
@@ -16,6 +19,9 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_url_rules": url_rules.op8_url_rules,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 ORACLE_SQL = {
@@ -23,4 +29,6 @@ ORACLE_SQL = {
     "op2_decontamination": decontamination.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_url_rules": url_rules.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
