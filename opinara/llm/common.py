@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import discard, shared_folder, stored, table
 
 __all__ = [
-    "WORD_BYTES", "batches_of", "bounded_batches", "discard", "in_part", "lower_table", "ordered_sample",
+    "WORD_BYTES", "batches_of", "bounded_batches", "discard", "in_part", "kept_columns", "lower_table", "named", "numbered",
+    "ordered_sample", "plain_names",
     "shared_folder", "stored", "table", "utf8"
 ]
 
@@ -32,6 +34,53 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
+def kept_columns(docs: DataFrame, keep: list[str] | None, replaced: list[str]) -> list[str]:
+    """The columns ``keep`` of docs (all if None) but for those that differ from a replaced one at most in case, unless the
+    session tells such names apart."""
+    own = docs.columns if keep is None else keep
+    if docs.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true":
+        return [c for c in own if c not in replaced]
+    gone = {c.lower() for c in replaced}
+    return [c for c in own if c.lower() not in gone]
+
+
+def plain_names(keep: list[str]) -> list[str]:
+    """Names for the kept columns on their way through Python, which takes none with dots."""
+    return [f"\x01{k}" for k in range(len(keep))]
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+#: Files of a table whose names are broadcast to number its rows.
+FILES = 50_000
+
+
+def numbered(docs: DataFrame, into: str) -> DataFrame:
+    """docs with a number of its own for every row, which is the same wherever and however often the rows are read.
+
+    Rows read from files are numbered by their file and their place in it; nothing is written. A table of more than FILES
+    files, or one that comes from elsewhere, is numbered as it is read and written once.
+    """
+    spark = docs.sparkSession
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        if "_metadata" in map(str.lower, docs.columns):
+            raise AnalysisException("a column hides the files' own")
+        docs.select(place)
+        files = [r[0] for r in docs.select(path.alias("f")).distinct().limit(FILES + 1).collect()]
+    except AnalysisException:
+        files = [None] * (FILES + 1)
+    if len(files) > FILES:
+        return stored(docs.withColumn(into, F.monotonically_increasing_id()))
+    table_of_files = spark.createDataFrame(list(zip(sorted(files), range(len(files)))), "`\x01file` string, `\x01base` long")
+    own = docs.select("*", path.alias("\x01file"), place.alias("\x01place"))
+    joined = own.join(F.broadcast(table_of_files), "\x01file")
+    return joined.withColumn(into, F.shiftleft("\x01base", 40) + F.col("\x01place")).drop("\x01file", "\x01base", "\x01place")
+
+
 def in_part(key: Column, modulus: int, rest: int) -> Column:
     """crc32(key as text) mod modulus equals rest; a null key counts as the text ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == rest

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .common import bounded_batches, lower_table, stored, table, utf8
+from .common import bounded_batches, kept_columns, lower_table, named, plain_names, stored, table, utf8
 
 #: A-Z lowered, word bytes kept, all else a space: bytes.split() then gives the words.
 WORDS = bytes(lower_table())
@@ -41,7 +41,7 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
 
 def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
     """(item_id, window): the distinct windows of each item; a shorter item is one window, one without words has none."""
-    kind = items.schema[item_id].dataType.simpleString()
+    kind = items.select(named(item_id)).schema[0].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +56,7 @@ def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFram
             )
 
     return items.select(
-        F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")
+        named(item_id).alias("item_id"), named(text).cast("string").alias("text")
     ).mapInArrow(cut, f"item_id {kind}, window binary").distinct()
 
 
@@ -146,7 +146,7 @@ def find_windows(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
+    keep = kept_columns(docs, keep, [into])
     windows = stored(windows_of(benchmark, item_id, item_text, size))
     blocks = max(1, -(-windows.count() // block))
     item_type = windows.schema["item_id"].dataType
@@ -167,17 +167,20 @@ def find_windows(
         indexes.append(spark.sparkContext.broadcast(WindowIndex(own, docs_with)))
 
     spans_type = "array<struct<start: bigint, stop: bigint>>"
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(TEXT))
+    plain = plain_names(keep)
+    slim = docs.select(
+        *[named(c).alias(p) for c, p in zip(keep, plain, strict=True)], named(text).cast("string").alias(TEXT)
+    )
     if blocks == 1:
         return slim.mapInArrow(
-            searched(indexes[0], keep, into, item_type),
+            searched(indexes[0], plain, FOUND, item_type),
             ", ".join(
                 [
-                    *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep),
-                    f"`{into}` struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>"
+                    *(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != TEXT),
+                    f"`{FOUND}` struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>"
                 ]
             )
-        )
+        ).toDF(*keep, into)
     # Several blocks: rows are numbered and written once, each block's search gives numbers and finds alone, and these are
     # merged before they meet the rows.
     slim = stored(slim.withColumn(ROW, F.monotonically_increasing_id()))
@@ -209,7 +212,7 @@ def find_windows(
         lambda p: p["x"]
     )
     light = stored(merged.select(ROW, F.struct("n_words", spans.alias("spans"), items.alias("items")).alias(FOUND)))
-    return slim.join(light, ROW).select(*[F.col(f"`{c}`") for c in keep], F.col(FOUND).alias(into))
+    return slim.join(light, ROW).select(*plain, FOUND).toDF(*keep, into)
 
 
 #: Columns that no table of documents has.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, in_part, lower_table, table, utf8
+from .common import batches_of, bounded_batches, in_part, kept_columns, lower_table, named, plain_names, table, utf8
 
 #: Documents learned from for each language, about: ids are taken whose hash lies below this share of the language's.
 PER_LANGUAGE = 2000
@@ -108,8 +108,8 @@ def fit(
 ) -> Languages:
     """Counts trigrams over about per_language documents of each language (all, where it has fewer), summed in Spark."""
     bounded_batches(docs.sparkSession)
-    known = docs.filter(F.col(lang).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")
+    known = docs.filter(named(lang).isNotNull()).select(
+        named(doc_id).alias("doc_id"), named(text).cast("string").alias("text"), named(lang).cast("string").alias("lang")
     )
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row per language
     taken = known.join(F.broadcast(sizes), "lang").filter(
@@ -147,7 +147,8 @@ def detect(docs: DataFrame, model: Languages, text: str = "text", keep: list[str
     A null text, or one without any letter, is ``und`` with score 0 and an empty mixture; so is every text if nothing was
     learned. Letters that yield no trigram get equal proportions. Whole texts are read; columns named alike are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "mixture")]
+    keep = kept_columns(docs, keep, ["lang_pred", "score", "mixture"])
+    plain = plain_names(keep)
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -172,15 +173,17 @@ def detect(docs: DataFrame, model: Languages, text: str = "text", keep: list[str
                     *(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()),
                     pa.array(scores, pa.float64()), pa.array(mixed, pa.map_(pa.string(), pa.float64()))
                 ],
-                [*keep, "lang_pred", "score", "mixture"]
+                [*plain, "lang_pred", "score", "mixture"]
             )
 
-    own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    kept = docs.select(*[named(c).alias(p) for c, p in zip(keep, plain, strict=True)])
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
     slim = docs.select(
-        *[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("\x01text"),
-        F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("\x01letters")
+        *[named(c).alias(p) for c, p in zip(keep, plain, strict=True)], named(text).cast("string").alias("\x01text"),
+        F.coalesce(named(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("\x01letters")
     )
-    return slim.mapInArrow(run, own + "lang_pred string, score double, mixture map<string,double>")
+    found = slim.mapInArrow(run, own + "lang_pred string, score double, mixture map<string,double>")
+    return found.toDF(*keep, "lang_pred", "score", "mixture")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

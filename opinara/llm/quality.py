@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, in_part, ordered_sample, table, utf8
+from .common import batches_of, bounded_batches, in_part, kept_columns, named, ordered_sample, plain_names, table, utf8
 
 #: Labelled rows that are learned from, half of each label at most; the bound of what is broadcast.
 SAMPLE = 3000
@@ -208,8 +208,8 @@ def labelled_sample(
     Labels of ids that carry both values, and null labels, are left out. The ids, bounded by rows, are broadcast; a repeated
     id gives all its rows.
     """
-    clean = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(
-        F.min(label).alias("label"), F.max(label).alias("other")
+    clean = labels.filter(named(label).isin(0, 1)).groupBy(named(doc_id).alias("id")).agg(
+        F.min(named(label)).alias("label"), F.max(named(label)).alias("other")
     ).filter("label = other")
     ids = None
     for value in (0, 1):
@@ -248,7 +248,7 @@ def fit(
     ).groupBy("id", "label").agg(F.min("terms").alias("terms"))
     got = found.select("label", "terms").toPandas().sort_values(["label", "terms"])  # the same order in every run
     rows = [tuple(np.frombuffer(x, "<i8").reshape(2, -1)) for x in got["terms"]]
-    prior = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
+    prior = labels.filter(named(label).isin(0, 1)).agg(F.avg(named(label))).first()[0]
     return Neighbours(rows, got["label"].to_numpy(np.float64), 0.5 if prior is None else float(prior))
 
 
@@ -260,7 +260,8 @@ def score(
     A null or empty text has the mean label as score; without labels every text has 0.5. Rows are scored one by one, repeated
     ones alike; a column named as ``into`` is replaced; an empty table gives no rows.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
+    keep = kept_columns(docs, keep, [into])
+    plain = plain_names(keep)
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -273,13 +274,15 @@ def score(
             ]
             found = np.clip(np.concatenate(parts) if parts else np.zeros(0), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), pa.array(found)], [*keep, into]
+                [*(batch.column(i) for i in range(len(plain))), pa.array(found)], [*plain, "\x01into"]
             )
 
-    own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(
-        *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("\x01text")
-    ).mapInArrow(run, f"{own}`{into}` double")
+    slim = docs.select(*[named(c).alias(p) for c, p in zip(keep, plain, strict=True)])
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema)
+    both = docs.select(
+        *[named(c).alias(p) for c, p in zip(keep, plain, strict=True)], named(text).cast("string").alias("\x01text")
+    )
+    return both.mapInArrow(run, f"{own}`\x01into` double").toDF(*keep, into)
 
 
 THRESHOLD = 0.3

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, in_part, lower_table, table, utf8
+from .common import batches_of, bounded_batches, in_part, kept_columns, lower_table, named, plain_names, table, utf8
 from .quality import labelled_sample
 
 #: Labelled rows that are learned from, half of each label at most, and the bytes of a text among them at most; longer
@@ -238,7 +238,8 @@ def score(
     0.5. Rows are scored one by one, repeated ones alike; a column named as ``into`` is replaced; an empty table gives no
     rows.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
+    keep = kept_columns(docs, keep, [into])
+    plain = plain_names(keep)
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -251,13 +252,15 @@ def score(
                     *(batch.column(i) for i in range(len(keep))),
                     pa.array(np.concatenate(parts) if parts else np.zeros(0))
                 ],
-                [*keep, into]
+                [*plain, "\x01into"]
             )
 
-    own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(
-        *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("\x01text")
-    ).mapInArrow(run, f"{own}`{into}` double")
+    slim = docs.select(*[named(c).alias(p) for c, p in zip(keep, plain, strict=True)])
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema)
+    both = docs.select(
+        *[named(c).alias(p) for c, p in zip(keep, plain, strict=True)], named(text).cast("string").alias("\x01text")
+    )
+    return both.mapInArrow(run, f"{own}`\x01into` double").toDF(*keep, into)
 
 
 THRESHOLD = 0.7

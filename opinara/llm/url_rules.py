@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import named, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLOSE, OPEN, URL, CARRY = 1, 2, 3, 0
@@ -73,7 +73,7 @@ def judge_urls(
     )
     hosts = rules.groupBy(key_of(F.col("host")).alias("key")).agg(F.sort_array(F.collect_list(rule)).alias("own"))
     stacks = hosts.join(_open_at(hosts.select("key"), hosts), "key")
-    kind = pages.schema[page_id].dataType
+    kind = pages.select(named(page_id)).schema[0].dataType
     none = [
         F.lit(None).cast(kind).alias("page_id"), F.lit(None).cast("string").alias("host"),
         F.lit(None).cast("string").alias("path")
@@ -85,7 +85,7 @@ def judge_urls(
         F.expr("slice(stack, 1, size(stack) - size(own))").alias("stack")
     )
     urls = pages.select(
-        F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
+        named(page_id).alias("page_id"), host_of(named(url)).alias("host"), path_of(named(url)).alias("path")
     )
     urls = urls.select(
         key_of(F.col("host")).alias("key"), F.lit(URL).alias("kind"), "page_id", "host", "path",

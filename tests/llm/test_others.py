@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from opinara.llm import decontamination, lattice, packing, queries, url_rules
+from opinara.llm import decontamination, language, lattice, packing, queries, url_rules
 from opinara.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         p = f"{SF}/{t}.parquet"
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     mine, theirs = queries.QUERIES[name](spark, SF).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
@@ -31,8 +31,8 @@ def test_sql(spark, name):
     assert text(mine) == text(theirs)
 
 
-def test_all_ten_are_registered():
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+def test_all_thirteen_are_registered():
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("block", [1000, 7])
@@ -296,3 +296,39 @@ def test_quality_and_benchmark_stages_keep_names(spark):
     for name, n in (("quality", 2), ("exact_dedup", 1), ("near_dedup", 1), ("decontamination", 2)):
         stage = dict(corpus_pipeline.STAGES)[name]
         assert stage(spark, twice, SF).count() == n * stage(spark, docs, SF).count(), name
+
+
+def odd_names(spark):
+    """A table whose columns differ from the operators' own in case alone, or have dots, and its text column's name."""
+    rows = [(1, "the cat. sat on the mat and the dog", 7, 8, 9, "q"), (2, None, 7, 8, 9, "q"), (3, "le chat est assis", 7, 8, 9, "q")]
+    return spark.createDataFrame(rows, "`doc.id` long, `my.text` string, SCORE int, FOUND int, Lang_Pred int, `a.b` string")
+
+
+@pytest.mark.parametrize("operator", ["language", "quality", "toxicity", "windows"])
+def test_columns_that_differ_in_case_or_have_dots(spark, operator):
+    df = odd_names(spark)
+    if operator == "language":
+        known = df.withColumn("la.ng", F.when(F.col("`doc.id`") == 3, "fr").otherwise("en"))
+        out = language.detect(df, language.fit(known, "my.text", "la.ng", "doc.id"), "my.text")
+        gone, into = {"SCORE", "Lang_Pred"}, "lang_pred"
+    elif operator == "windows":
+        items = spark.createDataFrame([("i", "sat on the mat")], "`item.id` string, `item.text` string")
+        out = decontamination.find_windows(df, items, "my.text", None, "item.id", "item.text")
+        gone, into = {"FOUND"}, "found"
+    else:
+        from opinara.llm import quality, toxicity
+
+        own = {"quality": quality, "toxicity": toxicity}[operator]
+        labels = spark.createDataFrame([(1, 1), (3, 0)], "`doc.id` long, label int")
+        out = own.score(df, own.fit(df, labels, "label", text="my.text", doc_id="doc.id"), "my.text")
+        gone, into = {"SCORE"}, "score"
+    assert set(df.columns) - gone <= set(out.columns) and not gone & set(out.columns)
+    assert out.select(f"`{into}`", "`a.b`").count() == 3
+
+
+def test_urls_under_names_with_dots(spark):
+    from opinara.llm import url_rules
+
+    pages = spark.createDataFrame([(1, "http://a.com/x", "h")], "`page.id` long, `the.url` string, HOST string")
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
+    assert [tuple(r) for r in url_rules.judge_urls(pages, rules, "the.url", "page.id").select("page_id", "host", "verdict").collect()] == [(1, "a.com", "block")]
