@@ -47,17 +47,19 @@ def spelled_name(chunk: Column, clashing: list, name=name_of) -> Column:
 
 
 def exact_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunks=chunks_of, name=name_of
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunks=chunks_of, name=name_of, row: str | None = None
 ) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Texts are equal when identical without their white space ``[\\x20\\x09-\\x0D]``; null counts as empty, and all empty
-    texts are equal. Of equal texts the one with the most code points in the original stays, then the smallest doc_id.
-    Rows that repeat a doc_id and its text share their fate and count each in group_size; a row without an id stays only
-    where no equal text has one. Other columns are ignored; an
-    empty table gives no rows.
+    texts are equal. Of equal texts one row stays: that with the most code points in the original, then the smallest doc_id
+    (null last), then the smallest hash of the original text, then the first as read. So a repeated id, or rows without one,
+    keep one row of a group as well; keep_id is the id of the row that stays, null if it has none. Other columns are ignored;
+    an empty table gives no rows. ``row`` names a column of unique numbers, which the result then has as ``row``.
     """
+    number = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
     slim = docs.select(
+        number.alias("row"), F.xxhash64(F.col(f"`{text}`")).alias("hash"),
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("points"),
         normalised(F.col(f"`{text}`")).alias("own")
@@ -68,23 +70,23 @@ def exact_groups(
     clashing = clashing_of(chunk.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n")))
     recipes = stored(
         slim.select(
-            "doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"),
+            "row", "hash", "doc_id", "points", F.sha2(F.col("own").cast("binary"), 256).alias("text_sha256"),
             F.transform(chunks(F.col("own")), lambda c: spelled_name(c, clashing, name)).alias("recipe")
         )
     )
-    groups = recipes.groupBy("recipe").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.min(
-            F.when(F.col("doc_id").isNotNull(), F.struct((-F.col("points")).alias("p"), "doc_id"))
-        )["doc_id"].alias("keep_id")
+    # The numbers are read from the written table, so a row has the same one wherever it is read.
+    place = F.struct(
+        (-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "row"
     )
+    groups = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(place).alias("first"))
     # Read from a table, both sides of the join are freshly dealt, so that Spark can split the rows of a hot recipe.
     found = recipes.join(stored(groups.filter("group_size > 1")), "recipe", "left")
     alone = F.col("group_size").isNull()
     return found.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        *([] if row is None else ["row"]), "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.when(alone, True).otherwise(F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"), "text_sha256"
+        F.when(alone, True).otherwise(F.col("first.row") == F.col("row")).alias("kept"), "text_sha256"
     )
 
 
