@@ -2,17 +2,19 @@
 
 The lexicon is a mapping aspect -> keywords (a keyword is a substring of the lower-cased sentence). All modes read one long
 table, (review_id, aspect, text, n_sentences) with the whole text under the aspect null, so each text is scored once.
-``scorer`` maps a text column to a score between 0 and 1: an expression, or a pandas UDF around any model.
+``scorer`` is anything that scoring.as_scorer takes: a fitted Spark ML model, an object with ``predict_proba``, or a function
+from a text column to a score between 0 and 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import confidence, holds_any, sentences
+from .scoring import as_scorer
 
 Lexicon = dict[str, list[str]]
 
@@ -38,16 +40,15 @@ def matches(reviews: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFra
 
 
 def long_scores(
-    reviews: DataFrame, lexicon: Lexicon, scorer: Callable[[Column], Column], text: str = "text"
+    reviews: DataFrame, lexicon: Lexicon, scorer: Any, text: str = "text"
 ) -> DataFrame:
     """(review_id, aspect, score, n_sentences): the matched aspects, and the whole text as aspect null."""
     whole = reviews.select(
         "review_id", F.lit(None).cast("string").alias("aspect"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.lit(0).alias("n_sentences")
     )
-    return matches(reviews, lexicon, text).unionByName(whole).select(
-        "review_id", "aspect", scorer(F.col("text")).alias("score"), "n_sentences"
-    )
+    texts = matches(reviews, lexicon, text).unionByName(whole)
+    return as_scorer(scorer).score(texts, "text", "score").select("review_id", "aspect", "score", "n_sentences")
 
 
 def _fallback() -> Column:

@@ -6,10 +6,10 @@ per-item counts are aggregated before they are moved and joined back, so a hot u
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..shared import stored
+from ..shared import counted, stored
 
 REQUIRED = ["review_id", "user_id", "business_id", "text", "stars", "date"]
 #: Optional business columns and their types.
@@ -64,13 +64,21 @@ def reject_reason(
     )
 
 
+#: What reject_reason says.
+REJECTS = ["no_text", "no_user", "no_item", "bad_rating"]
+
+
 def basic_clean(
-    df: DataFrame, text: str = "text", rating: str = "stars", user: str = "user_id", item: str = "business_id"
+    df: DataFrame, text: str = "text", rating: str = "stars", user: str = "user_id", item: str = "business_id",
+    seen: Observation | None = None
 ) -> DataFrame:
-    """Drops rows with a null or blank text, null user, item or rating, or a rating that is no number in [1, 5]."""
-    return df.filter(reject_reason(text, rating, user, item).isNull()).withColumn(
-        rating, F.expr(f"try_cast(`{rating}` AS DOUBLE)")
-    )
+    """Drops rows with a null or blank text, null user, item or rating, or a rating that is no number in [1, 5].
+
+    seen: gets the rows dropped by reason (REJECTS) from the action that reads the result.
+    """
+    reason = reject_reason(text, rating, user, item)
+    kept = df.filter(reason.isNull()) if seen is None else counted(df, reason, REJECTS, seen)
+    return kept.withColumn(rating, F.expr(f"try_cast(`{rating}` AS DOUBLE)"))
 
 
 def count_rejects(df: DataFrame, reason: Column) -> DataFrame:

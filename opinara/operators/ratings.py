@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -246,6 +246,22 @@ def sentiment_model(features: int = 1 << 14, reg: float = 0.01) -> Pipeline:
     )
 
 
+def sentiment_selected(fit: DataFrame, val: DataFrame, regs: list[float]) -> tuple[PipelineModel, list[tuple]]:
+    """The model of ``fit`` whose regularisation has the least log loss on ``val`` (the first on ties, or if val is empty),
+    and a report: (reg, log loss, accuracy, validation rows, kept) of each."""
+    fit, val, best, report = stored(fit), stored(val), None, []
+    for reg in regs:
+        model = sentiment_model(reg=reg).fit(fit)
+        p = F.least(F.greatest("sentiment_score", F.lit(1e-12)), F.lit(1 - 1e-12))
+        loss = -F.when(F.col("sentiment_label") == 1, F.log(p)).otherwise(F.log(1 - p))
+        right = ((F.col("sentiment_score") >= 0.5).cast("int") == F.col("sentiment_label")).cast("double")
+        got = sentiment_score(model, val).agg(F.avg(loss), F.avg(right), F.count(F.lit(1))).first()
+        report.append((reg, *got))
+        if best is None or got[0] is not None and got[0] < report[best[0]][1]:
+            best = len(report) - 1, model
+    return best[1], [(*r, k == best[0]) for k, r in enumerate(report)]
+
+
 def sentiment_score(model, rows: DataFrame) -> DataFrame:
     """rows with sentiment_score, the probability of label 1; a null text counts as empty."""
     out = model.transform(rows.withColumn("text", F.coalesce("text", F.lit(""))))

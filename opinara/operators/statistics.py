@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -76,10 +76,33 @@ def _two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x and x is not None else None)
 
 
-def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """Signed-rank test per group: n (non-zero), w_plus, w_minus, statistic (the lesser), p two-sided by the normal
-    approximation with ties corrected. p is null without a non-zero difference; it is computed on the result rows."""
+#: Groups of at most so many differences, none of them zero or tied, get the exact p.
+EXACT = 50
+
+
+def exact_signed_rank_p(n: Column, statistic: Column) -> Column:
+    """Two-sided p of the signed-rank statistic of n untied differences: twice the share of all 2^n choices of signs whose
+    positive ranks sum up to it or less, 1 at most. The choices are counted rank by rank over an array of the sums.
+    """
+    one = F.transform(F.sequence(F.lit(0), (n * (n + 1) / 2).cast("int")), lambda w: (w == 0).cast("double"))
+
+    def with_rank(ways: Column, rank: Column) -> Column:
+        return F.transform(ways, lambda x, w: x + F.when(w >= rank, F.get(ways, w - rank)).otherwise(0.0))
+
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), one, with_rank)
+    below = F.aggregate(F.slice(ways, 1, statistic.cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
+    return F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))
+
+
+def wilcoxon(pairs: DataFrame, exact: int = EXACT) -> DataFrame:
+    """Signed-rank test per group: n (non-zero), w_plus, w_minus, statistic (the lesser), z, p (two-sided), method.
+
+    p is exact where a group has at most ``exact`` differences, none of them zero or tied with another; elsewhere it is by
+    the normal approximation with ties corrected. It is computed on the result rows, and null without a non-zero difference:
+    such groups have no row.
+    """
     r = signed_ranks(pairs)
+    zeros = pairs.groupBy(*GROUP).agg(F.count_if(F.round("d", 9) == 0).alias("zeros"))
     t, n = F.col("ties"), F.col("n")
     sums = r.groupBy(*GROUP).agg(
         F.sum("ties").alias("n"), F.sum(F.col("positive") * F.col("rank")).alias("w_plus"),
@@ -90,7 +113,11 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     nd = n.cast("double")
     se = F.sqrt(nd * (nd + 1) * (2 * nd + 1) / 24 - F.col("tied") / 48)
     z = F.try_divide(F.col("statistic") - nd * (nd + 1) / 4, se)
-    return sums.withColumn("z", z).withColumn("p", _two_sided_normal("z")).drop("tied")
+    sums = sums.withColumn("z", z).join(zeros, GROUP)
+    small = (n <= exact) & (F.col("tied") == 0) & (F.col("zeros") == 0)
+    p = F.when(small, exact_signed_rank_p(n, F.col("statistic"))).otherwise(_two_sided_normal("z"))
+    method = F.when(small, "exact").otherwise("normal")
+    return sums.withColumn("p", p).withColumn("method", method).drop("tied", "zeros")
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:

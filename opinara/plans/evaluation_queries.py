@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalise
@@ -208,6 +209,48 @@ def ev_wilcoxon(spark, sf):
     )
 
 
+@query(
+    "ev_wilcoxon_exact",
+    f"""
+    WITH RECURSIVE {PREDICTED},
+    e AS (
+      SELECT model, seed, user_id, review_id, (y_true - y_pred) * (y_true - y_pred) AS e FROM preds
+    ),
+    d AS (
+      SELECT b.model AS model_b, b.user_id AS domain, b.seed, round(a.e - b.e, 9) AS r
+      FROM e a JOIN e b USING (seed, review_id) WHERE a.model = 'global' AND b.model <> 'global'
+    ),
+    rk AS MATERIALIZED (
+      SELECT *, rank() OVER (PARTITION BY model_b, domain, seed ORDER BY abs(r)) AS rank,
+        count(*) OVER (PARTITION BY model_b, domain, seed, abs(r)) AS t FROM d
+    ),
+    sums AS (
+      SELECT model_b, domain, seed, count(*) AS n,
+        least(coalesce(sum(rank) FILTER (r > 0), 0), coalesce(sum(rank) FILTER (r < 0), 0))::BIGINT AS statistic
+      FROM rk GROUP BY ALL HAVING count(*) <= 50 AND max(t) = 1 AND count(*) FILTER (r = 0) = 0
+    ),
+    ways AS (
+      SELECT 0 AS n, 0::BIGINT AS w, 1::DOUBLE AS c
+      UNION ALL
+      SELECT n + 1, x.w, sum(x.c) FROM (
+        SELECT n, unnest([w, w + n + 1]) AS w, c FROM ways WHERE n < 50
+      ) x GROUP BY n, x.w
+    ),
+    below AS (SELECT n, w, sum(c) OVER (PARTITION BY n ORDER BY w) AS c FROM ways)
+    SELECT model_b, domain, seed, n, CAST(statistic AS DOUBLE) AS statistic, round(least(1, 2 * c / pow(2, n)), 9) AS p
+    FROM sums JOIN (SELECT n, w, c FROM below) b USING (n) WHERE b.w = statistic
+    """
+)
+def ev_wilcoxon_exact(spark, sf):
+    """The signed-rank test of each user's errors, where the exact p applies: few differences, none zero or tied."""
+    rows = predictions(spark, sf).select(
+        "model", F.col("user_id").alias("domain"), "seed", "review_id", "y_true", "y_pred"
+    )
+    return S.wilcoxon(S.paired(stored(rows), "global")).filter("method = 'exact'").select(
+        *S.GROUP, "n", F.col("statistic").cast("double").alias("statistic"), F.round("p", 9).alias("p")
+    )
+
+
 @query(
     "win_avg_rank",
     f"WITH {SIGNED} SELECT model_b, domain, seed, abs(r) AS size, count(*) AS ties, CAST(any_value(rank) AS "
@@ -230,28 +273,13 @@ def ev_paired_t(spark, sf):
 
 @query(
     "ev_fisher",
-    f"WITH {PREDICTED}, p AS (SELECT model, domain, seed, ((count(*) % 97) + 1) / 100.0::DOUBLE AS p "
-    f"FROM preds WHERE l_orderkey % 7 <> seed GROUP BY 1, 2, 3), x AS (SELECT model, domain, "
-    f"-2 * sum(ln(p)) AS x, count(*) AS m FROM p GROUP BY 1, 2) SELECT model, domain, round(x, "
-    f"6) AS x, round(exp(-x / 2) * (1 + x / 2 + pow(x / 2, 2) / 2 + pow(x / 2, 3) / 6 + pow(x / 2, "
-    f"4) / 24), 6) AS p_combined FROM x"
-)
-def ev_fisher(spark, sf):
-    p = predictions(spark, sf).filter("l_orderkey % 7 <> seed").groupBy("model", "domain", "seed").agg(
-        ((F.count(F.lit(1)) % 97 + 1).cast("double") / 100).alias("p")
-    )
-    return rounded(S.fisher(p, ["model", "domain"]).drop("m"), "x", "p_combined")
-
-
-@query(
-    "ev_fisher_all",
     f"WITH {PREDICTED}, p AS (SELECT model, domain, seed, ((count(*) + seed) % 97 + 1) / 100.0::DOUBLE AS "
     f"p FROM preds GROUP BY 1, 2, 3), x AS (SELECT model, domain, -2 * sum(ln(p)) AS x, "
     f"count(*) AS m FROM p GROUP BY 1, 2) SELECT model, domain, round(x, 6) AS x, round(exp(-x / 2) * (1 + "
     f"x / 2 + pow(x / 2, 2) / 2 + pow(x / 2, 3) / 6 + pow(x / 2, 4) / 24), 6) AS p_combined "
     f"FROM x"
 )
-def ev_fisher_all(spark, sf):
+def ev_fisher(spark, sf):
     p = predictions(spark, sf).groupBy("model", "domain", "seed").agg(
         (((F.count(F.lit(1)) + F.col("seed")) % 97 + 1).cast("double") / 100).alias("p")
     )
@@ -340,6 +368,28 @@ def src_results_scan(spark, sf):
     )
 
 
+@query(
+    "src_results_counted",
+    f"""
+    WITH {METRICS}
+    SELECT 'rows' AS reason, count(*) AS rows FROM metrics
+    UNION ALL SELECT 'kept', count(*) FROM metrics WHERE seed < 4
+    UNION ALL SELECT 'malformed', count(*) FROM metrics WHERE seed = 4
+    UNION ALL SELECT 'incomplete', count(*) FROM metrics WHERE seed = 5
+    """
+)
+def src_results_counted(spark, sf):
+    """A log of results as JSON lines, one seed's cut short and one's without its error: what a scan skips, by reason."""
+    path = shared_folder(spark)
+    runs = E.rmse_mae(predictions(spark, sf))
+    whole = F.to_json(F.struct(*[c for c in runs.columns if c != "rmse"], F.when(F.col("seed") < 5, F.col("rmse")).alias("rmse")))
+    line = F.when(F.col("seed") == 4, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole)
+    runs.select(line.alias("value")).write.text(path)
+    seen = Observation("scanned")
+    readers.scan_results(spark, path, "json", seen).write.parquet(shared_folder(spark))
+    return spark.createDataFrame(list(seen.get.items()), "reason string, rows long")
+
+
 @query(
     "topk_best_candidate",
     f"WITH {METRICS} SELECT domain AS stage, arg_min(model, (round(rmse, 9), model)) AS candidate, "

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import interactions as I
 from ..operators import profiles as P
-from ..shared import stored, table
+from ..shared import shared_folder, stored, table
 from ..sources import readers
 from ..sources.sample_tables import interactions, review_terms, sentiment, split_interactions
 from .registry import INTER, SPLIT, query, r6
@@ -48,6 +48,32 @@ def flt_required_fields(spark, sf):
     return I.count_rejects(_raw(spark, sf), I.reject_reason())
 
 
+def counts_of(spark: SparkSession, seen: Observation) -> DataFrame:
+    """(reason, rows) of what an observation has counted; an action has run by now."""
+    return spark.createDataFrame(list(seen.get.items()), "reason string, rows long")
+
+
+@query(
+    "flt_basic_clean_counted",
+    f"""
+    WITH {RAW}, judged AS (
+      SELECT CASE WHEN text IS NULL OR NOT regexp_matches(text, '[^ \\t\\n\\r\\f\\v]') THEN 'no_text'
+        WHEN user_id IS NULL THEN 'no_user' WHEN business_id IS NULL THEN 'no_item'
+        WHEN stars IS NULL OR stars NOT BETWEEN 1 AND 5 THEN 'bad_rating' ELSE 'kept' END AS reason FROM raw
+    )
+    SELECT reason, count(j.reason) AS rows
+    FROM (SELECT unnest(['no_text', 'no_user', 'no_item', 'bad_rating', 'kept']) AS reason) r
+    LEFT JOIN judged j USING (reason) GROUP BY 1
+    UNION ALL SELECT 'rows', count(*) FROM raw
+    """
+)
+def flt_basic_clean_counted(spark, sf):
+    """What cleaning drops, counted by reason while the rows that stay are written."""
+    seen = Observation("cleaned")
+    I.basic_clean(_raw(spark, sf), seen=seen).write.parquet(shared_folder(spark))
+    return counts_of(spark, seen)
+
+
 @query(
     "flt_domain_keywords",
     "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%red%'"
@@ -191,46 +217,49 @@ def set_distinct_universe(spark, sf):
 @query(
     "jn_enrich_inner",
     f"WITH {INTER} SELECT review_id, p_brand, c_mktsegment FROM inter JOIN part ON business_id = CAST(p_partkey "
-    f"AS VARCHAR) JOIN customer ON user_id = CAST(c_custkey AS VARCHAR) WHERE p_partkey % 3 <> 0"
+    f"AS VARCHAR) JOIN customer ON user_id = CAST(c_custkey AS VARCHAR)"
 )
 def jn_enrich_inner(spark, sf):
-    parts = table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(
-        F.col("p_partkey").cast("string").alias("business_id"), "p_brand"
-    )
+    parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("business_id"), "p_brand")
     users = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), "c_mktsegment")
     return readers.enrich_inner(interactions(spark, sf), parts, users).select("review_id", "p_brand", "c_mktsegment")
 
 
 @query(
     "jn_enrich_left",
-    f"WITH {INTER} SELECT review_id, p_brand FROM inter LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 "
-    f"<> 0) ON business_id = CAST(p_partkey AS VARCHAR)"
+    f"WITH {INTER} SELECT review_id, p_brand FROM inter LEFT JOIN part ON business_id = CAST(p_partkey AS VARCHAR)"
 )
 def jn_enrich_left(spark, sf):
-    parts = table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(
-        F.col("p_partkey").cast("string").alias("business_id"), "p_brand"
-    )
-    return interactions(spark, sf).join(parts, "business_id", "left").select("review_id", "p_brand")
-
-
-@query(
-    "jn_enrich_inner_all",
-    f"WITH {INTER} SELECT review_id, p_brand, c_mktsegment FROM inter JOIN part ON business_id = CAST(p_partkey "
-    f"AS VARCHAR) JOIN customer ON user_id = CAST(c_custkey AS VARCHAR)"
-)
-def jn_enrich_inner_all(spark, sf):
     parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("business_id"), "p_brand")
-    users = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), "c_mktsegment")
-    return readers.enrich_inner(interactions(spark, sf), parts, users).select("review_id", "p_brand", "c_mktsegment")
+    return interactions(spark, sf).join(parts, "business_id", "left").select("review_id", "p_brand")
 
 
 @query(
-    "jn_enrich_left_all",
-    f"WITH {INTER} SELECT review_id, p_brand FROM inter LEFT JOIN part ON business_id = CAST(p_partkey AS VARCHAR)"
-)
-def jn_enrich_left_all(spark, sf):
-    parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("business_id"), "p_brand")
-    return interactions(spark, sf).join(parts, "business_id", "left").select("review_id", "p_brand")
+    "jn_enrich_counted",
+    f"""
+    WITH {INTER}, joined AS (
+      SELECT p_partkey IS NULL AS no_b, c_custkey IS NULL AS no_u FROM inter
+      LEFT JOIN (SELECT * FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%red%')
+        ON business_id = CAST(p_partkey AS VARCHAR)
+      LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON user_id = CAST(c_custkey AS VARCHAR)
+    )
+    SELECT 'rows' AS reason, count(*) AS rows FROM joined
+    UNION ALL SELECT 'kept', count(*) FROM joined WHERE NOT no_b AND NOT no_u
+    UNION ALL SELECT 'neither', count(*) FROM joined WHERE no_b AND no_u
+    UNION ALL SELECT 'no_business', count(*) FROM joined WHERE no_b AND NOT no_u
+    UNION ALL SELECT 'no_user', count(*) FROM joined WHERE no_u AND NOT no_b
+    """
+)
+def jn_enrich_counted(spark, sf):
+    """Reviews of one domain's items by users in credit: what the join drops, counted while the result is written."""
+    parts = I.domain_filter(table(spark, sf, "part"), ["ring", "red"], "p_name")
+    parts = parts.select(F.col("p_partkey").cast("string").alias("business_id"), "p_brand")
+    users = table(spark, sf, "customer").filter("c_acctbal > 0").select(
+        F.col("c_custkey").cast("string").alias("user_id"), "c_mktsegment"
+    )
+    seen = Observation("enriched")
+    readers.enrich_inner(interactions(spark, sf), parts, users, seen).write.parquet(shared_folder(spark))
+    return counts_of(spark, seen)
 
 
 @query(
@@ -310,22 +339,6 @@ def op_protocol_none(spark, sf):
     return P.apply_protocol(test, train, ["sentiment"], "none", False).select("review_id", "sentiment")
 
 
-@query(
-    "agg_item_profile",
-    f"WITH {SPLIT}, k AS (SELECT business_id, count(*) AS review_count, avg(stars) AS a, "
-    f"avg(sentiment) AS b FROM train WHERE l_orderkey % 11 = 0 GROUP BY 1), g AS (SELECT avg(stars) AS ga, "
-    f"avg(sentiment) AS gb FROM train WHERE l_orderkey % 11 = 0) SELECT business_id, coalesce(review_count, "
-    f"0) AS review_count, round(coalesce(a, ga), 6) AS avg_rating, round(coalesce(b, gb), "
-    f"6) AS sentiment_agg FROM (SELECT DISTINCT business_id FROM inter) LEFT JOIN k USING (business_id) "
-    f"CROSS JOIN g"
-)
-def agg_item_profile(spark, sf):
-    """Reviews of every eleventh order are the known ones, so that there are cold items; the universe is whole."""
-    train, _ = _parts(spark, sf)
-    out = P.item_profile(train.filter("l_orderkey % 11 = 0"), interactions(spark, sf))
-    return out.withColumns({"avg_rating": r6("avg_rating"), "sentiment_agg": r6("sentiment_agg")})
-
-
 UNIVERSE = "universe AS (SELECT business_id FROM inter UNION SELECT CAST(p_partkey AS VARCHAR) FROM part)"
 
 
@@ -337,14 +350,14 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "agg_item_profile_all",
+    "agg_item_profile",
     f"WITH {SPLIT}, {UNIVERSE}, k AS (SELECT business_id, count(*) AS review_count, avg(stars) AS a, "
     f"avg(sentiment) AS b FROM train GROUP BY 1), g AS (SELECT avg(stars) AS ga, avg(sentiment) AS gb "
     f"FROM train) SELECT business_id, coalesce(review_count, 0) AS review_count, round(coalesce(a, "
     f"ga), 6) AS avg_rating, round(coalesce(b, gb), 6) AS sentiment_agg FROM universe LEFT "
     f"JOIN k USING (business_id) CROSS JOIN g"
 )
-def agg_item_profile_all(spark, sf):
+def agg_item_profile(spark, sf):
     """All training reviews are known; cold items are those that the split leaves without one, and unreviewed parts."""
     out = P.item_profile(_parts(spark, sf)[0], universe(spark, sf))
     return out.withColumns({"avg_rating": r6("avg_rating"), "sentiment_agg": r6("sentiment_agg")})

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.columns import sentiment_label
 from ..operators import content as T
 from ..operators import evaluation as E
 from ..operators import fusion as U
 from ..operators import interactions as I
 from ..operators import profiles as P
 from ..operators import ratings as R
+from ..operators.network import network_stream
+from ..operators.scoring import as_scorer
 from ..shared import stored, table
 from ..sources.sample_tables import item_categories, review_terms, sentiment, split_interactions
 from .registry import SPLIT, query, r6
@@ -112,7 +115,14 @@ def op_bias_mf_factors(spark, sf):
 
 @query("op_mf_stream")
 def op_mf_stream(spark, sf):
-    """The settings with the least validation error, then the test part."""
+    """The factor network at the epoch with the least validation error, for the test part."""
+    train, val, test = _parts(spark, sf)
+    return network_stream(train, val, test, epochs=4).select("review_id", "fallback_kind", "prediction")
+
+
+@query("op_mf_stream_als")
+def op_mf_stream_als(spark, sf):
+    """ALS in the network's place: the settings with the least validation error, then the test part."""
     train, val, test = _parts(spark, sf)
     settings = [{"rank": 8, "reg": g} for g in (0.1, 0.3)]
     out, _, _ = R.als_selected(train, val, test, *_ids(train), settings, iterations=5)
@@ -121,6 +131,15 @@ def op_mf_stream(spark, sf):
 
 @query("op_oof_predict")
 def op_oof_predict(spark, sf):
+    """Training rows predicted by factor networks of the other folds; the epoch is chosen on the validation part."""
+    train, val, _ = _parts(spark, sf)
+    settings = {"epochs": 2, "blocks": 2}
+    out = R.out_of_fold(train, lambda fit, rows: network_stream(fit, val, rows, **settings), k=3)
+    return out.select("review_id", "fold", "fallback_kind", "prediction")
+
+
+@query("op_oof_bias")
+def op_oof_bias(spark, sf):
     train, _, _ = _parts(spark, sf)
     out = R.out_of_fold(train, lambda fit, rows: R.bias_means(fit, rows), k=5)
     return out.select("review_id", "fold", F.col("baseline").alias("prediction"))
@@ -141,37 +160,55 @@ def ev_candidate_sampling(spark, sf):
     return E.ranking_metrics(scored, scored.filter("label = 1"), by=["model"])
 
 
-def _sentiment(spark, sf):
-    """Documents and their labels, quality standing for sentiment; and a model of those whose crc32(id) mod 5 is not 0."""
+def _labelled(spark, sf):
+    """Documents and their labels, quality standing for sentiment; crc32(id) mod 5 deals them out: 0 held out, 1 validation."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = table(spark, sf, "labels").select(
-        F.col("doc_id").alias("review_id"), F.col("quality").alias("sentiment_label"), held.alias("held_out")
+        F.col("doc_id").alias("review_id"), F.col("quality").alias("sentiment_label"), (part == 0).alias("held_out"),
+        (part == 1).alias("validation")
     ).dropna()
-    labelled = stored(docs.join(labels, "review_id").filter("text IS NOT NULL"))
-    return docs, labelled, R.sentiment_model().fit(labelled.filter("NOT held_out"))
+    return docs, stored(docs.join(labels, "review_id").filter("text IS NOT NULL"))
+
+
+def _sentiment(spark, sf):
+    docs, labelled = _labelled(spark, sf)
+    fit, val = labelled.filter("NOT held_out AND NOT validation"), labelled.filter("validation")
+    return docs, labelled, *R.sentiment_selected(fit, val, [0.001, 0.01, 0.1])
 
 
 @query("op_sentiment_train")
 def op_sentiment_train(spark, sf):
-    """The fitted model's probabilities for the rows that it was fitted to."""
-    _, labelled, model = _sentiment(spark, sf)
-    return R.sentiment_score(model, labelled.filter("NOT held_out")).select(
-        "review_id", "sentiment_label", "sentiment_score"
-    )
+    """The training report: each regularisation with its log loss and accuracy on the validation rows, and which is kept."""
+    _, _, _, report = _sentiment(spark, sf)
+    return spark.createDataFrame(report, "reg double, val_log_loss double, val_accuracy double, n_val long, kept boolean")
 
 
 @query("op_sentiment_score")
 def op_sentiment_score(spark, sf):
-    docs, _, model = _sentiment(spark, sf)
-    return R.sentiment_score(model, docs).select("review_id", "sentiment_score")
+    """All documents by the kept model, each distinct text once."""
+    docs, _, model, _ = _sentiment(spark, sf)
+    return as_scorer(model).score(docs).select("review_id", "sentiment_score")
 
 
 @query("op_sentiment_eval")
 def op_sentiment_eval(spark, sf):
     """Accuracy on labelled rows that were held out of the training, and on those that were not."""
-    _, labelled, model = _sentiment(spark, sf)
-    return R.accuracy(R.sentiment_score(model, labelled), ["held_out"])
+    _, labelled, model, _ = _sentiment(spark, sf)
+    return R.accuracy(as_scorer(model).score(labelled), ["held_out"])
+
+
+@query(
+    "op_sentiment_eval_given",
+    f"WITH {SPLIT} SELECT business_id, round(avg(CAST((sentiment >= 0.5) = (stars >= 4) AS INTEGER)), 6) AS accuracy, "
+    f"count(*) AS n FROM evald WHERE stars <> 3 GROUP BY 1"
+)
+def op_sentiment_eval_given(spark, sf):
+    """Accuracy of given scores against the labels of the stars, per item."""
+    _, _, test = _parts(spark, sf)
+    rows = test.withColumn("sentiment_label", sentiment_label(F.col("stars"))).filter("sentiment_label IS NOT NULL")
+    out = R.accuracy(rows.withColumnRenamed("sentiment", "sentiment_score"), ["business_id"])
+    return out.withColumn("accuracy", r6("accuracy"))
 
 
 def content_parts(spark, sf, train):

@@ -10,6 +10,7 @@ from ..operators import fusion as U
 from ..operators import interactions as I
 from ..operators import profiles as P
 from ..operators import ratings as R
+from ..operators.hierarchy import WardClusters
 from ..shared import shared_folder, stored, table
 from ..sources import readers, writers
 from ..sources.sample_tables import interactions, predictions, sentiment, split_interactions
@@ -240,44 +241,21 @@ def jn_total(spark, sf):
 
 @query(
     "agg_global_fallback",
-    f"WITH {SPLIT}, g AS (SELECT avg(stars) AS ga FROM train WHERE l_orderkey % 11 = 0) "
-    f"SELECT business_id, 0::BIGINT AS review_count, round(ga, 6) AS avg_rating FROM (SELECT DISTINCT business_id "
-    f"FROM inter) CROSS JOIN g WHERE business_id NOT IN (SELECT business_id FROM train WHERE l_orderkey % "
-    f"11 = 0)"
-)
-def agg_global_fallback(spark, sf):
-    train = _parts(spark, sf)[0].filter("l_orderkey % 11 = 0")
-    return P.item_profile(train, interactions(spark, sf)).filter("review_count = 0").select(
-        "business_id", F.col("review_count").cast("long").alias("review_count"), r6("avg_rating").alias("avg_rating")
-    )
-
-
-@query(
-    "set_except_items",
-    f"WITH {SPLIT} SELECT business_id FROM inter EXCEPT SELECT business_id FROM train WHERE l_orderkey % 11 = 0"
-)
-def set_except_items(spark, sf):
-    train = _parts(spark, sf)[0].filter("l_orderkey % 11 = 0")
-    return interactions(spark, sf).select("business_id").subtract(train.select("business_id"))
-
-
-@query(
-    "agg_global_fallback_all",
     f"WITH {SPLIT}, {UNIVERSE}, g AS (SELECT avg(stars) AS ga FROM train) SELECT business_id, "
     f"0::BIGINT AS review_count, round(ga, 6) AS avg_rating FROM universe CROSS JOIN g WHERE business_id NOT "
     f"IN (SELECT business_id FROM train)"
 )
-def agg_global_fallback_all(spark, sf):
+def agg_global_fallback(spark, sf):
     return P.item_profile(_parts(spark, sf)[0], universe(spark, sf)).filter("review_count = 0").select(
         "business_id", F.col("review_count").cast("long").alias("review_count"), r6("avg_rating").alias("avg_rating")
     )
 
 
 @query(
-    "set_except_items_all",
+    "set_except_items",
     f"WITH {SPLIT}, {UNIVERSE} SELECT business_id FROM universe EXCEPT SELECT business_id FROM train"
 )
-def set_except_items_all(spark, sf):
+def set_except_items(spark, sf):
     return universe(spark, sf).subtract(_parts(spark, sf)[0].select("business_id"))
 
 
@@ -388,7 +366,6 @@ def op_grid_search(spark, sf):
 
 @query("op_cluster_hier")
 def op_cluster_hier(spark, sf):
+    """Ward's clusters of the items' vectors, their number by silhouette."""
     vectors = _item_vectors(spark, sf)
-    return T.best_clusters(
-        vectors, range(2, 5), method="hierarchical"
-    )[0].transform(vectors).select("business_id", "cluster")
+    return WardClusters().fit(vectors).choose(vectors, range(2, 6)).transform(vectors).select("business_id", "cluster")

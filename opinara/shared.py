@@ -1,11 +1,12 @@
-"""Tables written on the way, in the folder that driver and executors share."""
+"""Tables written on the way, in the folder that driver and executors share, and counts taken on the way."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,3 +52,16 @@ def discard_all(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def counted(df: DataFrame, reason: Column, reasons: list[str], seen: Observation) -> DataFrame:
+    """The rows of df without a reason to be dropped.
+
+    seen gets ``rows``, ``kept`` and the rows dropped for each of the reasons, from the very action that reads the result
+    (a write, say); nothing is read twice. Ask ``seen.get`` after it.
+    """
+    own = df.withColumn("_reason", reason)
+    return own.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_reason").isNull()).alias("kept"),
+        *[F.count_if(F.col("_reason") == r).alias(r) for r in reasons]
+    ).filter("_reason IS NULL").drop("_reason")

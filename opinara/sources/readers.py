@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import counted
+
 CORE = "review_id string, user_id string, business_id string, text string, stars double, date string"
 BUSINESS = "business_id string, categories string, stars double, city string, review_count bigint"
 USER = "user_id string, review_count bigint, average_stars double"
@@ -80,10 +82,24 @@ def preview(df: DataFrame, n: int = 200_000) -> DataFrame:
     return df.limit(n)
 
 
-def enrich_inner(reviews: DataFrame, businesses: DataFrame, users: DataFrame) -> DataFrame:
-    """Reviews with their business and user attributes; unmatched ones are dropped. Of repeated dimension keys the greatest
-    row (by all columns) counts."""
-    return reviews.join(last_of(businesses, "business_id"), "business_id").join(last_of(users, "user_id"), "user_id")
+#: Why enrich_inner drops a review.
+UNMATCHED = ["no_business", "no_user", "neither"]
+
+
+def enrich_inner(
+    reviews: DataFrame, businesses: DataFrame, users: DataFrame, seen: Observation | None = None
+) -> DataFrame:
+    """Reviews with their business and user attributes; unmatched ones are dropped, and counted by UNMATCHED in ``seen`` if
+    it is given. Of repeated dimension keys the greatest row (by all columns) counts."""
+    b, u = last_of(businesses, "business_id"), last_of(users, "user_id")
+    if seen is None:
+        return reviews.join(b, "business_id").join(u, "user_id")
+    both = reviews.join(b.withColumn("_b", F.lit(True)), "business_id", "left").join(
+        u.withColumn("_u", F.lit(True)), "user_id", "left"
+    )
+    no_b, no_u = F.col("_b").isNull(), F.col("_u").isNull()
+    reason = F.when(no_b & no_u, "neither").when(no_b, "no_business").when(no_u, "no_user")
+    return counted(both, reason, UNMATCHED, seen).drop("_b", "_u")
 
 
 def load_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -95,17 +111,29 @@ def load_splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
-def scan_results(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+#: Why scan_results skips a run.
+SKIPPED = ["malformed", "incomplete"]
+
+
+def scan_results(spark: SparkSession, path: str, kind: str = "parquet", seen: Observation | None = None) -> DataFrame:
     """Run results (model, domain, seed, rmse, mae, config) as write_results leaves them, or as JSON lines (kind="json").
 
-    Rows without a required field, and lines that are no JSON, are skipped.
+    Lines that are no JSON (malformed) and rows without a required field (incomplete) are skipped, and counted in ``seen`` if
+    it is given; empty lines are neither.
     """
     schema = "model string, domain string, seed int, rmse double, mae double, config string"
     if kind == "json":
-        found = spark.read.schema(schema).json(path, mode="PERMISSIVE", recursiveFileLookup=True)
+        found = spark.read.schema(f"{schema}, _corrupt string").json(
+            path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", recursiveFileLookup=True
+        )
     else:
-        found = spark.read.schema(schema).parquet(path)
-    return found.dropna(subset=["model", "domain", "seed", "rmse", "mae"])
+        found = spark.read.schema(schema).parquet(path).withColumn("_corrupt", F.lit(None).cast("string"))
+    missing = F.lit(False)
+    for c in ("model", "domain", "seed", "rmse", "mae"):
+        missing = missing | F.col(c).isNull()
+    reason = F.when(F.col("_corrupt").isNotNull(), "malformed").when(missing, "incomplete")
+    out = found.filter(reason.isNull()) if seen is None else counted(found, reason, SKIPPED, seen)
+    return out.drop("_corrupt")
 
 
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -238,14 +238,14 @@ def test_leave_one_out_terms(spark):
 
 
 def test_whole_queries_read_all_rows(spark, sf):
-    """Queries ``*_all`` leave out no order, part or event, and the profile counts all training reviews."""
+    """No order, part or event is left out, and the profile counts all training reviews."""
     import __spark_entry__ as entry
     from opinara.plans.interaction_queries import _parts
 
     run = lambda name: entry.queries()[name](spark, sf)
-    assert run("agg_item_profile_all").agg(F.sum("review_count")).first()[0] == _parts(spark, sf)[0].count()
-    assert run("fn_p_display_all").count() == spark.read.parquet(f"{sf}/events.parquet").count()
-    assert run("jn_enrich_left_all").filter("p_brand IS NULL").isEmpty()
+    assert run("agg_item_profile").agg(F.sum("review_count")).first()[0] == _parts(spark, sf)[0].count()
+    assert run("fn_p_display").count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert run("jn_enrich_left").filter("p_brand IS NULL").isEmpty()
 
 
 def small_reviews(spark):
