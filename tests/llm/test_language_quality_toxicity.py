@@ -274,3 +274,38 @@ def test_long_text_in_pieces():
     giant = np.frombuffer(b"fine " + b"bad" * 500_000 + b" fine", np.uint8)
     whole = by_hand(model, b"fine " + b"bad" * 400 + b" fine")
     assert model.logits(giant, np.array([0, len(giant)]))[0] == pytest.approx(whole, abs=0.05)
+
+
+def buckets_by_hand(word):
+    """The buckets of a word's n-grams, its ends included, as often as they occur."""
+    x, out = b" " + word + b" ", []
+    for n in toxicity.ORDERS:
+        for i in range(len(x) - n + 1):
+            h = 0
+            for k, c in enumerate(x[i : i + n]):
+                h ^= int(toxicity._TABLES[k][c])
+            out.append(h & (toxicity.BUCKETS - 1))
+    return out
+
+
+def test_one_step_of_joint_training_by_hand():
+    """From random vectors: averages of averages, softmax, cross entropy, and one step of all numbers by their gradients."""
+    texts, labels, rate = [b"one bad bad word", b"fine word", b"bad"], np.array([1, 0, 1]), 0.05
+    model = toxicity.learned_from(texts, labels, epochs=1, rate=rate)
+    used = sorted({b for t in texts for w in t.split() for b in buckets_by_hand(w)})
+    rng = np.random.default_rng(3)
+    e = rng.standard_normal((len(used), toxicity.DIMENSIONS)) * 0.1
+    softmax, bias = rng.standard_normal((toxicity.DIMENSIONS, 2)) * 0.1, np.array([1.0, -1.0])
+    ge, gs, gb = np.zeros_like(e), np.zeros_like(softmax), np.zeros(2)
+    for t, y in zip(texts, labels, strict=True):
+        words = [[used.index(b) for b in buckets_by_hand(w)] for w in t.split()]
+        pooled = np.mean([e[w].mean(0) for w in words], axis=0)
+        p = np.exp(pooled @ softmax + bias)
+        d = p / p.sum() - np.eye(2)[y]
+        gs += np.outer(pooled, d)
+        gb += d
+        for w in words:
+            for k in w:
+                ge[k] += softmax @ d / len(w) / len(words)
+    for got, start, g in ((model.embedding[used], e, ge), (model.softmax, softmax, gs), (model.bias, bias, gb)):
+        assert got == pytest.approx(start - rate * 0.1 * g / (np.sqrt(0.01 * g * g) + 0.01), abs=1e-5)
