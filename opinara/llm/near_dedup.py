@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, discard, shared_folder, stored, table, utf8
+from .common import batches_of, bounded_batches, discard, numbered, shared_folder, stored, table, utf8
 
 WORDS, SIMILARITY = 5, 80
 PERMUTATIONS, ROWS = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 CHUNK = 1 << 20
+#: A column that no table of documents has.
+ROW = "\x01row"
 _RNG = np.random.default_rng(23)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -138,8 +140,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
-def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the full sets of the documents with these ids, as arrays of sorted 64-bit hashes."""
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) with these ids. Both sides grow with the documents, so they meet by key at every size."""
+    return docs.select("id", "text").join(ids.hint("merge"), "id", "left_semi")
+
+
+def set_table(texts: DataFrame, words: int) -> DataFrame:
+    """(id, shingles): the full sets as arrays of sorted 64-bit hashes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,31 +154,46 @@ def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             found = [s.view(np.int64) for s in shingle_sets(data, offsets, words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(found)], ["id", "shingles"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    # Both sides grow with the documents, so they meet by key at every size.
-    return docs.select("id", "text").join(ids.hint("merge"), "id", "left_semi").mapInArrow(gather, f"id {kind}, shingles array<long>")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(gather, f"id {kind}, shingles array<long>")
+
 
+#: Members held against one copy of their centre's text.
+TOGETHER = 200
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= similarity * union."""
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= similarity * union.
+
+    A text is sent once for each pair that it is b of, and once for each TOGETHER pairs that it is a of; the centre a comes
+    first and its members pass by it one after the other, so a task holds two sets at a time.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre: np.ndarray | None = None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], ["a", "b"]
-            ).filter(pa.array(ok, pa.bool_()))
-
+            data, offsets = utf8(batch.column(3))
+            first, ok = batch.column(1).to_numpy() == 0, np.zeros(batch.num_rows, bool)
+            for i, own in enumerate(shingle_sets(data, offsets, words)):
+                if first[i]:
+                    centre = own
+                else:
+                    both = np.concatenate([centre, own])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    ok[i] = 100 * common >= similarity * (len(both) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(ok))
+
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
+    members = pairs.join(sizes, "a").select(
+        F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role")
+    )
+    centres = sizes.select(
+        F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role")
+    )
+    met = texts.join(members.unionByName(centres), "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     kind = pairs.schema["a"].dataType.simpleString()
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
+    return met.select("a", "role", "id", "text").mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame, work: str | None = None) -> DataFrame:
@@ -250,17 +272,17 @@ def near_groups(
     Each row is a document of its own, whatever its id: repeated rows, and rows that share an id but not a text, link by
     their own texts alone, and all rows with the component's id are kept. A row without an id takes the least id of its
     component and is not kept there; a component of none but such rows has no id, and all are kept. Other columns are
-    ignored; an empty table gives no rows. ``row`` names a column of unique numbers in a written table; without it the rows
-    are numbered and written first.
+    ignored; an empty table gives no rows. ``row`` names a column of unique numbers, the same in every reading; without it the
+    rows are numbered first.
     """
-    given = docs.select(
-        (F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")).alias("id"),
-        F.col(f"`{doc_id}`").alias("name"), F.col(f"`{text}`").cast("string").alias("text")
-    )
     spark = docs.sparkSession
     bounded_batches(spark)
     work = shared_folder(spark)
-    slim = stored(given, work) if row is None else given
+    given = docs if row is not None else numbered(docs, ROW)
+    slim = given.select(
+        F.col(f"`{row or ROW}`").alias("id"), F.col(f"`{doc_id}`").alias("name"),
+        F.col(f"`{text}`").cast("string").alias("text")
+    )
     signed = stored(signatures(slim, words))
     # A class of equal sets is known by the least of its rows.
     classes = stored(
@@ -280,11 +302,11 @@ def near_groups(
     members = stored(
         shared.join(stored(centres, work), "band").select("band", "a", "m", F.col("id").alias("b"), "n"), work
     )
-    sets = stored(set_table(slim.select("id", "text"), members.select(F.col("b").alias("id")).distinct(), words), work)
+    texts = stored(with_ids(slim, members.select(F.col("b").alias("id")).distinct()), work)
     stars = members.filter("a <> b").filter(
         f"100 * least(m, n) >= {similarity} * greatest(m, n)"
     ).select("a", "b").distinct()
-    first = components(confirmed(stars, sets, similarity), work)
+    first = components(confirmed(stored(stars, work), texts, words, similarity), work)
     # Only members of buckets with more than one component can still link.
     placed = members.select("band", F.col("b").alias("id")).join(first, "id", "left").select(
         "band", "id", F.coalesce("component", "id").alias("component")
@@ -293,7 +315,9 @@ def near_groups(
         F.min("component").alias("one"), F.max("component").alias("other")
     ).filter("one <> other").select("band")
     unsettled = stored(placed.join(stored(open_, work), "band").select("id", "component").distinct(), work)
-    rest = stored(confirmed(cross_pairs(sets, unsettled, similarity, work), sets, similarity), work)
+    sets = stored(set_table(with_ids(texts, unsettled.select("id")), words), work)
+    crossing = stored(cross_pairs(sets, unsettled, similarity, work), work)
+    rest = stored(confirmed(crossing, texts, words, similarity), work)
     # Links between components: their least ids stand for them.
     at = {k: first.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"}
     between = rest.join(at["a"], "a", "left").join(at["b"], "b", "left").select(
