@@ -11,18 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import decontamination, exact_dedup, near_dedup, packing, quality
-from opinara.llm.common import shared_folder, stored, table
+from opinara.llm.common import numbered, shared_folder, table
 
 
 #: Columns that the stages add and take away; no table of documents has such names.
 ROW, OWN = "\x01row", "\x01own"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number ROW of their own for all rows, written, so that it is the same wherever it is read."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
-
-
 def _place() -> Column:
     """The order in which rows are kept: by doc_id, those without one last, then by row."""
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(ROW).alias("row"))
@@ -47,13 +42,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal normalised texts: the longest, then by ``_place``; ids may be null or repeated.
+    """Keeps one row of each group of equal normalised texts: the longest, then the least doc_id; ids may be null or repeated.
 
     Null and empty texts are equal to each other, so one of them stays.
     """
-    rows = _numbered(docs)
-    verdicts = exact_dedup.exact_groups(rows.withColumn(OWN, _place()), doc_id=OWN)
-    return _kept(rows, verdicts.filter("kept").select(F.col("doc_id.row").alias(ROW)), docs)
+    rows = numbered(docs, ROW)
+    verdicts = exact_dedup.exact_groups(rows, row=ROW)
+    return _kept(rows, verdicts.filter("kept").select(F.col("row").alias(ROW)), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +56,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Ids may be null or repeated; rows without a word link with nothing and all stay.
     """
-    rows = _numbered(docs)
+    rows = numbered(docs, ROW)
     members = near_dedup.near_groups(rows, doc_id=ROW, row=ROW).select(F.col("doc_id").alias(ROW), "component_id")
     first = members.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(_place()).alias("first"))
     return _kept(rows, first.select(F.col("first.row").alias(ROW)), docs)
