@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -153,8 +154,8 @@ def find_windows(
     kind = item_type.simpleString()
     # As many words as windows at a time: a window's words repeat in the next one.
     counted = rarity(docs, text, words_of_windows(windows), block)
-    indexes = []
-    for k in range(blocks):
+
+    def index_of(k: int) -> Broadcast:
         mine = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
         own: dict[bytes, list] = {}
         for r in mine.toLocalIterator():
@@ -164,7 +165,7 @@ def find_windows(
                 words_of_windows(mine), "word", "left_semi"
             ).toLocalIterator()
         }
-        indexes.append(spark.sparkContext.broadcast(WindowIndex(own, docs_with)))
+        return spark.sparkContext.broadcast(WindowIndex(own, docs_with))
 
     spans_type = "array<struct<start: bigint, stop: bigint>>"
     plain = plain_names(keep)
@@ -173,7 +174,7 @@ def find_windows(
     )
     if blocks == 1:
         return slim.mapInArrow(
-            searched(indexes[0], plain, FOUND, item_type),
+            searched(index_of(0), plain, FOUND, item_type),
             ", ".join(
                 [
                     *(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != TEXT),
@@ -185,12 +186,14 @@ def find_windows(
     # merged before they meet the rows.
     slim = stored(slim.withColumn(ROW, F.monotonically_increasing_id()))
     found = None
-    for index in indexes:
+    for k in range(blocks):  # one block's index is held at a time
+        index = index_of(k)
         own = slim.select(ROW, TEXT).mapInArrow(
             searched(index, [ROW], "f", item_type),
             f"`{ROW}` bigint, f struct<n_words: bigint, spans: {spans_type}, items: array<{kind}>>"
         )
         own = stored(own if found is None else own.filter(F.size("f.items") > 0))  # the first one gives all rows' numbers of words
+        index.unpersist()
         found = own if found is None else found.unionByName(own)
     merged = found.groupBy(ROW).agg(  # a row per block at most
         F.max("f.n_words").alias("n_words"), F.flatten(F.collect_list("f.spans")).alias("spans"),

@@ -2,11 +2,12 @@
 
 The pieces of an existing vocabulary, with its scores as prior, weigh all segmentations of a word: a log-space forward
 recursion over the word's places sums them to its marginal probability. Piece probabilities are re-estimated by
-expectation-maximisation over the counts of all training words. A known word has one more arc, itself, whose weight
-against the pieces is chosen by leaving each occurrence out. Words and the end are drawn independently, so a text's
-probability is the product over them, and the sum over all texts is at most 1. So a word that training has not seen pays
-for its spelling, which the count formula of ``base_score`` doesn't ask for: where many words are new, ``score`` lies below
-it. ``lattice_score`` is what the pieces alone give.
+expectation-maximisation over the counts of all training words. A known word has one more arc, itself, with its count less
+an absolute discount; what all known words give up so is the weight of the pieces, which new words share with them. The
+discount is chosen by leaving each occurrence out. Words and the end are drawn independently, so a text's probability is
+the product over them, and the sum over all texts is at most 1. So a word that training has not seen pays for its spelling,
+which the count formula of ``base_score`` doesn't ask for: where many words are new, ``score`` lies below it.
+``known_score`` is the part of ``score`` of known words and the end; ``lattice_score`` is what the pieces alone give.
 
 Word counts are exact and held nowhere whole. Documents are read once and dealt into chunks of bounded size, as numbers in
 the chunk's own dictionary. The dictionaries' words are summed to totals, each distinct word is walked once, and what it
@@ -31,7 +32,7 @@ MARK = 0x2581  # the vocabulary's sign for the start of a word
 CHUNK_BYTES = 16_000_000
 #: Tokens that the vocabulary's own scores count for beside the training tokens.
 PRIOR_TOKENS = 5000.0
-SHARES = np.array([0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
+DISCOUNTS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 #: Words that are walked at a time, and characters of equally long ones among them.
 WORDS_TOGETHER, LENGTHS_TOGETHER = 100_000, 400_000
 #: Words of more places than this are walked place by place, in blocks of BLOCK; the result is the same.
@@ -357,25 +358,25 @@ def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def learn(words: DataFrame, lattice: Lattice, rounds: int = 3) -> tuple[Lattice, float]:
-    """EM over all distinct training words (word, total); and the share of the whole-word arcs, from the last round."""
+    """EM over all distinct training words (word, total); and the discount of the whole-word arcs, from the last round."""
     spark = words.sparkSession
-    total = float(words.agg(F.sum("total")).first()[0] or 0)
-    share = 0.0
+    total, distinct = (float(x or 0) for x in words.agg(F.sum("total"), F.count(F.lit(1))).first())
+    discount = 1.0
     for k in range(rounds if total else 0):
         held = spark.sparkContext.broadcast(lattice)
-        tries = -np.arange(1, len(SHARES) + 1)
+        tries = -np.arange(1, len(DISCOUNTS) + 1)
 
         def expect(batches: Iterator[pa.RecordBatch], held=held, last=k == rounds - 1) -> Iterator[pa.RecordBatch]:
             m = held.value
-            used, logs = np.zeros(len(m.log_p)), np.zeros(len(SHARES))
+            used, logs = np.zeros(len(m.log_p)), np.zeros(len(DISCOUNTS))
             for batch in pooled(batches):
                 times = np.asarray(batch.column(1)).astype(np.float64)
                 marginal = m.marginals(batch.column(0).to_pylist(), times, used)
                 if last:
                     # Each occurrence is left out of its word's count in turn.
-                    mixed = SHARES[:, None] * (
-                        (times - 1) / total
-                    )[None, :] + (1 - SHARES)[:, None] * np.exp(marginal)[None, :]
+                    whole = np.maximum(times - 1 - DISCOUNTS[:, None], 0)
+                    rest = DISCOUNTS[:, None] * (distinct - (times == 1)) * np.exp(marginal)
+                    mixed = (whole + rest) / total
                     logs += (np.log(np.maximum(mixed, 1e-300)) * times[None, :]).sum(1)
             at = np.flatnonzero(used)
             yield pa.RecordBatch.from_arrays(
@@ -389,10 +390,10 @@ def learn(words: DataFrame, lattice: Lattice, rounds: int = 3) -> tuple[Lattice,
         own = np.zeros(len(lattice.log_p))
         own[piece[piece >= 0]] = value[piece >= 0]
         lattice.log_p = np.log((own + PRIOR_TOKENS * lattice.prior) / (own.sum() + PRIOR_TOKENS))
-        logs = np.zeros(len(SHARES))
+        logs = np.zeros(len(DISCOUNTS))
         logs[-piece[piece < 0] - 1] = value[piece < 0]
-        share = float(SHARES[logs.argmax()])
-    return lattice, share
+        discount = float(DISCOUNTS[logs.argmax()])
+    return lattice, discount
 
 
 def weigh(words: DataFrame, lattice: Lattice, work: str) -> DataFrame:
@@ -412,11 +413,12 @@ def score(
     docs: DataFrame, train: F.Column | None = None, text: str = "text", doc_id: str = "doc_id",
     vocabulary: str | None = None
 ) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
+    """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, known_score, lattice_score.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z, then one end. ``train`` is a condition on docs' columns
     (all rows if None). base_score: sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))). score: log10 of the text's
-    probability under the lattice model; lattice_score: the same without the whole-word arcs. A null or empty text is the
+    probability under the lattice model; known_score: the part of it of words that training has, and of the end; lattice_score:
+    the score without the whole-word arcs. A null or empty text is the
     end alone. Repeated rows, and rows without an id, count and are scored each. Without training rows the vocabulary's
     scores alone weigh the pieces. Other columns are ignored; an empty table gives no rows.
     """
@@ -432,36 +434,38 @@ def score(
     ends = slim.filter("train").count()
     n_words = int(n_words or 0)
     n, v = n_words + ends, distinct + (ends > 0)
-    lattice, share = learn(known, load(vocabulary))
+    lattice, discount = learn(known, load(vocabulary))
+    spared = discount * distinct / n_words if n_words else 1.0  # the pieces' weight
     words = weigh(totals, lattice, work)
     floor = np.log10(n + 0.5 * (v + 1))
     p_end = (ends + 0.5) / (n + 1.0)
     values = stored(own.join(words, "word").select("chunk", "idx", "total", "marginal"))
     discard(spark, work)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "known_score", "lattice_score"]
 
     def judge(own: pa.Table, dictionary: pa.Table) -> pa.Table:
         idx = np.asarray(dictionary["idx"])
         times, pieces = np.zeros(len(idx)), np.zeros(len(idx))
         times[idx] = np.asarray(dictionary["total"])
         pieces[idx] = np.asarray(dictionary["marginal"]) + np.log1p(-p_end)
-        whole = share * times / n_words if n_words else times
+        whole = np.maximum(times - discount, 0) / max(n_words, 1)
         with np.errstate(divide="ignore"):
-            full = np.logaddexp(np.log(whole) + np.log1p(-p_end), pieces + np.log1p(-share))
+            full = np.logaddexp(np.log(whole) + np.log1p(-p_end), pieces + np.log(spared))
         data, offsets = utf8(own["tokens"])
         size = np.diff(offsets) // 4
         ids, row = np.frombuffer(data.tobytes(), "<i4"), np.repeat(np.arange(len(size)), size)
         summed = lambda x: np.bincount(row, x[ids], len(size))
         base = summed(np.log10(times + 0.5) - floor) + np.log10(ends + 0.5) - floor
-        log_probabilities = [summed(x) / np.log(10) + np.log10(p_end) for x in (full, pieces)]
+        parts = full, np.where(times > 0, full, 0), pieces
+        log_probabilities = [summed(x) / np.log(10) + np.log10(p_end) for x in parts]
         counts = [size + 1, summed(times > 0).astype(np.int64) + (ends > 0), np.full(len(size), n)]
         arrays = [
             *(pa.array(c, pa.int64()) for c in counts), *(pa.array(x, pa.float64()) for x in (base, *log_probabilities))
         ]
         return pa.table([own["doc_id"], *arrays], names=names)
 
-    schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
+    schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_score double, lattice_score double"
     return slim.drop("train").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(judge, schema)
 
 
@@ -470,5 +474,5 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"), ~in_part(F.col("doc_id"), 5, 1))
     return out.select(
         "doc_id", in_part(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
-        "score", "lattice_score"
+        "score", "known_score", "lattice_score"
     )
