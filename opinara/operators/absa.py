@@ -1,6 +1,7 @@
 """Aspect-based sentiment: sentences matched to aspects by keywords, scored in one pass, aggregated four ways.
 
-The lexicon is a mapping aspect -> keywords (a keyword is a substring of the lower-cased sentence). All modes read one long
+The lexicon is a mapping aspect -> keywords (a keyword is a substring of the lower-cased sentence), for a few dozen of them
+one expression, or a table (aspect, keyword) of any size, searched with an automaton. All modes read one long
 table, (review_id, aspect, text, n_sentences) with the whole text under the aspect null, so each text is scored once.
 ``scorer`` is anything that scoring.as_scorer takes: a fitted Spark ML model, an object with ``predict_proba``, or a function
 from a text column to a score between 0 and 1.
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import confidence, holds_any, sentences
+from .keywords import sentence_aspects
 from .scoring import as_scorer
 
 Lexicon = dict[str, list[str]]
@@ -25,9 +27,11 @@ def lexicon_of(lexicons: dict[str, Lexicon], domain: str) -> Lexicon:
     return lexicons[domain]
 
 
-def matches(reviews: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+def matches(reviews: DataFrame, lexicon: Lexicon | DataFrame, text: str = "text") -> DataFrame:
     """(review_id, aspect, text, n_sentences): a row for each aspect that some sentence matches."""
     cut = reviews.select("review_id", sentences(F.col(text)).alias("s"))
+    if isinstance(lexicon, DataFrame):
+        return sentence_aspects(cut, lexicon)
 
     def own(aspect: str, keywords: list[str]) -> Column:
         return F.struct(F.lit(aspect).alias("aspect"), F.filter("s", lambda s: holds_any(s, keywords)).alias("own"))
@@ -40,7 +44,7 @@ def matches(reviews: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFra
 
 
 def long_scores(
-    reviews: DataFrame, lexicon: Lexicon, scorer: Any, text: str = "text"
+    reviews: DataFrame, lexicon: Lexicon | DataFrame, scorer: Any, text: str = "text"
 ) -> DataFrame:
     """(review_id, aspect, score, n_sentences): the matched aspects, and the whole text as aspect null."""
     whole = reviews.select(
@@ -99,7 +103,7 @@ def evidence_counts(reviews: DataFrame, lexicon: Lexicon, text: str = "text") ->
     return reviews.select("review_id").join(found, "review_id", "left").fillna(0, list(lexicon))
 
 
-def coverage(reviews: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+def coverage(reviews: DataFrame, lexicon: Lexicon | DataFrame, text: str = "text") -> DataFrame:
     """(aspect, reviews, percent): reviews that match each aspect, and any of them."""
     m = matches(reviews, lexicon, text)
     total = reviews.agg(F.count(F.lit(1)).alias("total"))

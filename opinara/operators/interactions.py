@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..shared import counted, stored
+from .keywords import holds_keyword
 
 REQUIRED = ["review_id", "user_id", "business_id", "text", "stars", "date"]
 #: Optional business columns and their types.
@@ -88,8 +89,15 @@ def count_rejects(df: DataFrame, reason: Column) -> DataFrame:
     )
 
 
-def domain_filter(df: DataFrame, keywords: list[str], column: str = "business_categories") -> DataFrame:
-    """Rows whose categories hold any keyword as a substring, in any case; null never does."""
+def domain_filter(
+    df: DataFrame, keywords: list[str] | DataFrame, column: str = "business_categories"
+) -> DataFrame:
+    """Rows whose categories hold any keyword as a substring, in any case; null never does.
+
+    keywords: a list, for a few of them, or a table (aspect, keyword), searched with an automaton.
+    """
+    if isinstance(keywords, DataFrame):
+        return holds_keyword(df, keywords, F.col(column), "_held").filter("_held").drop("_held")
     found = F.lit(False)
     for k in keywords:
         found = found | F.contains(F.lower(F.col(column)), F.lit(k.lower()))

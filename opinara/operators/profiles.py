@@ -38,13 +38,11 @@ def leave_one_out(train: DataFrame, features: list[str], item: str = "business_i
 
 
 def item_profile(
-    train: DataFrame, universe: DataFrame, sentiment: str | None = "sentiment", item: str = "business_id",
-    terms: DataFrame | None = None
+    train: DataFrame, universe: DataFrame, sentiment: str | None = "sentiment", item: str = "business_id"
 ) -> DataFrame:
     """Every item of the universe with review_count, avg_rating and sentiment_agg (if there is a sentiment) of train.
 
-    Cold items take the train means and a count of 0. terms, (review_id, term, tf) of the reviews, adds the item's summed
-    term counts as a map ``terms``, empty for cold items; they stand for the joined text, which is never built.
+    Cold items take the train means and a count of 0. An item's words are in item_terms.
     """
     values = {"avg_rating": "stars"} | ({"sentiment_agg": sentiment} if sentiment else {})
     known = train.groupBy(item).agg(
@@ -52,22 +50,15 @@ def item_profile(
     )
     means = train.agg(*[F.avg(c).alias(f"_{k}") for k, c in values.items()])
     found = universe.select(item).distinct().join(known, item, "left").crossJoin(F.broadcast(means))
-    out = found.select(
+    return found.select(
         item, F.coalesce("review_count", F.lit(0)).alias("review_count"),
         *[F.coalesce(k, f"_{k}").alias(k) for k in values]
     )
-    if terms is None:
-        return out
-    summed = item_terms(train, terms, item).groupBy(item).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("terms")
-    )
-    return out.join(summed, item, "left").withColumn(
-        "terms", F.coalesce("terms", F.create_map().cast("map<string,bigint>"))
-    )
 
 
 def item_terms(train: DataFrame, terms: DataFrame, item: str = "business_id", key: str = "review_id") -> DataFrame:
-    """(item, term, tf): the term counts of an item's reviews, summed."""
+    """(item, term, tf): the term counts of an item's reviews, summed. They stand for the joined text, which is never built,
+    and stay in rows, as an item may have any number of terms."""
     return terms.join(train.select(key, item), key).groupBy(item, "term").agg(F.sum("tf").alias("tf"))
 
 

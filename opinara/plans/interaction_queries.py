@@ -389,23 +389,12 @@ TERMS = (
 
 @query(
     "agg_item_profile_terms",
-    f"WITH {SPLIT}, {TERMS}, n AS (SELECT business_id, term, count(*) AS tf FROM terms GROUP BY 1, "
-    f"2), k AS (SELECT business_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_words, string_agg(term || ':' "
-    f"|| tf, ' ' ORDER BY term) AS profile FROM n GROUP BY 1) SELECT business_id, coalesce(n_terms, "
-    f"0) AS n_terms, coalesce(n_words, 0) AS n_words, coalesce(profile, '') AS profile FROM (SELECT DISTINCT "
-    f"business_id FROM inter) LEFT JOIN k USING (business_id)"
+    f"WITH {SPLIT}, {TERMS} SELECT business_id, term, count(*) AS tf FROM terms GROUP BY 1, 2"
 )
 def agg_item_profile_terms(spark, sf):
-    """Items with the summed term counts of their training reviews, in place of the joined text."""
+    """The summed term counts of the items' training reviews, in place of the joined text."""
     train, _ = _parts(spark, sf)
-    out = P.item_profile(train, interactions(spark, sf), terms=review_terms(spark, sf, train))
-    spelled = F.array_join(
-        F.transform(F.map_entries("terms"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), " "
-    )
-    words = F.aggregate(F.map_values("terms"), F.lit(0).cast("long"), lambda s, x: s + x)
-    return out.select(
-        "business_id", F.size("terms").cast("long").alias("n_terms"), words.alias("n_words"), spelled.alias("profile")
-    )
+    return P.item_terms(train, review_terms(spark, sf, train))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import content as T
@@ -184,6 +186,20 @@ def jn_score_cache(spark, sf):
     return writers.attach_scores(rows, spark.read.parquet(path)).select("review_id", r6("sentiment").alias("sentiment"))
 
 
+@query(
+    "snk_feature_cache_bucketed",
+    f"WITH {INTER} SELECT review_id, stars, round((l_orderkey % 97) / 97.0::DOUBLE, 6) AS sentiment FROM inter"
+)
+def snk_feature_cache_bucketed(spark, sf):
+    """The cache and the reviews as tables bucketed by review: scores are found lacking, appended and attached where they lie."""
+    name = f"opinara_{uuid.uuid4().hex}"
+    rows = writers.write_bucketed(interactions(spark, sf), f"{name}_reviews", buckets=16)
+    compute = lambda x: sentiment(x).select("review_id", "sentiment")
+    writers.cached_in_table(rows.filter("stars >= 3"), compute, f"{name}_scores", buckets=16)
+    out = writers.cached_in_table(rows, compute, f"{name}_scores", buckets=16)
+    return out.select("review_id", "stars", r6("sentiment").alias("sentiment"))
+
+
 @query(
     "snk_checkpoint_append",
     f"WITH {METRICS} SELECT DISTINCT domain AS stage, model AS candidate FROM metrics WHERE model <> 'item'"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import absa as A
 from ..operators import content as T
+from ..operators.keywords import lexicon_table
 from ..shared import table
 from ..sources.sample_tables import interactions
 from .registry import INTER, query, r6
@@ -81,6 +82,28 @@ def fn_match_aspects(spark, sf):
     )
 
 
+@query(
+    "fn_match_aspects_table",
+    f"""
+    WITH sent AS ({SENT}),
+    lexicon AS (SELECT DISTINCT p_brand AS aspect, unnest(string_split(lower(p_name), ' ')) AS keyword FROM part),
+    words AS (SELECT DISTINCT keyword FROM lexicon WHERE keyword <> ''),
+    each AS (SELECT review_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM sent),
+    hits AS (SELECT DISTINCT review_id, i, aspect FROM each
+      JOIN words ON contains(lower(x), keyword) JOIN lexicon USING (keyword))
+    SELECT review_id, aspect, count(*) AS n_sentences FROM hits GROUP BY 1, 2
+    """
+)
+def fn_match_aspects_table(spark, sf):
+    """A lexicon that is a table: the words of the parts' names are the keywords of their brands."""
+    words = table(spark, sf, "part").select(
+        F.col("p_brand").alias("aspect"), F.explode(F.split(F.lower("p_name"), " ")).alias("keyword")
+    )
+    return A.matches(_docs(spark, sf), lexicon_table(words)).select(
+        "review_id", "aspect", F.col("n_sentences").cast("long").alias("n_sentences")
+    )
+
+
 @query(
     "fn_join_matched",
     f"WITH sent AS ({SENT}) SELECT review_id, array_to_string(list_filter(s, lambda x: {_MATCH['aspect_en']}), "

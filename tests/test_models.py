@@ -1,6 +1,8 @@
 """Ward clusters, the factor network, the scorer hook, exact signed ranks and counts taken beside a write."""
 
 import itertools
+import threading
+import uuid
 
 import numpy as np
 import pytest
@@ -8,8 +10,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from opinara.operators import absa, content, hierarchy, interactions, network, ratings, scoring, statistics
-from opinara.sources import readers
+from opinara.operators import absa, content, fusion, hierarchy, interactions, keywords, network, ratings, scoring, statistics
+from opinara.sources import readers, writers
 
 
 def vectors(spark, x, parts=3):
@@ -281,3 +283,145 @@ def test_candidates_are_positives_and_unseen_items(spark):
     drawn = pool.filter("label = 0")
     assert drawn.join(seen, ["user_id", "business_id"]).isEmpty()
     assert drawn.groupBy("review_id").count().agg(F.max("count")).first()[0] <= 5
+
+
+@pytest.mark.parametrize("k", [1, 3, 9])
+def test_least_squares_meet_the_optimality_conditions(k):
+    rng = np.random.default_rng(k)
+    for kind in range(4):
+        h = rng.normal(0, 1, (k, 12))
+        x = rng.normal(0, 1, (400, 12))
+        if kind == 1:
+            h[-1] = h[0]  # a singular gram
+        if kind == 2:
+            h, x = np.abs(h), np.abs(x)
+        if kind == 3:
+            x[:50] = 0
+        w = fusion.weights(x, h)
+        slope = (w @ h - x) @ h.T
+        assert (w >= 0).all() and slope.min() > -1e-6 and np.abs(w * slope).max() < 1e-5
+
+
+def test_least_squares_against_all_active_sets():
+    rng = np.random.default_rng(8)
+    h, x = rng.normal(0, 1, (3, 5)), rng.normal(0, 1, (40, 5))
+    w = fusion.weights(x, h)
+    for row, got in zip(x, w, strict=True):
+        best = np.inf
+        for own in itertools.product([False, True], repeat=3):
+            own = np.array(own)
+            c = np.zeros(3)
+            if own.any():
+                c[own] = np.linalg.lstsq(h[own].T, row, rcond=None)[0]
+            if (c >= -1e-12).all():
+                best = min(best, ((c @ h - row) ** 2).sum())
+        assert ((got @ h - row) ** 2).sum() == pytest.approx(best)
+
+
+def test_factors_stop_when_the_error_no_longer_falls(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 2)) @ rng.random((2, 5))
+    df = spark.createDataFrame([[float(v) for v in r] for r in x], [f"c{j}" for j in range(5)]).repartition(3)
+    nmf = fusion.NonNegativeFactors(2).fit(df, df.columns)
+    assert all(b <= a + 1e-9 for a, b in itertools.pairwise(nmf.errors)) and len(nmf.errors) < 50
+    assert nmf.errors[-1] < 0.03 * (x**2).sum() and (nmf.h >= 0).all()
+    with pytest.raises(ValueError):
+        fusion.NonNegativeFactors(2).fit(df.limit(0), df.columns)
+
+
+STAGES = {"x": {"x1": {"x": 1}, "x3": {"x": 3}}, "y": {"y1": {"y": 1}, "y9": {"y": 9}}}
+
+
+def distance(s):
+    return abs(s.get("x", 0) - 3) + abs(s.get("y", 0) - 1)
+
+
+def test_staged_search_resumes(spark, tmp_path):
+    calls = []
+    path = f"file://{tmp_path}/done"
+    out = fusion.staged_search(spark, STAGES, lambda s: calls.append(dict(s)) or distance(s), path).collect()
+    assert [(r["candidate"], r["accepted"]) for r in out] == [("x3", True), ("y1", True)] and len(calls) == 4
+    again = fusion.staged_search(spark, STAGES, lambda s: calls.append(dict(s)), path).collect()
+    assert again == out and len(calls) == 4
+    alone = fusion.staged_search(spark, STAGES, distance, together=1).collect()
+    assert alone == out
+
+
+def test_candidates_of_a_stage_run_at_once(spark):
+    both = threading.Barrier(2, timeout=60)
+
+    def evaluate(s):
+        both.wait()
+        return float(spark.range(10).count()) + distance(s)
+
+    assert [r["candidate"] for r in fusion.staged_search(spark, STAGES, evaluate).collect()] == ["x3", "y1"]
+
+
+def test_a_broken_candidate_keeps_the_others(spark, tmp_path):
+    """The stage's other candidate is logged; the next driver runs the broken one alone."""
+    path, calls = f"file://{tmp_path}/log", []
+
+    def broken(s):
+        if s["x"] == 3:
+            raise RuntimeError("no luck")
+        return distance(s)
+
+    with pytest.raises(RuntimeError):
+        fusion.staged_search(spark, {"x": STAGES["x"]}, broken, path)
+    (tmp_path / "log" / "half" / "_temporary").mkdir(parents=True)  # what a lost driver leaves
+    (tmp_path / "log" / "half" / "_temporary" / "part-0.parquet").write_bytes(b"PAR1")
+    out = fusion.staged_search(spark, {"x": STAGES["x"]}, lambda s: calls.append(s) or distance(s), path).collect()
+    assert calls == [{"x": 3}] and [tuple(r) for r in out] == [("x", "x3", 1.0, True)]
+
+
+def test_bucketed_scores_meet_reviews_without_an_exchange(spark):
+    name, old = f"t{uuid.uuid4().hex}", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    calls = []
+
+    def compute(rows):
+        calls.append(rows.count())
+        return rows.select("review_id", (F.col("n") * 2).alias("score"))
+
+    try:
+        reviews = writers.write_bucketed(spark.range(500).select(F.col("id").cast("string").alias("review_id"), F.col("id").alias("n")), f"{name}_r", buckets=4)
+        writers.cached_in_table(reviews.filter("n < 200"), compute, f"{name}_s", buckets=4)
+        out = writers.cached_in_table(reviews, compute, f"{name}_s", buckets=4)
+        again = writers.cached_in_table(reviews, compute, f"{name}_s", buckets=4)
+        assert calls == [200, 300] and again.filter("score = 2 * n").count() == 500
+        out.collect()
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for t in ("r", "s"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{t}")
+
+
+def test_ten_thousand_keywords_in_one_pass(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcde"), rng.integers(2, 7)))
+    pairs = sorted({(f"a{rng.integers(0, 300)}", word()) for _ in range(10_000)} | {("a0", "Ab"), ("a1", "")})
+    lexicon = spark.createDataFrame(pairs, "aspect string, keyword string")
+    rows = [(str(i), ". ".join(" ".join(word() for _ in range(6)).capitalize() for _ in range(4)) if i else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "review_id string, text string").repartition(3)
+    want = {}
+    for i, t in rows:
+        for s in (t or "").split(". "):
+            for a in {a for a, k in pairs if k and k.lower() in s.lower()}:
+                want.setdefault((i, a), []).append(s)
+    for block in (keywords.BLOCK, 4000):
+        cut = df.select("review_id", F.split(F.coalesce("text", F.lit("")), r"\. ").alias("s"))
+        got = keywords.sentence_aspects(cut, keywords.lexicon_table(lexicon), block=block).collect()
+        assert {(r["review_id"], r["aspect"]): (r["text"], r["n_sentences"]) for r in got} == {k: (" ".join(v), len(v)) for k, v in want.items()}
+    odd = spark.createDataFrame([("x", "abba"), ("x", "cede")], "aspect string, keyword string")
+    held = {r["review_id"] for r in interactions.domain_filter(df, odd, "text").collect()}
+    assert held == {i for i, t in rows if t and ("abba" in t.lower() or "cede" in t.lower())}
+
+
+def test_lexicon_tables_by_domain(spark):
+    df = spark.createDataFrame([("1", "Great food. The room was priceless! Bad food."), ("2", "Nothing here.")], "review_id string, text string")
+    rows = spark.createDataFrame([("h", "food", "Food"), ("h", "price", "price"), ("g", "room", "room")], "domain string, aspect string, keyword string")
+    plain = absa.matches(df, {"food": ["food"], "price": ["price"]}).collect()
+    assert sorted(absa.matches(df, keywords.lexicon_table(rows, "h")).collect()) == sorted(plain)
+    with pytest.raises(ValueError):
+        keywords.lexicon_table(rows, "none")
