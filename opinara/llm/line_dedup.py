@@ -1,6 +1,6 @@
 """Line deduplication by content-defined line chunks, in DataFrame operations only.
 
-Lines are read as pieces of a few words: a piece ends, after twelve characters or more, with a word whose last character is
+Lines are read as pieces of a few words: a piece ends, after sixteen characters or more, with a word whose last character is
 a punctuation mark or one of six letters, or with the line. So pieces of equal passages soon fall alike, inside lines too. Each piece has a hash; a rolling hash over the last two piece hashes ends a chunk where it
 is less than its neighbours' (a local minimum). The ends depend on nearby pieces alone, so text put in or taken out
 elsewhere shifts no others, and a chunk has two pieces or more. Chunks of LEAST characters that occur more than once
@@ -29,7 +29,7 @@ from .exact_dedup import clashing_of
 #: White space of one line and its opposite, as both Java's and DuckDB's regular expressions read them.
 GAP, WORD = r"[ \t\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
 #: The pieces of a text; together they are the text.
-PIECE = rf"[^\n]{{12,59}}?[.!?,;:|dglnry]{GAP}+|[^\n]{{60}}{WORD}*{GAP}+|[^\n]*\n|[^\n]+"
+PIECE = rf"[^\n]{{16,63}}?[.!?,;:|dglnry]{GAP}+|[^\n]{{64}}{WORD}*{GAP}+|[^\n]*\n|[^\n]+"
 MODULUS = 1_000_003
 #: Characters that a removed chunk has at least.
 LEAST = 32
@@ -137,7 +137,7 @@ def run_ends(gone: Column, chunks: Column) -> Column:
     return F.concat(F.transform(before, side(-1)), F.transform(after, side(1)))
 
 
-def grown_ends(marked: DataFrame, work: str, name) -> DataFrame:
+def grown_ends(marked: DataFrame, name) -> DataFrame:
     """(row, ends): for each chunk next to a removed one, how many characters of its head and tail go as well.
 
     marked: rows with places and run_ends. The chunk beside a removed one is held against that beside its first occurrence,
@@ -155,7 +155,7 @@ def grown_ends(marked: DataFrame, work: str, name) -> DataFrame:
     first = stays.select(
         name(F.get("chunks", F.col("at"))).alias("name"), "step", F.get("chunks", F.col("at") + F.col("step")).alias("other")
     ).filter("other <> ''")
-    met = stored(ends, work).join(stored(first, work), ["name", "step"])
+    met = ends.join(first, ["name", "step"])
     tail = F.col("step") < 0
     size = F.when(tail, shared_length(F.col("own"), F.col("other"), True)).otherwise(
         shared_length(F.col("own"), F.col("other"), False)
@@ -234,7 +234,7 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             break
         clashing += [x["name"] if clashing else x for x in found]
     # Names that clash are spelled out here too, so a name has one chunk.
-    ends = stored(grown_ends(marked, work, lambda c: spelled_name(c, clashing, name)))
+    ends = stored(grown_ends(marked, lambda c: spelled_name(c, clashing, name)))
     discard(spark, work)
     # Only rows with an end beside a removed chunk meet what it loses.
     touched = marked.filter(F.size("run_ends") > 0).join(ends, "row", "left").withColumn(
