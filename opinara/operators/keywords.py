@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
-import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 
 #: Keywords that one automaton holds, about.
 BLOCK = 200_000
-_built: dict[str, ahocorasick.Automaton] = {}
+#: Automata that a worker keeps at a time.
+HELD = 8
+_built: dict[str, Any] = {}
 
 
-def automaton(block: str, held: Broadcast) -> ahocorasick.Automaton:
+def automaton(block: str, held: Broadcast) -> Any:
     """The automaton of a broadcast list of (keyword, aspects), built once in each worker; block: the list's own name."""
+    import ahocorasick  # only workers need it
+
     if block not in _built:
-        _built.clear()  # a worker serves one block at a time
+        while len(_built) >= HELD:
+            _built.pop(next(iter(_built)))
         found = ahocorasick.Automaton()
         for keyword, aspects in held.value:
             found.add_word(keyword, aspects)
