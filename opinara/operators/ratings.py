@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..shared import stored
 from .interactions import fold
+from .scoring import without_summary
 
 
 def mean_ratings(train: DataFrame, user: str = "user_id", item: str = "business_id") -> DataFrame:
@@ -251,7 +252,7 @@ def sentiment_selected(fit: DataFrame, val: DataFrame, regs: list[float]) -> tup
     and a report: (reg, log loss, accuracy, validation rows, kept) of each."""
     fit, val, best, report = stored(fit), stored(val), None, []
     for reg in regs:
-        model = sentiment_model(reg=reg).fit(fit)
+        model = without_summary(sentiment_model(reg=reg).fit(fit))
         p = F.least(F.greatest("sentiment_score", F.lit(1e-12)), F.lit(1 - 1e-12))
         loss = -F.when(F.col("sentiment_label") == 1, F.log(p)).otherwise(F.log(1 - p))
         right = ((F.col("sentiment_score") >= 0.5).cast("int") == F.col("sentiment_label")).cast("double")

@@ -10,13 +10,13 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..shared import stored
+from ..shared import shared_folder, stored
 
 #: Texts given to an object at a time.
 BATCH = 1024
@@ -58,11 +58,24 @@ class _ByText(Scorer):
         return named.join(scores, "_name", "left").select(*[f"`{c}`" for c in df.columns], into)
 
 
+def without_summary(model: Model) -> Model:
+    """The model as it is read back from a file, if it or a stage of it has a training summary.
+
+    A summary holds the session, which goes to the tasks with the model and can't be sent once anything was observed in it.
+    """
+    stages = model.stages if isinstance(model, PipelineModel) else [model]
+    if not any(getattr(s, "hasSummary", False) for s in stages):
+        return model
+    path = shared_folder(SparkSession.active())
+    model.save(path)
+    return type(model).load(path)
+
+
 class ModelScorer(_ByText):
     """A fitted Spark ML pipeline that reads ``text`` and gives ``probability``; the score is that of label 1."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model = without_summary(model)
 
     def _distinct(self, texts: DataFrame) -> DataFrame:
         return self.model.transform(texts).select("name", vector_to_array("probability")[1].alias("score"))

@@ -425,3 +425,16 @@ def test_lexicon_tables_by_domain(spark):
     assert sorted(absa.matches(df, keywords.lexicon_table(rows, "h")).collect()) == sorted(plain)
     with pytest.raises(ValueError):
         keywords.lexicon_table(rows, "none")
+
+
+def test_text_models_reach_the_tasks_after_an_observation(spark):
+    """The session of an observation can't be sent; a model's training summary would take it along."""
+    seen = Observation("before")
+    df = scored_texts(spark)
+    assert df.observe(seen, F.count(F.lit(1)).alias("n")).count() == 40 and seen.get["n"] == 40
+    labelled = df.filter("text <> ''").withColumn("sentiment_label", F.contains("text", F.lit("good")).cast("int"))
+    model, report = ratings.sentiment_selected(labelled, labelled, [0.01])
+    assert report[0][3] == 24 and ratings.sentiment_score(model, df).count() == 40
+    mine = ratings.sentiment_model(reg=0.01).fit(labelled)
+    got = {r["review_id"]: r["sentiment_score"] for r in scoring.as_scorer(mine).score(df).collect()}
+    assert got == pytest.approx({r["review_id"]: r["sentiment_score"] for r in ratings.sentiment_score(model, df).collect()})
