@@ -362,3 +362,19 @@ def test_negatives_do_not_depend_on_the_partitions(spark):
     pos = spark.createDataFrame([(f"r{i}", "u1") for i in range(40)], "review_id string, user_id string")
     one, two = (sorted(map(tuple, ratings.negative_samples(pos.repartition(n), seen, items, 3).collect())) for n in (1, 7))
     assert one == two
+
+
+def test_spelled_terms_keep_items_without_any(spark):
+    counts = spark.createDataFrame([("a", "red", 2), ("a", "big", 10), ("b", "red", 1)], "business_id string, term string, tf long")
+    items = spark.createDataFrame([("a",), ("b",), ("cold",), ("a",)], "business_id string")
+    got = {tuple(r) for r in profiles.spelled_terms(counts, items).collect()}
+    assert got == {("a", 2, 12, "big:10 red:2"), ("b", 1, 1, "red:1"), ("cold", 0, 0, "")}
+
+
+def test_the_item_profile_query_keeps_items_without_training_reviews(spark, sf):
+    import __spark_entry__ as entry
+    from opinara.sources.sample_tables import interactions as reviews
+
+    out = entry.queries()["agg_item_profile_terms"](spark, sf)
+    assert out.columns == ["business_id", "n_terms", "n_words", "profile"]
+    assert out.count() == reviews(spark, sf).select("business_id").distinct().count()
