@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stored
-from .interactions import fold
+from .interactions import dense_ids, fold
 from .scoring import without_summary
 
 
@@ -78,22 +81,139 @@ def item_similarity(
     ).filter("p.w").select("p.i", "p.j", "sim")
 
 
+#: Pairs that a task of the neighbour search compares, about.
+PAIRS = 4_000_000
+#: Items of a user that travel in one row; users of more have several rows.
+PIECE = 512
+
+
+def _similarity(kind: str, n, sx, sy, xy, xx, yy) -> np.ndarray:
+    """SIMILARITIES over arrays of sums; not a number where there is none."""
+    with np.errstate(all="ignore"):
+        if kind == "cosine":
+            return xy / (np.sqrt(xx) * np.sqrt(yy))
+        if kind == "msd":
+            return 1 / ((xx - 2 * xy + yy) / n + 1)
+        below = np.sqrt(np.maximum(n * xx - sx * sx, 0)) * np.sqrt(np.maximum(n * yy - sy * sy, 0))
+        return np.where(below > 0, (n * xy - sx * sy) / below, 0.0)
+
+
+def _search(kind: str, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (test, key, j, y, ids, xs), those with test first: the k most similar of the ids of each test row.
+
+    The pairs that test rows ask for are held, and sums for them alone; other rows, a rating y of j beside ratings xs of ids by
+    the same user, pass by.
+    """
+
+    def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = batch.column("ids").value_lengths().to_numpy(zero_copy_only=False)
+        j = np.repeat(batch.column("j").to_numpy(), size)
+        return j << 32 | batch.column("ids").flatten().to_numpy().astype(np.int64), batch.column("xs").flatten().to_numpy(), size
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, asked, given, askers, wanted, sums, n_keys = [], [], [], [], None, None, 0
+        for batch in batches:
+            own = batch.filter(batch.column("test"))
+            if own.num_rows:
+                pair, x, size = pairs(own)
+                others = pair >> 32 != pair & 0xFFFFFFFF  # an item is no neighbour of its own
+                keys.append(own.column("key")), asked.append(pair[others]), given.append(x[others])
+                askers.append((n_keys + np.repeat(np.arange(own.num_rows), size))[others])
+                n_keys += own.num_rows
+            rest = batch.filter(pc.invert(batch.column("test")))
+            if not asked or not rest.num_rows:
+                continue
+            if wanted is None:
+                wanted = np.unique(np.concatenate(asked))
+                sums = np.zeros((6, len(wanted)))
+            if not len(wanted):
+                return
+            pair, x, size = pairs(rest)
+            at = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
+            hit = wanted[at] == pair
+            at, x, y = at[hit], x[hit], np.repeat(rest.column("y").to_numpy(), size)[hit]
+            for s, v in zip(sums, (None, x, y, x * y, x * x, y * y), strict=True):
+                s += np.bincount(at, v, len(wanted))
+        if sums is None:
+            return
+        pair, x = np.concatenate(asked), np.concatenate(given)
+        # A user of several pieces has several rows of one key.
+        key = pa.chunked_array(keys).combine_chunks().dictionary_encode()
+        row, names = key.indices.to_numpy()[np.concatenate(askers)], key.dictionary
+        at = np.searchsorted(wanted, pair)
+        sim = np.where(sums[0][at] > 0, _similarity(kind, *sums)[at], np.nan)
+        good = sim > 0
+        row, item, x, sim = row[good], pair[good] & 0xFFFFFFFF, x[good], sim[good]
+        order = np.lexsort((item, -np.round(sim, 9), row))
+        row, item, x, sim = row[order], item[order], x[order], sim[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) + 1
+        top = np.flatnonzero(rank <= k)
+        for start in range(0, len(top), 100_000):
+            t = top[start:start + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(row[t])), pa.array(item[t]), pa.array(sim[t]), pa.array(x[t]), pa.array(rank[t], pa.int32())],
+                ["key", "id", "sim", "r", "rank"]
+            )
+
+    return search
+
+
+def _ranked(
+    train: DataFrame, rows: DataFrame, k: int, key: str, kind: str, user_based: bool
+) -> tuple[DataFrame, DataFrame]:
+    """(key, id, sim, r, rank) as in top_neighbours, with the items' numbers, and the table (i, id) of these.
+
+    All that concerns an item j meets in one task: the lists of its raters' items, and the lists of the users of rows that ask
+    for it. Pairs are summed there, those alone that a row asks for, and never travel; lists of numbers do.
+    """
+    spark = train.sparkSession
+    user, item = ("business_id", "user_id") if user_based else ("user_id", "business_id")
+    known = mean_ratings(train, user, item).filter("u IS NOT NULL AND i IS NOT NULL AND r IS NOT NULL")
+    ids = stored(dense_ids(known, "i"))
+    rated = known.join(ids, "i").select("u", F.col("id").cast("int").alias("id"), "r")
+    placed = rated.join(rated.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "u")
+    piece = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PIECE))
+    lists = stored(
+        placed.groupBy("u", piece.alias("piece")).agg(F.sort_array(F.collect_list(F.struct("id", "r"))).alias("l")).select(
+            "u", F.col("l.id").alias("ids"), F.col("l.r").alias("xs")
+        )
+    )
+    own = rows.select(F.col(key).alias("key"), F.col(user).alias("u"), F.col(item).alias("i")).join(ids, "i").select(
+        "key", "u", F.col("id").alias("j")
+    )
+    sizes = lists.groupBy("u").agg(F.sum(F.size("ids")).cast("double").alias("n"))
+    parts = int((sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) / PAIRS) + 1
+    parts = max(parts, spark.sparkContext.defaultParallelism)
+    lists = lists.repartition(parts, "u")
+    ratings = lists.select("u", F.explode(F.arrays_zip("ids", "xs")).alias("e")).select(
+        "u", F.col("e.ids").cast("long").alias("j"), F.col("e.xs").alias("y")
+    )
+    kind_of = own.schema["key"].dataType
+    # Sides are dealt by user into as many parts as pairs need, so that the rows that come of them are not spilled.
+    seen = ratings.join(lists.hint("merge"), "u").select(
+        F.lit(False).alias("test"), F.lit(None).cast(kind_of).alias("key"), "j", "y", "ids", "xs"
+    )
+    asking = own.repartition(parts, "u").join(lists.hint("merge"), "u").select(
+        F.lit(True).alias("test"), "key", "j", F.lit(0.0).alias("y"), "ids", "xs"
+    )
+    met = asking.unionByName(seen).repartition(parts, "j").sortWithinPartitions(F.desc("test"))
+    found = met.mapInArrow(
+        _search(kind, k), f"key {kind_of.simpleString()}, id long, sim double, r double, rank int"
+    )
+    return found.withColumnRenamed("key", key), ids
+
+
 def top_neighbours(
     train: DataFrame, rows: DataFrame, k: int = 40, key: str = "review_id", kind: str = "cosine",
     user_based: bool = False
 ) -> DataFrame:
     """(key, i, sim, r, rank): the user's k rated items most similar to the row's item, ties by item.
 
-    user_based swaps the roles: the k users most similar to the row's user among those who rated its item.
+    user_based swaps the roles: the k users most similar to the row's user among those who rated its item. Keys are unique.
     """
-    user, item = ("business_id", "user_id") if user_based else ("user_id", "business_id")
-    ratings = stored(mean_ratings(train, user, item))
-    wanted = rows.select(F.col(item).alias("i")).distinct()
-    sims = stored(item_similarity(ratings, wanted, kind))
-    own = rows.select(key, F.col(user).alias("u"), F.col(item).alias("j"))
-    near = own.join(ratings, "u").join(sims, ["i", "j"]).filter("sim > 0")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("sim", 9)), "i"))
-    return near.select(key, "i", "sim", "r", rank.alias("rank")).filter(F.col("rank") <= k)
+    found, ids = _ranked(train, rows, k, key, kind, user_based)
+    return found.join(ids, "id").select(key, "i", "sim", "r", "rank")
 
 
 def item_knn(
@@ -103,7 +223,7 @@ def item_knn(
     """rows with prediction and fallback_kind: mean of the ratings of the k most similar items (or users), weighted by
     similarity. Rows with fewer than min_k positive neighbours get the train mean.
     """
-    top = top_neighbours(train, rows, k, key, kind, user_based)
+    top, _ = _ranked(train, rows, k, key, kind, user_based)
     found = top.groupBy(key).agg(
         F.sum(F.col("sim") * F.col("r")).alias("sr"), F.sum("sim").alias("s"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") >= min_k)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,3 +379,37 @@ def test_the_item_profile_query_keeps_items_without_training_reviews(spark, sf):
     out = entry.queries()["agg_item_profile_terms"](spark, sf)
     assert out.columns == ["business_id", "n_terms", "n_words", "profile"]
     assert out.count() == reviews(spark, sf).select("business_id").distinct().count()
+
+
+@pytest.mark.parametrize("kind", ["cosine", "pearson", "msd"])
+@pytest.mark.parametrize("user_based", [False, True])
+def test_neighbours_by_hand(spark, monkeypatch, kind, user_based):
+    """Users of several pieces, items that a user rated twice and that a row asks for again, unknown users and items."""
+    monkeypatch.setattr(ratings, "PIECE", 4)
+    monkeypatch.setattr(ratings, "PAIRS", 50)
+    rng = np.random.default_rng(3)
+    data = [(f"r{n}", f"u{rng.integers(12)}", f"i{rng.integers(15)}", float(rng.integers(1, 6))) for n in range(150)]
+    asking = [(f"t{n}", f"u{rng.integers(13)}", f"i{rng.integers(16)}", 3.0) for n in range(60)]
+    names = "review_id string, user_id string, business_id string, stars double"
+    train, rows = spark.createDataFrame(data, names), spark.createDataFrame(asking, names)
+    a, b = (2, 1) if user_based else (1, 2)
+    held = {}
+    for r in data:
+        held.setdefault((r[a], r[b]), []).append(r[3])
+    mean = {k: sum(v) / len(v) for k, v in held.items()}
+    sims = {(s["i"], s["j"]): s["sim"] for s in ratings.item_similarity(ratings.mean_ratings(train, *(("business_id", "user_id") if user_based else ("user_id", "business_id"))), kind=kind).collect()}
+    want = {}
+    for r in asking:
+        near = [(-round(sims[i, r[b]], 9), i, sims[i, r[b]], x) for (u, i), x in mean.items() if u == r[a] and sims.get((i, r[b]), 0) > 0]
+        for rank, (_, i, sim, x) in enumerate(sorted(near)[:3], 1):
+            want[r[0], rank] = (i, sim, x)
+    got = {(r["review_id"], r["rank"]): (r["i"], r["sim"], r["r"]) for r in ratings.top_neighbours(train, rows, 3, kind=kind, user_based=user_based).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1:] == pytest.approx(want[k][1:]) for k in want)
+
+
+def test_neighbour_search_sends_no_pairs(spark, tmp_path):
+    """The shuffles before the search carry lists; no aggregation by pair is planned."""
+    rows = planted(spark)
+    plan = ratings.top_neighbours(rows, rows.limit(20), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "xy" not in plan
