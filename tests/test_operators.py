@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from opinara import shared
 from opinara.functions import columns as C
 from opinara.operators import absa, content, evaluation, fusion, interactions, profiles, ratings, statistics
 
@@ -98,6 +99,18 @@ def test_kcore_is_a_fixpoint(spark):
     assert out.groupBy("user_id").count().filter("count < 25").isEmpty() and out.groupBy("business_id").count().filter("count < 20").isEmpty()
 
 
+def test_kcore_moves_triples_once_where_passes_drop_little(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(interactions, "stored", lambda df: (written.append(df.columns), shared.stored(df))[1])
+    # A chain: each pass drops one more user and one more item.
+    links = [(f"u{k}", f"i{k + d}") for k in range(12) for d in (0, 1)] + [(f"v{a}", f"j{b}") for a in range(3) for b in range(3)]
+    df = spark.createDataFrame([(u, i, f"{u}-{i}") for u, i in links], "user_id string, business_id string, review_id string")
+    out = {r["review_id"] for r in interactions.kcore(df, 2, 2).collect()}
+    assert out == {f"v{a}-j{b}" for a in range(3) for b in range(3)}
+    assert written.count(["u", "i", "n"]) == 1 and len(written) > 8
+    assert {r["review_id"] for r in interactions.kcore(df, 2, 2, dropped=0).collect()} == out
+
+
 def test_key_disambiguation(spark):
     df = spark.createDataFrame([("u", "i", 5, 1), ("u", "i", 5, 2), ("u", "i", 5, 3)], "u string, i string, ts int, o int")
     assert [r["review_id"] for r in interactions.disambiguate(df, ["u", "i", "ts"], ["o"]).orderBy("o").collect()] == ["u::i::5", "u::i::5::2", "u::i::5::3"]
