@@ -291,6 +291,20 @@ def test_features_are_the_dense_vectors_reduced(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_item_vectors_are_sparse_and_shortened_once(spark):
+    counts = spark.createDataFrame([("A", "x", 3), ("A", "y", 4), ("B", "y", 1)], "business_id string, term string, tf long")
+    cats = spark.createDataFrame([("B", f"c{k}") for k in range(30)], "business_id string, category string")
+    profile = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C", 3.0)], "business_id string, avg_rating double")
+    features = content.ItemFeatures(top=2, dimensions=2).fit(counts, cats, profile, ["avg_rating"])
+    held = {r["business_id"]: r["features"] for r in features.fitted.collect()}
+    x, y = features.idf["x"] * 3, features.idf["y"] * 4
+    assert type(held["A"]).__name__ == "SparseVector" and held["A"].toArray()[:2] == pytest.approx(np.array([x, y]) / math.hypot(x, y))
+    assert held["B"].toArray()[1:32] == pytest.approx(np.ones(31)) and held["C"].toArray()[:32].sum() == 0
+    again = {r[0]: r[1:] for r in features.transform(counts, cats, profile).collect()}
+    for r in features.shortened(features.fitted).collect():
+        assert r[1:] == pytest.approx(again[r[0]])
+
+
 def test_leave_one_out_moves_by_the_others_alone(spark):
     df, cats = small_reviews(spark)
     rated = df.withColumn("user_id", F.lit("u")).withColumn("cluster", F.lit(0))
