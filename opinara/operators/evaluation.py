@@ -68,14 +68,25 @@ def ranking_metrics(
 
     Precision divides by K, recall by all relevant items; the ideal DCG has min(relevant, K) terms.
     """
-    top = ranked(scored, max(ks), by)
-    wanted = relevant.select(*by, "user_id", "business_id").distinct()
-    sizes = wanted.groupBy(*by, "user_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    hits = top.join(  # max(ks) at most
-        wanted, [*by, "user_id", "business_id"], "left_semi"
-    ).groupBy(*by, "user_id").agg(F.collect_list("rank").alias("ranks"))
-    per_user = sizes.join(hits, [*by, "user_id"], "left").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    own = F.filter(F.coalesce("ranks", F.array().cast("array<int>")), lambda r: r <= F.col("k"))
+    # Scores and relevance meet per item once; what follows stays with the group and user. A missing key is never a hit.
+    key = [*by, "user_id", "business_id"]
+    flags = lambda a, b: (F.lit(a).alias("_scored"), F.lit(b).alias("_wanted"))
+    both = scored.select(*key, "y_pred", *flags(True, False)).unionByName(
+        relevant.select(*key, F.lit(None).cast("double").alias("y_pred"), *flags(False, True))
+    ).groupBy(*key).agg(
+        F.max("y_pred").alias("score"), F.max("_scored").alias("_scored"), F.max("_wanted").alias("_wanted")
+    )
+    order = Window.partitionBy(*by, "user_id").orderBy(F.desc("_scored"), F.desc("score"), "business_id")
+    known = F.lit(True)
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    rank = F.row_number().over(order)
+    hit = F.col("_scored") & F.col("_wanted") & known & (F.col("rank") <= max(ks))
+    found = both.withColumn("rank", rank).groupBy(*by, "user_id").agg(
+        F.count_if("_wanted").alias("n_rel"), F.collect_list(F.when(hit, F.col("rank"))).alias("ranks")  # max(ks) at most
+    ).filter("n_rel > 0")
+    per_user = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    own = F.filter("ranks", lambda r: r <= F.col("k"))
     dcg = F.aggregate(own, F.lit(0.0), lambda s, r: s + 1 / F.log2(r + F.lit(1)))
     ideal = F.aggregate(
         F.sequence(F.lit(1), F.least("n_rel", "k").cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + F.lit(1))

@@ -149,6 +149,15 @@ def test_content_formula(spark):
     assert out == {"r1": (4.0, "none"), "r2": (5.0, "none"), "r3": (3.2, "no_preference"), "r4": (3.3, "unknown_item")}
 
 
+def test_ranking_counts_relevant_items_without_a_score_and_meets_once(spark):
+    scored = spark.createDataFrame([("m", "u", "a", 0.9), ("m", "u", "b", 0.5), ("m", "v", "a", 0.1)], "model string, user_id string, business_id string, y_pred double")
+    relevant = spark.createDataFrame([("m", "u", "b"), ("m", "u", "z"), ("m", "w", "a")], "model string, user_id string, business_id string")
+    out = evaluation.ranking_metrics(scored, relevant, (2,), ["model"])
+    r = out.first()
+    assert (r["precision"], r["recall"], r["users"]) == pytest.approx((0.25, 0.25, 2))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranking(spark):
     scored = spark.createDataFrame([("u", "a", 0.9), ("u", "b", 0.8), ("u", "a", 0.7), ("u", "c", 0.6)], "user_id string, business_id string, y_pred double").withColumn("model", F.lit("m"))
     rel = spark.createDataFrame([("m", "u", "a"), ("m", "u", "c")], "model string, user_id string, business_id string")
