@@ -133,6 +133,35 @@ def test_tasks_hold_blocks_of_factors(spark):
         assert out.filter("side <> 'h'").count() == first.count()
 
 
+def test_network_cuts_larger_ratings_into_more_blocks(spark, monkeypatch):
+    """A cell has some CELL ratings at any size, and how its numbers are packed changes nothing."""
+    train, val, test = planted(spark, users=20, items=30)
+    run = lambda m: {r["review_id"]: r["prediction"] for r in m.predict(test).collect()}
+    whole = network.FactorNetwork(epochs=1, blocks=2).fit(train, val)
+    assert whole.blocks == 2
+    one = run(whole)
+    monkeypatch.setattr(network, "PIECE", 3)
+    monkeypatch.setattr(network, "PART", 7)
+    two = run(network.FactorNetwork(epochs=1, blocks=2).fit(train, val))
+    assert one.keys() == two.keys() and all(two[k] == pytest.approx(v) for k, v in one.items())
+    monkeypatch.setattr(network, "CELL", train.count() / 9)
+    assert network.FactorNetwork(epochs=1, blocks=2).fit(train, val).blocks == 3
+
+
+def test_folds_are_fitted_at_once(spark):
+    import threading
+
+    together = threading.Barrier(3)
+
+    def fit(train, rows):
+        together.wait(60)
+        return rows.withColumn("prediction", F.lit(train.count()))
+
+    df = spark.range(60).select(F.col("id").cast("string").alias("review_id"))
+    got = ratings.out_of_fold(df, fit, 3).groupBy("fold", "prediction").count().collect()
+    assert len(got) == 3 and all(r["prediction"] + r["count"] == 60 for r in got)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     head = network.Head.new(4, 3, 1)
