@@ -85,16 +85,26 @@ def chunks_in(text: Column) -> Column:
     return F.when(text.isNotNull(), F.element_at(F.transform(F.transform(steps, rolled), joined), 1))
 
 
-def without(chunks: Column, gone: Column) -> Column:
-    """chunks without those at the places in gone (sorted, from 0); gone is spelled as a byte for each place up to its last."""
+def flagged(chunks: Column, gone: Column, step) -> Column:
+    """step of (struct of chunks c and flags f): f has a byte for each place up to the last in gone (sorted, from 0)."""
     last = lambda i: F.coalesce(F.get(gone, i - 1), F.lit(-1))
     spelled = F.transform(gone, lambda k, i: F.concat(F.repeat(F.lit("0"), k - last(i) - 1), F.lit("1")))
     flags = F.array_join(spelled, "").cast("binary")
-    held = F.transform(
-        F.array(F.struct(chunks.alias("c"), flags.alias("f"))),
-        lambda x: F.filter(x["c"], lambda c, k: F.substring(x["f"], k + 1, F.lit(1)) != F.lit(b"1")),
-    )
-    return F.element_at(held, 1)
+    return F.element_at(F.transform(F.array(F.struct(chunks.alias("c"), flags.alias("f"))), step), 1)
+
+
+def _stays(x: Column, k: Column) -> Column:
+    return F.substring(x["f"], k + 1, F.lit(1)) != F.lit(b"1")
+
+
+def without(chunks: Column, gone: Column) -> Column:
+    """chunks without those at the places in gone."""
+    return flagged(chunks, gone, lambda x: F.filter(x["c"], lambda c, k: _stays(x, k)))
+
+
+def blanked(chunks: Column, gone: Column) -> Column:
+    """chunks with '' at the places in gone, so that the others keep theirs."""
+    return flagged(chunks, gone, lambda x: F.transform(x["c"], lambda c, k: F.when(_stays(x, k), c).otherwise("")))
 
 
 #: Words and gaps of a chunk, in turn; together they are the chunk.
@@ -222,7 +232,11 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         stays = inside.select("row", "at", (F.struct("row", "at") == F.col("kept")).alias("stays"))
         places = stays.unionByName(again.filter("NOT first").select("row", "at", F.lit(False).alias("stays")))
         by_row = places.groupBy("row").agg(F.collect_list(F.struct("at", "stays")).alias("places"))
-        marked = cut.join(stored(by_row, work), "row", "left").drop("several").withColumn("gone", gone_places(F.col("places")))
+        # Texts move as one string each, which is smaller than their chunks in an array.
+        lines = cut.select("row", "doc_id", "n_chars", F.array_join("chunks", END).alias("line"))
+        marked = lines.join(stored(by_row, work), "row", "left").select(
+            "row", "doc_id", "n_chars", F.split("line", END).alias("chunks"), "places"
+        ).withColumn("gone", gone_places(F.col("places")))
         marked = stored(marked.withColumn("run_ends", run_ends(F.col("gone"), F.col("chunks"))), compression="zstd")
         chunk = F.get("chunks", F.col("place.at"))
         held = marked.filter("places IS NOT NULL").select(
@@ -233,16 +247,20 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         if not found:
             break
         clashing += [x["name"] if clashing else x for x in found]
+    discard(spark, work)
     # Names that clash are spelled out here too, so a name has one chunk.
     ends = stored(grown_ends(marked, lambda c: spelled_name(c, clashing, name)))
-    discard(spark, work)
-    # Only rows with an end beside a removed chunk meet what it loses.
-    touched = marked.filter(F.size("run_ends") > 0).join(ends, "row", "left").withColumn(
-        "chunks", F.when(F.col("ends").isNull(), F.col("chunks")).otherwise(trimmed(F.col("chunks"), F.col("ends")))
-    )
-    rows = marked.filter("run_ends IS NULL OR size(run_ends) = 0").unionByName(touched.drop("ends"))
+    # Only rows with an end beside a removed chunk meet what it loses, and their removed chunks stay behind.
+    ended = F.coalesce(F.size("run_ends"), F.lit(0)) > 0
+    touched = marked.filter(ended).select(
+        "row", "doc_id", "n_chars", F.array_join(blanked(F.col("chunks"), F.col("gone")), END).alias("line")
+    ).join(ends, "row", "left")
+    trim = F.array_join(trimmed(F.split("line", END), F.col("ends")), "")
+    whole = F.when(F.col("ends").isNull(), F.replace("line", F.lit(END), F.lit(""))).otherwise(trim)
     left = F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(without(F.col("chunks"), F.col("gone")))
-    out = rows.select("doc_id", restored(F.array_join(left, "")).alias("text"), "n_chars")
+    rows = marked.filter(~ended).select("doc_id", F.array_join(left, "").alias("text"), "n_chars")
+    rows = rows.unionByName(touched.select("doc_id", whole.alias("text"), "n_chars"))
+    out = rows.select("doc_id", restored(F.col("text")).alias("text"), "n_chars")
     return out.withColumn("n_removed", F.col("n_chars") - F.coalesce(F.length("text"), F.lit(0)))
 
 

@@ -348,3 +348,21 @@ def test_planted_runs_of_lines_go_whole(spark, lines, words, least):
     lost = [len(text[i].split()) - len(out[i].split()) for i in range(1, 120, 2)]
     assert sum(lost) >= least * 60 * lines * words and max(lost) <= lines * words + 1
     assert all(out[i] == text[i] for i in range(0, 120, 2))
+
+
+def test_line_dedup_moves_texts_as_strings(spark):
+    """Texts meet what they lose as one string each, without the chunks that are removed anyway."""
+    df = spark.createDataFrame([(["a", "b", "c", "d"], [1, 2])], "c array<string>, g array<int>")
+    assert df.select(line_dedup.blanked(F.col("c"), F.col("g")).alias("x")).first()["x"] == ["a", "", "", "d"]
+    same = "The first line of the passage, in plain words.\nThe second line, longer by a good few words; it ends here.\n" * 3
+    docs = spark.createDataFrame([(1, "One. " + same + "tail"), (2, "Two. " + same + "end")], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = line_dedup.deduplicate_lines(docs)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = [x for x in plan.split("\n\n") if ") Exchange" in x.strip().split("\n")[0]]
+    assert moved and not any("chunks" in x for x in moved)
