@@ -37,18 +37,27 @@ def pair_counts(predictions: DataFrame, model_a: str) -> DataFrame:
 GROUP = ["model_b", "domain", "seed"]
 
 
+def difference_counts(pairs: DataFrame, digits: int = 9) -> DataFrame:
+    """Per group and distinct |d| (rounded to ``digits``, zero included): ties and positives, written once."""
+    d = F.round("d", digits)
+    return stored(
+        pairs.groupBy(*GROUP, F.abs(d).alias("size")).agg(
+            F.count(F.lit(1)).alias("ties"), F.count_if(d > 0).alias("positive")
+        )
+    )
+
+
 def signed_ranks(pairs: DataFrame, digits: int = 9) -> DataFrame:
     """Per group and distinct |d| (rounded to ``digits``): ties, positives, and the average rank; zeros are dropped.
 
     Equal differences are counted before anything is ordered. The order over all of a group is then taken in two steps: a
     prefix sum over at most BUCKETS value ranges, and one within each range.
     """
-    d = F.round("d", digits)
-    counts = stored(
-        pairs.filter(d != 0).groupBy(*GROUP, F.abs(d).alias("size")).agg(
-            F.count(F.lit(1)).alias("ties"), F.count_if(d > 0).alias("positive")
-        )
-    )
+    return _ranked(difference_counts(pairs, digits))
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    counts = counts.filter("size <> 0")
     # Ranges by magnitude: the float's leading bits grow with it.
     part = F.floor(F.log2("size") * 16)
     counts = counts.withColumn("part", part)
@@ -101,8 +110,10 @@ def wilcoxon(pairs: DataFrame, exact: int = EXACT) -> DataFrame:
     the normal approximation with ties corrected. It is computed on the result rows, and null without a non-zero difference:
     such groups have no row.
     """
-    r = signed_ranks(pairs)
-    zeros = pairs.groupBy(*GROUP).agg(F.count_if(F.round("d", 9) == 0).alias("zeros"))
+    # Pairs, which come of a join, are read once: zeros are counted with the other differences.
+    counts = difference_counts(pairs)
+    r = _ranked(counts)
+    zeros = counts.filter("size = 0").select(*GROUP, F.col("ties").alias("zeros"))
     t, n = F.col("ties"), F.col("n")
     sums = r.groupBy(*GROUP).agg(
         F.sum("ties").alias("n"), F.sum(F.col("positive") * F.col("rank")).alias("w_plus"),
@@ -113,7 +124,7 @@ def wilcoxon(pairs: DataFrame, exact: int = EXACT) -> DataFrame:
     nd = n.cast("double")
     se = F.sqrt(nd * (nd + 1) * (2 * nd + 1) / 24 - F.col("tied") / 48)
     z = F.try_divide(F.col("statistic") - nd * (nd + 1) / 4, se)
-    sums = sums.withColumn("z", z).join(zeros, GROUP)
+    sums = sums.withColumn("z", z).join(zeros, GROUP, "left").fillna(0, ["zeros"])
     small = (n <= exact) & (F.col("tied") == 0) & (F.col("zeros") == 0)
     p = F.when(small, exact_signed_rank_p(n, F.col("statistic"))).otherwise(_two_sided_normal("z"))
     method = F.when(small, "exact").otherwise("normal")

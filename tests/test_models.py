@@ -248,6 +248,12 @@ def test_exact_wilcoxon_against_all_signs(spark):
         assert got[name]["p"] == pytest.approx(min(1.0, 2 * np.mean(np.array(sums) <= t)), abs=1e-12)
 
 
+def test_wilcoxon_reads_its_pairs_once(spark):
+    """The test itself is planned on written counts alone; the pairs, which come of a join, are not read again."""
+    plan = statistics.wilcoxon(signed(spark, {"a": [1.0, -2.0, 0.0]}).withColumn("d", F.col("d") + F.lit(0)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "LogicalRDD" not in plan and "LocalRelation" not in plan
+
+
 def test_wilcoxon_is_normal_where_it_must_be(spark):
     rng = np.random.default_rng(6)
     groups = {"tied": [1.0, -1.0, 2.0], "zero": [0.0, 1.0, 2.0], "many": rng.normal(0, 1, 51), "fifty": rng.normal(0.2, 1, 50)}
