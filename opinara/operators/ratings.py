@@ -269,6 +269,14 @@ def als_stream(
     Rows of unknown users or items get the train mean, or the scale's midpoint if fallback is midpoint, or 0 if the target
     is what a baseline leaves.
     """
+    return als_fitted(train, users, items, rank, reg, iterations, seed, fallback, target)(rows)
+
+
+def als_fitted(
+    train: DataFrame, users: DataFrame, items: DataFrame, rank: int = 16, reg: float = 0.1, iterations: int = 8,
+    seed: int = 42, fallback: str = "train_mean", target: str = "stars"
+) -> Callable[[DataFrame], DataFrame]:
+    """als_stream of one model for any rows."""
     def ids(df: DataFrame, how: str) -> DataFrame:
         return df.join(users.withColumnRenamed("id", "_u"), "user_id", how).join(
             items.withColumnRenamed("id", "_i"), "business_id", how
@@ -281,12 +289,16 @@ def als_stream(
     mean = F.lit(3.0) if fallback == "midpoint" else F.lit(0.0) if fallback == "baseline" else F.lit(
         train.agg(F.avg(target)).first()[0]
     )
-    raw = ids(rows, "left").fillna(-1, ["_u", "_i"])
-    out = model.transform(raw)
-    cold = F.isnan("prediction") | F.col("prediction").isNull()
-    return out.withColumn("fallback_kind", F.when(cold, fallback).otherwise("none")).withColumn(
-        "prediction", F.when(cold, mean).otherwise(F.col("prediction").cast("double"))
-    ).drop("_u", "_i")
+
+    def stream(rows: DataFrame) -> DataFrame:
+        raw = ids(rows, "left").fillna(-1, ["_u", "_i"])
+        out = model.transform(raw)
+        cold = F.isnan("prediction") | F.col("prediction").isNull()
+        return out.withColumn("fallback_kind", F.when(cold, fallback).otherwise("none")).withColumn(
+            "prediction", F.when(cold, mean).otherwise(F.col("prediction").cast("double"))
+        ).drop("_u", "_i")
+
+    return stream
 
 
 def bias_factors(
@@ -310,17 +322,18 @@ def als_selected(
 ) -> tuple[DataFrame, dict, float]:
     """als_stream of the settings with the least RMSE on val (the first on ties); with them, and that RMSE.
 
-    Every candidate is fitted on train alone; an empty val leaves the first.
+    Every candidate is fitted on train alone, and once; an empty val leaves the first.
     """
     best = None
     for own in settings:
-        error = als_stream(train, val, users, items, **fixed, **own).agg(
+        stream = als_fitted(train, users, items, **fixed, **own)
+        error = stream(val).agg(
             F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("stars"), 2)))
         ).first()[0]
         error = float("inf") if error is None else float(error)
         if best is None or error < best[1]:
-            best = own, error
-    return als_stream(train, rows, users, items, **fixed, **best[0]), best[0], best[1]
+            best = own, error, stream
+    return best[2](rows), best[0], best[1]
 
 
 def negative_samples(

@@ -232,6 +232,15 @@ def test_als_falls_back(spark):
     assert out["nobody"] == ("midpoint", 3.0) and out["1"][0] == "none"
 
 
+def test_als_candidates_are_fitted_once(spark, monkeypatch):
+    t = spark.range(60).select((F.col("id") % 6).cast("string").alias("user_id"), (F.col("id") % 10).cast("string").alias("business_id"), (1 + F.col("id") % 5).cast("double").alias("stars"))
+    fits, als = [], ratings.ALS
+    monkeypatch.setattr(ratings, "ALS", lambda **k: fits.append(k["regParam"]) or als(**k))
+    ids = [interactions.dense_ids(t, c) for c in ("user_id", "business_id")]
+    assert ratings.als_selected(t, t, t, *ids, [{"reg": 5.0}, {"reg": 0.01}], rank=2, iterations=1)[0].count() == 60
+    assert fits == [5.0, 0.01]
+
+
 def test_silhouette_selection(spark):
     from pyspark.ml.linalg import Vectors
 
