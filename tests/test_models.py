@@ -473,3 +473,28 @@ def test_text_models_reach_the_tasks_after_an_observation(spark):
     mine = ratings.sentiment_model(reg=0.01).fit(labelled)
     got = {r["review_id"]: r["sentiment_score"] for r in scoring.as_scorer(mine).score(df).collect()}
     assert got == pytest.approx({r["review_id"]: r["sentiment_score"] for r in ratings.sentiment_score(model, df).collect()})
+
+
+def test_columns_that_share_places_are_solved_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, h = np.maximum(rng.normal(0.5, 0.6, (3, 5000)), 0), rng.random((3, 3)) + 0.1
+    alone, sizes = fusion.nnls(h @ h.T, x.T @ h.T), []
+    solve = fusion.nnls
+    monkeypatch.setattr(fusion, "nnls", lambda gram, target: sizes.append(len(target)) or solve(gram, target))
+    assert np.allclose(fusion.column_weights(x, h), alone.T, atol=1e-9) and sum(sizes) < 500
+
+
+def test_factors_pass_over_packed_rows(spark, monkeypatch):
+    df = spark.range(0, 1000, 1, 3).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c"))
+    sizes, inner = [], fusion.NonNegativeFactors._rounds
+    monkeypatch.setattr(fusion, "BLOCK", 150)
+
+    def rounds(self, packed):
+        sizes.extend(len(r["x"]) // 24 for r in packed.collect())
+        inner(self, packed)
+
+    monkeypatch.setattr(fusion.NonNegativeFactors, "_rounds", rounds)
+    nmf = fusion.NonNegativeFactors(2).fit(df, df.columns)
+    x = np.array([tuple(r) for r in df.collect()])
+    rest = ((x - fusion.weights(x, nmf.h) @ nmf.h) ** 2).sum()
+    assert max(sizes) == 150 and sum(sizes) == 1000 and len(sizes) <= 9 and rest == pytest.approx(nmf.errors[-1], rel=1e-3)

@@ -466,3 +466,15 @@ def test_pairs_of_corated_items_are_not_shuffled(spark):
     plan = ratings.item_similarity(ratings.mean_ratings(planted(spark)))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(j#\d+L?, \d+\)", plan)
     assert not re.search(r"hashpartitioning\((i#\d+, j|j#\d+, i)#", plan)
+
+
+def test_bias_of_all_folds_goes_to_items_and_users_once(spark, monkeypatch):
+    df = spark.range(90).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("review_id"), F.when(F.col("id") != 5, (F.col("id") % 15).cast("string")).alias("user_id"), F.when(F.col("id") != 7, (F.col("id") % 11).cast("string")).alias("business_id"), F.when(F.col("id") % 13 != 4, 1.0 + F.col("id") % 5).alias("stars"))
+    new = df.limit(20).unionByName(df.limit(1).withColumn("user_id", F.lit("new")).withColumn("review_id", F.lit("x")))
+    writes, store = [], ratings.stored
+    monkeypatch.setattr(ratings, "stored", lambda d, *a: writes.append(d) or store(d, *a))
+    out, known = ratings.bias_out_of_fold(df, new, 3)
+    assert len(writes) == 3
+    for got, wanted in ((out, ratings.out_of_fold(df, ratings.bias_means, 3)), (known, ratings.bias_means(df, new))):
+        got, wanted = by_key(got, "review_id", "baseline"), by_key(wanted, "review_id", "baseline")
+        assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(v) for k, v in wanted.items())
