@@ -244,7 +244,11 @@ def item_knn(
     ).withColumn("prediction", F.coalesce("_p", "_mean")).drop("_p", "_mean")
 
 
-def bias_means(train: DataFrame, rows: DataFrame, damp_item: float = 10.0, damp_user: float = 15.0) -> DataFrame:
+#: Rows of mean stars that an item's bias counts beside its own, and a user's.
+DAMP_ITEM, DAMP_USER = 10.0, 15.0
+
+
+def bias_means(train: DataFrame, rows: DataFrame, damp_item: float = DAMP_ITEM, damp_user: float = DAMP_USER) -> DataFrame:
     """rows with baseline = mean + item bias + user bias, each damped towards 0; unknown ones have none."""
     mean = train.agg(F.avg("stars").alias("_m"))
     t = train.select("user_id", "business_id", "stars").crossJoin(F.broadcast(mean))
@@ -262,7 +266,7 @@ def bias_means(train: DataFrame, rows: DataFrame, damp_item: float = 10.0, damp_
 
 def bias_out_of_fold(
     train: DataFrame, rows: DataFrame | None = None, k: int = 5, seed: int = 42, key: str = "review_id",
-    damp_item: float = 10.0, damp_user: float = 15.0, wide: DataFrame | None = None
+    damp_item: float = DAMP_ITEM, damp_user: float = DAMP_USER, wide: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """out_of_fold of bias_means over train, with fold, and bias_means of all of train for rows.
 
@@ -331,17 +335,24 @@ def als_fitted(
             items.withColumnRenamed("id", "_i"), "business_id", how
         ).withColumn("_u", F.col("_u").cast("int")).withColumn("_i", F.col("_i").cast("int"))
 
-    model = ALS(
-        rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="_u", itemCol="_i", ratingCol=target,
-        coldStartStrategy="nan"
-    ).fit(ids(train, "inner"))
+    stream = _als_numbered(ids(train, "inner"), rank, reg, iterations, seed, target)
     mean = F.lit(3.0) if fallback == "midpoint" else F.lit(0.0) if fallback == "baseline" else F.lit(
         train.agg(F.avg(target)).first()[0]
     )
+    return lambda rows: stream(ids(rows, "left"), fallback, mean)
 
-    def stream(rows: DataFrame) -> DataFrame:
-        raw = ids(rows, "left").fillna(-1, ["_u", "_i"])
-        out = model.transform(raw)
+
+def _als_numbered(
+    train: DataFrame, rank: int, reg: float, iterations: int, seed: int, target: str
+) -> Callable[[DataFrame, str, Column], DataFrame]:
+    """als_fitted over numbers _u and _i in place of ids; rows without one of them get the mean that is given."""
+    model = ALS(
+        rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="_u", itemCol="_i", ratingCol=target,
+        coldStartStrategy="nan"
+    ).fit(train)
+
+    def stream(rows: DataFrame, fallback: str, mean: Column) -> DataFrame:
+        out = model.transform(rows.fillna(-1, ["_u", "_i"]))
         cold = F.isnan("prediction") | F.col("prediction").isNull()
         return out.withColumn("fallback_kind", F.when(cold, fallback).otherwise("none")).withColumn(
             "prediction", F.when(cold, mean).otherwise(F.col("prediction").cast("double"))
@@ -356,11 +367,32 @@ def bias_factors(
 ) -> DataFrame:
     """rows with prediction: bias means, and ALS factors of what they leave of the train ratings; clipped to the scale.
 
-    Rows of unknown users or items get the baseline alone; fallback_kind tells.
+    Rows of unknown users or items get the baseline alone; fallback_kind tells. Biases and numbers stand in one table of items
+    and one of users, so a row goes to its item once and to its user once for both; ALS reads numbers alone.
     """
-    left = bias_means(train, train).withColumn("residual", F.col("stars") - F.col("baseline"))
-    out = als_stream(
-        stored(left), bias_means(train, rows), users, items, rank, reg, iterations, seed, "baseline", "residual"
+    mean = F.lit(train.agg(F.avg("stars")).first()[0]).cast("double")
+    number = lambda ids, into: ids.select(ids.columns[0], F.col("id").cast("int").alias(into))
+    t = train.select("user_id", "business_id", "stars")
+    bi = t.groupBy("business_id").agg(
+        (F.sum(F.col("stars") - mean) / (F.count(F.lit(1)) + DAMP_ITEM)).alias("_bi")
+    )
+    of_item = stored(number(items, "_i").join(bi, "business_id", "full"))
+    placed = stored(
+        t.join(of_item, "business_id", "left").select(
+            "user_id", "_i", "stars", "_bi", F.col("business_id").isNotNull().alias("_known")
+        )
+    )
+    bu = placed.filter("_known").groupBy("user_id").agg(
+        (F.sum(F.col("stars") - mean - F.col("_bi")) / (F.count(F.lit(1)) + DAMP_USER)).alias("_bu")
+    )
+    of_user = stored(number(users, "_u").join(bu, "user_id", "full"))
+    baseline = mean + F.coalesce("_bi", F.lit(0.0)) + F.coalesce("_bu", F.lit(0.0))
+    left = placed.join(of_user, "user_id").filter("_u IS NOT NULL AND _i IS NOT NULL").select(
+        "_u", "_i", (F.col("stars") - baseline).alias("residual")
+    )
+    known = rows.join(of_item, "business_id", "left").join(of_user, "user_id", "left")
+    out = _als_numbered(stored(left), rank, reg, iterations, seed, "residual")(
+        known.withColumn("baseline", baseline).drop("_bi", "_bu"), "baseline", F.lit(0.0)
     )
     raw = F.col("baseline") + F.when(F.col("fallback_kind") == "none", F.col("prediction")).otherwise(0.0)
     return out.withColumn("prediction", F.least(F.greatest(raw, F.lit(low)), F.lit(high)))

@@ -478,3 +478,26 @@ def test_bias_of_all_folds_goes_to_items_and_users_once(spark, monkeypatch):
     for got, wanted in ((out, ratings.out_of_fold(df, ratings.bias_means, 3)), (known, ratings.bias_means(df, new))):
         got, wanted = by_key(got, "review_id", "baseline"), by_key(wanted, "review_id", "baseline")
         assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(v) for k, v in wanted.items())
+
+
+def test_biases_and_numbers_meet_ratings_together(spark, monkeypatch):
+    train = planted(spark).withColumn("user_id", F.when(F.col("review_id") != "r8", F.col("user_id"))).withColumn("business_id", F.when(F.col("review_id") != "r9", F.col("business_id")))
+    users, items = interactions.dense_ids(train, "user_id"), interactions.dense_ids(train, "business_id")
+    fitted, als = [], ratings.ALS
+
+    class Seen:
+        def __init__(self, **k):
+            self.als = als(**k)
+
+        def fit(self, df):
+            fitted.append(df)
+            return self.als.fit(df)
+
+    monkeypatch.setattr(ratings, "ALS", Seen)
+    out = by_key(ratings.bias_factors(train, train, users, items, rank=2), "review_id", "baseline")
+    means = by_key(ratings.bias_means(train, train), "review_id", "baseline")
+    assert out.keys() == means.keys() and all(v == pytest.approx(means[k]) for k, v in out.items())
+    assert fitted[0].columns == ["_u", "_i", "residual"] and fitted[0].count() == 598
+    named = train.join(users.withColumnRenamed("id", "_u"), "user_id").join(items.withColumnRenamed("id", "_i"), "business_id")
+    wanted = sorted((r["_u"], r["_i"], round(r["stars"] - means[r["review_id"]], 9)) for r in named.collect())
+    assert wanted == sorted((r[0], r[1], round(r[2], 9)) for r in fitted[0].collect())
